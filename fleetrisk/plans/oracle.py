@@ -176,3 +176,122 @@ ORACLE["kb_ranking"] = TRAINING + ", " + ROLLUP_TRAINING + """
 SELECT CAST(row_number() OVER (ORDER BY r.policy_risk DESC, r.kb_id) AS INTEGER) AS rank, r.kb_id,
        r.policy_risk, r.policy_priority, r.cve_count, t.top_driver, t.review_reason
 FROM rolled r JOIN toprow t ON r.kb_id = t.kb_id"""
+
+
+# ---------------------------------------------------------------- closure and correlation
+
+def with_rec(*blocks: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(blocks) + "\n"
+
+
+CORR = """expected AS (SELECT DISTINCT scan_id, partkey, kb_id FROM link),
+edges AS (
+  SELECT DISTINCT e.scan_id, e.kb_id AS src,
+         'KB' || CAST(5000000 + p.p_partkey - (1 + p.p_size % 5) AS VARCHAR) AS dst
+  FROM expected e JOIN part p ON e.partkey = p.p_partkey
+  WHERE p.p_partkey % 3 <> 0 AND p.p_partkey - (1 + p.p_size % 5) >= 0),
+installed AS (SELECT DISTINCT scan_id, kb_id FROM link WHERE l_returnflag = 'N' AND l_linestatus = 'F'),
+reach(scan_id, root_kb, kb_id) AS (
+  SELECT i.scan_id, i.kb_id, e.dst FROM installed i JOIN edges e ON e.scan_id = i.scan_id AND e.src = i.kb_id
+  UNION
+  SELECT r.scan_id, r.root_kb, e.dst FROM reach r JOIN edges e ON e.scan_id = r.scan_id AND e.src = r.kb_id),
+present AS (SELECT scan_id, kb_id FROM installed UNION SELECT scan_id, kb_id FROM reach),
+missing AS (SELECT scan_id, kb_id FROM expected EXCEPT SELECT scan_id, kb_id FROM present),
+etype AS (
+  SELECT x.scan_id, x.kb_id,
+         CASE WHEN p.p_partkey % 3 <> 0 AND p.p_partkey - (1 + p.p_size % 5) >= 0
+              THEN 'Superseding' ELSE 'Standalone' END AS update_type
+  FROM expected x JOIN part p ON x.partkey = p.p_partkey),
+supby AS (
+  SELECT scan_id, kb_id, string_agg(root_kb, ', ' ORDER BY root_kb) AS replaced
+  FROM (SELECT DISTINCT scan_id, kb_id, root_kb FROM reach) t GROUP BY scan_id, kb_id)"""
+
+STATUS = """status AS (
+  SELECT x.scan_id, x.kb_id, t.update_type AS type,
+         CASE WHEN i.kb_id IS NOT NULL THEN 'Installed'
+              WHEN s.replaced IS NOT NULL THEN 'Superseded by ' || s.replaced ELSE 'Missing' END AS status,
+         mo.months, CAST(cc.cve_count AS INTEGER) AS cve_count
+  FROM expected x
+  JOIN etype t ON t.scan_id = x.scan_id AND t.kb_id = x.kb_id
+  LEFT JOIN installed i ON i.scan_id = x.scan_id AND i.kb_id = x.kb_id
+  LEFT JOIN supby s ON s.scan_id = x.scan_id AND s.kb_id = x.kb_id
+  JOIN (SELECT scan_id, kb_id, string_agg(month, ', ' ORDER BY month) AS months
+        FROM entry_month GROUP BY scan_id, kb_id) mo ON mo.scan_id = x.scan_id AND mo.kb_id = x.kb_id
+  JOIN (SELECT scan_id, kb_id, count(*) AS cve_count FROM entry_cve GROUP BY scan_id, kb_id) cc
+    ON cc.scan_id = x.scan_id AND cc.kb_id = x.kb_id)"""
+
+CORRELATION = with_rec(LINK, RAW, CORR)
+
+ORACLE["closure_pairs"] = CORRELATION + "SELECT scan_id, root_kb, kb_id FROM reach"
+ORACLE["logical_present"] = CORRELATION + "SELECT scan_id, kb_id FROM present"
+ORACLE["missing_kbs"] = CORRELATION + """
+SELECT m.scan_id, m.kb_id, coalesce(t.update_type, 'Unknown') AS update_type
+FROM missing m LEFT JOIN etype t ON t.scan_id = m.scan_id AND t.kb_id = m.kb_id"""
+ORACLE["kb_status"] = with_rec(LINK, RAW, CORR, STATUS) + "SELECT * FROM status"
+ORACLE["kb_table_top10"] = with_rec(LINK, RAW, CORR, STATUS) + """
+SELECT * FROM (
+  SELECT scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY kb_id) AS INTEGER) AS pos, kb_id, type,
+         status, months, cve_count, CAST(greatest(count(*) OVER (PARTITION BY scan_id) - 10, 0) AS BIGINT) AS remaining
+  FROM status) t WHERE pos <= 10"""
+ORACLE["scan_summary"] = CORRELATION + """
+SELECT e.scan_id, e.expected_kbs, coalesce(i.n, 0) AS installed_kbs, coalesce(p.n, 0) AS logical_present_kbs,
+       coalesce(s.n, 0) AS superseded_mappings, coalesce(m.n, 0) AS missing_kbs,
+       e.expected_kbs - coalesce(m.n, 0) AS present_among_expected
+FROM (SELECT scan_id, count(*) AS expected_kbs FROM expected GROUP BY scan_id) e
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM installed GROUP BY scan_id) i ON i.scan_id = e.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM present GROUP BY scan_id) p ON p.scan_id = e.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM supby GROUP BY scan_id) s ON s.scan_id = e.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM missing GROUP BY scan_id) m ON m.scan_id = e.scan_id"""
+ORACLE["missing_breakdown"] = CORRELATION + """
+SELECT m.scan_id, count(*) FILTER (WHERE t.update_type = 'Superseding') AS Superseding,
+       count(*) FILTER (WHERE t.update_type = 'Standalone') AS Standalone
+FROM missing m JOIN etype t ON t.scan_id = m.scan_id AND t.kb_id = m.kb_id GROUP BY m.scan_id"""
+ORACLE["source_summary"] = CORRELATION + """
+SELECT e.scan_id, e.kb_entries, coalesce(m.n, 0) AS missing_kbs
+FROM (SELECT scan_id, count(*) AS kb_entries FROM expected GROUP BY scan_id) e
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM missing GROUP BY scan_id) m ON m.scan_id = e.scan_id"""
+ORACLE["months_with_entries"] = with_(LINK, RAW) + """
+SELECT scan_id, string_agg(month, ', ' ORDER BY month) AS months_with_entries
+FROM (SELECT DISTINCT scan_id, month FROM entry_month) t GROUP BY scan_id"""
+
+RUNTIME = """rt_flat AS (
+  SELECT DISTINCT r.scan_id, r.kb_id, r.cve_id, r.month FROM raw r
+  JOIN missing ms ON ms.scan_id = r.scan_id AND ms.kb_id = r.kb_id),
+rt_valid AS (
+  SELECT f.scan_id, f.kb_id, f.cve_id, f.month, d.cvss_score, d.attack_vector, d.policy_risk,
+         d.policy_priority, d.policy_drivers, d.top_driver
+  FROM rt_flat f JOIN dim_scored d ON f.cve_id = d.cve_id
+  WHERE d.cvss_score IS NOT NULL AND d.attack_vector IS NOT NULL),
+rt_rolled AS (
+  SELECT scan_id, kb_id, max(policy_risk) AS policy_risk,
+    CASE max(CASE policy_priority WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END)
+      WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' ELSE 'Unknown' END AS policy_priority,
+    count(*) AS cve_count FROM rt_valid GROUP BY scan_id, kb_id),
+rt_top AS (
+  SELECT scan_id, kb_id, top_driver, policy_drivers AS review_reason FROM (
+    SELECT *, row_number() OVER (PARTITION BY scan_id, kb_id ORDER BY policy_risk DESC, cve_id, month) AS rn
+    FROM rt_valid) t WHERE rn = 1),
+rt_ranked AS (
+  SELECT r.scan_id, CAST(row_number() OVER (PARTITION BY r.scan_id ORDER BY r.policy_risk DESC, r.kb_id) AS INTEGER)
+         AS rank, r.kb_id, r.policy_risk, r.policy_priority, r.cve_count, t.top_driver, t.review_reason
+  FROM rt_rolled r JOIN rt_top t ON r.scan_id = t.scan_id AND r.kb_id = t.kb_id)"""
+
+FLEET = with_rec(LINK, RAW, CORR, CVE_META, DIM, RUNTIME)
+
+ORACLE["runtime_flatten"] = CORRELATION + """
+SELECT DISTINCT r.scan_id, r.kb_id, r.cve_id, r.month FROM raw r
+JOIN missing ms ON ms.scan_id = r.scan_id AND ms.kb_id = r.kb_id"""
+ORACLE["fleet_ranking"] = FLEET + "SELECT * FROM rt_ranked"
+ORACLE["ranking_summary"] = FLEET + """
+SELECT scan_id, count(*) AS kb_count, CAST(sum(cve_count) AS BIGINT) AS cves_reviewed, max(policy_risk) AS highest_policy_risk,
+  CASE max(CASE policy_priority WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END)
+    WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' ELSE 'Unknown' END AS highest_policy_priority
+FROM rt_ranked GROUP BY scan_id"""
+ORACLE["cve_preview"] = FLEET + """
+SELECT * FROM (
+  SELECT scan_id, kb_id, CAST(row_number() OVER (PARTITION BY scan_id, kb_id
+           ORDER BY policy_risk DESC, cve_id, month) AS INTEGER) AS cve_rank,
+         cve_id, month, policy_risk, policy_priority, top_driver,
+         count(*) OVER (PARTITION BY scan_id, kb_id) AS cve_total,
+         greatest(count(*) OVER (PARTITION BY scan_id, kb_id) - 10, 0) AS hidden_count
+  FROM rt_valid) t WHERE cve_rank <= 10"""

@@ -129,3 +129,119 @@ def kb_ranking(spark, d):
     rolled = rk.kb_rollup(training_validated(spark, d), keys=())
     return rk.rank_kbs(rolled, keys=()).select(
         "rank", "kb_id", "policy_risk", "policy_priority", "cve_count", "top_driver", "review_reason")
+
+
+# ---------------------------------------------------------------- closure and correlation
+
+from fleetrisk.operators import correlate as co  # noqa: E402
+
+
+def fleet_correlation(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    lnk = dv.link(spark, d)
+    entries = dv.kb_entries(spark, d, lnk)
+    return entries, co.correlate(entries, dv.installed(spark, d, lnk))
+
+
+@query
+def closure_pairs(spark, d):
+    """(scan, installed root, KB reachable through >= 1 supersedence edge)."""
+    return fleet_correlation(spark, d)[1]["reached"]
+
+
+@query
+def logical_present(spark, d):
+    """Installed KBs plus everything they transitively replace."""
+    return fleet_correlation(spark, d)[1]["present"]
+
+
+@query
+def missing_kbs(spark, d):
+    """J4 + J8: expected minus logically present, with update type."""
+    entries, c = fleet_correlation(spark, d)
+    return co.missing_list(c, entries)
+
+
+@query
+def kb_status(spark, d):
+    """J6 + J7: per expected KB its type, status, months and CVE count."""
+    return fleet_correlation(spark, d)[1]["status"]
+
+
+@query
+def kb_table_top10(spark, d):
+    """First 10 correlation rows per scan (KB order) and the remaining count."""
+    status = fleet_correlation(spark, d)[1]["status"]
+    top = rk.top_per_group(status, ["scan_id"], [F.col("kb_id")], rk.KB_TABLE_LIMIT, "pos")
+    totals = status.groupBy("scan_id").agg(F.count(F.lit(1)).alias("_n"))
+    return (top.join(totals, "scan_id")
+            .withColumn("remaining", F.greatest(F.col("_n") - rk.KB_TABLE_LIMIT, F.lit(0)))
+            .drop("_n"))
+
+
+@query
+def scan_summary(spark, d):
+    """Per scan expected / installed / present / superseded / missing counts."""
+    return co.scan_summary(fleet_correlation(spark, d)[1])
+
+
+@query
+def missing_breakdown(spark, d):
+    """Missing KBs per scan split by update type."""
+    entries, c = fleet_correlation(spark, d)
+    return co.missing_breakdown(co.missing_list(c, entries))
+
+
+@query
+def source_summary(spark, d):
+    """Per scan, KB entries and missing KBs."""
+    entries, c = fleet_correlation(spark, d)
+    return fl.source_summary(entries, c["missing"])
+
+
+@query
+def months_with_entries(spark, d):
+    """Per scan, sorted months that returned KB entries."""
+    out = co.months_with_entries(dv.kb_entries(spark, d))
+    return out.withColumn("months_with_entries", F.array_join("months_with_entries", ", "))
+
+
+# ---------------------------------------------------------------- runtime (per scan)
+
+def runtime_validated(spark: SparkSession, d: str) -> DataFrame:
+    entries, c = fleet_correlation(spark, d)
+    flat = fl.dedupe(fl.flatten(entries, c["missing"]), fl.RUNTIME_KEYS)
+    enriched_rows = en.enrich(flat, cve_dim(spark, d), bound_rows=dv.CVE_BUCKETS, scored=True)
+    return po.validate(enriched_rows, keys=fl.RUNTIME_KEYS)
+
+
+def runtime_ranking(spark: SparkSession, d: str) -> DataFrame:
+    rolled = rk.kb_rollup(runtime_validated(spark, d), keys=("scan_id",))
+    return rk.rank_kbs(rolled, keys=("scan_id",)).select(
+        "scan_id", "rank", "kb_id", "policy_risk", "policy_priority", "cve_count", "top_driver", "review_reason")
+
+
+@query
+def runtime_flatten(spark, d):
+    """Per scan flatten restricted to the scan's missing KBs."""
+    entries, c = fleet_correlation(spark, d)
+    return fl.dedupe(fl.flatten(entries, c["missing"]), fl.RUNTIME_KEYS)
+
+
+@query
+def fleet_ranking(spark, d):
+    """C5 (policy): per scan, missing KBs ranked by max policy risk."""
+    return runtime_ranking(spark, d)
+
+
+@query
+def ranking_summary(spark, d):
+    """Per scan KB count, CVE rows reviewed, highest risk and priority."""
+    return rk.ranking_summary(runtime_ranking(spark, d))
+
+
+@query
+def cve_preview(spark, d):
+    """Top 10 CVE rows per missing KB and the hidden count."""
+    out = rk.cve_preview(runtime_validated(spark, d), keys=("scan_id",))
+    return out.select("scan_id", "kb_id", "cve_rank", "cve_id", "month", "policy_risk", "policy_priority",
+                      "top_driver", "cve_total", "hidden_count")
