@@ -295,3 +295,92 @@ SELECT * FROM (
          count(*) OVER (PARTITION BY scan_id, kb_id) AS cve_total,
          greatest(count(*) OVER (PARTITION BY scan_id, kb_id) - 10, 0) AS hidden_count
   FROM rt_valid) t WHERE cve_rank <= 10"""
+
+
+# ---------------------------------------------------------------- hosts, months, candidates, text
+
+HOSTS = """b AS (
+  SELECT scan_id, min(CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN l_shipdate END) AS lcu,
+         max(l_shipdate) AS latest FROM link GROUP BY scan_id),
+h AS (SELECT n.n_nationkey AS scan_id, n.n_regionkey, b.lcu, b.latest FROM nation n LEFT JOIN b ON b.scan_id = n.n_nationkey)"""
+
+ORACLE["host_constraints"] = """
+SELECT n_nationkey AS scan_id, 'windows 1' || CAST(n_nationkey % 2 AS VARCHAR) AS windows_gen,
+  CASE n_nationkey % 3 WHEN 0 THEN '22H2' WHEN 1 THEN '23H2' ELSE '24H2' END AS display_version,
+  CAST(19000 + 10 * (n_nationkey % 4) AS VARCHAR) AS build_major,
+  CASE n_regionkey WHEN 0 THEN 'x64' WHEN 1 THEN 'arm64' WHEN 2 THEN 'x86' WHEN 3 THEN 'x86' ELSE 'x64' END AS catalog_arch,
+  CASE n_regionkey WHEN 0 THEN 'x64' WHEN 1 THEN 'ARM64' WHEN 2 THEN 'x86' WHEN 3 THEN 'x86' ELSE 'x64' END AS arch_label,
+  CASE n_regionkey WHEN 0 THEN 'x64' WHEN 1 THEN 'ARM64' WHEN 2 THEN '32-bit' WHEN 3 THEN '32-bit' ELSE 'x64' END AS feed_arch
+FROM nation"""
+
+ORACLE["month_window"] = with_(LINK, HOSTS) + """, w AS (
+  SELECT scan_id, CAST(date_trunc('month', least(lcu, latest)) AS DATE) AS s, CAST(date_trunc('month', latest) AS DATE) AS e
+  FROM h WHERE scan_id % 7 <> 3 AND lcu IS NOT NULL),
+m AS (SELECT scan_id, unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS m, e FROM w)
+SELECT scan_id, CAST(pos AS INTEGER) AS pos, strftime(m, '%Y-%b') AS month_id, truncated FROM (
+  SELECT scan_id, m, row_number() OVER (PARTITION BY scan_id ORDER BY m) AS pos,
+         count(*) OVER (PARTITION BY scan_id) > 48 AS truncated FROM m) t WHERE pos <= 48"""
+
+ORACLE["month_window_rejects"] = with_(LINK, HOSTS) + """
+SELECT scan_id, CASE WHEN scan_id % 7 = 3 THEN 'Baseline collected without administrative privileges'
+                     ELSE 'Baseline did not provide LcuMonthId' END AS reason
+FROM h WHERE scan_id % 7 = 3 OR lcu IS NULL"""
+
+ORACLE["latest_month"] = with_(LINK) + """
+SELECT scan_id, arg_max(month, strptime(month, '%Y-%b')) AS latest_month_id FROM link GROUP BY scan_id"""
+
+CANDIDATES = """cand AS (
+  SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '-0000-4000-8000-' || lpad(CAST(v AS VARCHAR), 12, '0') AS update_id,
+    'Cumulative Update for Windows 1' || CAST(p_partkey % 2 AS VARCHAR) || ' Version '
+    || CASE v WHEN 0 THEN '22H2' WHEN 1 THEN '23H2' ELSE '24H2' END || ' for '
+    || CASE WHEN v = 3 THEN 'arm64' ELSE 'x64' END || '-based Systems (KB' || CAST(5000000 + p_partkey AS VARCHAR)
+    || ') (' || CAST(19000 + 10 * v AS VARCHAR) || '.1)' AS title, CAST(v AS INTEGER) AS candidate_pos
+  FROM part, range(4) r(v)),
+tgt AS (SELECT 'KB' || CAST(5000000 + p_partkey AS VARCHAR) AS kb_id,
+               'windows 1' || CAST(p_size % 2 AS VARCHAR) AS gen FROM part),
+pairs AS (
+  SELECT t.kb_id, c.update_id, c.candidate_pos, c.title, lower(c.title) AS lt, t.gen FROM tgt t JOIN cand c
+  ON contains(lower(c.title), lower(t.kb_id))),
+scored AS (
+  SELECT kb_id, update_id, candidate_pos, title, CASE
+    WHEN (gen = 'windows 10' AND contains(lt, 'windows 11')) OR (gen = 'windows 11' AND contains(lt, 'windows 10'))
+      OR contains(lt, 'server') OR contains(lt, 'arm64-based') OR contains(lt, 'x86-based') OR contains(lt, '32-bit')
+    THEN -10000 ELSE 50 + (CASE WHEN contains(lt, gen) THEN 40 ELSE 0 END)
+      + (CASE WHEN contains(lt, 'x64-based') THEN 25 ELSE 0 END)
+      + (CASE WHEN contains(lt, '22h2') THEN 25 ELSE 0 END)
+      + (CASE WHEN regexp_matches(lt, '\\b\\d{2}h[12]\\b') AND NOT contains(lt, '22h2') THEN -15 ELSE 0 END)
+      + (CASE WHEN regexp_extract(lt, '\\(\\s*(\\d{5})\\.', 1) = '' THEN 0
+              WHEN regexp_extract(lt, '\\(\\s*(\\d{5})\\.', 1) = '19000' THEN 10 ELSE -5 END) END AS score
+  FROM pairs)"""
+
+ORACLE["candidate_scores"] = with_(CANDIDATES) + "SELECT kb_id, update_id, candidate_pos, score FROM scored"
+ORACLE["best_candidate"] = with_(CANDIDATES) + """, best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY score DESC, candidate_pos) AS r
+                 FROM scored WHERE score >= 0) t WHERE r = 1),
+cnt AS (SELECT kb_id, count(*) AS n FROM scored WHERE score >= 0 GROUP BY kb_id)
+SELECT t.kb_id, CASE WHEN b.score >= 90 THEN b.update_id END AS update_id,
+       CASE WHEN b.score >= 90 THEN b.title END AS title, CAST(b.score AS DOUBLE) AS best_score,
+       coalesce(c.n, 0) AS candidates_matching,
+       CASE WHEN b.score IS NULL THEN 'No candidate matched baseline constraints'
+            WHEN b.score < 90 THEN 'Ambiguous match below confidence threshold (' || CAST(b.score AS VARCHAR) || ')'
+       END AS reason
+FROM tgt t LEFT JOIN best b ON b.kb_id = t.kb_id LEFT JOIN cnt c ON c.kb_id = t.kb_id"""
+ORACLE["candidate_top3"] = with_(CANDIDATES) + """
+SELECT kb_id, CAST(pos AS INTEGER) AS pos, score, update_id, title FROM (
+  SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY score DESC, candidate_pos) AS pos
+  FROM scored WHERE score >= 0) t WHERE pos <= 3"""
+
+ORACLE["package_urls"] = """
+SELECT page_id, CAST(pos AS INTEGER) AS pos, url, split_part(split_part(url, '/', -1), '?', 1) AS file_name FROM (
+  SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY first_at) - 1 AS pos FROM (
+    SELECT page_id, u.url, min(u.i) AS first_at FROM (
+      SELECT page_id, unnest(regexp_extract_all(html, '(?i)https?://[^"]+\\.(?:msu|cab)(?:\\?[^"]*)?')) AS url,
+             unnest(range(len(regexp_extract_all(html, '(?i)https?://[^"]+\\.(?:msu|cab)(?:\\?[^"]*)?')))) AS i
+      FROM pages) u GROUP BY page_id, u.url) t) t2"""
+ORACLE["page_links"] = """
+SELECT page_id, CAST(pos AS INTEGER) AS pos, url, split_part(split_part(url, '/', -1), '?', 1) AS file_name FROM (
+  SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY first_at) - 1 AS pos FROM (
+    SELECT page_id, url, min(i) AS first_at FROM (
+      SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS url,
+             unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS i
+      FROM pages) u GROUP BY page_id, url) t) t2"""

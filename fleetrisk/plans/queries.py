@@ -245,3 +245,79 @@ def cve_preview(spark, d):
     out = rk.cve_preview(runtime_validated(spark, d), keys=("scan_id",))
     return out.select("scan_id", "kb_id", "cve_rank", "cve_id", "month", "policy_risk", "policy_priority",
                       "top_driver", "cve_total", "hidden_count")
+
+
+# ---------------------------------------------------------------- hosts, months, candidates, text
+
+from fleetrisk.functions import platform as pf  # noqa: E402
+from fleetrisk.operators import baseline as bl  # noqa: E402
+from fleetrisk.operators import match as mt  # noqa: E402
+from fleetrisk.operators import text as tx  # noqa: E402
+from fleetrisk.sources.tables import read_table  # noqa: E402
+
+
+@query
+def host_constraints(spark, d):
+    """Per host OS family, display version, build major and architecture tokens."""
+    b = dv.baselines(spark, d)
+    return pf.constraints(b).join(b.select("scan_id", pf.display_arch("Architecture").alias("arch_label"),
+                                           pf.feed_arch_token("Architecture").alias("feed_arch")), "scan_id")
+
+
+@query
+def month_window(spark, d):
+    """A5 + A7: per admitted host the LCU-to-latest month ids (oldest 48 kept)."""
+    return bl.month_window(dv.baselines(spark, d))[0]
+
+
+@query
+def month_window_rejects(spark, d):
+    """A5: hosts whose window cannot be built, with the reason."""
+    return bl.month_window(dv.baselines(spark, d))[1]
+
+
+@query
+def latest_month(spark, d):
+    """Per host the newest month id among its entries, by date not text."""
+    months = dv.kb_entries(spark, d).select("scan_id", F.explode("months").alias("month"))
+    return bl.latest_month(months)
+
+
+def _scored_candidates(spark, d):
+    return mt.score_candidates(dv.targets(spark, d), dv.candidates(spark, d))
+
+
+@query
+def candidate_scores(spark, d):
+    """Score of every (target KB, catalog candidate) pair whose KB is in the title."""
+    return _scored_candidates(spark, d).select("kb_id", "update_id", "candidate_pos", "score")
+
+
+@query
+def best_candidate(spark, d):
+    """Best candidate per target, ambiguous below 90, reason when none."""
+    return mt.best_candidates(dv.targets(spark, d), _scored_candidates(spark, d))
+
+
+@query
+def candidate_top3(spark, d):
+    """R5 listing: three highest-scoring accepted candidates per target."""
+    return mt.top_candidates(_scored_candidates(spark, d))
+
+
+@query
+def package_urls(spark, d):
+    """.msu / .cab package links per stored page, first-seen order, file names."""
+    return tx.extract_urls(read_table(spark, d, "pages"))
+
+
+@query
+def page_links(spark, d):
+    """T2 operator with an href pattern: distinct links per page in first-seen order."""
+    return tx.extract_urls(read_table(spark, d, "pages"), pattern=tx.HREF_PATTERN, group=1)
+
+
+@query
+def result_rows(spark, d):
+    """Catalog result-table rows extracted from stored pages."""
+    return tx.result_rows(read_table(spark, d, "pages"))

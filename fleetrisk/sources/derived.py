@@ -126,3 +126,63 @@ def severity_of(score: Column) -> Column:
 
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
+
+
+# fixed values: fixture host and catalog rules
+DISPLAY_VERSIONS = ("22H2", "23H2", "24H2")
+ARCHITECTURES = ("AMD64", "ARM64", "x86", "32-bit", "x64")
+CANDIDATE_VERSIONS = ("22H2", "23H2", "24H2", "24H2")
+CANDIDATE_ARM_VARIANT = 3
+NON_ADMIN_MODULUS = 7
+NON_ADMIN_REMAINDER = 3
+
+
+def baselines(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -> DataFrame:
+    """One baseline row per host (nation): OS, version, build, architecture, admin flag,
+    LCU month (earliest installed ship month) and latest feed month (latest ship month)."""
+    lnk = lnk if lnk is not None else link(spark, folder)
+    inst = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
+    months = lnk.groupBy("scan_id").agg(
+        F.min(F.when(inst, F.col("l_shipdate"))).alias("_lcu"), F.max("l_shipdate").alias("_latest"))
+    nation = read_table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("scan_id"), F.col("n_name").alias("host"), "n_regionkey")
+    k = F.col("scan_id")
+    out = nation.join(months, "scan_id", "left")
+    return out.select(
+        "scan_id", "host",
+        F.concat(F.lit("Microsoft Windows 1"), (k % 2).cast("string"), F.lit(" Pro")).alias("OsName"),
+        F.lit("Professional").alias("OsEdition"),
+        F.get(F.array(*[F.lit(v) for v in DISPLAY_VERSIONS]), (k % 3).cast("int")).alias("DisplayVersion"),
+        F.concat((F.lit(19000) + F.lit(10) * (k % 4)).cast("string"), F.lit("."),
+                 (F.lit(1000) + k).cast("string")).alias("Build"),
+        F.get(F.array(*[F.lit(v) for v in ARCHITECTURES]), F.col("n_regionkey")).alias("Architecture"),
+        (k % NON_ADMIN_MODULUS != NON_ADMIN_REMAINDER).alias("IsAdmin"),
+        month_id("_lcu").alias("LcuMonthId"),
+        month_id("_latest").alias("MsrcLatestMonthId"),
+    )
+
+
+def candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalog candidates: four title variants per part (FIXTURES.md section 3)."""
+    part = read_table(spark, folder, "part").select("p_partkey")
+    v = F.col("v")
+    c = part.select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("v"))
+    version = F.get(F.array(*[F.lit(x) for x in CANDIDATE_VERSIONS]), v)
+    arch = F.when(v == CANDIDATE_ARM_VARIANT, "arm64").otherwise("x64")
+    title = F.concat(
+        F.lit("Cumulative Update for Windows 1"), (F.col("p_partkey") % 2).cast("string"),
+        F.lit(" Version "), version, F.lit(" for "), arch, F.lit("-based Systems ("),
+        kb_of(F.col("p_partkey")), F.lit(") ("), (F.lit(19000) + F.lit(10) * v).cast("string"), F.lit(".1)"))
+    update_id = F.concat(F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("-0000-4000-8000-"),
+                         F.lpad(v.cast("string"), 12, "0"))
+    return c.select(update_id.alias("update_id"), title.alias("title"), v.alias("candidate_pos"))
+
+
+def targets(spark: SparkSession, folder: str) -> DataFrame:
+    """Per part the KB to find and the host constraints it must satisfy."""
+    part = read_table(spark, folder, "part").select("p_partkey", "p_size")
+    return part.select(
+        kb_of(F.col("p_partkey")).alias("kb_id"),
+        F.concat(F.lit("windows 1"), (F.col("p_size") % 2).cast("string")).alias("windows_gen"),
+        F.lit("22h2").alias("display_version"), F.lit("19000").alias("build_major"),
+        F.lit("x64").alias("catalog_arch"))
