@@ -384,3 +384,26 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, url, split_part(split_part(url, '/'
       SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS url,
              unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS i
       FROM pages) u GROUP BY page_id, url) t) t2"""
+
+
+# ---------------------------------------------------------------- model metrics on fixed pairs
+
+ORACLE["regression_metrics_baseline"] = TRAINING + """, a AS (
+  SELECT count(*) AS n, sum(policy_risk) AS sy, sum(policy_risk * policy_risk) AS syy,
+         sum(abs(policy_risk - cvss_score)) AS sae, sum((policy_risk - cvss_score) * (policy_risk - cvss_score)) AS sse
+  FROM validated)
+SELECT 'mae' AS metric, round(sae / n, 6) AS value FROM a
+UNION ALL SELECT 'rmse', round(sqrt(sse / n), 6) FROM a
+UNION ALL SELECT 'r2', round(1.0 - sse / (syy - sy * sy / n), 6) FROM a"""
+
+ORACLE["classification_metrics_baseline"] = TRAINING + """, pr AS (
+  SELECT priority_label AS t, CASE severity WHEN 'Critical' THEN 'High' WHEN 'Important' THEN 'Medium' ELSE 'Low' END AS p
+  FROM validated),
+cls AS (SELECT t AS c FROM pr UNION SELECT p FROM pr),
+per AS (
+  SELECT c, (SELECT count(*) FROM pr WHERE t = c) AS support, (SELECT count(*) FROM pr WHERE p = c) AS predicted,
+         (SELECT count(*) FROM pr WHERE t = c AND p = c) AS tp FROM cls)
+SELECT 'accuracy' AS metric, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS value FROM per
+UNION ALL
+SELECT 'weighted_f1', round(sum(CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END * support)
+                            / sum(support), 6) FROM per"""

@@ -321,3 +321,74 @@ def page_links(spark, d):
 def result_rows(spark, d):
     """Catalog result-table rows extracted from stored pages."""
     return tx.result_rows(read_table(spark, d, "pages"))
+
+
+# ---------------------------------------------------------------- models
+
+from fleetrisk.operators import ml  # noqa: E402
+
+
+def _model_input(spark, d):
+    return ml.model_frame(training_validated(spark, d))
+
+
+@query
+def ml_regression_eval(spark, d):
+    """M1, M3, M5, M9: forest on the policy score, hash 80/20 split, MAE / RMSE / R2."""
+    train, test = ml.hash_split(_model_input(spark, d))
+    model = ml.fit_regression(ml.compact(train, ml.LABELS).checkpoint(eager=True))
+    return ml.regression_metrics(model.transform(test), "risk_score", "ml_risk")
+
+
+@query
+def ml_classification_eval(spark, d):
+    """Weighted logistic regression, stratified split, accuracy / weighted F1."""
+    train, test = ml.stratified_split(_model_input(spark, d), "priority_label")
+    model = ml.fit_classification(ml.compact(train, ml.LABELS).checkpoint(eager=True))
+    return ml.classification_metrics(model.transform(test), "priority_label", "ml_priority")
+
+
+@query
+def ml_cluster_profile(spark, d):
+    """M7 + G14: k-means (5 clusters, 10 restarts) sizes and mean risk per cluster."""
+    frame = _model_input(spark, d)
+    return ml.cluster_profile(ml.fit_clustering(ml.training_set(training_validated(spark, d))).transform(frame))
+
+
+@query
+def ml_elbow(spark, d):
+    """M8 + M14: within-cluster sum of squares for k = 1..10."""
+    return ml.elbow(ml.training_set(training_validated(spark, d)))
+
+
+@query
+def ml_feature_importance(spark, d):
+    """Ten most important forest features."""
+    frame = ml.training_set(training_validated(spark, d))
+    return ml.feature_importance(ml.fit_regression(frame), frame)
+
+
+@query
+def ml_fleet_ranking(spark, d):
+    """M11 + G7 + R1: per scan ranking with model risk, model priority and modal cluster."""
+    models = ml.train_models(training_validated(spark, d))
+    scored = ml.predict(models, runtime_validated(spark, d))
+    rolled = rk.kb_rollup(scored, keys=("scan_id",), with_ml=True)
+    return rk.rank_kbs(rolled, keys=("scan_id",)).select(
+        "scan_id", "rank", "kb_id", "policy_risk", "ml_risk", "policy_priority", "ml_priority", "cluster",
+        "cve_count", "top_driver", "review_reason")
+
+
+@query
+def regression_metrics_baseline(spark, d):
+    """M9 on a fixed pair: CVSS score as a predictor of the policy score."""
+    return ml.regression_metrics(training_validated(spark, d), "policy_risk", "cvss_score")
+
+
+@query
+def classification_metrics_baseline(spark, d):
+    """M10 on a fixed pair: vendor severity mapped to a priority, against the policy priority."""
+    v = training_validated(spark, d).withColumn(
+        "severity_priority", F.when(F.col("severity") == "Critical", "High")
+        .when(F.col("severity") == "Important", "Medium").otherwise("Low"))
+    return ml.classification_metrics(v, "priority_label", "severity_priority")

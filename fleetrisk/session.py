@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # local mode runs everything in the driver JVM; ignored when a JVM already runs
+    "spark.driver.memory": "8g",
 }
 
 
