@@ -15,9 +15,13 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# fixed values: the characters Java's \s matches (space, tab, newline, vertical tab, form feed, return)
+WHITESPACE = " \t\n\u000b\f\r"
+
+
 def strip_ws(c) -> Column:
-    """Strip leading/trailing whitespace of any kind (``trim`` only removes spaces)."""
-    return F.regexp_replace(_col(c).cast("string"), r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace (plain ``trim`` removes spaces only); no regex per row."""
+    return F.trim(_col(c).cast("string"), F.lit(WHITESPACE))
 
 
 def normalise_id(c) -> Column:

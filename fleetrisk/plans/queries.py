@@ -137,9 +137,13 @@ from fleetrisk.operators import correlate as co  # noqa: E402
 
 
 def fleet_correlation(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """KB entries and installed sets are read by the closure rounds, the status join
+    and the flatten: materialise them once (reliable checkpoint) instead of
+    recomputing the three-way link join for every use."""
     lnk = dv.link(spark, d)
-    entries = dv.kb_entries(spark, d, lnk)
-    return entries, co.correlate(entries, dv.installed(spark, d, lnk))
+    entries = dv.kb_entries(spark, d, lnk).checkpoint(eager=True)
+    installed = dv.installed(spark, d, lnk).checkpoint(eager=True)
+    return entries, co.correlate(entries, installed)
 
 
 @query
@@ -392,3 +396,16 @@ def classification_metrics_baseline(spark, d):
         "severity_priority", F.when(F.col("severity") == "Critical", "High")
         .when(F.col("severity") == "Important", "Medium").otherwise("Low"))
     return ml.classification_metrics(v, "priority_label", "severity_priority")
+
+
+# ---------------------------------------------------------------- report
+
+from fleetrisk.plans import report as rp  # noqa: E402
+
+
+@query
+def report_lines(spark, d):
+    """S10 + C7: per-scan Markdown report lines (summary, ranked table, drivers, CVE review)."""
+    scored = runtime_validated(spark, d)
+    ranking = rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",))
+    return rp.scan_report(ranking, scored, rk.ranking_summary(ranking))
