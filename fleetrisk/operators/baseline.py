@@ -69,26 +69,34 @@ LOOKBACK_MONTHS = 6
 
 
 def resolve_product(hosts: DataFrame, products: DataFrame, key: str = "scan_id") -> DataFrame:
-    """Best feed product name per host.
+    """Best feed product name per host over its latest month and the five before.
 
     hosts: key, family ('Windows 11'), display_version ('24H2'), arch_token
-    ('x64' / 'ARM64' / '32-bit'), latest month (date). products: month (date),
-    product_name. Candidates are joined on the family prefix (an equi-join on the
-    first two words), ranked versioned exact > generic exact > family+arch > family,
-    then the most recent month within the look-back, then alphabetically.
+    ('x64' / 'ARM64' / '32-bit'), latest_month (first-of-month date).
+    products: month (first-of-month date), product_name (names starting 'Windows ').
+    Candidates join on the family (first two words, an equi-join instead of a
+    pattern scan) and rank: 1 versioned exact, 2 generic exact (both
+    case-insensitive), 3 family + architecture, 4 family only. The most recent
+    month with any candidate wins, then the rank, then the name alphabetically.
     """
-    pname = F.lower(F.col("product_name"))
-    prod = products.withColumn("_family", F.lower(F.substring_index(F.col("product_name"), " ", 2)))
+    prod = (products.where(F.col("product_name").startswith("Windows "))
+            .select("month", "product_name").distinct()
+            .withColumn("_family", F.lower(F.substring_index(F.col("product_name"), " ", 2))))
     h = hosts.withColumn("_family", F.lower(F.col("family")))
     j = h.join(prod, "_family")
-    fam = F.lower(F.col("family"))
-    versioned = F.concat(fam, F.lit(" version "), F.lower(F.col("display_version")), F.lit(" for "),
-                         F.lower(F.col("arch_token")), F.lit("-based systems"))
-    generic = F.concat(fam, F.lit(" for "), F.lower(F.col("arch_token")), F.lit("-based systems"))
-    rank = (F.when(pname == versioned, RANK_VERSIONED).when(pname == generic, RANK_GENERIC)
-            .when(pname.contains(F.lower(F.col("arch_token"))), RANK_FAMILY_ARCH).otherwise(RANK_FAMILY))
     age = F.floor(F.months_between(F.col("latest_month"), F.col("month")))
-    j = j.where((age >= 0) & (age < LOOKBACK_MONTHS)).withColumn("match_rank", rank)
+    j = j.where((age >= 0) & (age < LOOKBACK_MONTHS))
+    name = F.lower(F.col("product_name"))
+    arch = F.lower(F.col("arch_token"))
+    suffix = F.when(arch == "32-bit", F.lit(" for 32-bit systems")).otherwise(
+        F.concat(F.lit(" for "), arch, F.lit("-based systems")))
+    fam = F.lower(F.col("family"))
+    dv = F.lower(F.coalesce(F.col("display_version"), F.lit("")))
+    arch_hit = F.when(arch == "32-bit", name.contains("32-bit")).otherwise(name.contains(F.concat(arch, F.lit("-based"))))
+    rank = (F.when((dv != "") & (name == F.concat(fam, F.lit(" version "), dv, suffix)), RANK_VERSIONED)
+            .when(name == F.concat(fam, suffix), RANK_GENERIC)
+            .when(arch_hit, RANK_FAMILY_ARCH).otherwise(RANK_FAMILY))
+    j = j.withColumn("match_rank", rank)
     w = Window.partitionBy(key).orderBy(F.col("month").desc(), "match_rank", "product_name")
     best = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
     return best.select(key, F.col("product_name").alias("product_name_hint"), "match_rank",

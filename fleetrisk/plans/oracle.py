@@ -407,3 +407,59 @@ SELECT 'accuracy' AS metric, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS
 UNION ALL
 SELECT 'weighted_f1', round(sum(CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END * support)
                             / sum(support), 6) FROM per"""
+
+
+# ---------------------------------------------------------------- feed products, inventory, product names
+
+PRODUCTS = """prod AS (
+  SELECT l.scan_id, l.month, CAST(date_trunc('month', l.l_shipdate) AS DATE) AS month_start, l.cve_id AS cve,
+    'Windows 1' || CAST(l.partkey % 2 AS VARCHAR)
+    || CASE WHEN l.partkey % 4 <> 0 THEN ' Version ' || CASE l.partkey % 3 WHEN 0 THEN '22H2' WHEN 1 THEN '23H2' ELSE '24H2' END ELSE '' END
+    || CASE l.partkey % 3 WHEN 0 THEN ' for x64-based Systems' WHEN 1 THEN ' for ARM64-based Systems' ELSE ' for 32-bit Systems' END
+      AS product, 'KB' || CAST(5000000 + l.partkey AS VARCHAR) AS kb_id,
+    CASE WHEN p.p_partkey % 3 <> 0 AND p.p_partkey - (1 + p.p_size % 5) >= 0
+         THEN 'KB' || CAST(5000000 + p.p_partkey - (1 + p.p_size % 5) AS VARCHAR) END AS sup
+  FROM link l JOIN part p ON l.partkey = p.p_partkey)"""
+
+ORACLE["product_kb_map"] = with_(LINK, PRODUCTS) + """
+SELECT scan_id, kb_id, string_agg(DISTINCT month, ', ' ORDER BY month) AS months,
+       string_agg(DISTINCT cve, ', ' ORDER BY cve) AS cves, coalesce(string_agg(DISTINCT sup, ', ' ORDER BY sup), '') AS supersedes,
+       CASE WHEN count(sup) > 0 THEN 'Superseding' ELSE 'Standalone' END AS update_type
+FROM prod WHERE lower(product) = lower('Windows 10 Version 23H2 for ARM64-based Systems') GROUP BY scan_id, kb_id"""
+
+ORACLE["installed_inventory"] = with_(LINK) + """
+SELECT DISTINCT scan_id, kb_id FROM link
+WHERE l_returnflag = 'N' AND l_linestatus = 'F' AND (partkey % 2 = 0 OR scan_id % 7 <> 3)"""
+
+ORACLE["lcu_context"] = with_(LINK) + """, pk AS (
+  SELECT scan_id, 'Package_for_RollupFix~31bf3856ad364e35~amd64~~' || CAST(19000 + partkey AS VARCHAR) || '.1' AS package_name,
+         l_shipdate AS install_time
+  FROM link WHERE l_returnflag = 'N' AND l_linestatus = 'F' AND partkey % 2 = 1 AND partkey % 5 = 0),
+best AS (SELECT scan_id, package_name, install_time,
+                row_number() OVER (PARTITION BY scan_id ORDER BY install_time DESC, package_name DESC) AS r FROM pk)
+SELECT n.n_nationkey AS scan_id,
+       CASE WHEN n.n_nationkey % 7 <> 3 THEN strftime(b.install_time, '%Y-%b') END AS lcu_month_id,
+       CASE WHEN n.n_nationkey % 7 <> 3 THEN b.package_name END AS lcu_package_name,
+       CASE WHEN n.n_nationkey % 7 <> 3 THEN b.install_time END AS lcu_install_time
+FROM nation n LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.scan_id = n.n_nationkey"""
+
+ORACLE["product_name_hint"] = with_(LINK, PRODUCTS) + """, hosts AS (
+  SELECT n.n_nationkey AS scan_id, 'windows 1' || CAST(n.n_nationkey % 2 AS VARCHAR) AS fam,
+    lower(CASE n.n_nationkey % 3 WHEN 0 THEN '22H2' WHEN 1 THEN '23H2' ELSE '24H2' END) AS dv,
+    CASE n.n_regionkey WHEN 1 THEN 'arm64' WHEN 2 THEN '32-bit' WHEN 3 THEN '32-bit' ELSE 'x64' END AS arch,
+    CAST(date_trunc('month', m.latest) AS DATE) AS latest
+  FROM nation n JOIN (SELECT scan_id, max(l_shipdate) AS latest FROM link GROUP BY scan_id) m ON m.scan_id = n.n_nationkey),
+names AS (SELECT DISTINCT month_start AS month, product AS product_name FROM prod),
+cand AS (
+  SELECT h.scan_id, n.month, n.product_name, lower(n.product_name) AS ln, h.fam, h.dv, h.arch,
+    CASE WHEN h.arch = '32-bit' THEN ' for 32-bit systems' ELSE ' for ' || h.arch || '-based systems' END AS suffix
+  FROM hosts h JOIN names n ON starts_with(lower(n.product_name), h.fam || ' ')
+  WHERE date_diff('month', n.month, h.latest) BETWEEN 0 AND 5),
+ranked AS (
+  SELECT scan_id, month, product_name, CASE
+    WHEN ln = fam || ' version ' || dv || suffix THEN 1 WHEN ln = fam || suffix THEN 2
+    WHEN (arch = '32-bit' AND contains(ln, '32-bit')) OR (arch <> '32-bit' AND contains(ln, arch || '-based')) THEN 3
+    ELSE 4 END AS match_rank FROM cand)
+SELECT scan_id, product_name AS product_name_hint, match_rank, strftime(month, '%Y-%b') AS resolved_month_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY month DESC, match_rank, product_name) AS r FROM ranked) t
+WHERE r = 1"""

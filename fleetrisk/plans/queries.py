@@ -409,3 +409,47 @@ def report_lines(spark, d):
     scored = runtime_validated(spark, d)
     ranking = rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",))
     return rp.scan_report(ranking, scored, rk.ranking_summary(ranking))
+
+
+# ---------------------------------------------------------------- feed products, inventory, product names
+
+from fleetrisk.functions.months import parse_month_id  # noqa: E402
+
+PRODUCT = "Windows 10 Version 23H2 for ARM64-based Systems"
+
+
+@query
+def product_kb_map(spark, d):
+    """A2 + A4 + P16: KB entries of one product from the affected-software rows."""
+    out = co.product_kb_map(dv.product_rows(spark, d), PRODUCT)
+    return out.select("scan_id", "kb_id", F.array_join("months", ", ").alias("months"),
+                      F.array_join("cves", ", ").alias("cves"), F.array_join("supersedes", ", ").alias("supersedes"),
+                      "update_type")
+
+
+@query
+def installed_inventory(spark, d):
+    """Hot-fix KBs union package KBs (name, else description), packages only with admin rights."""
+    lnk = dv.link(spark, d)
+    return bl.inventory(dv.hotfixes(spark, d, lnk), dv.packages(spark, d, lnk), dv.baselines(spark, d, lnk))
+
+
+@query
+def lcu_context(spark, d):
+    """Newest cumulative-update package per host (month id, name, install time)."""
+    lnk = dv.link(spark, d)
+    return bl.lcu_context(dv.packages(spark, d, lnk), dv.baselines(spark, d, lnk))
+
+
+@query
+def product_name_hint(spark, d):
+    """J10 + J11: best feed product name per host within six months of its latest month."""
+    lnk = dv.link(spark, d)
+    b = dv.baselines(spark, d, lnk)
+    hosts = b.select("scan_id", F.initcap(pf.os_family("OsName")).alias("family"),
+                     F.col("DisplayVersion").alias("display_version"),
+                     pf.feed_arch_token("Architecture").alias("arch_token"),
+                     parse_month_id("MsrcLatestMonthId").alias("latest_month"))
+    products = dv.product_rows(spark, d, lnk).select(F.col("month_start").alias("month"),
+                                                      F.col("full_product_name").alias("product_name"))
+    return bl.resolve_product(hosts, products)

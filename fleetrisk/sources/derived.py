@@ -186,3 +186,55 @@ def targets(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("windows 1"), (F.col("p_size") % 2).cast("string")).alias("windows_gen"),
         F.lit("22h2").alias("display_version"), F.lit("19000").alias("build_major"),
         F.lit("x64").alias("catalog_arch"))
+
+
+# fixed values: fixture product, hot-fix and package rules
+PRODUCT_ARCHES = ("x64", "ARM64", "32-bit")
+PACKAGE_KEY = "~31bf3856ad364e35~amd64~~"
+
+
+def product_rows(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -> DataFrame:
+    """Affected-software rows (month, product, KB articles, CVE, superseded KB) per line item.
+
+    Product names vary by part: family from the part key, a version for three
+    of four parts (generic name otherwise), and an architecture token.
+    """
+    lnk = lnk if lnk is not None else link(spark, folder)
+    part = read_table(spark, folder, "part").select("p_partkey", "p_size")
+    j = lnk.join(part, lnk.partkey == part.p_partkey)
+    p = F.col("partkey")
+    arch = F.get(F.array(*[F.lit(a) for a in PRODUCT_ARCHES]), (p % 3).cast("int"))
+    arch_text = F.when(arch == "32-bit", F.lit(" for 32-bit Systems")).otherwise(
+        F.concat(F.lit(" for "), arch, F.lit("-based Systems")))
+    version = F.when(p % 4 != 0, F.concat(F.lit(" Version "),
+                                          F.get(F.array(*[F.lit(v) for v in DISPLAY_VERSIONS]), (p % 3).cast("int"))))
+    name = F.concat(F.lit("Windows 1"), (p % 2).cast("string"), F.coalesce(version, F.lit("")), arch_text)
+    target = p - (F.lit(1) + F.col("p_size") % 5)
+    sup = F.when((p % 3 != 0) & (target >= 0), (F.lit(KB_BASE) + target).cast("string"))
+    return j.select("scan_id", "month", F.date_trunc("month", "l_shipdate").cast("date").alias("month_start"),
+                    name.alias("full_product_name"),
+                    F.array((F.lit(KB_BASE) + p).cast("string")).alias("kb_articles"),
+                    F.col("cve_id").alias("cve"), sup.alias("supercedence"))
+
+
+def hotfixes(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -> DataFrame:
+    """Hot-fix inventory rows: installed line items of even parts."""
+    lnk = lnk if lnk is not None else link(spark, folder)
+    inst = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
+    return lnk.where(inst & (F.col("partkey") % 2 == 0)).select(
+        "scan_id", F.lower(F.col("kb_id")).alias("hotfix_id"))
+
+
+def packages(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -> DataFrame:
+    """Package inventory rows: installed line items of odd parts; parts divisible by 5
+    are cumulative (RollupFix) packages whose KB is only in the description."""
+    lnk = lnk if lnk is not None else link(spark, folder)
+    inst = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
+    p = F.col("partkey")
+    rollup = p % 5 == 0
+    name = F.when(rollup, F.concat(F.lit("Package_for_RollupFix" + PACKAGE_KEY), (F.lit(19000) + p).cast("string"), F.lit(".1")))\
+        .otherwise(F.concat(F.lit("Package_for_"), F.col("kb_id"), F.lit(PACKAGE_KEY), F.lit("10.0.1.1")))
+    desc = F.when(rollup, F.concat(F.lit("Security Update ("), F.col("kb_id"), F.lit(")"))).otherwise(F.lit("Update"))
+    return lnk.where(inst & (p % 2 == 1)).select(
+        "scan_id", name.alias("package_name"), desc.alias("description"),
+        F.col("l_shipdate").cast("timestamp").alias("install_time"))
