@@ -463,3 +463,24 @@ ranked AS (
 SELECT scan_id, product_name AS product_name_hint, match_rank, strftime(month, '%Y-%b') AS resolved_month_id FROM (
   SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY month DESC, match_rank, product_name) AS r FROM ranked) t
 WHERE r = 1"""
+
+
+# ---------------------------------------------------------------- advisories
+
+_ADV = """
+SELECT 'CVE-2024-' || lpad(CAST(o_orderkey % 2000 AS VARCHAR), 5, '0') AS cve_id,
+  CASE WHEN s >= 9.0 THEN 'Critical' WHEN s >= 7.0 THEN 'Important' WHEN s >= 4.0 THEN 'Moderate' ELSE 'Low' END AS severity,
+  s AS base_score,
+  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE
+    'CVSS:3.1/AV:' || substr('NALP', CAST(1 + o_orderkey % 4 AS INTEGER), 1)
+    || '/AC:L/PR:' || substr('NLH', CAST(1 + o_orderkey % 3 AS INTEGER), 1)
+    || '/UI:' || substr('NR', CAST(1 + o_orderkey % 2 AS INTEGER), 1)
+    || '/S:U/C:' || substr('HLN', CAST(1 + o_orderkey % 3 AS INTEGER), 1) || '/I:N/A:N' END AS vector,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS published_date,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'Publicly Disclosed:No;Exploited:Yes'
+       ELSE 'Publicly Disclosed:No;Exploited:No' END AS exploitation
+FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 AS DOUBLE) / 10 AS s,
+             row_number() OVER (PARTITION BY o_orderkey % 2000 ORDER BY {key} DESC, o_orderkey DESC) AS rn
+      FROM orders) t WHERE rn = 1"""
+ORACLE["advisory_metadata"] = _ADV.format(key="date_trunc('month', o_orderdate)")
+ORACLE["advisory_metadata_text_order"] = _ADV.format(key="strftime(o_orderdate, '%Y-%b')")

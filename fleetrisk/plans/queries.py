@@ -453,3 +453,20 @@ def product_name_hint(spark, d):
     products = dv.product_rows(spark, d, lnk).select(F.col("month_start").alias("month"),
                                                       F.col("full_product_name").alias("product_name"))
     return bl.resolve_product(hosts, products)
+
+
+# ---------------------------------------------------------------- advisories
+
+from fleetrisk.sources import advisory as adv  # noqa: E402
+
+
+@query
+def advisory_metadata(spark, d):
+    """S9 + G10 + G11: CVE metadata from advisory rows, last month wins (chronological)."""
+    return adv.last_wins(adv.metadata_rows(dv.advisory_vulnerabilities(spark, d)), order="time")
+
+
+@query
+def advisory_metadata_text_order(spark, d):
+    """G11 parity mode: last month wins in text order of month ids."""
+    return adv.last_wins(adv.metadata_rows(dv.advisory_vulnerabilities(spark, d)), order="text")

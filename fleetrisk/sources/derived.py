@@ -238,3 +238,24 @@ def packages(spark: SparkSession, folder: str, lnk: DataFrame | None = None) ->
     return lnk.where(inst & (p % 2 == 1)).select(
         "scan_id", name.alias("package_name"), desc.alias("description"),
         F.col("l_shipdate").cast("timestamp").alias("install_time"))
+
+
+def advisory_vulnerabilities(spark: SparkSession, folder: str) -> DataFrame:
+    """Advisory vulnerability rows (month, pos, v) as they come out of exploded month
+    documents: one per order, CVE of its bucket (odd orders in lower case), one CVSS
+    set, a severity threat (type 3), an exploitation threat (type 1), one revision."""
+    o = read_table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    k = F.col("o_orderkey")
+    score = (F.floor(F.col("o_totalprice")).cast("bigint") % 101).cast("double") / 10
+    vector = F.when(k % VECTOR_NULL_MODULUS != 0, F.concat(
+        F.lit("CVSS:3.1/AV:"), _pick(AV_LETTERS, k % 4), F.lit("/AC:L/PR:"), _pick(PR_LETTERS, k % 3),
+        F.lit("/UI:"), _pick(UI_LETTERS, k % 2), F.lit("/S:U/C:"), _pick(C_LETTERS, k % 3), F.lit("/I:N/A:N")))
+    cve = F.when(k % 2 == 1, F.lower(cve_of(k))).otherwise(cve_of(k))
+    expl = F.when(F.col("o_orderpriority") == URGENT_PRIORITY, F.lit(EXPLOITED_TEXT)).otherwise(F.lit(NOT_EXPLOITED_TEXT))
+    threat = lambda t, text: F.struct(F.lit(t).alias("Type"), F.struct(text.alias("Value")).alias("Description"))
+    v = F.struct(
+        cve.alias("CVE"),
+        F.array(F.struct(score.alias("BaseScore"), vector.alias("Vector"))).alias("CVSSScoreSets"),
+        F.array(threat(3, severity_of(score)), threat(1, expl)).alias("Threats"),
+        F.array(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Date"))).alias("RevisionHistory"))
+    return o.select(month_id("o_orderdate").alias("month"), k.alias("pos"), v.alias("v"))
