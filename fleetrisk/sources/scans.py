@@ -21,7 +21,10 @@ SCAN_NAME_TS = r"scan_(\d{8}_\d{6})"
 def read_scans(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
     """All scan documents under ``path`` (recursive), one row per file.
 
-    Files whose top level is not an object land in ``_corrupt_record``.
+    Files whose top level is not an object land in ``_corrupt_record`` and get
+    ``valid = false``. The parsed documents are saved once to the reliable
+    checkpoint folder: Spark refuses plans over raw JSON that read only the
+    corrupt-record column, which filtering on validity would otherwise do.
     Raises when there are no scan files at all.
     """
     df = (spark.read.schema(schemas.SCAN).option("multiLine", True).option("mode", "PERMISSIVE")
@@ -35,8 +38,9 @@ def read_scans(spark: SparkSession, path: str, required: bool = True) -> DataFra
         F.get(parts, F.size(parts) - 2).alias("host"),
         F.coalesce(F.try_to_timestamp(F.when(stamp != "", stamp), F.lit("yyyyMMdd_HHmmss")),
                    F.col("_metadata.file_modification_time")).alias("scan_ts"),
-        name.alias("file_name"))
-    if required and out.select("scan_id").isEmpty():
+        name.alias("file_name"),
+        F.col("_corrupt_record").isNull().alias("valid")).checkpoint(eager=True)
+    if required and out.isEmpty():
         raise FileNotFoundError(f"no scan files found under {path}")
     return out
 
@@ -61,12 +65,12 @@ def kb_entries(scans: DataFrame) -> DataFrame:
 
 
 def installed(scans: DataFrame) -> DataFrame:
-    i = scans.select("scan_id", normalise_id(F.explode("InstalledKbs")).alias("kb_id"))
+    i = scans.select("scan_id", F.explode("InstalledKbs").alias("kb_id")).withColumn("kb_id", normalise_id("kb_id"))
     return i.where(F.col("kb_id") != "").distinct()
 
 
 def stored_missing(scans: DataFrame) -> DataFrame:
-    m = scans.select("scan_id", normalise_id(F.explode("MissingKbs")).alias("kb_id"))
+    m = scans.select("scan_id", F.explode("MissingKbs").alias("kb_id")).withColumn("kb_id", normalise_id("kb_id"))
     return m.where(F.col("kb_id") != "").distinct()
 
 
