@@ -45,19 +45,23 @@ _ISO_CORE = (r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?)
 
 
 def parse_published(c) -> Column:
-    """ISO date-time text -> timestamp read as UTC wall clock.
+    """ISO date-time text -> wall-clock timestamp without zone (timestamp_ntz).
 
     'Z' is dropped and a numeric offset is discarded, not applied; anything
     else that is not ISO (e.g. '/Date(ms)/') -> null.
     """
     text = F.regexp_replace(_col(c).cast("string"), "Z", "")
     core = F.regexp_extract(text, _ISO_CORE, 1)
-    return F.when(core != "", F.try_to_timestamp(core))
+    return F.when(core != "", core.try_cast("timestamp_ntz"))
 
 
 def patch_age_days(published, as_of) -> Column:
-    """Whole days from publication to ``as_of``, floored (negative for future dates)."""
+    """Whole days from publication to ``as_of``, floored (negative for future dates).
+
+    Both ends are zone-less wall-clock values, so the session time zone (and its
+    daylight-saving shifts) cannot move a day boundary.
+    """
     ts = parse_published(published)
-    as_of_col = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
-    micros = F.unix_micros(as_of_col) - F.unix_micros(ts)
+    as_of_col = (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", ts, as_of_col)
     return F.floor(micros / F.lit(86_400_000_000)).cast("int")

@@ -79,10 +79,13 @@ def resolve_product(hosts: DataFrame, products: DataFrame, key: str = "scan_id")
     case-insensitive), 3 family + architecture, 4 family only. The most recent
     month with any candidate wins, then the rank, then the name alphabetically.
     """
+    profile = ["family", "display_version", "arch_token", "latest_month"]
     prod = (products.where(F.col("product_name").startswith("Windows "))
             .select("month", "product_name").distinct()
             .withColumn("_family", F.lower(F.substring_index(F.col("product_name"), " ", 2))))
-    h = hosts.withColumn("_family", F.lower(F.col("family")))
+    # resolve once per distinct host profile, not per host: the candidate fan-out is
+    # then bounded by (#profiles x #product names), whatever the fleet size
+    h = hosts.select(*profile).distinct().withColumn("_family", F.lower(F.col("family")))
     j = h.join(prod, "_family")
     age = F.floor(F.months_between(F.col("latest_month"), F.col("month")))
     j = j.where((age >= 0) & (age < LOOKBACK_MONTHS))
@@ -97,7 +100,10 @@ def resolve_product(hosts: DataFrame, products: DataFrame, key: str = "scan_id")
             .when(name == F.concat(fam, suffix), RANK_GENERIC)
             .when(arch_hit, RANK_FAMILY_ARCH).otherwise(RANK_FAMILY))
     j = j.withColumn("match_rank", rank)
-    w = Window.partitionBy(key).orderBy(F.col("month").desc(), "match_rank", "product_name")
-    best = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-    return best.select(key, F.col("product_name").alias("product_name_hint"), "match_rank",
-                       month_id("month").alias("resolved_month_id"))
+    order = F.struct((-F.unix_date("month")).alias("m"), F.col("match_rank"), F.col("product_name"))
+    best = j.groupBy(*profile).agg(F.min_by(F.struct("product_name", "match_rank", "month"), order).alias("_b"))
+    best = best.select(*[F.col(c).alias(f"_p_{c}") for c in profile],
+                       F.col("_b.product_name").alias("product_name_hint"),
+                       F.col("_b.match_rank").alias("match_rank"), month_id("_b.month").alias("resolved_month_id"))
+    cond = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in profile]
+    return hosts.join(best, cond).select(key, "product_name_hint", "match_rank", "resolved_month_id")

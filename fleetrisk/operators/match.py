@@ -86,11 +86,14 @@ def best_candidates(targets: DataFrame, scored: DataFrame, keys=("kb_id",)) -> D
     rejected as ambiguous below the confidence threshold, or a reason when none."""
     keys = list(keys)
     accepted = scored.where(F.col("score") >= 0)
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("candidate_pos"))
-    ranked = accepted.withColumn("_r", F.row_number().over(w))
-    counts = accepted.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates_matching"))
-    best = ranked.where(F.col("_r") == 1).select(*keys, "update_id", "title", "score")
-    out = targets.select(*keys).join(best, keys, "left").join(counts, keys, "left")
+    # top-1 as an aggregate (highest score, then earliest catalog position): partial
+    # aggregation before the shuffle, so a target with very many candidates stays cheap
+    best = accepted.groupBy(*keys).agg(
+        F.max_by(F.struct("update_id", "title", "score"),
+                 F.struct(F.col("score"), (-F.col("candidate_pos")).alias("p"))).alias("_b"),
+        F.count(F.lit(1)).alias("candidates_matching"))
+    best = best.select(*keys, "_b.*", "candidates_matching")
+    out = targets.select(*keys).join(best, keys, "left")
     confident = F.col("score") >= MIN_CONFIDENCE_SCORE
     return out.select(
         *keys,

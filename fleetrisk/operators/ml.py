@@ -65,7 +65,8 @@ def preprocessing(scale: bool, categorical=CATEGORICAL, numeric=NUMERIC, out: st
     stages = [
         Imputer(strategy="median", inputCols=list(numeric), outputCols=imp),
         StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
+        # the indexer sends unseen / null to its last index; dropLast turns that slot into all zeros
+        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
     ]
     if scale:
         stages += [VectorAssembler(inputCols=imp, outputCol="numeric__vec"),

@@ -470,3 +470,21 @@ def advisory_metadata(spark, d):
 def advisory_metadata_text_order(spark, d):
     """G11 parity mode: last month wins in text order of month ids."""
     return adv.last_wins(adv.metadata_rows(dv.advisory_vulnerabilities(spark, d)), order="text")
+
+
+@query
+def ml_run_summary(spark, d):
+    """C4 + M15: one model run, metrics of the three stages in a long table."""
+    frame = _model_input(spark, d)
+    train, test = ml.hash_split(frame)
+    compacted = ml.compact(train, ml.LABELS).checkpoint(eager=True)
+    reg = ml.fit_regression(compacted)
+    cls = ml.fit_classification(compacted)
+    clu = ml.fit_clustering(compacted)
+    sizes = ml.cluster_profile(clu.transform(test)).select(
+        F.concat(F.lit("cluster_"), F.col("cluster").cast("string"), F.lit("_size")).alias("metric"),
+        F.col("size").cast("double").alias("value"))
+    return ml.run_summary("run", {
+        "regression": ml.regression_metrics(reg.transform(test), "risk_score", "ml_risk"),
+        "classification": ml.classification_metrics(cls.transform(test), "priority_label", "ml_priority"),
+        "clustering": sizes})

@@ -38,7 +38,9 @@ def cve_of(orderkey) -> Column:
 
 
 def link(spark: SparkSession, folder: str) -> DataFrame:
-    """(scan_id, partkey, kb_id, cve_id, month, l_returnflag, l_linestatus, l_shipdate) per line item."""
+    """One row per line item: numeric keys (scan_id, partkey, bucket, month_start) plus
+    the formatted ids (kb_id, cve_id, month) as lazy projections, so consumers that
+    aggregate on the numeric keys never format strings per line item."""
     li = read_table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_shipdate", "l_returnflag", "l_linestatus")
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey")
@@ -48,6 +50,8 @@ def link(spark: SparkSession, folder: str) -> DataFrame:
     return j.select(
         F.col("c_nationkey").alias("scan_id"),
         F.col("l_partkey").alias("partkey"),
+        (F.col("o_orderkey") % CVE_BUCKETS).alias("bucket"),
+        F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month_start"),
         kb_of(F.col("l_partkey")).alias("kb_id"),
         cve_of(F.col("o_orderkey")).alias("cve_id"),
         month_id("l_shipdate").alias("month"),
@@ -55,6 +59,10 @@ def link(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cve_of_bucket(bucket) -> Column:
+    return F.concat(F.lit(CVE_PREFIX), F.lpad(bucket.cast("string"), 5, "0"))
+
+
 def supersedes_of(partkey, size) -> Column:
     """Edge part -> part-(1+size%5) for parts not divisible by 3 with a non-negative target."""
     target = partkey - (F.lit(1) + size % 5)
@@ -66,8 +74,11 @@ def kb_entries(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -
     """kb_entry(scan_id, kb_id, months, cves, supersedes, update_type): the expected KBs per host."""
     lnk = lnk if lnk is not None else link(spark, folder)
     grouped = lnk.groupBy("scan_id", "partkey").agg(
-        F.array_sort(F.collect_set("cve_id")).alias("cves"),
-        F.array_sort(F.collect_set("month")).alias("months"))
+        F.collect_set("bucket").alias("_buckets"), F.collect_set("month_start").alias("_months"))
+    grouped = grouped.select(
+        "scan_id", "partkey",
+        F.array_sort(F.transform("_buckets", cve_of_bucket)).alias("cves"),
+        F.array_sort(F.transform("_months", lambda m: month_id(m))).alias("months"))
     part = read_table(spark, folder, "part").select("p_partkey", "p_size")
     j = grouped.join(part, grouped.partkey == part.p_partkey)
     sup = supersedes_of(F.col("p_partkey"), F.col("p_size"))
@@ -80,7 +91,8 @@ def installed(spark: SparkSession, folder: str, lnk: DataFrame | None = None) ->
     """installed(scan_id, kb_id): expected KBs whose line items are returned-N / status-F."""
     lnk = lnk if lnk is not None else link(spark, folder)
     return (lnk.where((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"))
-            .select("scan_id", "kb_id").distinct())
+            .select("scan_id", "partkey").distinct()
+            .select("scan_id", kb_of(F.col("partkey")).alias("kb_id")))
 
 
 def _pick(letters: str, idx: Column) -> Column:
@@ -125,7 +137,7 @@ def severity_of(score: Column) -> Column:
 
 
 def as_of() -> Column:
-    return F.lit(AS_OF).cast("timestamp")
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 # fixed values: fixture host and catalog rules

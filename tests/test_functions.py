@@ -110,3 +110,16 @@ def test_platform(spark):
     df = df.withColumn("scan_id", F.monotonically_increasing_id())
     got = rows(platform.constraints(df).orderBy("scan_id"), "windows_gen", "build_major", "catalog_arch", "display_version")
     assert got == [("windows 11", "26200", "x64", "25H2"), ("windows 10", "19045", "x86", "22H2"), ("", "", "arm64", "")]
+
+
+def test_patch_age_ignores_session_time_zone(spark):
+    df = spark.createDataFrame([("2001-03-01T00:00:00Z",), ("2001-08-31T23:30:00",), ("2000-11-05",)], "p string")
+    as_of = F.lit("2001-09-01 00:00:00")
+    expected = [184, 0, 300]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/Los_Angeles", "Europe/Warsaw"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert [r[0] for r in df.select(cvss.patch_age_days(F.col("p"), as_of)).collect()] == expected, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
