@@ -8,6 +8,7 @@ plain aggregates; splits are hash-based so they do not depend on partitioning.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -41,6 +42,7 @@ NUMERIC = ("cvss_score", "patch_age_days", "exploited_flag")
 NOT_FEATURES = ("scan_id", "kb_id", "cve_id", "month", "published_date", "exploitation", "policy_risk",
                 "policy_priority", "policy_drivers", "top_driver", "risk_score", "priority_label")
 ROW_KEY = ("kb_id", "cve_id", "month")
+FIT_THREADS = 4
 
 
 def model_frame(df: DataFrame) -> DataFrame:
@@ -173,17 +175,21 @@ def fit_clustering(train: DataFrame, k: int = CLUSTERS, restarts: int = CLUSTER_
     prep = Pipeline(stages=preprocessing(scale=True)).fit(rows)
     feats = prep.transform(rows).select("features", "row_weight").cache()
     try:
-        best = None
-        for i in range(restarts):
-            m = KMeans(k=k, seed=SEED + i, featuresCol="features", predictionCol="cluster",
-                       weightCol="row_weight").fit(feats)
-            if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                best = m
+        fits = parallel_fits([KMeans(k=k, seed=SEED + i, featuresCol="features", predictionCol="cluster",
+                                     weightCol="row_weight") for i in range(restarts)], feats)
+        best = min(fits, key=lambda m: (m.summary.trainingCost, fits.index(m)))
     finally:
         feats.unpersist()
     return PipelineModel(stages=[prep, best])
 
 
+def parallel_fits(estimators: list, data: DataFrame, threads: int = FIT_THREADS) -> list:
+    """Fit independent estimators as concurrent Spark jobs (driver threads submit,
+    executors do the work); results keep the estimators' order."""
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(estimators)))) as pool:
+        return list(pool.map(lambda est: est.fit(data), estimators))
+
+
 def elbow(train: DataFrame, max_k: int = ELBOW_MAX_K) -> DataFrame:
     """(k, wcss) for k = 1..max_k; k = 1 is the total sum of squares from an aggregate."""
     spark = train.sparkSession
@@ -197,9 +203,9 @@ def elbow(train: DataFrame, max_k: int = ELBOW_MAX_K) -> DataFrame:
                          F.lit(0.0), lambda acc, x: acc + x)
         total = feats.agg(F.sum(F.col("row_weight") * sq)).first()[0] or 0.0
         rows = [(1, float(total))]
-        for k in range(2, max_k + 1):
-            m = KMeans(k=k, seed=SEED, featuresCol="features", weightCol="row_weight").fit(feats)
-            rows.append((k, float(m.summary.trainingCost)))
+        fits = parallel_fits([KMeans(k=k, seed=SEED, featuresCol="features", weightCol="row_weight")
+                              for k in range(2, max_k + 1)], feats)
+        rows += [(k, float(m.summary.trainingCost)) for k, m in zip(range(2, max_k + 1), fits)]
     finally:
         feats.unpersist()
     return spark.createDataFrame(rows, "k int, wcss double")

@@ -484,3 +484,43 @@ FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 AS DOUBLE) / 10 A
       FROM orders) t WHERE rn = 1"""
 ORACLE["advisory_metadata"] = _ADV.format(key="date_trunc('month', o_orderdate)")
 ORACLE["advisory_metadata_text_order"] = _ADV.format(key="strftime(o_orderdate, '%Y-%b')")
+
+
+# ---------------------------------------------------------------- report lines
+
+ORACLE["report_lines"] = FLEET + """, summ AS (
+  SELECT scan_id, count(*) AS kb_count, CAST(sum(cve_count) AS BIGINT) AS cves_reviewed, max(policy_risk) AS hi,
+    CASE max(CASE policy_priority WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END)
+      WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' ELSE 'Unknown' END AS hp
+  FROM rt_ranked GROUP BY scan_id),
+fixed(section, k1, k2, line) AS (VALUES
+  (0, 0, 0, '# Patch Risk Review'), (0, 0, 1, ''),
+  (1, 0, 0, '## Runtime Summary'), (1, 99, 0, ''),
+  (4, 0, 0, '## Ranked Remediation'), (4, 0, 1, ''),
+  (4, 0, 2, '| Rank | KB | Policy Risk | ML Risk | Priority | ML Priority | Cluster | CVEs | Top Driver |'),
+  (4, 0, 3, '|---:|---|---:|---:|---|---|---:|---:|---|'), (4, 1099511627776, 0, ''),
+  (5, 0, 0, '## Review Drivers'), (5, 0, 1, ''), (5, 1099511627776, 0, ''),
+  (6, 0, 0, '## Ranking Review'), (6, 0, 1, '')),
+cves AS (
+  SELECT v.*, r.rank, row_number() OVER (PARTITION BY v.scan_id, v.kb_id ORDER BY v.policy_risk DESC, v.cve_id, v.month) AS p
+  FROM rt_valid v JOIN rt_ranked r ON r.scan_id = v.scan_id AND r.kb_id = v.kb_id),
+lines AS (
+  SELECT s.scan_id, f.section, f.k1, f.k2, 0 AS k3, f.line FROM summ s, fixed f
+  UNION ALL SELECT scan_id, 1, 1, 0, 0, '- Missing KBs reviewed: ' || CAST(kb_count AS VARCHAR) FROM summ
+  UNION ALL SELECT scan_id, 1, 2, 0, 0, '- CVEs reviewed: ' || CAST(cves_reviewed AS VARCHAR) FROM summ
+  UNION ALL SELECT scan_id, 1, 3, 0, 0, '- Highest policy risk: ' || printf('%.2f', hi) FROM summ
+  UNION ALL SELECT scan_id, 1, 4, 0, 0, '- Highest ML risk: 0.00' FROM summ
+  UNION ALL SELECT scan_id, 1, 5, 0, 0, '- Highest priority: ' || hp FROM summ
+  UNION ALL SELECT scan_id, 4, rank, 0, 0, '| ' || CAST(rank AS VARCHAR) || ' | ' || kb_id || ' | ' || printf('%.2f', policy_risk)
+      || ' | 0.00 | ' || policy_priority || ' | Unknown | 0 | ' || CAST(cve_count AS VARCHAR) || ' | ' || top_driver || ' |' FROM rt_ranked
+  UNION ALL SELECT scan_id, 5, rank, 0, 0, '- **' || kb_id || '**: ' || review_reason FROM rt_ranked
+  UNION ALL SELECT scan_id, 6, rank, 0, 0, '### ' || kb_id FROM rt_ranked
+  UNION ALL SELECT scan_id, 6, rank, 1, 0, '' FROM rt_ranked
+  UNION ALL SELECT scan_id, 6, rank, 2, 0,
+      '| CVE | Policy Risk | ML Risk | Policy Priority | ML Priority | Cluster | Driver | Policy Drivers |' FROM rt_ranked
+  UNION ALL SELECT scan_id, 6, rank, 3, 0, '|---|---:|---:|---|---|---:|---|---|' FROM rt_ranked
+  UNION ALL SELECT scan_id, 6, rank, 4, p, '| ' || cve_id || ' | ' || printf('%.2f', policy_risk) || ' | 0.00 | '
+      || policy_priority || ' | Unknown | 0 | ' || top_driver || ' | ' || policy_drivers || ' |' FROM cves
+  UNION ALL SELECT scan_id, 6, rank, 5, 0, '' FROM rt_ranked)
+SELECT CAST(scan_id AS VARCHAR) AS scan_id, CAST(section AS INTEGER) AS section, CAST(k1 AS BIGINT) AS k1,
+       CAST(k2 AS INTEGER) AS k2, CAST(k3 AS BIGINT) AS k3, line FROM lines"""
