@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetrisk.functions.ids import is_cve_id, normalise_id, strip_ws
+from fleetrisk.functions.ids import CVE_PATTERN, is_cve_id, normalise_id, strip_ws
 from fleetrisk.operators.policy import long_metrics
 
 TRAINING_KEYS = ("kb_id", "cve_id", "month")
@@ -36,7 +36,8 @@ def flatten(kb_entry: DataFrame, missing: DataFrame | None = None, scan_col: str
         e = restrict_to_missing(e, missing, scan_col)
     e = e.where(_complete())
     cves = e.select(scan_col, "kb_id", "months", F.explode("cves").alias("cve_raw"))
-    cves = cves.select(scan_col, "kb_id", "months", normalise_id("cve_raw").alias("cve_id")).where(is_cve_id("cve_id"))
+    cves = (cves.select(scan_col, "kb_id", "months", normalise_id("cve_raw").alias("cve_id"))
+            .where(F.col("cve_id").rlike(CVE_PATTERN)))  # already normalised: one regex per CVE
     rows = cves.select(scan_col, "kb_id", "cve_id", F.explode("months").alias("month"))
     return rows.withColumn("month", strip_ws("month"))
 

@@ -129,17 +129,22 @@ DEDUP_KEYS = ("kb_id", "cve_id", "month")
 
 
 def validate(df: DataFrame, keys=DEDUP_KEYS, required: dict[str, str] = REQUIRED,
-             assume_unique: bool = False) -> DataFrame:
+             assume_unique: bool = False, ids_checked: bool = False) -> DataFrame:
     """Normalise ids, keep CVE rows, drop rows missing a required field, dedupe on keys.
 
     ``assume_unique`` skips the final dedupe when the caller guarantees the rows
     are already distinct on ``keys`` (e.g. deduplicated flat rows joined
     many-to-one to a dimension keyed by cve_id). The result is the same; the
     dedupe would otherwise be a sort-based aggregate over every wide row, since
-    its keep-first buffers are variable-length.
+    its keep-first buffers are variable-length. ``ids_checked`` skips the id
+    normalisation and CVE filter for rows that come straight from ``flatten``
+    (which already normalised ids and dropped non-CVE ids).
     """
-    out = df.withColumns({"cve_id": normalise_id("cve_id"), "kb_id": normalise_id("kb_id")})
-    out = ensure_columns(out.where(is_cve_id("cve_id")), required)
+    out = df
+    if not ids_checked:
+        out = out.withColumns({"cve_id": normalise_id("cve_id"), "kb_id": normalise_id("kb_id")})
+        out = out.where(is_cve_id("cve_id"))
+    out = ensure_columns(out, required)
     out = out.dropna(subset=list(required))
     return out if assume_unique else out.dropDuplicates(list(keys))
 

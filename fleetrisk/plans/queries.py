@@ -43,7 +43,7 @@ def training_enriched(spark: SparkSession, d: str) -> DataFrame:
 
 def training_validated(spark: SparkSession, d: str) -> DataFrame:
     # flat rows are distinct on (kb, cve, month) and the dimension join is many-to-one
-    return po.validate(po.label(training_enriched(spark, d)), assume_unique=True)
+    return po.validate(po.label(training_enriched(spark, d)), assume_unique=True, ids_checked=True)
 
 
 def _drivers_text(df: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def runtime_validated(spark: SparkSession, d: str) -> DataFrame:
     entries, c = fleet_correlation(spark, d)
     flat = fl.dedupe(fl.flatten(entries, c["missing"]), fl.RUNTIME_KEYS)
     enriched_rows = en.enrich(flat, cve_dim(spark, d), bound_rows=dv.CVE_BUCKETS, scored=True)
-    return po.validate(enriched_rows, keys=fl.RUNTIME_KEYS, assume_unique=True)
+    return po.validate(enriched_rows, keys=fl.RUNTIME_KEYS, assume_unique=True, ids_checked=True)
 
 
 def runtime_ranking(spark: SparkSession, d: str) -> DataFrame:
