@@ -102,6 +102,14 @@ def test_closure_matches_bfs_on_random_graphs(spark):
         for n in rnd.sample(nodes, 5):
             roots.add((scan, n))
     assert reach(spark, sorted(edges), sorted(roots)) == bfs(edges, roots)
+    # present + missing covers expected, and they are disjoint
+    data = [(s, k, [], ["CVE-2024-0001"], sorted({b for (s2, a, b) in edges if s2 == s and a == k}), None)
+            for s in ("s1", "s2", "s3") for k in [f"K{i}" for i in range(30)]]
+    c = correlate.correlate(entries(spark, data), roots_df(spark, sorted(roots)))
+    expected = {tuple(r) for r in c["expected"].collect()}
+    present = {tuple(r) for r in c["present"].collect()}
+    missing = {tuple(r) for r in c["missing"].collect()}
+    assert expected <= present | missing and not (present & missing)
 
 
 def test_merge_and_product_map(spark):

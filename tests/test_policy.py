@@ -71,3 +71,22 @@ def test_ensure_columns(spark):
     df = spark.createDataFrame([(1,)], "a int")
     out = policy.ensure_columns(df, {"a": "int", "attack_vector": "string"})
     assert out.columns == ["a", "attack_vector"] and out.first()["attack_vector"] is None
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+metric = st.sampled_from([None, "N", "n", "L", "H", "h", "R", " N "])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.floats(0, 10).map(lambda x: round(x, 1))),
+                          st.sampled_from([None, "Exploited:Yes", "Exploited:No"]), metric, metric, metric,
+                          metric, metric, metric, st.one_of(st.none(), st.integers(-400, 400))),
+                min_size=1, max_size=20))
+def test_score_bounds(spark, rows):
+    out = policy.apply_policy(spark.createDataFrame(rows, COLS)).collect()
+    for r in out:
+        base = r.cvss_score or 0.0
+        assert base - 1e-9 <= r.policy_risk <= base + 6.5 + 1e-9
+        assert r.policy_priority in ("High", "Medium", "Low") and len(r.policy_drivers) >= 1
