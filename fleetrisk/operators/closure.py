@@ -5,19 +5,23 @@ cycle, so the fixpoint is a driver loop of DataFrame jobs: each round joins the
 frontier to the edge table, drops pairs already reached (anti join) and keeps
 the new pairs. Every round's result is checkpointed to the reliable checkpoint
 folder, which cuts lineage and lets a lost executor recompute only one round.
-The driver only sees one boolean per round.
+The driver only sees one boolean per round. The edge table and the reached
+pairs are also cached hash-partitioned on their join keys, so rounds do not
+re-shuffle them.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.ids import normalise_id
 
 MAX_ROUNDS = 10_000
+MERGE_EVERY = 8
 
 
 def edges_from_entries(kb_entry: DataFrame, scan_col: str = "scan_id") -> DataFrame:
@@ -27,33 +31,68 @@ def edges_from_entries(kb_entry: DataFrame, scan_col: str = "scan_id") -> DataFr
     return e.where((F.col("src") != "") & F.col("dst").isNotNull() & (F.col("dst") != "")).distinct()
 
 
+def _co_partitioned(df: DataFrame, n: int, keys: list[str]) -> tuple[DataFrame, int]:
+    """Hash-partition on ``keys`` into ``n`` parts, cache (memory, spilling to disk),
+    build the cache and return it with its row count.
+
+    A cached scan keeps its hash partitioning once built, so a later join on
+    ``keys`` reads it without a shuffle (a checkpointed frame does not keep it).
+    ``df`` is always a reliable checkpoint, so lost blocks are recomputed from it.
+    """
+    out = df.repartition(n, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    return out, out.count()
+
+
 def closure(edges: DataFrame, roots: DataFrame, scan_col: str = "scan_id",
-            max_rounds: int = MAX_ROUNDS) -> DataFrame:
+            max_rounds: int = MAX_ROUNDS, merge_every: int = MERGE_EVERY) -> DataFrame:
     """All (scan, root_kb, kb_id) with kb reachable from an installed root by >= 1 edge.
 
     Cycle-safe (a pair is expanded once); a root on a cycle reaches itself.
     ``roots`` is (scan_id, kb_id). Rounds = longest shortest path + 1.
+
+    Shuffles per round are proportional to the round's new pairs only: the edge
+    table and the pairs already reached are cached hash-partitioned on their join
+    keys, so the frontier join and the anti joins read them in place. The reached
+    pairs are kept as a few blocks (each round adds one; every ``merge_every``
+    rounds the blocks are merged into one) and the new pairs are anti-joined
+    against each block in turn.
     """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = [scan_col, "root_kb", "kb_id"]
     part = F.col(scan_col)
-    ed = (edges.select(scan_col, F.col("src").alias("kb_id"), "dst").distinct()
-          .repartition(scan_col, "kb_id").checkpoint(eager=True))
+    ed, _ = _co_partitioned(edges.select(scan_col, F.col("src").alias("kb_id"), "dst").distinct()
+                            .checkpoint(eager=True), n, [scan_col, "kb_id"])
+    cached = [ed]
     frontier = (roots.select(scan_col, normalise_id("kb_id").alias("root_kb"))
                 .where(F.col("root_kb") != "").distinct()
                 .withColumn("kb_id", F.col("root_kb")))
     rounds: list[DataFrame] = []
-    for _ in range(max_rounds):
-        step = (frontier.join(ed, [scan_col, "kb_id"])
-                .select(scan_col, "root_kb", F.col("dst").alias("kb_id")).distinct())
-        if rounds:
-            seen = reduce(DataFrame.unionByName, rounds)
-            step = step.join(seen, [scan_col, "root_kb", "kb_id"], "left_anti")
-        step = step.checkpoint(eager=True)
-        if step.isEmpty():
-            break
-        rounds.append(step)
-        frontier = step
-    else:
-        raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
+    blocks: list[DataFrame] = []
+    try:
+        for _ in range(max_rounds):
+            step = (frontier.join(ed, [scan_col, "kb_id"])
+                    .select(scan_col, "root_kb", F.col("dst").alias("kb_id")).distinct())
+            for block in blocks:
+                step = step.join(block, pair, "left_anti")
+            step = step.checkpoint(eager=True)
+            block, new_pairs = _co_partitioned(step, n, pair)  # the build job doubles as the emptiness test
+            cached.append(block)
+            if new_pairs == 0:
+                break
+            rounds.append(step)
+            blocks.append(block)
+            if len(blocks) >= merge_every:
+                # one block from the round checkpoints (one shuffle of the reached pairs)
+                for block in blocks:
+                    block.unpersist()
+                blocks = [_co_partitioned(reduce(DataFrame.unionByName, rounds), n, pair)[0]]
+                cached.append(blocks[0])
+            frontier = step
+        else:
+            raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
+    finally:
+        for c in cached:
+            c.unpersist()
     if not rounds:
         return frontier.limit(0).select(part, "root_kb", "kb_id")
     return reduce(DataFrame.unionByName, rounds)

@@ -20,10 +20,13 @@ UPDATE_TYPES = ("Superseding", "Standalone")
 def merge_entries(batches: DataFrame, scan_col: str = "scan_id") -> DataFrame:
     """Set-union of months / CVEs / superseded KBs per normalised KB over several feed batches."""
     b = batches.withColumn("kb_id", normalise_id("kb_id")).where(F.coalesce(F.col("kb_id"), F.lit("")) != "")
+    # collect_set dedupes identical arrays map-side, so a KB repeated in many batches
+    # buffers its distinct arrays only; finalise_entries sorts every array
+    empty = F.array().cast("array<string>")
     merged = b.groupBy(scan_col, "kb_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("months", F.array().cast("array<string>"))))).alias("months"),
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("cves", F.array().cast("array<string>"))))).alias("cves"),
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("supersedes", F.array().cast("array<string>"))))).alias("supersedes"))
+        F.array_distinct(F.flatten(F.collect_set(F.coalesce("months", empty)))).alias("months"),
+        F.array_distinct(F.flatten(F.collect_set(F.coalesce("cves", empty)))).alias("cves"),
+        F.array_distinct(F.flatten(F.collect_set(F.coalesce("supersedes", empty)))).alias("supersedes"))
     return finalise_entries(merged)
 
 
@@ -53,7 +56,7 @@ def product_kb_map(product_rows: DataFrame, product: str | None = None, scan_col
     out = kb.groupBy(scan_col, "kb_id").agg(
         F.collect_set("month").alias("months"),
         F.collect_set("cve").alias("cves"),
-        F.array_distinct(F.flatten(F.collect_list(
+        F.array_distinct(F.flatten(F.collect_set(
             F.transform(sup, lambda d: F.concat(F.lit("KB"), d))))).alias("supersedes"))
     return finalise_entries(out)
 

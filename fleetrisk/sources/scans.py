@@ -88,7 +88,7 @@ def export_scans(entries: DataFrame, installed_kbs: DataFrame, missing: DataFram
     e = entries.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("kb_id").alias("KB"), F.col("months").alias("Months"), F.col("cves").alias("Cves"),
         F.col("supersedes").alias("Supersedes"), F.col("update_type").alias("UpdateType")))).alias("KbEntries"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("months")))).alias("MonthsWithEntries"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("months")))).alias("MonthsWithEntries"))
     i = installed_kbs.groupBy("scan_id").agg(F.array_sort(F.collect_set("kb_id")).alias("InstalledKbs"))
     m = missing.groupBy("scan_id").agg(F.array_sort(F.collect_set("kb_id")).alias("MissingKbs"))
     r = months_requested.groupBy("scan_id").agg(
