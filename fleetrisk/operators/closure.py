@@ -5,9 +5,9 @@ cycle, so the fixpoint is a driver loop of DataFrame jobs: each round joins the
 frontier to the edge table, drops pairs already reached (anti join) and keeps
 the new pairs. Every round's result is checkpointed to the reliable checkpoint
 folder, which cuts lineage and lets a lost executor recompute only one round.
-The driver only sees one boolean per round. The edge table and the reached
-pairs are also cached hash-partitioned on their join keys, so rounds do not
-re-shuffle them.
+The driver only sees one row count per round. Once the edge table and the
+reached pairs are too large to broadcast, they are also cached hash-partitioned
+on their join keys, so rounds do not re-shuffle them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.ids import normalise_id
+from fleetrisk.operators.joins import BROADCAST_ROW_LIMIT
 
 MAX_ROUNDS = 10_000
 MERGE_EVERY = 8
@@ -44,49 +45,74 @@ def _co_partitioned(df: DataFrame, n: int, keys: list[str]) -> tuple[DataFrame,
 
 
 def closure(edges: DataFrame, roots: DataFrame, scan_col: str = "scan_id",
-            max_rounds: int = MAX_ROUNDS, merge_every: int = MERGE_EVERY) -> DataFrame:
+            max_rounds: int = MAX_ROUNDS, merge_every: int = MERGE_EVERY,
+            co_partition_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """All (scan, root_kb, kb_id) with kb reachable from an installed root by >= 1 edge.
 
     Cycle-safe (a pair is expanded once); a root on a cycle reaches itself.
     ``roots`` is (scan_id, kb_id). Rounds = longest shortest path + 1.
 
-    Shuffles per round are proportional to the round's new pairs only: the edge
-    table and the pairs already reached are cached hash-partitioned on their join
-    keys, so the frontier join and the anti joins read them in place. The reached
-    pairs are kept as a few blocks (each round adds one; every ``merge_every``
-    rounds the blocks are merged into one) and the new pairs are anti-joined
-    against each block in turn.
+    While the edge table and the pairs reached so far hold at most
+    ``co_partition_rows`` rows, they are plain checkpoints that AQE broadcasts
+    into each round's joins. Beyond that, a broadcast is ruled out and a plain
+    checkpoint would be re-shuffled by every round, so both are laid out once as
+    caches hash-partitioned on their join keys: the frontier join and the anti
+    joins then read them in place and a round shuffles only its new pairs. The
+    reached pairs are kept as a few blocks (one per round, merged into one every
+    ``merge_every`` rounds) and the new pairs are anti-joined against each.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = [scan_col, "root_kb", "kb_id"]
     part = F.col(scan_col)
-    ed, _ = _co_partitioned(edges.select(scan_col, F.col("src").alias("kb_id"), "dst").distinct()
-                            .checkpoint(eager=True), n, [scan_col, "kb_id"])
-    cached = [ed]
+    ed_checkpoint = edges.select(scan_col, F.col("src").alias("kb_id"), "dst").distinct().checkpoint(eager=True)
+    rows = ed_checkpoint.count()
+    ed = ed_checkpoint
     frontier = (roots.select(scan_col, normalise_id("kb_id").alias("root_kb"))
                 .where(F.col("root_kb") != "").distinct()
                 .withColumn("kb_id", F.col("root_kb")))
     rounds: list[DataFrame] = []
-    blocks: list[DataFrame] = []
+    blocks: list[DataFrame] = []  # co-partitioned reached pairs; empty until the switch
+    cached: list[DataFrame] = []
+    co_partitioned = False
+
+    def co_partition() -> None:
+        nonlocal ed, blocks, co_partitioned
+        ed = _co_partitioned(ed_checkpoint, n, [scan_col, "kb_id"])[0]
+        blocks = [_co_partitioned(reduce(DataFrame.unionByName, rounds), n, pair)[0]] if rounds else []
+        cached.extend([ed] + blocks)
+        co_partitioned = True
+
     try:
+        if rows > co_partition_rows:
+            co_partition()
         for _ in range(max_rounds):
             step = (frontier.join(ed, [scan_col, "kb_id"])
                     .select(scan_col, "root_kb", F.col("dst").alias("kb_id")).distinct())
-            for block in blocks:
-                step = step.join(block, pair, "left_anti")
+            if co_partitioned:
+                for block in blocks:
+                    step = step.join(block, pair, "left_anti")
+            elif rounds:
+                step = step.join(reduce(DataFrame.unionByName, rounds), pair, "left_anti")
             step = step.checkpoint(eager=True)
-            block, new_pairs = _co_partitioned(step, n, pair)  # the build job doubles as the emptiness test
-            cached.append(block)
+            if co_partitioned:
+                block, new_pairs = _co_partitioned(step, n, pair)  # the build job doubles as the emptiness test
+                cached.append(block)
+            else:
+                new_pairs = step.count()
             if new_pairs == 0:
                 break
             rounds.append(step)
-            blocks.append(block)
-            if len(blocks) >= merge_every:
-                # one block from the round checkpoints (one shuffle of the reached pairs)
-                for block in blocks:
-                    block.unpersist()
-                blocks = [_co_partitioned(reduce(DataFrame.unionByName, rounds), n, pair)[0]]
-                cached.append(blocks[0])
+            rows += new_pairs
+            if co_partitioned:
+                blocks.append(block)
+                if len(blocks) >= merge_every:
+                    # one block from the round checkpoints (one shuffle of the reached pairs)
+                    for block in blocks:
+                        block.unpersist()
+                    blocks = [_co_partitioned(reduce(DataFrame.unionByName, rounds), n, pair)[0]]
+                    cached.append(blocks[0])
+            elif rows > co_partition_rows:
+                co_partition()
             frontier = step
         else:
             raise RuntimeError(f"closure did not converge in {max_rounds} rounds")

@@ -47,8 +47,8 @@ def roots_df(spark, roots):
     return spark.createDataFrame(roots, "scan_id string, kb_id string")
 
 
-def reach(spark, edges, roots):
-    out = closure.closure(edges_df(spark, edges), roots_df(spark, roots))
+def reach(spark, edges, roots, **kw):
+    out = closure.closure(edges_df(spark, edges), roots_df(spark, roots), **kw)
     return sorted(tuple(r) for r in out.collect())
 
 
@@ -101,7 +101,11 @@ def test_closure_matches_bfs_on_random_graphs(spark):
             edges.add((scan, rnd.choice(nodes), rnd.choice(nodes)))
         for n in rnd.sample(nodes, 5):
             roots.add((scan, n))
-    assert reach(spark, sorted(edges), sorted(roots)) == bfs(edges, roots)
+    want = bfs(edges, roots)
+    assert reach(spark, sorted(edges), sorted(roots)) == want
+    # co-partitioned caches from the start, from the second round on, and with block merges
+    assert reach(spark, sorted(edges), sorted(roots), co_partition_rows=0) == want
+    assert reach(spark, sorted(edges), sorted(roots), co_partition_rows=len(edges) + 1, merge_every=2) == want
     # present + missing covers expected, and they are disjoint
     data = [(s, k, [], ["CVE-2024-0001"], sorted({b for (s2, a, b) in edges if s2 == s and a == k}), None)
             for s in ("s1", "s2", "s3") for k in [f"K{i}" for i in range(30)]]
