@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.cvss import exploited
+from fleetrisk.operators.joins import join_dimension
 from fleetrisk.operators.policy import long_metrics
 from fleetrisk.operators.rank import rank_within
 from fleetrisk.schemas import CVSS_METRICS
@@ -42,7 +44,7 @@ NUMERIC = ("cvss_score", "patch_age_days", "exploited_flag")
 NOT_FEATURES = ("scan_id", "kb_id", "cve_id", "month", "published_date", "exploitation", "policy_risk",
                 "policy_priority", "policy_drivers", "top_driver", "risk_score", "priority_label")
 ROW_KEY = ("kb_id", "cve_id", "month")
-FIT_THREADS = 4
+FIT_THREADS = 10
 
 
 def model_frame(df: DataFrame) -> DataFrame:
@@ -240,9 +242,15 @@ def classification_metrics(pred: DataFrame, label: str, prediction: str) -> Data
     return out.selectExpr("stack(2, 'accuracy', round(accuracy, 6), 'weighted_f1', round(weighted_f1, 6)) as (metric, value)")
 
 
-def cluster_profile(pred: DataFrame, score: str = "risk_score") -> DataFrame:
-    return pred.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"),
-                                       F.round(F.avg(score), 2).alias("mean_risk"))
+def cluster_profile(pred: DataFrame, score: str = "risk_score", weight: str | None = None) -> DataFrame:
+    """Rows and mean score per cluster; with ``weight``, over compacted rows (each
+    standing for ``weight`` identical rows), which gives the same sizes and means."""
+    if weight is None:
+        return pred.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"),
+                                           F.round(F.avg(score), 2).alias("mean_risk"))
+    w = F.col(weight)
+    return pred.groupBy("cluster").agg(F.sum(w).cast("bigint").alias("size"),
+                                       F.round(F.sum(w * F.col(score)) / F.sum(w), 2).alias("mean_risk"))
 
 
 def cluster_scatter(pred: DataFrame, score: str = "risk_score") -> DataFrame:
@@ -292,19 +300,37 @@ class Models:
         return out
 
 
+def fit_all(frame: DataFrame) -> Models:
+    """The three independent fits as concurrent Spark jobs (driver threads submit)."""
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        fits = [pool.submit(fit, frame) for fit in (fit_regression, fit_classification, fit_clustering)]
+        return Models(*[f.result() for f in fits])
+
+
 def train_models(labelled: DataFrame) -> Models:
-    frame = training_set(labelled)
-    return Models(fit_regression(frame), fit_classification(frame), fit_clustering(frame))
+    return fit_all(training_set(labelled))
+
+
+MODEL_INPUTS = CATEGORICAL + NUMERIC
 
 
 def predict(models: Models, scored: DataFrame) -> DataFrame:
-    """Adds ml_risk, ml_priority and cluster to policy-scored rows."""
+    """Adds ml_risk, ml_priority and cluster to policy-scored rows.
+
+    The three models see only the model inputs, which take as many distinct
+    values as there are CVE profiles. So inference runs once per distinct input
+    profile (a partially aggregated distinct), and the predictions join back to
+    the rows null-safe on the inputs, broadcast only under the checked row bound.
+    """
     frame = model_frame(scored)
-    keep = scored.columns
-    out = models.regression.transform(frame).select(*keep, "exploited_flag", "ml_risk")
-    out = models.classification.transform(out).select(*keep, "exploited_flag", "ml_risk", "ml_priority")
-    out = models.clustering.transform(out).select(*keep, "ml_risk", "ml_priority", F.col("cluster").cast("int"))
-    return out
+    inputs = list(MODEL_INPUTS)
+    profiles = frame.select(*inputs).distinct()
+    out = models.regression.transform(profiles).select(*inputs, "ml_risk")
+    out = models.classification.transform(out).select(*inputs, "ml_risk", "ml_priority")
+    out = models.clustering.transform(out).select(*inputs, "ml_risk", "ml_priority", F.col("cluster").cast("int"))
+    dim = out.select(*[F.col(c).alias(f"_p_{c}") for c in inputs], "ml_risk", "ml_priority", "cluster")
+    same = reduce(lambda a, b: a & b, [frame[c].eqNullSafe(dim[f"_p_{c}"]) for c in inputs])
+    return join_dimension(frame, dim, same, "left").select(*scored.columns, "ml_risk", "ml_priority", "cluster")
 
 
 def run_summary(run_id: str, stages: dict[str, DataFrame]) -> DataFrame:
