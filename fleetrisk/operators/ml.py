@@ -215,11 +215,17 @@ def elbow(train: DataFrame, max_k: int = ELBOW_MAX_K) -> DataFrame:
 
 # ---------------------------------------------------------------- metrics
 
-def regression_metrics(pred: DataFrame, label: str, prediction: str) -> DataFrame:
-    """MAE, RMSE, R^2 as one aggregate (long table)."""
+def regression_metrics(pred: DataFrame, label: str, prediction: str, weight: str | None = None) -> DataFrame:
+    """MAE, RMSE, R^2 as one aggregate (long table); with ``weight``, over compacted
+    rows each standing for ``weight`` identical rows (same values)."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    a = pred.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
-                 F.sum(F.abs(y - p)).alias("sae"), F.sum((y - p) * (y - p)).alias("sse"))
+    if weight is None:
+        a = pred.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
+                     F.sum(F.abs(y - p)).alias("sae"), F.sum((y - p) * (y - p)).alias("sse"))
+    else:
+        w = F.col(weight).cast("double")
+        a = pred.agg(F.sum(w).alias("n"), F.sum(w * y).alias("sy"), F.sum(w * y * y).alias("syy"),
+                     F.sum(w * F.abs(y - p)).alias("sae"), F.sum(w * (y - p) * (y - p)).alias("sse"))
     out = a.select(
         (F.col("sae") / F.col("n")).alias("mae"),
         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
@@ -227,9 +233,11 @@ def regression_metrics(pred: DataFrame, label: str, prediction: str) -> DataFram
     return out.selectExpr("stack(3, 'mae', round(mae, 6), 'rmse', round(rmse, 6), 'r2', round(r2, 6)) as (metric, value)")
 
 
-def classification_metrics(pred: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Accuracy and support-weighted F1 from the confusion counts (k x k rows)."""
-    conf = pred.groupBy(F.col(label).alias("t"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+def classification_metrics(pred: DataFrame, label: str, prediction: str, weight: str | None = None) -> DataFrame:
+    """Accuracy and support-weighted F1 from the confusion counts (k x k rows);
+    with ``weight``, counts are sums of the compacted rows' weights."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight))
+    conf = pred.groupBy(F.col(label).alias("t"), F.col(prediction).alias("p")).agg(n.alias("n"))
     true_n = conf.groupBy(F.col("t").alias("c")).agg(F.sum("n").alias("support"))
     pred_n = conf.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("predicted"))
     tp = conf.where(F.col("t") == F.col("p")).select(F.col("t").alias("c"), F.col("n").alias("tp"))

@@ -342,7 +342,8 @@ def ml_regression_eval(spark, d):
     """M1, M3, M5, M9: forest on the policy score, hash 80/20 split, MAE / RMSE / R2."""
     train, test = ml.hash_split(_model_input(spark, d))
     model = ml.fit_regression(ml.compact(train, ml.LABELS).checkpoint(eager=True))
-    return ml.regression_metrics(model.transform(test), "risk_score", "ml_risk")
+    # evaluated on the compacted test rows (inputs + labels, with counts): same metrics
+    return ml.regression_metrics(model.transform(ml.compact(test, ml.LABELS)), "risk_score", "ml_risk", "row_weight")
 
 
 @query
@@ -350,7 +351,8 @@ def ml_classification_eval(spark, d):
     """Weighted logistic regression, stratified split, accuracy / weighted F1."""
     train, test = ml.stratified_split(_model_input(spark, d), "priority_label")
     model = ml.fit_classification(ml.compact(train, ml.LABELS).checkpoint(eager=True))
-    return ml.classification_metrics(model.transform(test), "priority_label", "ml_priority")
+    return ml.classification_metrics(model.transform(ml.compact(test, ml.LABELS)), "priority_label", "ml_priority",
+                                      "row_weight")
 
 
 @query
@@ -485,10 +487,13 @@ def ml_run_summary(spark, d):
     compacted = ml.compact(train, ml.LABELS).checkpoint(eager=True)
     models = ml.fit_all(compacted)
     reg, cls, clu = models.regression, models.classification, models.clustering
-    sizes = ml.cluster_profile(clu.transform(test)).select(
+    # evaluated on the compacted test rows (inputs + labels, with counts): same metrics
+    test = ml.compact(test, ml.LABELS).checkpoint(eager=True)
+    sizes = ml.cluster_profile(clu.transform(test), weight="row_weight").select(
         F.concat(F.lit("cluster_"), F.col("cluster").cast("string"), F.lit("_size")).alias("metric"),
         F.col("size").cast("double").alias("value"))
     return ml.run_summary("run", {
-        "regression": ml.regression_metrics(reg.transform(test), "risk_score", "ml_risk"),
-        "classification": ml.classification_metrics(cls.transform(test), "priority_label", "ml_priority"),
+        "regression": ml.regression_metrics(reg.transform(test), "risk_score", "ml_risk", "row_weight"),
+        "classification": ml.classification_metrics(cls.transform(test), "priority_label", "ml_priority",
+                                                     "row_weight"),
         "clustering": sizes})
