@@ -139,11 +139,12 @@ from fleetrisk.operators import correlate as co  # noqa: E402
 
 def fleet_correlation(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """KB entries and installed sets are read by the closure rounds, the status join
-    and the flatten: materialise them once (reliable checkpoint) instead of
-    recomputing the three-way link join for every use."""
-    lnk = dv.link(spark, d)
-    entries = dv.kb_entries(spark, d, lnk).checkpoint(eager=True)
-    installed = dv.installed(spark, d, lnk).checkpoint(eager=True)
+    and the flatten: both come from one (scan, part) aggregate over the three-way
+    link join (one pass), materialised once (reliable checkpoint) instead of
+    recomputing the join for every use."""
+    groups = dv.entry_groups(dv.link(spark, d)).checkpoint(eager=True)
+    entries = dv.kb_entries(spark, d, groups=groups).checkpoint(eager=True)
+    installed = dv.installed(spark, d, groups=groups)
     return entries, co.correlate(entries, installed)
 
 

@@ -70,12 +70,26 @@ def supersedes_of(partkey, size) -> Column:
         F.array().cast("array<string>"))
 
 
-def kb_entries(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -> DataFrame:
+def installed_line() -> Column:
+    """A line item that marks its KB installed: returned-N, status-F."""
+    return (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
+
+
+def entry_groups(lnk: DataFrame) -> DataFrame:
+    """One row per (scan_id, partkey): the CVE buckets, month starts and whether any
+    line item marks the KB installed. Both kb_entries and installed derive from it,
+    so the link join is read once for both."""
+    return lnk.groupBy("scan_id", "partkey").agg(
+        F.collect_set("bucket").alias("_buckets"), F.collect_set("month_start").alias("_months"),
+        F.max(installed_line()).alias("_installed"))
+
+
+def kb_entries(spark: SparkSession, folder: str, lnk: DataFrame | None = None,
+               groups: DataFrame | None = None) -> DataFrame:
     """kb_entry(scan_id, kb_id, months, cves, supersedes, update_type): the expected KBs per host."""
-    lnk = lnk if lnk is not None else link(spark, folder)
-    grouped = lnk.groupBy("scan_id", "partkey").agg(
-        F.collect_set("bucket").alias("_buckets"), F.collect_set("month_start").alias("_months"))
-    grouped = grouped.select(
+    if groups is None:
+        groups = entry_groups(lnk if lnk is not None else link(spark, folder))
+    grouped = groups.select(
         "scan_id", "partkey",
         F.array_sort(F.transform("_buckets", cve_of_bucket)).alias("cves"),
         F.array_sort(F.transform("_months", lambda m: month_id(m))).alias("months"))
@@ -87,10 +101,13 @@ def kb_entries(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -
         sup.alias("supersedes"), update_type(sup).alias("update_type"))
 
 
-def installed(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -> DataFrame:
+def installed(spark: SparkSession, folder: str, lnk: DataFrame | None = None,
+              groups: DataFrame | None = None) -> DataFrame:
     """installed(scan_id, kb_id): expected KBs whose line items are returned-N / status-F."""
+    if groups is not None:
+        return groups.where("_installed").select("scan_id", kb_of(F.col("partkey")).alias("kb_id"))
     lnk = lnk if lnk is not None else link(spark, folder)
-    return (lnk.where((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"))
+    return (lnk.where(installed_line())
             .select("scan_id", "partkey").distinct()
             .select("scan_id", kb_of(F.col("partkey")).alias("kb_id")))
 
