@@ -170,7 +170,7 @@ def baselines(spark: SparkSession, folder: str, lnk: DataFrame | None = None) ->
     """One baseline row per host (nation): OS, version, build, architecture, admin flag,
     LCU month (earliest installed ship month) and latest feed month (latest ship month)."""
     lnk = lnk if lnk is not None else link(spark, folder)
-    inst = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
+    inst = installed_line()
     months = lnk.groupBy("scan_id").agg(
         F.min(F.when(inst, F.col("l_shipdate"))).alias("_lcu"), F.max("l_shipdate").alias("_latest"))
     nation = read_table(spark, folder, "nation").select(
@@ -249,7 +249,7 @@ def product_rows(spark: SparkSession, folder: str, lnk: DataFrame | None = None)
 def hotfixes(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -> DataFrame:
     """Hot-fix inventory rows: installed line items of even parts."""
     lnk = lnk if lnk is not None else link(spark, folder)
-    inst = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
+    inst = installed_line()
     return lnk.where(inst & (F.col("partkey") % 2 == 0)).select(
         "scan_id", F.lower(F.col("kb_id")).alias("hotfix_id"))
 
@@ -258,7 +258,7 @@ def packages(spark: SparkSession, folder: str, lnk: DataFrame | None = None) ->
     """Package inventory rows: installed line items of odd parts; parts divisible by 5
     are cumulative (RollupFix) packages whose KB is only in the description."""
     lnk = lnk if lnk is not None else link(spark, folder)
-    inst = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F")
+    inst = installed_line()
     p = F.col("partkey")
     rollup = p % 5 == 0
     name = F.when(rollup, F.concat(F.lit("Package_for_RollupFix" + PACKAGE_KEY), (F.lit(19000) + p).cast("string"), F.lit(".1")))\
