@@ -1,10 +1,13 @@
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetrisk.operators import closure, correlate, flatten
 
 ENTRY = "scan_id string, kb_id string, months array<string>, cves array<string>, supersedes array<string>, update_type string"
+SMOKE = "/root/testdata/sf0.001"
 
 
 def entries(spark, data):
@@ -132,3 +135,14 @@ def test_merge_and_product_map(spark):
     kb = correlate.product_kb_map(rows, "Windows 11 Version 24H2 for x64-based Systems").collect()
     assert len(kb) == 1 and kb[0].kb_id == "KB5001" and kb[0].supersedes == ["KB4999"]
     assert kb[0].months == ["2026-Feb", "2026-Jan"] and kb[0].cves == ["CVE-2024-0001", "CVE-2024-0002"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test tables not present")
+def test_closure_paths_agree_on_tables(spark):
+    from fleetrisk.sources import derived as dv
+    groups = dv.entry_groups(dv.link(spark, SMOKE))
+    edges = closure.edges_from_entries(dv.kb_entries(spark, SMOKE, groups=groups))
+    roots = dv.installed(spark, SMOKE, groups=groups)
+    plain = sorted(map(tuple, closure.closure(edges, roots).collect()))
+    assert plain and plain == sorted(map(tuple, closure.closure(edges, roots, co_partition_rows=0,
+                                                                 merge_every=3).collect()))
