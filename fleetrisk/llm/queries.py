@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import decontaminate, langid, packing, secrets, token_counts, warc
+from fleetrisk.llm import decontaminate, langid, packing, secrets, spotsigs, token_counts, warc
 from fleetrisk.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_packing, op4_langid, op6_secrets, op7_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_packing, op4_langid, op5_spotsigs, op6_secrets, op7_decontaminate, op10_token_counts)}
 ORACLE = {"op6_secrets": secrets.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
