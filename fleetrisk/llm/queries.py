@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import decontaminate, langid, packing, secrets, spotsigs, token_counts, warc
+from fleetrisk.llm import decontaminate, langid, neardup, packing, secrets, spotsigs, token_counts, warc
 from fleetrisk.llm.common import table
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -37,5 +41,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_packing, op4_langid, op5_spotsigs, op6_secrets, op7_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_warc, op3_packing, op4_langid, op5_spotsigs, op6_secrets, op7_decontaminate, op10_token_counts)}
 ORACLE = {"op6_secrets": secrets.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
