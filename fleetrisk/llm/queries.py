@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import decontaminate, langid, neardup, packing, secrets, spotsigs, token_counts, warc
+from fleetrisk.llm import decontaminate, langid, neardup, packing, secrets, spotsigs, substrings, token_counts, warc
 from fleetrisk.llm.common import table
 
 
@@ -37,9 +37,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_warc, op3_packing, op4_langid, op5_spotsigs, op6_secrets, op7_decontaminate, op10_token_counts)}
-ORACLE = {"op6_secrets": secrets.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_warc, op3_packing, op4_langid, op5_spotsigs, op6_secrets, op7_decontaminate, op8_substrings, op10_token_counts)}
+ORACLE = {"op8_substrings": substrings.ORACLE, "op6_secrets": secrets.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
