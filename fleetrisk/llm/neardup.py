@@ -98,23 +98,24 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_a, set_b (128-bit hash of the shingle set), sketch (registers), bands; whole texts, one row each."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
+    """doc_id, text_hash, n, set_a, set_b (128-bit hash of the shingle set), sketch (registers), bands; whole texts, one row each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
                         ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                sets = shingle_sets(part.column(1))
+                sets = shingle_sets(part.column(2))
                 regs = registers(sets)
                 keys = band_keys(regs)
                 sums = np.array([(int(s.sum(dtype=np.uint64)), int(mix64(s ^ GOLDEN).sum(dtype=np.uint64))) for s in sets], np.uint64).reshape(-1, 2)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(sums[:, 0].view(np.int64).copy()),
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(sums[:, 0].view(np.int64).copy()),
                                                   pa.array(sums[:, 1].view(np.int64).copy()), pa.array([r.tobytes() for r in regs], pa.binary()), lists], schema=schema)
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, n long, set_a long, set_b long, sketch binary, bands array<long>"))
+    text = F.col("text").cast("string")
+    return (docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+            .mapInArrow(run, "doc_id long, text_hash long, n long, set_a long, set_b long, sketch binary, bands array<long>"))
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +269,7 @@ def _tested(pairs: DataFrame, sketch: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, kept, n_links.
+    """Per document row: doc_id, n_shingles, component_id, kept, n_links, text_hash.
 
     docs: doc_id, text; other columns are ignored. A null, empty or blank text has no
     shingles and is alone. Rows that share a doc_id are one document: their links
@@ -289,4 +290,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False) | component.isNull()).alias("kept"),
-                      F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+                      F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "text_hash")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: its smallest doc_id's, once if that row is repeated.
+
+    Keys (doc_id, text hash) of the rows to remove are joined, not texts.
+    """
+    found = stored(near_duplicates(docs).select("doc_id", "text_hash", "kept"), "kept")
+    keys = found.groupBy("doc_id", "text_hash").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    odd = stored(keys.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept")), "removed")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash"))
+    rest = docs.join(bounded(odd), same, "left_anti")
+    if odd.where("__kept").isEmpty():
+        return rest
+    repeated = docs.join(bounded(odd.where("__kept")), same).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return rest.unionByName(repeated)

@@ -129,8 +129,11 @@ def report(docs: DataFrame) -> DataFrame:
                              F.sha2(written(base), 256).alias("base_sha256"), written(found).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every reported span replaced by a mask (overlapping spans by one); other rows unchanged."""
+def redact(docs: DataFrame, length_column: str = "n_chars") -> DataFrame:
+    """``docs`` with every reported span replaced by a mask (overlapping spans by one); other rows unchanged.
+
+    ``length_column``, if there is one, is set to the new length of a changed text.
+    """
     marked = scan(docs).where("found is not null").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("found").alias("__found")).dropDuplicates(["__id", "__hash"])
     marked = stored(marked, "secret-documents")
@@ -144,7 +147,12 @@ def redact(docs: DataFrame) -> DataFrame:
     rest = text.substr((F.array_max(F.transform("__found", lambda s: s["end"])) + 1).cast("int"), F.char_length(text))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash"))
     joined = docs.join(bounded(marked), same, "left")
-    return joined.withColumn("text", F.when(F.col("__found").isNotNull(), F.concat(masked, rest)).otherwise(text)).select(*docs.columns)
+    changed = F.col("__found").isNotNull()
+    joined = joined.withColumn("text", F.when(changed, F.concat(masked, rest)).otherwise(text))
+    if length_column in docs.columns:
+        kind = docs.schema[length_column].dataType
+        joined = joined.withColumn(length_column, F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col(length_column)))
+    return joined.select(*docs.columns)
 
 
 def _oracle_spans(kind: str) -> str:
