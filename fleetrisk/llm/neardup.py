@@ -7,14 +7,15 @@ with equal sets are one class; class representatives that share a band are candi
 passes an estimate of Jaccard corrected for accidental register collisions, then
 is confirmed on the full shingle sets. Confirmed links give connected components.
 
-Nothing forms all pairs of a band's documents: each is compared with one pseudo-random
-leader of its band; further leader rounds follow while bands still hold many documents of
-different components; what is left, pairs across components, is then compared without a cap.
+Nothing emits all pairs of a band's documents. First each is compared with its band's hub,
+the document that shares most bands with others: the original of a family of copies. Most links then
+lie inside components. Pairs across components that still share a band are compared by their registers
+in tiles of bounded size, and only those that may be links are emitted and confirmed. No cap
+drops a candidate; a family of many documents that are alike but not linked costs comparisons in tiles.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,16 @@ from fleetrisk.llm.decontaminate import bounded
 SHINGLE = 5
 #: link if 100 * intersection >= 85 * union
 LINK_PERCENT = 85
-REGISTERS = 128
+REGISTERS = 256
 MANTISSA = 10
 #: a pair of similarity 0.85 shares no band with a chance of (1 - 0.85**5)**25 < 1e-6
 BANDS, ROWS = 25, 5
 #: standard deviations that the estimate may fall short of the threshold
 SLACK = 4.5
-#: leader rounds go on while untested pairs across components outnumber band rows so many times
-PAIRS_PER_ROW = 2
-MAX_LEADER_ROUNDS = 8
+#: documents of a band on each side of a tile
+TILE = 256
+#: rows of a task's tiles, about
+TASK_ROWS = 20_000
 
 
 def shingle_sets(col: pa.Array) -> list[np.ndarray]:
@@ -136,20 +138,88 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip((same - expected) / np.maximum(used - expected, 1e-9), 0, 1), used
 
 
-def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose estimate is not below the threshold by more than SLACK deviations."""
+def floor_of(used: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+    """The least estimate that a link may show: SLACK deviations below the threshold.
+
+    ``used`` registers are a sample without replacement of the union's shingles.
+    """
+    limit = LINK_PERCENT / 100
+    union = np.maximum((sizes_a + sizes_b) / (1 + limit), 1)
+    unseen = np.clip(1 - used / union, 0.25, 1)
+    return limit - SLACK * np.sqrt(limit * (1 - limit) / np.maximum(used, 1) * unseen) - 0.01
+
+
+def _regs(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose estimate a link may show."""
     def run(batches: Iterator[pa.RecordBatch]):
-        limit = LINK_PERCENT / 100
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
-                found, used = estimate(x, y)
-                keep = found >= limit - SLACK * np.sqrt(limit * (1 - limit) / np.maximum(used, 1)) - 0.01
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                found, used = estimate(_regs(batch.column(2)), _regs(batch.column(3)))
+                sizes = (batch.column(k).to_numpy() for k in (4, 5))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found >= floor_of(used, *sizes)))
+
+    left, right = (nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
-    left = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    right = sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+def tile_pairs(node: np.ndarray, component: np.ndarray, side: np.ndarray, regs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Likely pairs (rows of two nodes) across components in one tile.
+
+    side: 0 or 1; where both occur, pairs have one node of each side. Accidental register matches
+    only raise the raw share, so it rules pairs out before the corrected estimate.
+    """
+    both_sides = side.min() != side.max()
+    has = (regs > 0).astype(np.float32)
+    count = has.sum(axis=1)
+    found = []
+    for i in range(len(node) - 1):
+        rest = np.flatnonzero(component[i + 1:] != component[i]) + i + 1
+        if both_sides:
+            rest = rest[side[rest] != side[i]]
+        rest = rest[(0.85 * sizes[rest] <= sizes[i] + 1e-9) & (0.85 * sizes[i] <= sizes[rest] + 1e-9)]
+        if not len(rest):
+            continue
+        used = count[rest] + count[i] - has[rest] @ has[i]
+        same = ((regs[rest] == regs[i]) & (regs[i] > 0)).sum(axis=1)
+        rest = rest[same >= used * floor_of(used, sizes[rest], sizes[i])]
+        if len(rest):
+            close, used = estimate(regs[rest], np.broadcast_to(regs[i], (len(rest), REGISTERS)))
+            rest = rest[close >= floor_of(used, sizes[rest], sizes[i])]
+            found.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def across(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of different components that share a band of three documents or more.
+
+    placed: key, node, component. A band's documents are dealt into tiles by a hash of
+    the node; each goes to the tiles of its number and every other. (A band of two was
+    compared with its hub.)
+    """
+    bands = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where(
+        "low < high and size > 2").select("key", _dealt("key"), F.ceil(F.col("size") / TILE).alias("tiles"))
+    mixed = placed.withColumn("half", F.shiftright(F.col("key"), 1)).join(bands, ["key", "half"]).select("key", "node", "component", "tiles")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    dealt = mixed.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    tile = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = stored(dealt.select("node", "component", tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("side")), "tiles")
+    tasks = 1 + dealt.count() // TASK_ROWS
+    rows = dealt.join(nodes.select("node", "sketch", "n"), "node").withColumn("task", F.pmod(F.col("tile"), F.lit(tasks)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, component, tile, side, sizes = (table.column(k).to_numpy() for k in ("node", "component", "tile", "side", "n"))
+        regs = _regs(table.column("sketch"))
+        order = np.argsort(tile, kind="stable")
+        first = np.flatnonzero(np.diff(tile[order], prepend=tile[order[:1]] - 1))
+        found = [tile_pairs(*(x[own] for x in (node, component, side, regs, sizes))) for own in np.split(order, first[1:])]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return rows.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -209,59 +279,28 @@ def _dealt(key: str):
 def links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, labels) among class representatives.
 
-    nodes: node, sketch, bands; docs: doc_id, text of at least these nodes.
+    nodes: node, n, sketch, bands; docs: doc_id, text of at least these nodes.
     """
     rows = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", _dealt("key"))
-    members = stored(rows.select("key", "node", _dealt("key")).join(shared, ["key", "half"]).select("key", "node"), "bands")
-    sketch = nodes.select("node", "sketch")
-    n_members = members.count()
-    edges = labels = None
-    placed = members.withColumn("component", F.col("node"))
-    for attempt in range(MAX_LEADER_ROUNDS + 1):
-        order = F.xxhash64("node", "key", F.lit(attempt))
-        if attempt < MAX_LEADER_ROUNDS:
-            leader = placed.groupBy("key").agg(F.min_by(F.struct("node", "component"), order).alias("lead")).select(
-                "key", F.col("lead.node").alias("a"), F.col("lead.component").alias("a_component"), _dealt("key"))
-            pairs = placed.withColumn("half", F.shiftright(F.col("key"), 1)).join(leader, ["key", "half"]).where("component <> a_component").select(
-                F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        else:
-            pairs = _across(placed)
-        new = _tested(pairs, sketch, docs)
-        edges = new if edges is None else stored(edges.unionByName(new), "links")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", _dealt("key"), "size")
+    members = stored(rows.select("key", "node", _dealt("key")).join(shared, ["key", "half"]).select("key", "node", "size"), "bands")
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = members.select("key", "node").join(degree, "node")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", _dealt("key"), F.col("hub.node").alias("hub"))
+    pairs = members.select("key", "node", _dealt("key")).join(hubs, ["key", "half"]).where("node <> hub").select(
+        F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    edges = confirmed_links(stored(likely(pairs, nodes), "likely"), docs)
+    labels = components(edges)
+    placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    more = confirmed_links(stored(across(stored(placed, "placed"), nodes), "likely"), docs)
+    if not more.isEmpty():
+        edges = stored(edges.unionByName(more).distinct(), "links")
         labels = components(edges)
-        placed = stored(members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-        untested = _untested(placed)
-        if not untested or attempt == MAX_LEADER_ROUNDS:
-            return edges, labels
-        if untested <= PAIRS_PER_ROW * n_members or new.isEmpty():
-            new = _tested(_across(placed), sketch, docs)
-            if not new.isEmpty():
-                edges = stored(edges.unionByName(new), "links")
-                labels = components(edges)
-            return edges, labels
-    raise AssertionError("unreachable")
-
-
-def _untested(placed: DataFrame) -> int:
-    """Pairs across components over all bands of three documents or more (a band of two is tested by its leader)."""
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.sum("n").alias("all"), F.sum(F.col("n").cast("double") * F.col("n")).alias("within"), F.count("*").alias("parts"))
-    found = sizes.where("all > 2 and parts > 1").agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("within")) / 2).alias("pairs")).first()
-    return math.ceil(found["pairs"] or 0)
-
-
-def _across(placed: DataFrame) -> DataFrame:
-    """Pairs of documents of one band and different components."""
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", _dealt("key"))
-    left = stored(placed.withColumn("half", F.shiftright(F.col("key"), 1)).join(mixed, ["key", "half"], "left_semi").select("key", "node", "component"), "mixed")
-    right = left.select("key", F.col("node").alias("b"), F.col("component").alias("b_component"))
-    return left.withColumnRenamed("node", "a").join(right, "key").where("a < b and component <> b_component").select("a", "b")
-
-
-def _tested(pairs: DataFrame, sketch: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links among candidate pairs (a, b)."""
-    close = stored(likely(pairs.distinct(), sketch), "likely")
+    return edges, labels
+
+
+def confirmed_links(close: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links among likely pairs (a, b), confirmed on whole texts."""
     needed = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(bounded(needed), "doc_id").select(
         F.col("doc_id").alias("node"), "text").distinct(), "texts")

@@ -57,13 +57,28 @@ def test_repeated_rows_and_null_ids(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
 
 
-def test_more_leader_rounds_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PAIRS_PER_ROW", 0)
+def test_tiles_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 3)
+    monkeypatch.setattr(neardup, "TASK_ROWS", 50)
     rows = list(enumerate(texts(8)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == brute.near_components(rows)
 
 
+def test_a_family_without_an_original(spark):
+    """Copies of an original that is not there: links lie between copies, not around a hub."""
+    rng = random.Random(4)
+    base = [f"v{k}" for k in range(250)]
+    rows = []
+    for i in range(60):
+        copy = base[:]
+        for _ in range(rng.choice((2, 3, 4, 5, 6))):
+            copy[rng.randrange(250)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == brute.near_components(rows)
+
+
 def test_components_of_a_long_path(spark):
     order = list(range(60))
     random.Random(2).shuffle(order)
