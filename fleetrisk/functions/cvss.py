@@ -40,14 +40,14 @@ def exploited(c) -> Column:
     return F.coalesce(safe_string(c).contains(EXPLOITED_MARK), F.lit(False))
 
 
-_ISO_CORE = (r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?)"
+_ISO_CORE = (r"^(\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?)\d*"
              r"(?:[+-]\d{2}:?\d{2})?$")
 
 
 def parse_published(c) -> Column:
     """ISO date-time text -> wall-clock timestamp without zone (timestamp_ntz).
 
-    'Z' is dropped and a numeric offset is discarded, not applied; anything
+    Fraction digits beyond the sixth are cut. 'Z' is dropped and a numeric offset is discarded, not applied; anything
     else that is not ISO (e.g. '/Date(ms)/') -> null.
     """
     text = F.regexp_replace(_col(c).cast("string"), "Z", "")

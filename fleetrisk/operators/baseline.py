@@ -11,6 +11,7 @@ from fleetrisk.functions.months import month_id, month_range, month_span, parse_
 MAX_MONTHS = 48
 REASON_NOT_ADMIN = "Baseline collected without administrative privileges"
 REASON_NO_START = "Baseline did not provide LcuMonthId"
+REASON_BAD_END = "MsrcLatestMonthId is not a month"
 ROLLUP_MARK = "RollupFix"
 
 
@@ -18,11 +19,13 @@ def month_window(baselines: DataFrame, max_months: int = MAX_MONTHS, key: str =
     """(months, rejects). months: one row per (host, position, month id) from the LCU
     month to the latest feed month (start clamped to end, oldest ``max_months``
     kept, ``truncated`` flags a cut); end defaults to the current month.
-    rejects: hosts without admin rights or without a start month, with the reason."""
+    rejects: hosts without admin rights, without a start month or with an end
+    that is not a month, with the reason."""
     end = F.coalesce(F.col("MsrcLatestMonthId"), month_id(F.current_date()))
     ok_start = parse_month_id("LcuMonthId").isNotNull()
     reason = (F.when(~F.coalesce(F.col("IsAdmin"), F.lit(False)), REASON_NOT_ADMIN)
-              .when(~ok_start, REASON_NO_START))
+              .when(~ok_start, REASON_NO_START)
+              .when(parse_month_id(end).isNull(), REASON_BAD_END))
     b = baselines.withColumn("_reason", reason)
     rejects = b.where(F.col("_reason").isNotNull()).select(key, F.col("_reason").alias("reason"))
     ok = b.where(F.col("_reason").isNull())
@@ -41,7 +44,7 @@ def lcu_context(packages: DataFrame, baselines: DataFrame, key: str = "scan_id")
     """Newest-installed cumulative update package per host: month id, name, time.
     Hosts without admin rights get nulls (their package list is not readable)."""
     p = packages.where(F.col("package_name").contains(ROLLUP_MARK))
-    best = p.groupBy(key).agg(F.max_by(F.struct("package_name", "install_time"), "install_time").alias("_b"))
+    best = p.groupBy(key).agg(F.max(F.struct("install_time", "package_name")).alias("_b"))  # equal times: the last name
     b = baselines.select(key, "IsAdmin").join(best, key, "left")
     admin = F.coalesce(F.col("IsAdmin"), F.lit(False))
     return b.select(key,
@@ -78,6 +81,7 @@ def resolve_product(hosts: DataFrame, products: DataFrame, key: str = "scan_id")
     pattern scan) and rank: 1 versioned exact, 2 generic exact (both
     case-insensitive), 3 family + architecture, 4 family only. The most recent
     month with any candidate wins, then the rank, then the name alphabetically.
+    A host without a family, a month or any candidate keeps its row, with nulls.
     """
     profile = ["family", "display_version", "arch_token", "latest_month"]
     prod = (products.where(F.col("product_name").startswith("Windows "))
@@ -86,9 +90,10 @@ def resolve_product(hosts: DataFrame, products: DataFrame, key: str = "scan_id")
     # resolve once per distinct host profile, not per host: the candidate fan-out is
     # then bounded by (#profiles x #product names), whatever the fleet size
     h = hosts.select(*profile).distinct().withColumn("_family", F.lower(F.col("family")))
-    j = h.join(prod, "_family")
-    age = F.floor(F.months_between(F.col("latest_month"), F.col("month")))
-    j = j.where((age >= 0) & (age < LOOKBACK_MONTHS))
+    # each profile looks at its own months, so the join key is (family, month), not the family alone
+    h = h.withColumn("month", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LOOKBACK_MONTHS - 1)),
+                                                    lambda k: F.add_months("latest_month", -k))))
+    j = h.join(prod, ["_family", "month"])
     name = F.lower(F.col("product_name"))
     arch = F.lower(F.col("arch_token"))
     suffix = F.when(arch == "32-bit", F.lit(" for 32-bit systems")).otherwise(
@@ -106,4 +111,4 @@ def resolve_product(hosts: DataFrame, products: DataFrame, key: str = "scan_id")
                        F.col("_b.product_name").alias("product_name_hint"),
                        F.col("_b.match_rank").alias("match_rank"), month_id("_b.month").alias("resolved_month_id"))
     cond = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in profile]
-    return hosts.join(best, cond).select(key, "product_name_hint", "match_rank", "resolved_month_id")
+    return hosts.join(best, cond, "left").select(key, "product_name_hint", "match_rank", "resolved_month_id")

@@ -1,13 +1,13 @@
 """Transitive supersedence closure as an iterative frontier join.
 
 Spark's recursive CTE only takes UNION ALL and stops at a recursion limit on a
-cycle, so the fixpoint is a driver loop of DataFrame jobs: each round joins the
-frontier to the edge table, drops pairs already reached (anti join) and keeps
-the new pairs. Every round's result is checkpointed to the reliable checkpoint
-folder, which cuts lineage and lets a lost executor recompute only one round.
-The driver only sees one row count per round. Once the edge table and the
-reached pairs are too large to broadcast, they are also cached hash-partitioned
-on their join keys, so rounds do not re-shuffle them.
+cycle, so the fixpoint is a driver loop of DataFrame jobs. Edges are first extended to
+jumps of up to STRIDE edges, so the rounds number a STRIDE-th of the longest path. Each round joins the
+frontier to the jumps, drops pairs already reached (anti join) and keeps the new pairs.
+Jumps and reached pairs are laid out once, cached hash-partitioned on their join
+keys, so a round shuffles only its new pairs; every round's result is checkpointed to
+the reliable checkpoint folder, so a lost executor recomputes one round at most. The
+driver only sees one row count per round.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.ids import normalise_id
-from fleetrisk.operators.joins import BROADCAST_ROW_LIMIT
 
 MAX_ROUNDS = 10_000
 MERGE_EVERY = 8
+STRIDE = 4
 
 
 def edges_from_entries(kb_entry: DataFrame, scan_col: str = "scan_id") -> DataFrame:
@@ -44,75 +44,56 @@ def _co_partitioned(df: DataFrame, n: int, keys: list[str]) -> tuple[DataFrame,
     return out, out.count()
 
 
+def jumps(edges: DataFrame, stride: int, scan_col: str = "scan_id") -> DataFrame:
+    """(scan, kb_id, dst): pairs joined by 1 to ``stride`` edges (``stride`` a power of two)."""
+    out = edges.select(scan_col, F.col("src").alias("kb_id"), "dst").distinct().checkpoint(eager=True)
+    reach = 1
+    while reach < stride:
+        onward = out.select(scan_col, F.col("kb_id").alias("dst"), F.col("dst").alias("further"))
+        longer = out.join(onward, [scan_col, "dst"]).select(scan_col, "kb_id", F.col("further").alias("dst"))
+        out = out.unionByName(longer).distinct().checkpoint(eager=True)
+        reach *= 2
+    return out
+
+
 def closure(edges: DataFrame, roots: DataFrame, scan_col: str = "scan_id",
-            max_rounds: int = MAX_ROUNDS, merge_every: int = MERGE_EVERY,
-            co_partition_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+            max_rounds: int = MAX_ROUNDS, merge_every: int = MERGE_EVERY, stride: int = STRIDE) -> DataFrame:
     """All (scan, root_kb, kb_id) with kb reachable from an installed root by >= 1 edge.
 
     Cycle-safe (a pair is expanded once); a root on a cycle reaches itself.
-    ``roots`` is (scan_id, kb_id). Rounds = longest shortest path + 1.
-
-    While the edge table and the pairs reached so far hold at most
-    ``co_partition_rows`` rows, they are plain checkpoints that AQE broadcasts
-    into each round's joins. Beyond that, a broadcast is ruled out and a plain
-    checkpoint would be re-shuffled by every round, so both are laid out once as
-    caches hash-partitioned on their join keys: the frontier join and the anti
-    joins then read them in place and a round shuffles only its new pairs. The
-    reached pairs are kept as a few blocks (one per round, merged into one every
+    ``roots`` is (scan_id, kb_id). Rounds = longest shortest path / ``stride`` + 1.
+
+    The reached pairs are kept as a few blocks (one per round, merged into one every
     ``merge_every`` rounds) and the new pairs are anti-joined against each.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = [scan_col, "root_kb", "kb_id"]
-    part = F.col(scan_col)
-    ed_checkpoint = edges.select(scan_col, F.col("src").alias("kb_id"), "dst").distinct().checkpoint(eager=True)
-    rows = ed_checkpoint.count()
-    ed = ed_checkpoint
+    steps = _co_partitioned(jumps(edges, stride, scan_col), n, [scan_col, "kb_id"])[0]
     frontier = (roots.select(scan_col, normalise_id("kb_id").alias("root_kb"))
                 .where(F.col("root_kb") != "").distinct()
                 .withColumn("kb_id", F.col("root_kb")))
     rounds: list[DataFrame] = []
-    blocks: list[DataFrame] = []  # co-partitioned reached pairs; empty until the switch
-    cached: list[DataFrame] = []
-    co_partitioned = False
-
-    def co_partition() -> None:
-        nonlocal ed, blocks, co_partitioned
-        ed = _co_partitioned(ed_checkpoint, n, [scan_col, "kb_id"])[0]
-        blocks = [_co_partitioned(reduce(DataFrame.unionByName, rounds), n, pair)[0]] if rounds else []
-        cached.extend([ed] + blocks)
-        co_partitioned = True
-
+    blocks: list[DataFrame] = []
+    cached = [steps]
     try:
-        if rows > co_partition_rows:
-            co_partition()
         for _ in range(max_rounds):
-            step = (frontier.join(ed, [scan_col, "kb_id"])
+            step = (frontier.join(steps, [scan_col, "kb_id"])
                     .select(scan_col, "root_kb", F.col("dst").alias("kb_id")).distinct())
-            if co_partitioned:
-                for block in blocks:
-                    step = step.join(block, pair, "left_anti")
-            elif rounds:
-                step = step.join(reduce(DataFrame.unionByName, rounds), pair, "left_anti")
+            for block in blocks:
+                step = step.join(block, pair, "left_anti")
             step = step.checkpoint(eager=True)
-            if co_partitioned:
-                block, new_pairs = _co_partitioned(step, n, pair)  # the build job doubles as the emptiness test
-                cached.append(block)
-            else:
-                new_pairs = step.count()
+            block, new_pairs = _co_partitioned(step, n, pair)  # the build job doubles as the emptiness test
+            cached.append(block)
             if new_pairs == 0:
                 break
             rounds.append(step)
-            rows += new_pairs
-            if co_partitioned:
-                blocks.append(block)
-                if len(blocks) >= merge_every:
-                    # one block from the round checkpoints (one shuffle of the reached pairs)
-                    for block in blocks:
-                        block.unpersist()
-                    blocks = [_co_partitioned(reduce(DataFrame.unionByName, rounds), n, pair)[0]]
-                    cached.append(blocks[0])
-            elif rows > co_partition_rows:
-                co_partition()
+            blocks.append(block)
+            if len(blocks) >= merge_every:
+                # one block from the round checkpoints (one shuffle of the reached pairs)
+                for block in blocks:
+                    block.unpersist()
+                blocks = [_co_partitioned(reduce(DataFrame.unionByName, rounds), n, pair)[0]]
+                cached.append(blocks[0])
             frontier = step
         else:
             raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
@@ -120,7 +101,7 @@ def closure(edges: DataFrame, roots: DataFrame, scan_col: str = "scan_id",
         for c in cached:
             c.unpersist()
     if not rounds:
-        return frontier.limit(0).select(part, "root_kb", "kb_id")
+        return frontier.limit(0).select(scan_col, "root_kb", "kb_id")
     return reduce(DataFrame.unionByName, rounds)
 
 

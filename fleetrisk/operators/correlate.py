@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from fleetrisk.functions.display import join_list
-from fleetrisk.functions.ids import normalise_id, normalise_id_array, update_type
+from fleetrisk.functions.ids import is_cve_id, kb_id_loose, normalise_id, normalise_id_array, update_type
 from fleetrisk.operators.closure import closure, edges_from_entries, logical_present, superseded_by
 
 # fixed values: status and type texts
@@ -44,23 +45,32 @@ def product_kb_map(product_rows: DataFrame, product: str | None = None, scan_col
     """KB entries from affected-software rows (one row per product x CVE x month).
 
     Rows of the chosen product (case-insensitive) are exploded over their KB
-    articles and grouped per KB: distinct months, CVEs and superseded KBs.
+    articles and grouped per KB: distinct months, valid CVEs and the first KB
+    number of each superseded value.
     """
     rows = product_rows
     if product is not None:
         rows = rows.where(F.lower("full_product_name") == F.lower(F.lit(product)))
-    kb = rows.select(scan_col, "month", "cve", "supercedence", F.explode("kb_articles").alias("kb_raw"))
-    kb = kb.withColumn("kb_id", F.concat(F.lit("KB"), F.regexp_extract("kb_raw", r"(?i)(?:KB)?([0-9]{4,8})", 1)))
-    kb = kb.where(F.col("kb_id") != "KB")
-    sup = F.regexp_extract_all(F.coalesce("supercedence", F.lit("")), F.lit(r"([0-9]{4,8})"), 1)
+    # ids as the feed has them: a single text or an array of them, tidied and filtered
+    cves = F.filter(F.transform(_texts(rows, "cve"), lambda c: F.when(is_cve_id(c), normalise_id(c))), lambda c: c.isNotNull())
+    sup = F.filter(F.transform(_texts(rows, "supercedence"), kb_id_loose), lambda k: k.isNotNull())
+    kb = rows.select(scan_col, "month", cves.alias("cves"), sup.alias("supersedes"),
+                     F.explode(F.transform("kb_articles", kb_id_loose)).alias("kb_id")).where(F.col("kb_id").isNotNull())
     out = kb.groupBy(scan_col, "kb_id").agg(
         F.collect_set("month").alias("months"),
-        F.collect_set("cve").alias("cves"),
-        F.array_distinct(F.flatten(F.collect_set(
-            F.transform(sup, lambda d: F.concat(F.lit("KB"), d))))).alias("supersedes"))
+        F.array_distinct(F.flatten(F.collect_set("cves"))).alias("cves"),
+        F.array_distinct(F.flatten(F.collect_set("supersedes"))).alias("supersedes"))
     return finalise_entries(out)
 
 
+def _texts(rows: DataFrame, name: str):
+    """Column as an array of texts: arrays as they are, a single text as one element, null as none."""
+    col = F.col(name)
+    if isinstance(rows.schema[name].dataType, ArrayType):
+        return F.coalesce(col.cast("array<string>"), F.array().cast("array<string>"))
+    return F.when(col.isNotNull(), F.array(col.cast("string"))).otherwise(F.array().cast("array<string>"))
+
+
 def correlate(kb_entry: DataFrame, installed: DataFrame, scan_col: str = "scan_id") -> dict[str, DataFrame]:
     """Closure, logical presence, missing set and per-KB status in one place.
 
@@ -84,19 +94,20 @@ def correlate(kb_entry: DataFrame, installed: DataFrame, scan_col: str = "scan_i
               .select(scan_col, "kb_id", F.coalesce("update_type", F.lit("Mapped")).alias("type"), "status",
                       join_list("months").alias("months"),
                       F.coalesce(F.size("cves"), F.lit(0)).alias("cve_count")))
-    return {"expected": expected, "installed": inst, "reached": reached, "present": present,
+    return {"entries": entries, "expected": expected, "installed": inst, "reached": reached, "present": present,
             "superseded_by": sup, "missing": missing, "status": status}
 
 
 def scan_summary(c: dict[str, DataFrame], scan_col: str = "scan_id") -> DataFrame:
-    """Per scan: expected, installed, logically present, superseded mappings,
-    present among expected, missing."""
+    """Per scan: raw entries returned (per month and KB), expected, installed, logically
+    present, superseded mappings, present among expected, missing."""
     def per_scan(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(scan_col).agg(F.count(F.lit(1)).alias(name))
     expected = per_scan(c["expected"], "expected_kbs")
     parts = [per_scan(c["installed"], "installed_kbs"), per_scan(c["present"], "logical_present_kbs"),
              per_scan(c["superseded_by"], "superseded_mappings"), per_scan(c["missing"], "missing_kbs")]
-    out = expected
+    raw = c["entries"].groupBy(scan_col).agg(F.sum(F.coalesce(F.size("months"), F.lit(0))).alias("raw_entries_returned"))
+    out = expected.join(raw, scan_col, "left")
     for p in parts:
         out = out.join(p, scan_col, "left")
     out = out.fillna(0, subset=["installed_kbs", "logical_present_kbs", "superseded_mappings", "missing_kbs"])
@@ -116,7 +127,19 @@ def missing_breakdown(missing_typed: DataFrame, scan_col: str = "scan_id") -> Da
     return out.fillna(0, subset=list(UPDATE_TYPES))
 
 
-def months_with_entries(kb_entry: DataFrame, scan_col: str = "scan_id") -> DataFrame:
-    """Per scan, sorted distinct months that returned any KB entry (text order)."""
+def months_with_entries(kb_entry: DataFrame, scan_col: str = "scan_id", grain: str = "month",
+                        requested: DataFrame | None = None, batch_size: int = 3) -> DataFrame:
+    """Per scan, sorted distinct months that returned any KB entry (text order).
+
+    ``grain="batch"``: months are requested ``batch_size`` at a time, in the order of
+    ``requested`` (scan, pos from 1, month_id), and all months of a request with any
+    entry count.
+    """
+    if grain == "batch":
+        batch = requested.select(scan_col, "month_id", F.floor((F.col("pos") - 1) / batch_size).alias("batch"))
+        have = kb_entry.select(scan_col, F.explode("months").alias("month_id")).distinct()
+        hit = batch.join(have, [scan_col, "month_id"], "left_semi").select(scan_col, "batch").distinct()
+        m = batch.join(hit, [scan_col, "batch"], "left_semi").select(scan_col, F.col("month_id").alias("month"))
+        return m.groupBy(scan_col).agg(F.array_sort(F.collect_set("month")).alias("months_with_entries"))
     m = kb_entry.select(scan_col, F.explode("months").alias("month"))
     return m.groupBy(scan_col).agg(F.array_sort(F.collect_set("month")).alias("months_with_entries"))

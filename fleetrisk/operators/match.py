@@ -1,8 +1,8 @@
 """Catalog candidate scoring and best-candidate choice.
 
-The reference tests ``kb in title`` for every (target, candidate) pair. Here
-each title is turned into the finite set of KB ids that can occur in it as a
-substring ('KB' + every prefix of a digit run that follows 'kb'), so the pair
+The rule is ``kb in title`` for every (target, candidate) pair. Here each title
+is turned into the KB ids that can occur in it as a substring ('KB' + prefixes of a
+digit run that follows 'kb'), of the lengths that target ids have, so the pair
 search becomes an equi-join on kb_id with the same answers and no nested loop.
 """
 
@@ -26,11 +26,17 @@ NO_CANDIDATE_REASON = "No candidate matched baseline constraints"
 AMBIGUOUS_REASON = "Ambiguous match below confidence threshold ({score})"
 
 
-def title_kb_keys(title) -> Column:
-    """All 'KB<digits>' strings that are substrings of the title (case-insensitive)."""
+def title_kb_keys(title, lengths: list[int] | None = None) -> Column:
+    """The 'KB<digits>' strings that are substrings of the title (case-insensitive).
+
+    ``lengths`` keeps ids with so many digits; short prefixes that no target has would
+    be keys that nearly all titles share.
+    """
     runs = F.regexp_extract_all(F.lower(title), F.lit(r"kb([0-9]+)"), 1)
+    wanted = (lambda d: F.sequence(F.lit(1), F.length(d))) if lengths is None else (
+        lambda d: F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(d)))
     prefixes = F.transform(runs, lambda d: F.transform(
-        F.sequence(F.lit(1), F.length(d)), lambda j: F.concat(F.lit("KB"), F.substring(d, F.lit(1), j))))
+        wanted(d), lambda j: F.concat(F.lit("KB"), F.substring(d, F.lit(1), j))))
     return F.array_distinct(F.flatten(prefixes))
 
 
@@ -75,22 +81,30 @@ def score_candidates(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     targets: kb_id, windows_gen, display_version, build_major, catalog_arch (+ any keys)
     candidates: update_id, title, candidate_pos (+ other catalog fields)
     """
-    keyed = candidates.withColumn("kb_id", F.explode(title_kb_keys(F.col("title"))))
+    # a handful of numbers: how many digits target ids have
+    lengths = [r["n"] for r in targets.select((F.length("kb_id") - 2).alias("n")).where("n > 0").distinct().orderBy("n").collect()]
+    keyed = candidates.withColumn("kb_id", F.explode(title_kb_keys(F.col("title"), lengths)))
     pairs = targets.join(keyed, "kb_id")
     return pairs.withColumn("score", score_expr(F.col("title"), F.col("windows_gen"), F.col("display_version"),
                                                 F.col("build_major"), F.col("catalog_arch")))
 
 
+def _catalog_order(scored: DataFrame) -> list[str]:
+    """Position of a candidate: its page, if it comes from pages, and its place there."""
+    return [c for c in ("candidate_pos", "page_id") if c in scored.columns]
+
+
 def best_candidates(targets: DataFrame, scored: DataFrame, keys=("kb_id",)) -> DataFrame:
     """Per target: best accepted candidate (score >= 0, ties by catalog order),
     rejected as ambiguous below the confidence threshold, or a reason when none."""
     keys = list(keys)
     accepted = scored.where(F.col("score") >= 0)
-    # top-1 as an aggregate (highest score, then earliest catalog position): partial
-    # aggregation before the shuffle, so a target with very many candidates stays cheap
+    # top-1 as an aggregate (highest score, then earliest catalog position, page and id):
+    # partial aggregation before the shuffle, so a target with very many candidates stays cheap
     best = accepted.groupBy(*keys).agg(
         F.max_by(F.struct("update_id", "title", "score"),
-                 F.struct(F.col("score"), (-F.col("candidate_pos")).alias("p"))).alias("_b"),
+                 F.struct(F.col("score"), *[(-F.col(c)).alias(f"p{i}") for i, c in enumerate(_catalog_order(scored))],
+                          F.col("update_id").alias("u"))).alias("_b"),
         F.count(F.lit(1)).alias("candidates_matching"))
     best = best.select(*keys, "_b.*", "candidates_matching")
     out = targets.select(*keys).join(best, keys, "left")
@@ -109,6 +123,6 @@ def best_candidates(targets: DataFrame, scored: DataFrame, keys=("kb_id",)) -> D
 def top_candidates(scored: DataFrame, keys=("kb_id",), k: int = TOP_CANDIDATES) -> DataFrame:
     """The k highest-scoring accepted candidates per target (listing)."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("candidate_pos"))
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), *_catalog_order(scored), F.col("update_id").desc())
     return (scored.where(F.col("score") >= 0).withColumn("pos", F.row_number().over(w))
             .where(F.col("pos") <= k).select(*keys, "pos", "score", "update_id", "title"))

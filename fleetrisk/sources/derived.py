@@ -17,7 +17,16 @@ from fleetrisk.sources.tables import read_table
 # fixed values: derivation constants (FIXTURES.md section 3)
 KB_BASE = 5000000
 CVE_PREFIX = "CVE-2024-"
-CVE_BUCKETS = 2000
+ORDERS_PER_CVE = 8  # consecutive order keys share a CVE, so CVEs grow with the data
+BAD_CVE_PREFIX = "ADV-2024-"
+BAD_CVE = (97, 13)  # CVE numbers with this modulus and remainder are not CVE ids in the entries
+NO_METADATA = (101, 7)  # ... have no metadata
+ODD_DATE = (89, 3)  # ... have a publication date that isn't ISO
+LATE_DATE = (83, 5)  # ... are published LATE_YEARS later (negative age)
+LATE_YEARS = 10
+BLANK_KB = (211, 17)  # parts whose KB entry has a blank id
+MAPPED_KB = (37, 11)  # parts whose KB entry has no update type
+CYCLE = 60  # parts with remainder 1 and 2 also replace each other
 AS_OF = "2001-09-01 00:00:00"
 VECTOR_NULL_MODULUS = 17
 AV_LETTERS = "NALP"
@@ -33,8 +42,23 @@ def kb_of(partkey) -> Column:
     return F.concat(F.lit("KB"), (F.lit(KB_BASE) + partkey).cast("string"))
 
 
+def bucket_of(orderkey) -> Column:
+    return F.floor(orderkey / ORDERS_PER_CVE).cast("long")
+
+
+def _is(value, rule: tuple[int, int]) -> Column:
+    return value % rule[0] == rule[1]
+
+
+def cve_of_bucket(bucket, entries: bool = True) -> Column:
+    """CVE id of a CVE number; in ``entries`` some numbers are advisories that aren't CVEs."""
+    number = F.format_string("%05d", bucket)
+    prefix = F.when(_is(bucket, BAD_CVE), BAD_CVE_PREFIX).otherwise(CVE_PREFIX) if entries else F.lit(CVE_PREFIX)
+    return F.concat(prefix, number)
+
+
 def cve_of(orderkey) -> Column:
-    return F.concat(F.lit(CVE_PREFIX), F.lpad((orderkey % CVE_BUCKETS).cast("string"), 5, "0"))
+    return cve_of_bucket(bucket_of(orderkey))
 
 
 def link(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +74,7 @@ def link(spark: SparkSession, folder: str) -> DataFrame:
     return j.select(
         F.col("c_nationkey").alias("scan_id"),
         F.col("l_partkey").alias("partkey"),
-        (F.col("o_orderkey") % CVE_BUCKETS).alias("bucket"),
+        bucket_of(F.col("o_orderkey")).alias("bucket"),
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month_start"),
         kb_of(F.col("l_partkey")).alias("kb_id"),
         cve_of(F.col("o_orderkey")).alias("cve_id"),
@@ -59,15 +83,13 @@ def link(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def cve_of_bucket(bucket) -> Column:
-    return F.concat(F.lit(CVE_PREFIX), F.lpad(bucket.cast("string"), 5, "0"))
-
-
 def supersedes_of(partkey, size) -> Column:
-    """Edge part -> part-(1+size%5) for parts not divisible by 3 with a non-negative target."""
+    """Edge part -> part-(1+size%5) for parts not divisible by 3 with a non-negative target,
+    and a cycle between the parts of remainder 1 and 2 modulo CYCLE."""
     target = partkey - (F.lit(1) + size % 5)
-    return F.when((partkey % 3 != 0) & (target >= 0), F.array(kb_of(target))).otherwise(
-        F.array().cast("array<string>"))
+    back = F.when(partkey % CYCLE == 1, partkey + 1).when(partkey % CYCLE == 2, partkey - 1)
+    return F.array_distinct(F.array_compact(F.array(
+        F.when((partkey % 3 != 0) & (target >= 0), kb_of(target)), F.when(back.isNotNull(), kb_of(back)))))
 
 
 def installed_line() -> Column:
@@ -91,14 +113,15 @@ def kb_entries(spark: SparkSession, folder: str, lnk: DataFrame | None = None,
         groups = entry_groups(lnk if lnk is not None else link(spark, folder))
     grouped = groups.select(
         "scan_id", "partkey",
-        F.array_sort(F.transform("_buckets", cve_of_bucket)).alias("cves"),
+        F.array_sort(F.transform("_buckets", lambda b: cve_of_bucket(b))).alias("cves"),
         F.array_sort(F.transform("_months", lambda m: month_id(m))).alias("months"))
     part = read_table(spark, folder, "part").select("p_partkey", "p_size")
     j = grouped.join(part, grouped.partkey == part.p_partkey)
     sup = supersedes_of(F.col("p_partkey"), F.col("p_size"))
     return j.select(
-        "scan_id", kb_of(F.col("partkey")).alias("kb_id"), "months", "cves",
-        sup.alias("supersedes"), update_type(sup).alias("update_type"))
+        "scan_id", F.when(_is(F.col("partkey"), BLANK_KB), F.lit("  ")).otherwise(kb_of(F.col("partkey"))).alias("kb_id"),
+        "months", "cves", sup.alias("supersedes"),
+        F.when(~_is(F.col("partkey"), MAPPED_KB), update_type(sup)).alias("update_type"))
 
 
 def installed(spark: SparkSession, folder: str, lnk: DataFrame | None = None,
@@ -119,14 +142,13 @@ def _pick(letters: str, idx: Column) -> Column:
 def cve_meta(spark: SparkSession, folder: str) -> DataFrame:
     """cve_meta(cve_id, severity, base_score, vector, published_date, exploitation).
 
-    The newest order of each order-key bucket describes the CVE. The pick is a
-    ``max(struct)`` aggregate, so partial aggregation keeps one row per bucket per
-    task before the shuffle and a hot bucket costs nothing extra. Row count is
-    bounded by ``CVE_BUCKETS``.
+    The newest order of each CVE number describes the CVE; some numbers have no
+    metadata, some an odd or a late date. The pick is a ``max(struct)`` aggregate, so
+    partial aggregation keeps one row per number and task before the shuffle.
     """
     o = read_table(spark, folder, "orders").select(
         "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
-    newest = (o.groupBy((F.col("o_orderkey") % CVE_BUCKETS).alias("bucket"))
+    newest = (o.withColumn("bucket", bucket_of(F.col("o_orderkey"))).where(~_is(F.col("bucket"), NO_METADATA)).groupBy("bucket")
               .agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice", "o_orderpriority")).alias("n")))
     k = F.col("n.o_orderkey")
     score = (F.floor(F.col("n.o_totalprice")).cast("bigint") % 101).cast("double") / 10
@@ -137,16 +159,24 @@ def cve_meta(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("/S:U/C:"), _pick(C_LETTERS, k % 3),
         F.lit("/I:N/A:N")))
     return newest.select(
-        cve_of(k).alias("cve_id"),
+        cve_of_bucket(F.col("bucket"), entries=False).alias("cve_id"),
         severity_of(score).alias("severity"),
         score.alias("base_score"),
         vector.alias("vector"),
-        F.date_format(F.col("n.o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_date"),
+        published_text(F.col("n.o_orderdate"), F.col("bucket")).alias("published_date"),
         F.when(F.col("n.o_orderpriority") == URGENT_PRIORITY, F.lit(EXPLOITED_TEXT))
         .otherwise(F.lit(NOT_EXPLOITED_TEXT)).alias("exploitation"),
     )
 
 
+def published_text(date, bucket) -> Column:
+    """Publication text; late numbers have seven fraction digits, odd ones are not ISO."""
+    late = F.date_format(date + F.expr(f"INTERVAL {LATE_YEARS} YEAR"), "yyyy-MM-dd'T'HH:mm:ss")
+    return (F.when(_is(bucket, ODD_DATE), F.lit("/Date(0)/"))
+            .when(_is(bucket, LATE_DATE), F.concat(late, F.lit(".0000000Z")))
+            .otherwise(F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+
 def severity_of(score: Column) -> Column:
     """Vendor-style severity text from the base score (fixture rule)."""
     return (F.when(score >= 9.0, "Critical").when(score >= 7.0, "Important")
@@ -207,6 +237,26 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     return c.select(update_id.alias("update_id"), title.alias("title"), v.alias("candidate_pos"))
 
 
+CANDIDATES_PER_PAGE = 40
+
+
+def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalog search pages (page_id, html): the candidates as rows of a result table, some
+    with quotes, entities and a table inside a cell."""
+    c = candidates(spark, folder).withColumn("part", F.substring("update_id", 1, 8).cast("long"))
+    cell = lambda text: F.concat(F.lit("<td>"), text, F.lit("</td>"))
+    title = F.replace("title", F.lit(" for "), F.lit("&#32;for<br/>"))
+    title = F.when(F.col("part") % 5 == 0, F.concat(F.lit("<table><tr><td>"), title, F.lit("</td></tr></table>"))).otherwise(title)
+    row = F.concat(F.lit("<tr id='"), F.col("update_id"), F.lit("_R"), F.col("candidate_pos").cast("string"), F.lit("'>"),
+                   F.lit("<td></td>"), cell(title), cell(F.lit("Windows 11 &amp; later")), cell(F.lit("Security Updates")),
+                   cell(F.lit("1/9/2024")), cell(F.lit("n/a")), cell(F.lit("1.0 GB")), F.lit("<td><input/></td></tr>"))
+    rows = c.select(F.floor(F.col("part") / (CANDIDATES_PER_PAGE // 4)).cast("long").alias("page_id"),
+                    F.struct("part", "candidate_pos", row.alias("row")).alias("r"))
+    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # CANDIDATES_PER_PAGE rows a page
+    return pages.select("page_id", F.concat(F.lit('<html><body><table id="ctl00_catalogBody_updateMatches"><tr id="headerRow"><th>Title</th></tr>'),
+                                            F.array_join(F.transform("rs", lambda x: x["row"]), ""), F.lit("</table></body></html>")).alias("html"))
+
+
 def targets(spark: SparkSession, folder: str) -> DataFrame:
     """Per part the KB to find and the host constraints it must satisfy."""
     part = read_table(spark, folder, "part").select("p_partkey", "p_size")
@@ -239,11 +289,16 @@ def product_rows(spark: SparkSession, folder: str, lnk: DataFrame | None = None)
                                           F.get(F.array(*[F.lit(v) for v in DISPLAY_VERSIONS]), (p % 3).cast("int"))))
     name = F.concat(F.lit("Windows 1"), (p % 2).cast("string"), F.coalesce(version, F.lit("")), arch_text)
     target = p - (F.lit(1) + F.col("p_size") % 5)
-    sup = F.when((p % 3 != 0) & (target >= 0), (F.lit(KB_BASE) + target).cast("string"))
+    digits = lambda part: (F.lit(KB_BASE) + part).cast("string")
+    # only the first number of a value counts; some parts have a second article, some CVE texts are untidy
+    sup = F.when((p % 3 != 0) & (target >= 0), F.when(p % 7 == 4, F.concat(F.lit("kb"), digits(target), F.lit("; "), digits(p)))
+                 .otherwise(digits(target)))
+    articles = F.when(p % 11 == 4, F.array(digits(p), F.concat(F.lit("see KB"), digits(p + 1)), F.lit("Release Notes"))).otherwise(
+        F.array(digits(p)))
+    cve = F.when(p % 5 == 2, F.concat(F.lit(" "), F.lower("cve_id"), F.lit("\t"))).otherwise(F.col("cve_id"))
     return j.select("scan_id", "month", F.date_trunc("month", "l_shipdate").cast("date").alias("month_start"),
                     name.alias("full_product_name"),
-                    F.array((F.lit(KB_BASE) + p).cast("string")).alias("kb_articles"),
-                    F.col("cve_id").alias("cve"), sup.alias("supercedence"))
+                    articles.alias("kb_articles"), cve.alias("cve"), sup.alias("supercedence"))
 
 
 def hotfixes(spark: SparkSession, folder: str, lnk: DataFrame | None = None) -> DataFrame:
@@ -279,7 +334,8 @@ def advisory_vulnerabilities(spark: SparkSession, folder: str) -> DataFrame:
     vector = F.when(k % VECTOR_NULL_MODULUS != 0, F.concat(
         F.lit("CVSS:3.1/AV:"), _pick(AV_LETTERS, k % 4), F.lit("/AC:L/PR:"), _pick(PR_LETTERS, k % 3),
         F.lit("/UI:"), _pick(UI_LETTERS, k % 2), F.lit("/S:U/C:"), _pick(C_LETTERS, k % 3), F.lit("/I:N/A:N")))
-    cve = F.when(k % 2 == 1, F.lower(cve_of(k))).otherwise(cve_of(k))
+    own = cve_of_bucket(bucket_of(k), entries=False)
+    cve = F.when(k % 2 == 1, F.lower(own)).otherwise(own)
     expl = F.when(F.col("o_orderpriority") == URGENT_PRIORITY, F.lit(EXPLOITED_TEXT)).otherwise(F.lit(NOT_EXPLOITED_TEXT))
     threat = lambda t, text: F.struct(F.lit(t).alias("Type"), F.struct(text.alias("Value")).alias("Description"))
     v = F.struct(

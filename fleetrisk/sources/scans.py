@@ -1,15 +1,15 @@
 """Scan documents (one multi-line JSON file per host scan) as DataFrames.
 
 A directory of scan files of mixed vintages reads into one DataFrame with the
-superset schema; ``scan_id`` is the file name without extension, ``host`` the
-parent folder, ``scan_ts`` from the ``scan_yyyyMMdd_HHmmss`` name (else the
+superset schema; ``scan_id`` is ``host/file`` (parent folder and file name without
+extension, so equal file names of two hosts stay apart), ``host`` the parent folder, ``scan_ts`` from the ``scan_yyyyMMdd_HHmmss`` name (else the
 file's modification time). The nested arrays are exploded into the tables the
 operators use (kb_entry, installed, stored missing).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetrisk import schemas
@@ -18,6 +18,17 @@ from fleetrisk.functions.ids import normalise_id, update_type
 SCAN_NAME_TS = r"scan_(\d{8}_\d{6})"
 
 
+def scan_host() -> Column:
+    """Parent folder of the file a row was read from."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    return F.get(parts, F.size(parts) - 2)
+
+
+def scan_identity() -> Column:
+    """``host/file``: what identifies a scan in batch reads and streams."""
+    return F.concat(scan_host(), F.lit("/"), F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+
+
 def read_scans(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
     """All scan documents under ``path`` (recursive), one row per file.
 
@@ -31,11 +42,8 @@ def read_scans(spark: SparkSession, path: str, required: bool = True) -> DataFra
           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path))
     name = F.col("_metadata.file_name")
     stamp = F.regexp_extract(name, SCAN_NAME_TS, 1)
-    parts = F.split(F.col("_metadata.file_path"), "/")
     out = df.select(
-        "*",
-        F.regexp_replace(name, r"\.json$", "").alias("scan_id"),
-        F.get(parts, F.size(parts) - 2).alias("host"),
+        "*", scan_identity().alias("scan_id"), scan_host().alias("host"),
         F.coalesce(F.try_to_timestamp(F.when(stamp != "", stamp), F.lit("yyyyMMdd_HHmmss")),
                    F.col("_metadata.file_modification_time")).alias("scan_ts"),
         name.alias("file_name"),
@@ -96,4 +104,5 @@ def export_scans(entries: DataFrame, installed_kbs: DataFrame, missing: DataFram
     b = baseline.select("scan_id", F.struct(*[c for c in baseline.columns if c not in ("scan_id", "host")]).alias("Baseline"))
     doc = (b.join(i, "scan_id", "left").join(r, "scan_id", "left").join(e, "scan_id", "left")
            .join(m, "scan_id", "left"))
-    doc.write.mode(mode).partitionBy("scan_id").json(path)
+    # one task writes a scan's folder, so there are not tasks x scans files
+    doc.repartition("scan_id").write.mode(mode).partitionBy("scan_id").json(path)

@@ -52,15 +52,28 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def write_ranking(ranking: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Ranking JSON sink; nested CVE arrays kept, one folder per scan."""
-    ranking.write.mode(mode).partitionBy("scan_id").json(path)
+    """Ranking JSON sink; nested CVE arrays kept, one folder and one writing task per scan."""
+    ranking.repartition("scan_id").write.mode(mode).partitionBy("scan_id").json(path)
 
 
 def read_ranking(spark: SparkSession, path: str) -> DataFrame:
-    """Ranking JSON source with the ranking schema; rows that are not objects go to _corrupt_record."""
-    schema = schemas.RANKING.add("_corrupt_record", T.StringType())
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    return df
+    """Ranking JSON source with the ranking schema.
+
+    Accepts JSON lines (as ``write_ranking`` writes them) and files that are one JSON list.
+    Rows that are not objects go to _corrupt_record; so does a line that is a list or a scalar.
+    """
+    schema = T.StructType([*schemas.RANKING.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def read_ranking_list(spark: SparkSession, path: str) -> DataFrame:
+    """Ranking file whose top level must be a JSON list of objects; anything else raises."""
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    not_list = whole.where(~(F.col("value").startswith("[") & F.col("value").endswith("]")))
+    if not not_list.isEmpty():
+        raise ValueError(f"ranking file below {path} is not a JSON list")
+    parsed = F.from_json("value", T.ArrayType(schemas.RANKING))
+    return whole.select(F.inline(parsed))
 
 
 def write_summary(spark: SparkSession, run_id: str, stage: str, metrics: DataFrame, path: str) -> None:

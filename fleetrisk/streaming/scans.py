@@ -3,10 +3,10 @@
 New scan files landing in a folder are read as a file stream with the scan
 schema; every micro-batch is flattened against the scans' stored missing sets,
 enriched with the scored CVE dimension (a static, size-bounded broadcast),
-rolled up to KB grain, ranked per scan and appended to a parquet table. A scan
-file is a complete document, so batches need no state across triggers; the
-stream's own checkpoint (offsets and committed files) lives in the shared
-checkpoint folder, so a restarted query resumes exactly once.
+rolled up to KB grain, ranked per scan and written to the batch's own folder of a
+parquet table. A scan file is a complete document, so batches need no state across
+triggers. foreachBatch may run a batch again after a failure; the run overwrites
+the folder ``batch_id=N`` it wrote before, so the table holds each batch once.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def scan_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     df = reader.json(path)
-    return df.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("scan_id"))
+    return df.select("*", scan_source.scan_identity().alias("scan_id"))
 
 
 def rank_batch(batch: DataFrame, dimension: DataFrame, bound_rows: int | None) -> DataFrame:
@@ -49,7 +49,7 @@ def start_ranking_stream(spark: SparkSession, scan_path: str, dimension: DataFra
 
     def write(batch: DataFrame, batch_id: int) -> None:
         ranked = rank_batch(batch, dimension, bound_rows)
-        ranked.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(output_path)
+        ranked.write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/batch_id={batch_id}")
 
     writer = scan_stream(spark, scan_path).writeStream.queryName(name).foreachBatch(write).option(
         "checkpointLocation", base)

@@ -106,9 +106,9 @@ def test_closure_matches_bfs_on_random_graphs(spark):
             roots.add((scan, n))
     want = bfs(edges, roots)
     assert reach(spark, sorted(edges), sorted(roots)) == want
-    # co-partitioned caches from the start, from the second round on, and with block merges
-    assert reach(spark, sorted(edges), sorted(roots), co_partition_rows=0) == want
-    assert reach(spark, sorted(edges), sorted(roots), co_partition_rows=len(edges) + 1, merge_every=2) == want
+    # single edges as well as long jumps, and with block merges
+    assert reach(spark, sorted(edges), sorted(roots), stride=1, merge_every=2) == want
+    assert reach(spark, sorted(edges), sorted(roots), stride=8) == want
     # present + missing covers expected, and they are disjoint
     data = [(s, k, [], ["CVE-2024-0001"], sorted({b for (s2, a, b) in edges if s2 == s and a == k}), None)
             for s in ("s1", "s2", "s3") for k in [f"K{i}" for i in range(30)]]
@@ -138,11 +138,10 @@ def test_merge_and_product_map(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test tables not present")
-def test_closure_paths_agree_on_tables(spark):
+def test_closure_strides_agree_on_tables(spark):
     from fleetrisk.sources import derived as dv
     groups = dv.entry_groups(dv.link(spark, SMOKE))
     edges = closure.edges_from_entries(dv.kb_entries(spark, SMOKE, groups=groups))
     roots = dv.installed(spark, SMOKE, groups=groups)
     plain = sorted(map(tuple, closure.closure(edges, roots).collect()))
-    assert plain and plain == sorted(map(tuple, closure.closure(edges, roots, co_partition_rows=0,
-                                                                 merge_every=3).collect()))
+    assert plain and plain == sorted(map(tuple, closure.closure(edges, roots, stride=1, merge_every=3).collect()))

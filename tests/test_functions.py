@@ -123,3 +123,24 @@ def test_patch_age_ignores_session_time_zone(spark):
             assert [r[0] for r in df.select(cvss.patch_age_days(F.col("p"), as_of)).collect()] == expected, tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_seven_digit_fractions_are_cut(spark):
+    from fleetrisk.functions.cvss import patch_age_days
+    df = spark.createDataFrame([("2024-01-01T00:00:00.1234567Z",), ("2024-01-01T00:00:00.1234567890+02:00",)], "d string")
+    ages = [r.a for r in df.select(patch_age_days(F.col("d"), F.lit("2024-01-11 12:00:00")).alias("a")).collect()]
+    assert ages == [10, 10]
+
+
+def test_hosts_keep_their_rows(spark):
+    from fleetrisk.operators import baseline
+    b = spark.createDataFrame([("a", True, "2024-Jan", "nonsense"), ("b", True, "2024-Jan", "2024-Feb")],
+                              "scan_id string, IsAdmin boolean, LcuMonthId string, MsrcLatestMonthId string")
+    months, rejects = baseline.month_window(b)
+    assert {r.scan_id for r in months.collect()} == {"b"} and [tuple(r) for r in rejects.collect()] == [("a", baseline.REASON_BAD_END)]
+    hosts = spark.createDataFrame([("a", None, "24H2", "x64", None), ("b", "Windows 11", "24H2", "x64", "2024-02-01")],
+                                  "scan_id string, family string, display_version string, arch_token string, latest_month string")
+    hosts = hosts.withColumn("latest_month", F.to_date("latest_month"))
+    products = spark.createDataFrame([("2024-01-01", "Windows 11 Version 24H2 for x64-based Systems")], "month string, product_name string")
+    found = {r.scan_id: (r.product_name_hint, r.match_rank) for r in baseline.resolve_product(hosts, products.withColumn("month", F.to_date("month"))).collect()}
+    assert found == {"a": (None, None), "b": ("Windows 11 Version 24H2 for x64-based Systems", 1)}

@@ -28,8 +28,8 @@ def labelled(spark):
 
 
 def test_unseen_and_null_categories_encode_to_zero(spark):
-    train = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 3.0)], "c string, x double")
-    stages = ml.preprocessing(scale=False, categorical=("c",), numeric=("x",))
+    train = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 1.0), ("a", 3.0, 1.0)], "c string, x double, row_weight double")
+    stages = ml.preprocessing(train, scale=False, categorical=("c",), numeric=("x",))
     model = Pipeline(stages=stages).fit(train)
     test = spark.createDataFrame([("a", 1.0), ("zzz", 1.0), (None, 1.0)], "c string, x double")
     vecs = [r.features.toArray().tolist() for r in model.transform(test).collect()]
@@ -72,8 +72,41 @@ def test_compaction_keeps_weights(spark, labelled):
     assert c.agg(F.sum("row_weight")).first()[0] == 600
 
 
+def test_compacted_features_equal_uncompacted(spark, labelled):
+    """Weighted preprocessing of compacted rows gives the features of the rows themselves."""
+    frame = ml.model_frame(labelled).unionByName(ml.model_frame(labelled.where("cvss_score > 6")))
+    each = frame.withColumn("row_weight", F.lit(1.0))
+    inputs = list(ml.MODEL_INPUTS)
+    out = {}
+    for name, rows in (("each", each), ("compact", ml.compact(frame))):
+        model = Pipeline(stages=ml.preprocessing(rows, scale=True)).fit(rows)
+        out[name] = {tuple(r[c] for c in inputs): r.features.toArray() for r in model.transform(frame.select(*inputs)).distinct().collect()}
+    assert out["each"].keys() == out["compact"].keys()
+    assert max(abs(out["each"][k] - out["compact"][k]).max() for k in out["each"]) < 1e-9
+    scaled = [v[:3] for r in each.select(*inputs).collect() for v in [out["each"][tuple(r[c] for c in inputs)]]]
+    n = len(scaled)
+    for i in range(3):
+        mean = sum(v[i] for v in scaled) / n
+        assert abs(mean) < 1e-9 and abs(sum(v[i] ** 2 for v in scaled) / n - 1) < 1e-9
+
+
+def test_weighted_median(spark):
+    for values in ([(1.0, 1.0), (2.0, 1.0), (9.0, 5.0)], [(1.0, 2.0), (4.0, 2.0)], [(3.0, 1.0), (None, 9.0)]):
+        flat = sorted(v for v, w in values for _ in range(int(w)) if v is not None)
+        want = (flat[(len(flat) - 1) // 2] + flat[len(flat) // 2]) / 2
+        assert ml.weighted_median(spark.createDataFrame(values, "x double, w double"), "x", "w") == want
+
+
+def test_stage_metric_and_status(spark):
+    metrics = spark.createDataFrame([("mae", 0.5)], "metric string, value double")
+    summary = ml.run_summary("r1", {"regression": metrics})
+    assert [tuple(r) for r in ml.stage_metric(summary, "regression", "mae").collect()] == [("r1", 0.5)]
+    assert {(r.stage, r.status) for r in ml.run_status(summary, ["regression", "clustering"]).collect()} == {
+        ("regression", "complete"), ("clustering", "missing")}
+
+
 def test_elbow_k1_is_total_sum_of_squares(spark, labelled):
-    e = {r.k: r.wcss for r in ml.elbow(ml.training_set(labelled), max_k=3).collect()}
+    e = {r.k: r.wcss for r in ml.elbow(ml.training_set(labelled), max_k=3, restarts=2).collect()}
     assert e[1] >= e[2] >= e[3] >= 0
 
 

@@ -122,3 +122,20 @@ def test_text_extraction(spark):
     urls = [(u.pos, u.url, u.file_name) for u in text.extract_urls(pages).orderBy("pos").collect()]
     assert urls == [(0, "https://dl.example.com/a/windows11-kb5001234-x64.msu?x=1", "windows11-kb5001234-x64.msu"),
                     (1, "http://dl.example.com/b/b.CAB", "b.CAB")]
+
+
+def test_result_rows_follow_markup(spark):
+    """Nested tables, single quotes, entities and unclosed cells are read as a browser does."""
+    update = "0a1b2c3d-0000-4000-8000-00000000abcd"
+    page = (f"<table id='other'><tr id='{update}_R0'>" + "<td>x</td>" * 8 + "</tr></table>"
+            f"<TABLE class=a id='{text.RESULT_TABLE_ID}'><tr id='{update}_R7'><td><td><table><tr><td>A &#38; B</td></tr></table>"
+            "<td>p&#x2014;q<td>c<td>d<td>v<td>s<td>last</tr></TABLE>")
+    pages = spark.createDataFrame([(1, page, "u"), (2, None, "u"), (3, "<table", "u")], "page_id long, html string, title string")
+    rows = text.result_rows(pages).collect()
+    assert [(r.page_id, r.candidate_pos, r.update_id, r.title, r.products, r.size) for r in rows] == [(1, 0, update, "A & B", "p\u2014q", "s")]
+
+
+def test_title_keys_have_target_lengths_only(spark):
+    df = spark.createDataFrame([("Update (KB5001234)",)], "title string")
+    keys = df.select(match.title_kb_keys(F.col("title"), [7]).alias("k")).first().k
+    assert keys == ["KB5001234"] and len(df.select(match.title_kb_keys(F.col("title")).alias("k")).first().k) == 7

@@ -24,11 +24,19 @@ def test_stream_ranks_new_scans(spark, tmp_path):
                                     checkpoint=str(tmp_path / "ckpt"), available_now=True)
     q.awaitTermination(120)
     got = [(r.scan_id, r["rank"], r.kb_id) for r in spark.read.parquet(out).orderBy("rank").collect()]
-    assert got == [("scan_a", 1, "KB2"), ("scan_a", 2, "KB1")]
+    assert got == [("land/scan_a", 1, "KB2"), ("land/scan_a", 2, "KB1")]
     # a second file arriving later is picked up by a restarted query; the first is not re-read
     (land / "scan_b.json").write_text(json.dumps(doc))
     q = stream.start_ranking_stream(spark, str(land), dim, out, bound_rows=2,
                                     checkpoint=str(tmp_path / "ckpt"), available_now=True)
     q.awaitTermination(120)
     counts = {r.scan_id: r["count"] for r in spark.read.parquet(out).groupBy("scan_id").count().collect()}
-    assert counts == {"scan_a": 2, "scan_b": 2}
+    assert counts == {"land/scan_a": 2, "land/scan_b": 2}
+
+
+def test_a_batch_run_again_is_written_once(spark, tmp_path, monkeypatch):
+    """foreachBatch is at least once: writing the same batch twice leaves it once."""
+    rows = spark.createDataFrame([("h/a", 1)], "scan_id string, rank int")
+    for _ in range(2):
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/out/batch_id=0")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
