@@ -166,11 +166,13 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def tile_pairs(node: np.ndarray, component: np.ndarray, side: np.ndarray, regs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Likely pairs (rows of two nodes) across components in one tile.
+def tile_pairs(key: int, node: np.ndarray, component: np.ndarray, side: np.ndarray, regs: np.ndarray, sizes: np.ndarray,
+               keys: np.ndarray) -> np.ndarray:
+    """Likely pairs (rows of two nodes) across components in one tile of the band ``key``.
 
-    side: 0 or 1; where both occur, pairs have one node of each side. Accidental register matches
-    only raise the raw share, so it rules pairs out before the corrected estimate.
+    side: 0 or 1; where both occur, pairs have one node of each side. A pair that shares an
+    earlier band too is left to that one. Accidental register matches only raise the
+    raw share, so it rules pairs out before the corrected estimate.
     """
     both_sides = side.min() != side.max()
     has = (regs > 0).astype(np.float32)
@@ -181,6 +183,8 @@ def tile_pairs(node: np.ndarray, component: np.ndarray, side: np.ndarray, regs:
         if both_sides:
             rest = rest[side[rest] != side[i]]
         rest = rest[(0.85 * sizes[rest] <= sizes[i] + 1e-9) & (0.85 * sizes[i] <= sizes[rest] + 1e-9)]
+        equal = keys[rest] == keys[i]
+        rest = rest[keys[i][equal.argmax(axis=1)] == key]
         if not len(rest):
             continue
         used = count[rest] + count[i] - has[rest] @ has[i]
@@ -206,17 +210,18 @@ def across(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("tiles"))
     dealt = mixed.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     tile = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = stored(dealt.select("node", "component", tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("side")), "tiles")
+    dealt = stored(dealt.select("key", "node", "component", tile.alias("tile"), (F.col("own") > F.col("other")).cast("int").alias("side")), "tiles")
     tasks = 1 + dealt.count() // TASK_ROWS
     rows = dealt.join(nodes.select("node", "sketch", "n"), "node").withColumn("task", F.pmod(F.col("tile"), F.lit(tasks)))
 
     def compare(table: pa.Table) -> pa.Table:
-        node, component, tile, side, sizes = (table.column(k).to_numpy() for k in ("node", "component", "tile", "side", "n"))
+        key, node, component, tile, side, sizes = (table.column(k).to_numpy() for k in ("key", "node", "component", "tile", "side", "n"))
         regs = _regs(table.column("sketch"))
+        keys = band_keys(regs)
         order = np.argsort(tile, kind="stable")
         first = np.flatnonzero(np.diff(tile[order], prepend=tile[order[:1]] - 1))
-        found = [tile_pairs(*(x[own] for x in (node, component, side, regs, sizes))) for own in np.split(order, first[1:])]
-        pairs = np.unique(np.concatenate(found), axis=0)
+        found = [tile_pairs(key[own[0]], *(x[own] for x in (node, component, side, regs, sizes, keys))) for own in np.split(order, first[1:])]
+        pairs = np.concatenate(found)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return rows.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
