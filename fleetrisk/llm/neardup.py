@@ -35,6 +35,8 @@ MANTISSA = 10
 BANDS, ROWS = 25, 5
 #: standard deviations that the estimate may fall short of the threshold
 SLACK = 4.5
+#: text bytes handled at once: word hashing holds some 40 bytes for each
+SLICE = 2 << 20
 #: documents of a band on each side of a tile
 TILE = 256
 #: rows of a task's tiles, about
@@ -106,7 +108,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 sets = shingle_sets(part.column(2))
                 regs = registers(sets)
                 keys = band_keys(regs)
@@ -231,7 +233,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are alike; texts: node, text."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in text_slices(batch, "x"):
+            for part in text_slices(batch, "x", SLICE):
                 sets = []
                 for id_at, text_at in ((0, 2), (1, 3)):
                     _, first, back = np.unique(part.column(id_at).to_numpy(), return_index=True, return_inverse=True)

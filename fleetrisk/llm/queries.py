@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import decontaminate, langid, neardup, packing, secrets, spotsigs, substrings, token_counts, warc
+from fleetrisk.llm import decontaminate, langid, neardup, packing, quality, secrets, spotsigs, substrings, token_counts, warc
 from fleetrisk.llm.common import table
 
 
@@ -41,9 +41,13 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neardup, op2_warc, op3_packing, op4_langid, op5_spotsigs, op6_secrets, op7_decontaminate, op8_substrings, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_neardup, op2_warc, op3_packing, op4_langid, op5_spotsigs, op6_secrets, op7_decontaminate, op8_substrings, op9_quality, op10_token_counts)}
 ORACLE = {"op8_substrings": substrings.ORACLE, "op6_secrets": secrets.ORACLE, "op7_decontaminate": decontaminate.ORACLE}

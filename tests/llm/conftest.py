@@ -6,9 +6,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import pytest  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(autouse=True)
 def ready(request):
     if "spark" in request.fixturenames:

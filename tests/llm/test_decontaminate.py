@@ -1,11 +1,10 @@
 import hashlib
 
 import brute
+from brute import SF
 from fleetrisk.llm import decontaminate as de
 from fleetrisk.llm.common import table
 
-from conftest import SF
-
 LONG = " ".join(f"word{k}" for k in range(20))
 ITEMS = [(1, LONG), (2, "Tiny item"), (10, "tiny ITEM!"), (3, ""), (4, None), (5, "the the the the"), (6, "x" + " ".join(f"word{k}" for k in range(3, 18))), (1, LONG)]
 DOCS = [(1, f"before {LONG.upper()} after"), (2, "a tiny-item here"), (3, None), (4, ""), (5, "the THE the the the the"), (6, "word1 word2 word3 " + "é" * 5),

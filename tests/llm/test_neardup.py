@@ -4,11 +4,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import brute
+from brute import SF
 from fleetrisk.llm import neardup
 from fleetrisk.llm.common import table
 
-from conftest import SF
-
 
 def texts(seed=3):
     rng = random.Random(seed)

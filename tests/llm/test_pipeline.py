@@ -2,12 +2,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import brute
+from brute import SF
 import corpus_pipeline as pipeline
 from fleetrisk.llm import langid, packing
 from fleetrisk.llm.common import table
 
-from conftest import SF
-
 
 def test_run_is_brute_force(spark):
     docs = table(spark, SF, "documents")

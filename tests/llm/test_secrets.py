@@ -1,11 +1,10 @@
 import hashlib
 
 import brute
+from brute import SF
 from fleetrisk.llm import secrets
 from fleetrisk.llm.common import table
 
-from conftest import SF
-
 AKIA = "AKIA" + "Q7" * 8
 ROWS = [
     (1, 'x password = "abcdefghijklmnop" y'), (2, "password:secret : abcdefghijklmn"), (3, f"😀 {AKIA} and {'0123456789abcdef' * 2} é TOKEN=zzzzzzzzzzzz"),

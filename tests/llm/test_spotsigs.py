@@ -1,10 +1,9 @@
 import hashlib
 
+from brute import SF
 from fleetrisk.llm import spotsigs
 from fleetrisk.llm.common import table
 
-from conftest import SF
-
 
 def check(rows, found):
     order = sorted(rows, key=lambda r: r[0])

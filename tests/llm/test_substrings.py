@@ -1,11 +1,10 @@
 import random
 
 import brute
+from brute import SF
 from fleetrisk.llm import substrings
 from fleetrisk.llm.common import table
 
-from conftest import SF
-
 
 def rows(seed=5):
     rng = random.Random(seed)

@@ -6,11 +6,10 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from brute import SF
 from fleetrisk.llm import warc
 from fleetrisk.llm.common import table
 
-from conftest import SF
-
 PAGES = [(3, "http://a", "same"), (1, "http://b", "same"), (2, "http://c\r\nX: y", "other é"), (4, None, None), (5, "u", ""),
          (None, "n", "same"), (None, "n", "alone"), (2, "http://c", "other é"), (6, "big", "x" * 300_000)]
 SCHEMA = "page_id long, url string, html string"
