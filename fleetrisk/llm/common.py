@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from fleetrisk.session import ensure_checkpoint_dir
 
+#: whole texts go to Python workers in batches of bounded size
+ARROW_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: UTF-8 bytes handled at once inside a task, whatever the Arrow batch size
 SLICE_BYTES = 4 << 20
 
@@ -51,8 +53,10 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """What every operator needs of a session: the shared folder and this package on the executors."""
+    """What every operator needs of a session: the shared folder, this package on the executors, small Arrow batches."""
     ensure_checkpoint_dir(spark)
+    for name, value in ARROW_CONF.items():
+        spark.conf.set(name, value)
     ship_code(spark)
 
 

@@ -44,9 +44,8 @@ class Model(NamedTuple):
 @lru_cache(maxsize=1)
 def letters() -> tuple[np.ndarray, np.ndarray]:
     """(is a letter, lower-case form) of each code point."""
-    chars = [chr(c) for c in range(0x110000)]
-    is_letter = np.fromiter((unicodedata.category(c)[0] == "L" for c in chars), bool, 0x110000)
-    lower = np.fromiter((ord(low) if len(low := c.lower()) == 1 else ord(c) for c in chars), np.uint32, 0x110000)
+    is_letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+    lower = np.fromiter((ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0x110000)), np.uint32, 0x110000)
     return is_letter, lower
 
 
