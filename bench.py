@@ -21,7 +21,8 @@ from fleetrisk.session import build_session  # noqa: E402
 HEADLINE = [
     "flatten_training", "enriched", "validated", "kb_ranking", "closure_pairs", "kb_status",
     "scan_summary", "fleet_ranking", "cve_preview", "candidate_scores", "best_candidate",
-    "month_window", "page_links", "ml_cluster_profile",
+    "month_window", "page_links", "ml_cluster_profile", "ml_scaling", "ml_split_sizes", "ml_classification_eval",
+    "report_lines", "nested_ranking", "missing_update_candidates", "result_rows",
 ]
 
 

@@ -46,17 +46,17 @@ def _unmatched_policy(thresholds: Thresholds) -> dict[str, Column]:
             "policy_drivers": cols["policy_drivers"], "top_driver": cols["top_driver"]}
 
 
-def enrich(flat: DataFrame, dim: DataFrame, bound_rows: int | None = None,
+def enrich(flat: DataFrame, dim: DataFrame, measured: bool = False,
            scored: bool = False, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """flat LEFT JOIN dimension on normalised cve_id; unmatched rows keep null metadata.
 
-    The dimension is broadcast when its row bound is proven (one row per CVE id),
-    so the fact side is not shuffled. With ``scored`` the dimension already holds
+    The dimension is broadcast when its measured size allows (``measured``: the caller
+    did that), so the fact side is not shuffled. With ``scored`` the dimension already holds
     the policy columns; unmatched rows get the policy of an all-null row.
     """
     f = flat.withColumns({"kb_id": normalise_id("kb_id"), "cve_id": normalise_id("cve_id")})
     d = dim.withColumn("_matched", F.lit(True))
-    out = join_dimension(f, d, "cve_id", "left", bound_rows=bound_rows)
+    out = join_dimension(f, d, "cve_id", "left", measured=measured)
     if scored:
         default = _unmatched_policy(thresholds)
         out = out.withColumns({c: F.when(F.col("_matched"), F.col(c)).otherwise(default[c]) for c in POLICY_COLUMNS})
@@ -70,22 +70,25 @@ def coverage(flat: DataFrame, dim: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return requested, requested.join(keys, "cve_id", "left_semi"), requested.join(keys, "cve_id", "left_anti")
 
 
-def enrich_counters(flat: DataFrame, dim: DataFrame, enriched: DataFrame) -> DataFrame:
-    """requested/matched/missing CVEs, metadata rows, rows with score / vector, model rows."""
-    requested, matched, missing = coverage(flat, dim)
-    rows = enriched.agg(
-        F.count(F.lit(1)).alias("rows_enriched"),
-        F.count("cvss_score").alias("rows_with_cvss_score"),
-        F.count("attack_vector").alias("rows_with_attack_vector"),
-        F.count_if(F.col("cvss_score").isNotNull() & F.col("attack_vector").isNotNull()).alias("rows_with_model_metadata"),
-    )
-    return long_metrics(
-        dim.agg(F.count(F.lit(1)).alias("metadata_cves_returned")),
-        requested.agg(F.count(F.lit(1)).alias("requested_cves")),
-        matched.agg(F.count(F.lit(1)).alias("matched_cves")),
-        missing.agg(F.count(F.lit(1)).alias("missing_metadata_cves")),
-        rows,
-    )
+def enrich_counters(flat: DataFrame, dim: DataFrame) -> DataFrame:
+    """requested/matched/missing CVEs, metadata rows, rows with score / vector, model rows.
+
+    All come from rows counted per CVE, fully joined to the dimension: the flat rows are
+    read once, and every sum is over CVEs.
+    """
+    rows = flat.groupBy(normalise_id("cve_id").alias("cve_id")).agg(F.count(F.lit(1)).alias("rows"))
+    meta = dim.select("cve_id", F.lit(True).alias("_meta"), "cvss_score", "attack_vector")
+    each = rows.join(meta, "cve_id", "full").withColumns({"rows": F.coalesce("rows", F.lit(0)), "_meta": F.coalesce("_meta", F.lit(False))})
+    requested = (F.col("rows") > 0) & is_cve_id("cve_id")
+    score, vector = F.col("cvss_score").isNotNull(), F.col("attack_vector").isNotNull()
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("rows"))), F.lit(0))
+    return long_metrics(each.agg(
+        F.count_if("_meta").alias("metadata_cves_returned"),
+        F.count_if(requested).alias("requested_cves"),
+        F.count_if(requested & F.col("_meta")).alias("matched_cves"),
+        F.count_if(requested & ~F.col("_meta")).alias("missing_metadata_cves"),
+        total(F.lit(True)).alias("rows_enriched"), total(score).alias("rows_with_cvss_score"),
+        total(vector).alias("rows_with_attack_vector"), total(score & vector).alias("rows_with_model_metadata")))
 
 
 def first_missing(flat: DataFrame, dim: DataFrame, n: int = 10) -> DataFrame:

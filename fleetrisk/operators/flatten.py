@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +81,13 @@ def flatten_counters(kb_entry: DataFrame, deduped: DataFrame, missing: DataFrame
     return long_metrics(*frames, derived={"duplicate_rows_removed": "raw_rows_created - rows_created"})
 
 
-def scope_counts(flat: DataFrame, exact: bool = True) -> DataFrame:
-    """Distinct KBs, CVEs, months and row count (one row)."""
-    dc = F.countDistinct if exact else F.approx_count_distinct
-    return flat.agg(dc("kb_id").alias("unique_kbs"), dc("cve_id").alias("unique_cves"),
-                    dc("month").alias("unique_months"), F.count(F.lit(1)).alias("rows"))
+def scope_counts(flat: DataFrame) -> DataFrame:
+    """Distinct KBs, CVEs, months and row count (one row): three narrow distincts side by side."""
+    parts = [flat.select(c).distinct().agg(F.count(c).alias("n")).select(F.lit(name).alias("name"), "n")
+             for c, name in (("kb_id", "unique_kbs"), ("cve_id", "unique_cves"), ("month", "unique_months"))]
+    parts.append(flat.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("name"), "n"))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in ("unique_kbs", "unique_cves", "unique_months", "rows")])
 
 
 def source_summary(kb_entry: DataFrame, missing: DataFrame, scan_col: str = "scan_id") -> DataFrame:

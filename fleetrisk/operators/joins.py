@@ -1,30 +1,28 @@
-"""Join helpers: broadcast only behind a size bound, shuffle join beyond it."""
+"""Join helpers: broadcast only behind a measured size, shuffle join beyond it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# largest dimension (rows) we are willing to ship to every executor
-BROADCAST_ROW_LIMIT = 2_000_000
+# largest side (bytes of its rows as text) we are willing to ship to every executor
+BROADCAST_BYTES = 64 << 20
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                   bound_rows: int | None = None, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join a large fact table to a dimension.
+def sized(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``dim`` materialised, and marked for broadcast if its measured bytes stay within the bound.
 
-    ``bound_rows`` is a *proven* upper bound on the dimension's rows (e.g. the
-    number of CVE ids a feed can hold, or a key space fixed by construction).
-    With a bound under ``max_rows`` the dimension is broadcast and the fact side
-    keeps its partitioning (no shuffle). Without one, the dimension is
-    materialised to the reliable checkpoint folder and counted; if it is still
-    small it is broadcast, otherwise the join is a shuffle join and AQE's
-    skew-join handling covers hot keys.
+    It is saved to the reliable checkpoint folder once, so measuring it doesn't
+    compute it twice. Beyond the bound AQE plans the join, with its skew handling.
     """
-    if bound_rows is not None and bound_rows <= max_rows:
-        return fact.join(F.broadcast(dim), on, how)
-    if bound_rows is None:
-        dim = dim.checkpoint(eager=True)
-        if dim.count() <= max_rows:
-            return fact.join(F.broadcast(dim), on, how)
-    return fact.join(dim, on, how)
+    dim = dim.checkpoint(eager=True)
+    size = dim.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in dim.columns]))))).first()[0] or 0
+    return F.broadcast(dim) if size <= max_bytes else dim
+
+
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left", measured: bool = False) -> DataFrame:
+    """Join a large fact table to a dimension; ``measured`` says that ``dim`` comes from ``sized``.
+
+    A broadcast dimension leaves the fact side where it is (no shuffle).
+    """
+    return fact.join(dim if measured else sized(dim), on, how)

@@ -152,7 +152,7 @@ def stratified_split(df: DataFrame, label: str, test_percent: int = TEST_PERCENT
     hashed = df.withColumn("_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))
     ranked = rank_within(hashed, [label], [F.col("_h").asc()] + [F.col(k).asc() for k in key], "_r")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(F.broadcast(counts), label)
+    ranked = ranked.join(counts, label)  # as many rows as labels: AQE broadcasts it
     n_train = F.col("_n") - F.ceil(F.col("_n") * test_percent / 100.0)
     is_train = F.col("_r") <= n_train
     return (ranked.where(is_train).drop("_h", "_r", "_n"), ranked.where(~is_train).drop("_h", "_r", "_n"))
@@ -176,7 +176,7 @@ def balanced_weights(df: DataFrame, label: str, count_col: str | None = None) ->
     everything = Window.partitionBy()  # over the k-row class table only
     w = counts.select(label, (F.sum("_nc").over(everything)
                               / (F.count(F.lit(1)).over(everything) * F.col("_nc"))).alias("_cw"))
-    return df.join(F.broadcast(w), label).withColumn("class_weight", F.col("_cw") * rows).drop("_cw")
+    return df.join(w, label).withColumn("class_weight", F.col("_cw") * rows).drop("_cw")
 
 
 def fit_classification(train: DataFrame, label: str = "priority_label", max_iter: int = LOGISTIC_MAX_ITER,
@@ -368,7 +368,7 @@ def predict(models: Models, scored: DataFrame) -> DataFrame:
     The three models see only the model inputs, which take as many distinct
     values as there are CVE profiles. So inference runs once per distinct input
     profile (a partially aggregated distinct), and the predictions join back to
-    the rows null-safe on the inputs, broadcast only under the checked row bound.
+    the rows null-safe on the inputs, broadcast only under the measured size bound.
     """
     frame = model_frame(scored)
     inputs = list(MODEL_INPUTS)

@@ -160,28 +160,27 @@ def rejected(df: DataFrame, required: dict[str, str] = REQUIRED) -> DataFrame:
     return out.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
 
 
-def validation_counters(df: DataFrame, validated: DataFrame, required: dict[str, str] = REQUIRED) -> DataFrame:
+def validation_counters(df: DataFrame, required: dict[str, str] = REQUIRED, keys=DEDUP_KEYS) -> DataFrame:
     """rows_before, non_cve_rows_removed, rows_missing_required_fields, duplicate_rows_removed, rows_after, rows_dropped.
 
-    One pass over the input for the first three; the post-dedup count is a
-    second aggregate. Returned in long form (metric, value).
+    One pass: rows are counted per key, and the sums are over keys. Returned in long form (metric, value).
     """
     src = ensure_columns(df, required)
     cve_ok = is_cve_id("cve_id")
     missing = F.lit(False)
     for name in required:
         missing = missing | F.col(name).isNull()
-    before = src.agg(
-        F.count(F.lit(1)).alias("rows_before"),
-        F.count_if(~cve_ok).alias("non_cve_rows_removed"),
-        F.count_if(cve_ok & missing).alias("rows_missing_required_fields"),
-        F.count_if(cve_ok & ~missing).alias("rows_kept_before_dedup"),
-    )
-    after = validated.agg(F.count(F.lit(1)).alias("rows_after"))
-    return long_metrics(before, after, derived={
-        "duplicate_rows_removed": "rows_kept_before_dedup - rows_after",
-        "rows_dropped": "rows_before - rows_after",
-    }, drop=["rows_kept_before_dedup"])
+    ids = {"kb_id", "cve_id", "scan_id"}
+    each = src.select(*[(normalise_id(k) if k in ids - {"scan_id"} else F.col(k)).alias(k) for k in keys],
+                      (~cve_ok).cast("long").alias("_bad"), (cve_ok & missing).cast("long").alias("_missing"))
+    counted = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_bad").alias("_bad"), F.sum("_missing").alias("_missing"))
+    kept = F.col("_rows") - F.col("_bad") - F.col("_missing")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = counted.agg(total("_rows").alias("rows_before"), total("_bad").alias("non_cve_rows_removed"),
+                      total("_missing").alias("rows_missing_required_fields"),
+                      total(F.greatest(kept - 1, F.lit(0))).alias("duplicate_rows_removed"),
+                      F.count_if(kept > 0).alias("rows_after"))
+    return long_metrics(out.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after")))
 
 
 def long_metrics(*one_row_frames: DataFrame, derived: dict[str, str] | None = None,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.display import join_list
-from fleetrisk.operators.joins import BROADCAST_ROW_LIMIT
+from fleetrisk.operators.joins import sized
 from fleetrisk.operators.policy import DEFAULT_DRIVER
 
 # fixed values: priority order and preview sizes
@@ -62,7 +62,7 @@ def kb_rollup(scored: DataFrame, keys=("scan_id",), with_ml: bool = False) -> Da
 
 
 def rank_within(df: DataFrame, partition_cols, order_cols, rank_col: str = "rank",
-                num_partitions: int | None = None, offsets_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """row_number() over (partition by ... order by ...) without a single-task group.
 
     A window partitioned by scan puts a whole scan in one task; a hot scan (a
@@ -92,9 +92,8 @@ def rank_within(df: DataFrame, partition_cols, order_cols, rank_col: str = "rank
         F.col("_part").alias("_s_part"),
         *[F.col(c).alias(f"_s_{i}") for i, c in enumerate(partition_cols)],
         (F.col("_first") - F.coalesce(F.sum("_n").over(running), F.lit(0))).alias("_base"))
-    # stats has at most (#range partitions + #groups) rows; broadcast only below the limit
-    stats = stats.checkpoint(eager=True)
-    side = F.broadcast(stats) if stats.count() <= offsets_broadcast_rows else stats
+    # stats has at most (#range partitions + #groups) rows
+    side = sized(stats)
     cond = [F.col("_part") == F.col("_s_part")] + [
         F.col(c).eqNullSafe(F.col(f"_s_{i}")) for i, c in enumerate(partition_cols)]
     out = laid.join(side, cond).withColumn(rank_col, (F.col("_pos") - F.col("_base") + 1).cast("int"))

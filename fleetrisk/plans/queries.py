@@ -62,7 +62,7 @@ def flatten_training(spark, d):
 @query
 def flatten_counters(spark, d):
     """Raw rows, skipped entries / ids, duplicates (long table)."""
-    entries = dv.kb_entries(spark, d)
+    entries = dv.kb_entries(spark, d).checkpoint(eager=True)  # read twice below
     return fl.flatten_counters(entries, fl.dedupe(fl.flatten(entries)))
 
 
@@ -91,7 +91,7 @@ def enrich_counters(spark, d):
     """G4 + J2: requested / matched / missing CVEs and metadata row counts."""
     flat = training_flat(spark, d)
     dim = cve_dim(spark, d)
-    return en.enrich_counters(flat, dim, en.enrich(flat, dim))
+    return en.enrich_counters(flat, dim)
 
 
 @query
@@ -110,7 +110,7 @@ def validated(spark, d):
 def validation_counters(spark, d):
     """Rows before/after, dropped, non-CVE, missing required, duplicates."""
     labelled = po.label(training_enriched(spark, d))
-    return po.validation_counters(labelled, po.validate(labelled))
+    return po.validation_counters(labelled)
 
 
 @query
@@ -489,8 +489,8 @@ from fleetrisk.plans import report as rp  # noqa: E402
 @query
 def report_lines(spark, d):
     """S10 + C7: per-scan Markdown report lines (summary, ranked table, drivers, CVE review)."""
-    scored = runtime_validated(spark, d)
-    ranking = rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",))
+    scored = runtime_validated(spark, d).checkpoint(eager=True)
+    ranking = rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",)).checkpoint(eager=True)
     return rp.scan_report(ranking, scored, rk.ranking_summary(ranking))
 
 

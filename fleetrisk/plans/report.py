@@ -33,15 +33,19 @@ NOTES = (
 COLS = ("scan_id", "section", "k1", "k2", "k3", "line")
 
 
-def _lines(df: DataFrame, section: int, k1: Column, k2: int, k3: Column, line: Column,
-           scan: Column | None = None) -> DataFrame:
-    return df.select((scan if scan is not None else F.col("scan_id").cast("string")).alias("scan_id"),
-                     F.lit(section).alias("section"), k1.cast("long").alias("k1"), F.lit(k2).alias("k2"),
-                     k3.cast("long").alias("k3"), line.alias("line"))
+def _many(df: DataFrame, lines: list[tuple], scan: Column | None = None) -> DataFrame:
+    """Lines (section, k1, k2, k3, line) of each row: one explode of an array of structs."""
+    structs = [F.struct(F.lit(section).alias("section"), _col(k1).cast("long").alias("k1"), F.lit(k2).alias("k2"),
+                        _col(k3).cast("long").alias("k3"), _col(line).alias("line")) for section, k1, k2, k3, line in lines]
+    return df.select((scan if scan is not None else F.col("scan_id").cast("string")).alias("scan_id"), F.inline(F.array(*structs)))
 
 
-def _fixed(df: DataFrame, section: int, k1: int, texts, scan: Column | None = None) -> list[DataFrame]:
-    return [_lines(df, section, F.lit(k1), i, F.lit(0), F.lit(t), scan) for i, t in enumerate(texts)]
+def _col(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _fixed(section: int, k1: int, texts) -> list[tuple]:
+    return [(section, k1, i, 0, t) for i, t in enumerate(texts)]
 
 
 def _f2(c) -> Column:
@@ -55,42 +59,30 @@ def _opt(df: DataFrame, name: str, default) -> Column:
 
 def scan_report(ranking: DataFrame, scored: DataFrame, summary: DataFrame) -> DataFrame:
     """Per-scan sections: summary, ranked remediation, review drivers, CVE-level review."""
-    scans = summary.select("scan_id")
-    parts: list[DataFrame] = []
-    parts += _fixed(scans, 0, 0, [TITLE, ""])
-    s = summary
-    parts.append(_lines(s, 1, F.lit(0), 0, F.lit(0), F.lit("## Runtime Summary")))
-    for i, (label, value) in enumerate([
-            ("Missing KBs reviewed", F.col("kb_count").cast("string")),
-            ("CVEs reviewed", F.col("cves_reviewed").cast("string")),
-            ("Highest policy risk", _f2("highest_policy_risk")),
-            ("Highest ML risk", _f2(_opt(s, "highest_ml_risk", None))),
-            ("Highest priority", F.coalesce(_opt(s, "highest_policy_priority", "Unknown"), F.lit("Unknown")))], 1):
-        parts.append(_lines(s, 1, F.lit(i), 0, F.lit(0), F.concat(F.lit(f"- {label}: "), value)))
-    parts.append(_lines(s, 1, F.lit(99), 0, F.lit(0), F.lit("")))
-
-    r = ranking
-    parts += _fixed(scans, 4, 0, ["## Ranked Remediation", "",
-                                  "| Rank | KB | Policy Risk | ML Risk | Priority | ML Priority | Cluster | CVEs | Top Driver |",
-                                  "|---:|---|---:|---:|---|---|---:|---:|---|"])
+    s, r = summary, ranking
+    labels = [("Missing KBs reviewed", F.col("kb_count").cast("string")), ("CVEs reviewed", F.col("cves_reviewed").cast("string")),
+              ("Highest policy risk", _f2("highest_policy_risk")), ("Highest ML risk", _f2(_opt(s, "highest_ml_risk", None))),
+              ("Highest priority", F.coalesce(_opt(s, "highest_policy_priority", "Unknown"), F.lit("Unknown")))]
+    per_scan = _many(s, [
+        *_fixed(0, 0, [TITLE, ""]), (1, 0, 0, 0, "## Runtime Summary"),
+        *[(1, i, 0, 0, F.concat(F.lit(f"- {label}: "), value)) for i, (label, value) in enumerate(labels, 1)], (1, 99, 0, 0, ""),
+        *_fixed(4, 0, ["## Ranked Remediation", "",
+                       "| Rank | KB | Policy Risk | ML Risk | Priority | ML Priority | Cluster | CVEs | Top Driver |",
+                       "|---:|---|---:|---:|---|---|---:|---:|---|"]), *_fixed(4, 1 << 40, [""]),
+        *_fixed(5, 0, ["## Review Drivers", ""]), *_fixed(5, 1 << 40, [""]),
+        *_fixed(6, 0, ["## Ranking Review", ""])])
     row = F.concat_ws(" | ", F.col("rank").cast("string"), md_escape("kb_id"), _f2("policy_risk"),
                       _f2(_opt(r, "ml_risk", None)), md_escape("policy_priority"),
                       md_escape(F.coalesce(_opt(r, "ml_priority", None), F.lit("Unknown"))),
                       F.coalesce(_opt(r, "cluster", None), F.lit(0)).cast("string"),
                       F.col("cve_count").cast("string"), md_escape("top_driver"))
-    parts.append(_lines(r, 4, F.col("rank"), 0, F.lit(0), F.concat(F.lit("| "), row, F.lit(" |"))))
-    parts += _fixed(scans, 4, 1 << 40, [""])
-
-    parts += _fixed(scans, 5, 0, ["## Review Drivers", ""])
-    parts.append(_lines(r, 5, F.col("rank"), 0, F.lit(0),
-                        F.concat(F.lit("- **"), md_escape("kb_id"), F.lit("**: "), md_escape("review_reason"))))
-    parts += _fixed(scans, 5, 1 << 40, [""])
-
-    parts += _fixed(scans, 6, 0, ["## Ranking Review", ""])
-    parts += [_lines(r, 6, F.col("rank"), i, F.lit(0), line) for i, line in enumerate([
-        F.concat(F.lit("### "), md_escape("kb_id")), F.lit(""),
-        F.lit("| CVE | Policy Risk | ML Risk | Policy Priority | ML Priority | Cluster | Driver | Policy Drivers |"),
-        F.lit("|---|---:|---:|---|---|---:|---|---|")])]
+    rank = F.col("rank")
+    per_kb = _many(r, [
+        (4, rank, 0, 0, F.concat(F.lit("| "), row, F.lit(" |"))),
+        (5, rank, 0, 0, F.concat(F.lit("- **"), md_escape("kb_id"), F.lit("**: "), md_escape("review_reason"))),
+        (6, rank, 0, 0, F.concat(F.lit("### "), md_escape("kb_id"))), (6, rank, 1, 0, ""),
+        (6, rank, 2, 0, "| CVE | Policy Risk | ML Risk | Policy Priority | ML Priority | Cluster | Driver | Policy Drivers |"),
+        (6, rank, 3, 0, "|---|---:|---:|---|---|---:|---|---|"), (6, rank, 5, 0, "")])
     # position of each CVE row inside its KB: distributed rank, so one very large KB
     # is numbered across many tasks instead of sorted in one
     sc = rank_within(scored.join(ranking.select("scan_id", "kb_id", "rank"), ["scan_id", "kb_id"]),
@@ -99,30 +91,20 @@ def scan_report(ranking: DataFrame, scored: DataFrame, summary: DataFrame) -> Da
                           md_escape("policy_priority"), md_escape(F.coalesce(_opt(sc, "ml_priority", None), F.lit("Unknown"))),
                           F.coalesce(_opt(sc, "cluster", None), F.lit(0)).cast("string"), md_escape("top_driver"),
                           md_escape(F.array_join("policy_drivers", ", ")))
-    parts.append(_lines(sc, 6, F.col("rank"), 4, F.col("_p"), F.concat(F.lit("| "), cve_row, F.lit(" |"))))
-    parts.append(_lines(r, 6, F.col("rank"), 5, F.lit(0), F.lit("")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    per_cve = _many(sc, [(6, F.col("rank"), 4, F.col("_p"), F.concat(F.lit("| "), cve_row, F.lit(" |")))])
+    return per_scan.unionByName(per_kb).unionByName(per_cve)
 
 
 def fleet_report(spark: SparkSession, model_summary: DataFrame | None) -> DataFrame:
     """Fleet document: model evaluation table, method and notes."""
-    one = spark.range(1)
     fleet = F.lit(FLEET_DOC)
-    parts = _fixed(one, 0, 0, [TITLE + " (fleet)", ""], fleet)
-    parts += _fixed(one, 2, 0, ["## Model Evaluation", "", "| Model | Metric | Value |", "|---|---|---:|"], fleet)
+    out = _many(spark.range(1), [
+        *_fixed(0, 0, [TITLE + " (fleet)", ""]), *_fixed(2, 0, ["## Model Evaluation", "", "| Model | Metric | Value |", "|---|---|---:|"]),
+        *_fixed(3, 0, ["", "## Method", "", METHOD_TEXT, ""]), *_fixed(7, 0, ["## Notes", "", *NOTES, ""])], fleet)
     if model_summary is not None:
-        m = model_summary.withColumn("_k", F.xxhash64("stage", "metric"))
-        parts.append(_lines(m, 2, F.lit(1), 0, F.col("_k"), F.concat(
+        out = out.unionByName(_many(model_summary, [(2, 1, 0, F.xxhash64("stage", "metric"), F.concat(
             F.lit("| "), md_escape("stage"), F.lit(" | "), md_escape("metric"), F.lit(" | "),
-            F.format_string("%.4f", F.col("value")), F.lit(" |")), fleet))
-    parts += _fixed(one, 3, 0, ["", "## Method", "", METHOD_TEXT, ""], fleet)
-    parts += _fixed(one, 7, 0, ["## Notes", "", *NOTES, ""], fleet)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            F.format_string("%.4f", F.col("value")), F.lit(" |")))], fleet))
     return out
 
 

@@ -2,7 +2,7 @@
 
 New scan files landing in a folder are read as a file stream with the scan
 schema; every micro-batch is flattened against the scans' stored missing sets,
-enriched with the scored CVE dimension (a static, size-bounded broadcast),
+enriched with the scored CVE dimension (a static side, broadcast if its measured size allows),
 rolled up to KB grain, ranked per scan and written to the batch's own folder of a
 parquet table. A scan file is a complete document, so batches need no state across
 triggers. foreachBatch may run a batch again after a failure; the run overwrites
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetrisk import schemas
 from fleetrisk.operators import enrich, flatten, policy, rank
+from fleetrisk.operators.joins import sized
 from fleetrisk.session import ensure_checkpoint_dir
 from fleetrisk.sources import scans as scan_source
 
@@ -29,26 +30,27 @@ def scan_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return df.select("*", scan_source.scan_identity().alias("scan_id"))
 
 
-def rank_batch(batch: DataFrame, dimension: DataFrame, bound_rows: int | None) -> DataFrame:
+def rank_batch(batch: DataFrame, dimension: DataFrame) -> DataFrame:
     """Ranking of the missing KBs of the scans in one batch (static-DataFrame operators)."""
     docs = batch.where(F.col("_corrupt_record").isNull())
     entries = scan_source.kb_entries(docs)
     missing = scan_source.stored_missing(docs)
     flat = flatten.dedupe(flatten.flatten(entries, missing), flatten.RUNTIME_KEYS)
-    scored = policy.validate(enrich.enrich(flat, dimension, bound_rows=bound_rows, scored=True),
+    scored = policy.validate(enrich.enrich(flat, dimension, measured=True, scored=True),
                              keys=flatten.RUNTIME_KEYS)
     rolled = rank.kb_rollup(scored, keys=("scan_id",))
     return rank.rank_kbs(rolled, keys=("scan_id",))
 
 
 def start_ranking_stream(spark: SparkSession, scan_path: str, dimension: DataFrame, output_path: str,
-                         name: str = "scan_ranking", bound_rows: int | None = None,
+                         name: str = "scan_ranking",
                          checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Start the ingestion query; ``available_now`` processes what is there and stops."""
+    dimension = sized(dimension)  # measured once, not per batch
     base = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ranked = rank_batch(batch, dimension, bound_rows)
+        ranked = rank_batch(batch, dimension)
         ranked.write.mode("overwrite").parquet(f"{output_path.rstrip('/')}/batch_id={batch_id}")
 
     writer = scan_stream(spark, scan_path).writeStream.queryName(name).foreachBatch(write).option(

@@ -59,7 +59,7 @@ def test_validate_and_counters(spark):
     ], "kb_id string, cve_id string, month string, cvss_score double, attack_vector string")
     v = policy.validate(df)
     assert [(r.kb_id, r.cve_id) for r in v.collect()] == [("KB1", "CVE-2024-0001")]
-    c = {r.metric: r.value for r in policy.validation_counters(df, v).collect()}
+    c = {r.metric: r.value for r in policy.validation_counters(df).collect()}
     assert c == {"rows_before": 5, "non_cve_rows_removed": 1, "rows_missing_required_fields": 2,
                  "rows_after": 1, "duplicate_rows_removed": 1, "rows_dropped": 4}
     rej = {r.cve_id: r.reject_reason for r in policy.rejected(df).collect()}

@@ -20,14 +20,14 @@ def test_stream_ranks_new_scans(spark, tmp_path):
                                  ("CVE-2026-0002", 9.8, "Critical", None, None, None, "N", "L", "N", "N", "U", "H", "H", "H")], META)
     dim = enrich.score_dimension(dim)
     out = str(tmp_path / "out")
-    q = stream.start_ranking_stream(spark, str(land), dim, out, bound_rows=2,
+    q = stream.start_ranking_stream(spark, str(land), dim, out,
                                     checkpoint=str(tmp_path / "ckpt"), available_now=True)
     q.awaitTermination(120)
     got = [(r.scan_id, r["rank"], r.kb_id) for r in spark.read.parquet(out).orderBy("rank").collect()]
     assert got == [("land/scan_a", 1, "KB2"), ("land/scan_a", 2, "KB1")]
     # a second file arriving later is picked up by a restarted query; the first is not re-read
     (land / "scan_b.json").write_text(json.dumps(doc))
-    q = stream.start_ranking_stream(spark, str(land), dim, out, bound_rows=2,
+    q = stream.start_ranking_stream(spark, str(land), dim, out,
                                     checkpoint=str(tmp_path / "ckpt"), available_now=True)
     q.awaitTermination(120)
     counts = {r.scan_id: r["count"] for r in spark.read.parquet(out).groupBy("scan_id").count().collect()}
