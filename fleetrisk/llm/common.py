@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -95,6 +96,17 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live from stage to stage, and would keep their largest batch's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc
+        _LIBC.malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: words a worker remembers the ids of; the memo starts anew beyond that, which changes no result
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 #: below it, letters are unchanged by NFC
 LATIN_END = "\u0180"
@@ -35,6 +35,8 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 FROM_BYTE_LEVEL = {chr(b): b for b in _PRINTABLE} | {
     chr(0x100 + k): b for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
+#: text bytes encoded at once
+SLICE = 2 << 20
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
@@ -142,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_length: int = MAX_
     def run(batches):
         encode = encoder(path)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 ids, bounds = encode(part.column(1))
                 bounds, rows = bounds.tolist(), []
                 for r, doc_id in enumerate(part.column(0).to_pylist()):
