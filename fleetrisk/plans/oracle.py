@@ -453,7 +453,7 @@ SELECT n.n_nationkey AS scan_id,
        CASE WHEN n.n_nationkey % 7 <> 3 THEN b.install_time END AS lcu_install_time
 FROM nation n LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.scan_id = n.n_nationkey"""
 
-ORACLE["product_name_hint"] = with_(LINK, PRODUCTS) + """, hosts AS (
+HINTS = """hosts AS (
   SELECT n.n_nationkey AS scan_id,
     CASE WHEN n.n_nationkey % 23 <> 9 THEN 'windows 1' || CAST(n.n_nationkey % 2 AS VARCHAR) END AS fam,
     lower(CASE n.n_nationkey % 3 WHEN 0 THEN '22H2' WHEN 1 THEN '23H2' ELSE '24H2' END) AS dv,
@@ -470,11 +470,43 @@ ranked AS (
   SELECT scan_id, month, product_name, CASE
     WHEN ln = fam || ' version ' || dv || suffix THEN 1 WHEN ln = fam || suffix THEN 2
     WHEN (arch = '32-bit' AND contains(ln, '32-bit')) OR (arch <> '32-bit' AND contains(ln, arch || '-based')) THEN 3
-    ELSE 4 END AS match_rank FROM cand)
-SELECT h.scan_id, r.product_name AS product_name_hint, CAST(r.match_rank AS DOUBLE) AS match_rank, strftime(r.month, '%Y-%b') AS resolved_month_id
-FROM hosts h LEFT JOIN (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY month DESC, match_rank, product_name) AS r FROM ranked) t
-  WHERE r = 1) r ON r.scan_id = h.scan_id"""
+    ELSE 4 END AS match_rank FROM cand),
+hint AS (
+  SELECT h.scan_id, r.product_name AS product_name_hint, r.match_rank, r.month
+  FROM hosts h LEFT JOIN (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY month DESC, match_rank, product_name) AS r FROM ranked) t
+    WHERE r = 1) r ON r.scan_id = h.scan_id)"""
+
+ORACLE["product_name_hint"] = with_(LINK, PRODUCTS, HINTS) + """
+SELECT scan_id, product_name_hint, CAST(match_rank AS DOUBLE) AS match_rank, strftime(month, '%Y-%b') AS resolved_month_id FROM hint"""
+
+ORACLE["scanner_summary"] = with_rec(LINK, HOSTS, PRODUCTS, HINTS) + """, win AS (
+  SELECT scan_id, CAST(date_trunc('month', least(lcu, latest)) AS DATE) AS s, CAST(date_trunc('month', latest) AS DATE) AS e
+  FROM h WHERE scan_id % 7 <> 3 AND lcu IS NOT NULL),
+wm AS (SELECT scan_id, unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS mo FROM win),
+req AS (SELECT scan_id, strftime(mo, '%Y-%b') AS month FROM (
+  SELECT scan_id, mo, row_number() OVER (PARTITION BY scan_id ORDER BY mo) AS pos FROM wm) t WHERE pos <= 48),
+own AS (SELECT p.scan_id, p.month, 'KB' || CAST(5000000 + p.article AS VARCHAR) AS kb_id, p.sup FROM prod p
+  JOIN hint i ON i.scan_id = p.scan_id AND lower(i.product_name_hint) = lower(p.product)
+  JOIN req r ON r.scan_id = p.scan_id AND r.month = p.month),
+expected AS (SELECT DISTINCT scan_id, kb_id FROM own),
+edges AS (SELECT DISTINCT scan_id, kb_id AS src, sup AS dst FROM own WHERE sup IS NOT NULL),
+installed AS (SELECT DISTINCT scan_id, kb_id FROM link WHERE l_returnflag = 'N' AND l_linestatus = 'F'
+  AND (partkey % 2 = 0 OR scan_id % 7 <> 3) AND scan_id IN (SELECT scan_id FROM expected)),
+reach(scan_id, root_kb, kb_id) AS (
+  SELECT i.scan_id, i.kb_id, e.dst FROM installed i JOIN edges e ON e.scan_id = i.scan_id AND e.src = i.kb_id
+  UNION
+  SELECT r.scan_id, r.root_kb, e.dst FROM reach r JOIN edges e ON e.scan_id = r.scan_id AND e.src = r.kb_id),
+present AS (SELECT scan_id, kb_id FROM installed UNION SELECT scan_id, kb_id FROM reach),
+missing AS (SELECT scan_id, kb_id FROM expected EXCEPT SELECT scan_id, kb_id FROM present)
+SELECT e.scan_id, w.n AS raw_entries_returned, e.expected_kbs, coalesce(i.n, 0) AS installed_kbs, coalesce(p.n, 0) AS logical_present_kbs,
+       coalesce(s.n, 0) AS superseded_mappings, coalesce(m.n, 0) AS missing_kbs, e.expected_kbs - coalesce(m.n, 0) AS present_among_expected
+FROM (SELECT scan_id, count(*) AS expected_kbs FROM expected GROUP BY scan_id) e
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM (SELECT DISTINCT scan_id, kb_id, month FROM own) x GROUP BY scan_id) w ON w.scan_id = e.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM installed GROUP BY scan_id) i ON i.scan_id = e.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM present GROUP BY scan_id) p ON p.scan_id = e.scan_id
+LEFT JOIN (SELECT scan_id, count(DISTINCT kb_id) AS n FROM reach GROUP BY scan_id) s ON s.scan_id = e.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM missing GROUP BY scan_id) m ON m.scan_id = e.scan_id"""
 
 
 # ---------------------------------------------------------------- advisories

@@ -545,11 +545,7 @@ def lcu_context(spark, d):
     return bl.lcu_context(dv.packages(spark, d, lnk), dv.baselines(spark, d, lnk))
 
 
-@query
-def product_name_hint(spark, d):
-    """J10 + J11: best feed product name per host within six months of its latest month."""
-    lnk = dv.link(spark, d)
-    b = dv.baselines(spark, d, lnk)
+def _product_hints(spark: SparkSession, d: str, lnk: DataFrame, b: DataFrame) -> DataFrame:
     known = F.col("scan_id") % 23 != 9  # a host without a recognised family keeps its row
     hosts = b.select("scan_id", F.when(known, F.initcap(pf.os_family("OsName"))).alias("family"),
                      F.col("DisplayVersion").alias("display_version"),
@@ -557,7 +553,31 @@ def product_name_hint(spark, d):
                      parse_month_id("MsrcLatestMonthId").alias("latest_month"))
     products = dv.product_rows(spark, d, lnk).select(F.col("month_start").alias("month"),
                                                       F.col("full_product_name").alias("product_name"))
-    return bl.resolve_product(hosts, products).withColumn("match_rank", F.col("match_rank").cast("double"))
+    return bl.resolve_product(hosts, products)
+
+
+@query
+def product_name_hint(spark, d):
+    """J10 + J11: best feed product name per host within six months of its latest month."""
+    lnk = dv.link(spark, d)
+    hints = _product_hints(spark, d, lnk, dv.baselines(spark, d, lnk))
+    return hints.withColumn("match_rank", F.col("match_rank").cast("double"))
+
+
+@query
+def scanner_summary(spark, d):
+    """C1 end to end, each step on the step before: baseline and inventory, product resolution,
+    month window, the product's KB map over the requested months, closure, summary per scan."""
+    lnk = dv.link(spark, d)
+    b = dv.baselines(spark, d, lnk).checkpoint(eager=True)
+    inventory = bl.inventory(dv.hotfixes(spark, d, lnk), dv.packages(spark, d, lnk), b)
+    hints = _product_hints(spark, d, lnk, b).where("product_name_hint IS NOT NULL").select(
+        "scan_id", F.lower("product_name_hint").alias("_product"))
+    months = bl.month_window(b)[0].select("scan_id", F.col("month_id").alias("month"))
+    rows = (dv.product_rows(spark, d, lnk).withColumn("_product", F.lower("full_product_name"))
+            .join(hints, ["scan_id", "_product"], "left_semi").join(months, ["scan_id", "month"], "left_semi"))
+    entries = co.product_kb_map(rows).checkpoint(eager=True)
+    return co.scan_summary(co.correlate(entries, inventory.join(entries.select("scan_id").distinct(), "scan_id", "left_semi")))
 
 
 # ---------------------------------------------------------------- advisories
