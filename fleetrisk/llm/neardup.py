@@ -353,3 +353,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return rest
     repeated = docs.join(bounded(odd.where("__kept")), same).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
     return rest.unionByName(repeated)
+
+
+#: links of all pairs of distinct sets that share a shingle, and what they reach
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5
+    THEN list_transform(range(0, len(w) - 4), lambda i: array_to_string(list_slice(w, i + 1, i + 5), ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d),
+nodes AS MATERIALIZED (SELECT min(doc_id) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+each AS (SELECT node, n, unnest(s) AS g FROM nodes),
+pairs AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+          FROM each a JOIN each b ON a.g = b.g AND a.node < b.node GROUP BY a.node, b.node),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (na + nb - shared)),
+edge AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (SELECT DISTINCT a, a FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.other),
+comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+deg AS (SELECT a AS node, count(*) AS n_links FROM edge GROUP BY a)
+SELECT x.doc_id, CAST(len(x.s) AS BIGINT) AS n_shingles, coalesce(c.component, nd.node, x.doc_id) AS component_id,
+       x.doc_id = coalesce(c.component, nd.node, x.doc_id) AS kept, CAST(coalesce(g.n_links, 0) AS BIGINT) AS n_links
+FROM sets x LEFT JOIN nodes nd ON nd.s = x.s LEFT JOIN comp c ON c.node = nd.node LEFT JOIN deg g ON g.node = nd.node
+"""

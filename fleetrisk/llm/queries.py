@@ -9,7 +9,7 @@ from fleetrisk.llm.common import table
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,4 +50,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_neardup, op2_warc, op3_packing, op4_langid, op5_spotsigs, op6_secrets, op7_decontaminate, op8_substrings, op9_quality, op10_token_counts)}
-ORACLE = {"op8_substrings": substrings.ORACLE, "op6_secrets": secrets.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+ORACLE = {"op1_neardup": neardup.ORACLE, "op2_warc": warc.ORACLE, "op8_substrings": substrings.ORACLE, "op6_secrets": secrets.ORACLE, "op7_decontaminate": decontaminate.ORACLE}

@@ -339,3 +339,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
     responses = read_archives(spark, path, "measure").where(F.col("record_type") == "response")
     revisits = read_archives(spark, path, "none").where(F.col("record_type") == "revisit")
     return responses.select(*columns).unionByName(revisits.select(*columns))
+
+
+#: the rows of ``round_trip``: what the archives must give back
+ORACLE = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT hex, min(page_id) AS first_id FROM p GROUP BY hex HAVING count(*) > 1),
+j AS (SELECT p.*, CASE WHEN f.first_id IS NOT NULL AND p.page_id IS DISTINCT FROM f.first_id THEN f.first_id END AS refers_to
+      FROM p LEFT JOIN f USING (hex))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM j
+"""
