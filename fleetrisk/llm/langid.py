@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from fleetrisk.llm.common import MIX_1, MIX_2, GOLDEN, crc_mod, text_slices
+from fleetrisk.llm.common import GOLDEN, MIX_1, MIX_2, crc_mod, give_back, text_slices
 
 #: hashed trigram features
 FEATURES = 4096
@@ -129,6 +129,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int
         if not len(x):
             return pd.DataFrame({"lang": [], "lowest": [], "centroid": []})
         means = spherical_means(x, clusters)
+        give_back()
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "lowest": float((x @ means.T).max(axis=1).min()),
                              "centroid": [c.astype("<f4").tobytes() for c in means]})
 

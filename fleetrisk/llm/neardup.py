@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import GOLDEN, mix64, stored, text_slices, window_hashes, words_of
+from fleetrisk.llm.common import GOLDEN, give_back, mix64, stored, text_slices, window_hashes, words_of
 from fleetrisk.llm.decontaminate import bounded
 
 SHINGLE = 5
@@ -36,7 +36,7 @@ BANDS, ROWS = 25, 5
 #: standard deviations that the estimate may fall short of the threshold
 SLACK = 4.5
 #: text bytes handled at once: word hashing holds some 40 bytes for each
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: documents of a band on each side of a tile
 TILE = 256
 #: rows of a task's tiles, about
@@ -163,6 +163,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 found, used = estimate(_regs(batch.column(2)), _regs(batch.column(3)))
                 sizes = (batch.column(k).to_numpy() for k in (4, 5))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found >= floor_of(used, *sizes)))
+        give_back()
 
     left, right = (nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
@@ -224,6 +225,7 @@ def across(placed: DataFrame, nodes: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.diff(tile[order], prepend=tile[order[:1]] - 1))
         found = [tile_pairs(key[own[0]], *(x[own] for x in (node, component, side, regs, sizes, keys))) for own in np.split(order, first[1:])]
         pairs = np.concatenate(found)
+        give_back()
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return rows.groupBy("task").applyInArrow(compare, "a long, b long").distinct()

@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import text_slices, words_of
+from fleetrisk.llm.common import give_back, text_slices, words_of
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -36,7 +36,7 @@ FROM_BYTE_LEVEL = {chr(b): b for b in _PRINTABLE} | {
     chr(0x100 + k): b for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 #: text bytes encoded at once
-SLICE = 2 << 20
+SLICE = 1 << 20
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
@@ -123,7 +123,9 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    found = WordEncoder(path)
+    give_back()  # what reading the file took
+    return found
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, max_length: int = MAX_LENGTH,

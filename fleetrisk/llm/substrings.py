@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import stored, text_slices, window_hashes, words_of
+from fleetrisk.llm.common import give_back, stored, text_slices, window_hashes, words_of
 from fleetrisk.llm.decontaminate import bounded
 
 WINDOW = 13
@@ -163,6 +163,7 @@ def _answers(part: int, blocks: list[int], sizes: list[int], marked: np.ndarray,
         at += n
         if own.any():
             rows.append((part, block, pack(row[own], place[own])))
+    give_back()
     return pa.Table.from_batches([_messages(rows)])
 
 
