@@ -124,6 +124,16 @@ def cve_preview(scored: DataFrame, keys=("scan_id",), k: int = TOP_CVE_PREVIEW_L
             .withColumn("hidden_count", F.greatest(F.col("cve_total") - k, F.lit(0))))
 
 
+def cve_counts(scored: DataFrame, keys=("scan_id",)) -> DataFrame:
+    """Per KB its CVE rows (CVE x month, what rankings count) and its distinct CVEs.
+
+    Rows are first counted per CVE, so no task gathers a KB's ids.
+    """
+    keys = list(keys)
+    each = scored.groupBy(*keys, "kb_id", "cve_id").agg(F.count(F.lit(1)).alias("_n"))
+    return each.groupBy(*keys, "kb_id").agg(F.sum("_n").alias("cve_rows"), F.count(F.lit(1)).alias("distinct_cves"))
+
+
 def label_distribution(df: DataFrame, label_col: str = "priority_label") -> DataFrame:
     return df.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("count"))
 

@@ -572,6 +572,9 @@ SELECT CAST(scan_id AS VARCHAR) AS scan_id, CAST(section AS INTEGER) AS section,
 
 # ---------------------------------------------------------------- nested ranking, counters, candidates, models
 
+ORACLE["cve_counts"] = FLEET + """
+SELECT scan_id, kb_id, count(*) AS cve_rows, count(DISTINCT cve_id) AS distinct_cves FROM rt_valid GROUP BY scan_id, kb_id"""
+
 ORACLE["nested_ranking"] = FLEET + """
 SELECT r.scan_id, r.rank, r.kb_id, count(*) AS cve_rows,
        string_agg(v.cve_id || '|' || printf('%.2f', v.policy_risk) || '|' || v.policy_priority || '|' || v.policy_drivers, '; '

@@ -240,6 +240,12 @@ def fleet_ranking(spark, d):
     return runtime_ranking(spark, d)
 
 
+@query
+def cve_counts(spark, d):
+    """Per scan and missing KB: CVE rows and distinct CVEs."""
+    return rk.cve_counts(runtime_validated(spark, d))
+
+
 @query
 def nested_ranking(spark, d):
     """R2: each ranked KB with its CVE list by risk, written as text for comparison."""
