@@ -16,8 +16,8 @@ def check(rows, found):
         r = by_id[doc_id]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if text == follows:
-            assert r.near_next == 1 and r.near_edited == 1 or n == 0
+        assert r.near_next == 1 if text == follows else True
+        assert (r.fingerprint == r.edited_fingerprint and r.near_edited == 1) if text == edited else True
 
 
 def test_given_table(spark):

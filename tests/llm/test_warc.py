@@ -49,7 +49,7 @@ def test_predicates_are_pushed_and_bodies_skipped(spark):
     path = warc.write_archives(spark.createDataFrame(PAGES, SCHEMA))
     one = warc.read_archives(spark, path, "none").where("page_id = 3 and record_type = 'revisit'")
     assert [(r.payload, r.refers_to, r.payload_bytes) for r in one.collect()] == [(None, 1, 4)]
-    assert "(page_id" not in one._jdf.queryExecution().executedPlan().toString().replace("warc", "")
+    assert " = 3" not in one._jdf.queryExecution().executedPlan().toString()  # no test is left above the scan
     assert warc.read_archives(spark, path, "none").where(F.col("page_id").isin(2, 6)).count() == 3
 
 
