@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from fleetrisk.llm import decontaminate, langid, neardup, packing, secrets
 from fleetrisk.llm.common import prepare, stored, table
 
+#: the near-dedup stage links texts whose shingle sets have this Jaccard similarity, in percent, or more
+NEAR_PERCENT = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; without letters, or far from every centroid, they go."""
@@ -21,9 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates."""
+    """One document, the smallest doc_id, of each group of near duplicates of NEAR_PERCENT or more."""
     prepare(spark)
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ drops a candidate; a family of many documents that are alike but not linked cost
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,12 @@ from fleetrisk.llm.common import GOLDEN, give_back, mix64, stored, text_slices,
 from fleetrisk.llm.decontaminate import bounded
 
 SHINGLE = 5
-#: link if 100 * intersection >= 85 * union
+#: link if 100 * intersection >= percent * union; op1's, where no other is asked for
 LINK_PERCENT = 85
 REGISTERS = 256
 MANTISSA = 10
-#: a pair of similarity 0.85 shares no band with a chance of (1 - 0.85**5)**25 < 1e-6
-BANDS, ROWS = 25, 5
+#: registers of a band, and the chance that a pair at the threshold shares no band: (1 - 0.85**5)**25 < 5e-7
+ROWS, MISS = 5, 5e-7
 #: standard deviations that the estimate may fall short of the threshold
 SLACK = 4.5
 #: text bytes handled at once: word hashing holds some 40 bytes for each
@@ -92,16 +93,27 @@ def filled(regs: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """rows x BANDS keys (int64) of the filled registers."""
-    used = filled(regs)[:, :BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), used.shape[:2]).copy()
-    for k in range(ROWS):
+def bands_of(percent: int) -> tuple[int, int]:
+    """(bands, rows): the fewest bands that miss a pair at the threshold with a chance below MISS; rows are fewer if registers don't suffice."""
+    for rows in range(ROWS, 0, -1):
+        share = min((percent / 100) ** rows, 1 - 1e-9)
+        bands = math.ceil(math.log(MISS) / math.log1p(-share))
+        if bands * rows <= REGISTERS:
+            return max(bands, 1), rows
+    raise ValueError(f"{REGISTERS} registers are too few for a threshold of {percent} %")
+
+
+def band_keys(regs: np.ndarray, percent: int = LINK_PERCENT) -> np.ndarray:
+    """rows x bands keys (int64) of the filled registers."""
+    bands, rows = bands_of(percent)
+    used = filled(regs)[:, :bands * rows].reshape(len(regs), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), used.shape[:2]).copy()
+    for k in range(rows):
         key = mix64(key * GOLDEN + used[:, :, k])
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """doc_id, text_hash, n, set_a, set_b (128-bit hash of the shingle set), sketch (registers), bands; whole texts, one row each."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()),
                         ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -111,9 +123,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             for part in text_slices(batch, limit=SLICE):
                 sets = shingle_sets(part.column(2))
                 regs = registers(sets)
-                keys = band_keys(regs)
+                keys = band_keys(regs, percent)
                 sums = np.array([(int(s.sum(dtype=np.uint64)), int(mix64(s ^ GOLDEN).sum(dtype=np.uint64))) for s in sets], np.uint64).reshape(-1, 2)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(sums[:, 0].view(np.int64).copy()),
                                                   pa.array(sums[:, 1].view(np.int64).copy()), pa.array([r.tobytes() for r in regs], pa.binary()), lists], schema=schema)
 
@@ -140,12 +152,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip((same - expected) / np.maximum(used - expected, 1e-9), 0, 1), used
 
 
-def floor_of(used: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
+def floor_of(used: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int = LINK_PERCENT) -> np.ndarray:
     """The least estimate that a link may show: SLACK deviations below the threshold.
 
     ``used`` registers are a sample without replacement of the union's shingles.
     """
-    limit = LINK_PERCENT / 100
+    limit = percent / 100
     union = np.maximum((sizes_a + sizes_b) / (1 + limit), 1)
     unseen = np.clip(1 - used / union, 0.25, 1)
     return limit - SLACK * np.sqrt(limit * (1 - limit) / np.maximum(used, 1) * unseen) - 0.01
@@ -155,14 +167,14 @@ def _regs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """The pairs (a, b) whose estimate a link may show."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             if batch.num_rows:
                 found, used = estimate(_regs(batch.column(2)), _regs(batch.column(3)))
                 sizes = (batch.column(k).to_numpy() for k in (4, 5))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found >= floor_of(used, *sizes)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(found >= floor_of(used, *sizes, percent)))
         give_back()
 
     left, right = (nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
@@ -170,7 +182,7 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def tile_pairs(key: int, node: np.ndarray, component: np.ndarray, side: np.ndarray, regs: np.ndarray, sizes: np.ndarray,
-               keys: np.ndarray) -> np.ndarray:
+               keys: np.ndarray, percent: int = LINK_PERCENT) -> np.ndarray:
     """Likely pairs (rows of two nodes) across components in one tile of the band ``key``.
 
     side: 0 or 1; where both occur, pairs have one node of each side. A pair that shares an
@@ -178,6 +190,7 @@ def tile_pairs(key: int, node: np.ndarray, component: np.ndarray, side: np.ndarr
     raw share, so it rules pairs out before the corrected estimate.
     """
     both_sides = side.min() != side.max()
+    limit = percent / 100
     has = (regs > 0).astype(np.float32)
     count = has.sum(axis=1)
     found = []
@@ -185,22 +198,22 @@ def tile_pairs(key: int, node: np.ndarray, component: np.ndarray, side: np.ndarr
         rest = np.flatnonzero(component[i + 1:] != component[i]) + i + 1
         if both_sides:
             rest = rest[side[rest] != side[i]]
-        rest = rest[(0.85 * sizes[rest] <= sizes[i] + 1e-9) & (0.85 * sizes[i] <= sizes[rest] + 1e-9)]
+        rest = rest[(limit * sizes[rest] <= sizes[i] + 1e-9) & (limit * sizes[i] <= sizes[rest] + 1e-9)]
         equal = keys[rest] == keys[i]
         rest = rest[keys[i][equal.argmax(axis=1)] == key]
         if not len(rest):
             continue
         used = count[rest] + count[i] - has[rest] @ has[i]
         same = ((regs[rest] == regs[i]) & (regs[i] > 0)).sum(axis=1)
-        rest = rest[same >= used * floor_of(used, sizes[rest], sizes[i])]
+        rest = rest[same >= used * floor_of(used, sizes[rest], sizes[i], percent)]
         if len(rest):
             close, used = estimate(regs[rest], np.broadcast_to(regs[i], (len(rest), REGISTERS)))
-            rest = rest[close >= floor_of(used, sizes[rest], sizes[i])]
+            rest = rest[close >= floor_of(used, sizes[rest], sizes[i], percent)]
             found.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])], axis=1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def across(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+def across(placed: DataFrame, nodes: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """Likely pairs (a, b) of different components that share a band of three documents or more.
 
     placed: key, node, component. A band's documents are dealt into tiles by a hash of
@@ -220,10 +233,10 @@ def across(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         key, node, component, tile, side, sizes = (table.column(k).to_numpy() for k in ("key", "node", "component", "tile", "side", "n"))
         regs = _regs(table.column("sketch"))
-        keys = band_keys(regs)
+        keys = band_keys(regs, percent)
         order = np.argsort(tile, kind="stable")
         first = np.flatnonzero(np.diff(tile[order], prepend=tile[order[:1]] - 1))
-        found = [tile_pairs(key[own[0]], *(x[own] for x in (node, component, side, regs, sizes, keys))) for own in np.split(order, first[1:])]
+        found = [tile_pairs(key[own[0]], *(x[own] for x in (node, component, side, regs, sizes, keys)), percent) for own in np.split(order, first[1:])]
         pairs = np.concatenate(found)
         give_back()
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
@@ -231,7 +244,7 @@ def across(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are alike; texts: node, text."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -245,7 +258,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 for x, y in zip(*sets, strict=True):
                     # both are sorted and distinct
                     shared = int(np.count_nonzero(np.diff(np.sort(np.concatenate([x, y]), kind="stable")) == 0))
-                    keep.append(100 * shared >= LINK_PERCENT * (len(x) + len(y) - shared) and shared > 0)
+                    keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
@@ -285,7 +298,7 @@ def _dealt(key: str):
     return F.shiftright(F.col(key), 1).alias("half")
 
 
-def links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(nodes: DataFrame, docs: DataFrame, percent: int = LINK_PERCENT) -> tuple[DataFrame, DataFrame]:
     """(edges, labels) among class representatives.
 
     nodes: node, n, sketch, bands; docs: doc_id, text of at least these nodes.
@@ -298,38 +311,40 @@ def links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", _dealt("key"), F.col("hub.node").alias("hub"))
     pairs = members.select("key", "node", _dealt("key")).join(hubs, ["key", "half"]).where("node <> hub").select(
         F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    edges = confirmed_links(stored(likely(pairs, nodes), "likely"), docs)
+    edges = confirmed_links(stored(likely(pairs, nodes, percent), "likely"), docs, percent)
     labels = components(edges)
     placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    more = confirmed_links(stored(across(stored(placed, "placed"), nodes), "likely"), docs)
+    more = confirmed_links(stored(across(stored(placed, "placed"), nodes, percent), "likely"), docs, percent)
     if not more.isEmpty():
         edges = stored(edges.unionByName(more).distinct(), "links")
         labels = components(edges)
     return edges, labels
 
 
-def confirmed_links(close: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed_links(close: DataFrame, docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """Links among likely pairs (a, b), confirmed on whole texts."""
     needed = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(bounded(needed), "doc_id").select(
         F.col("doc_id").alias("node"), "text").distinct(), "texts")
-    return stored(confirmed(close, texts).distinct(), "links")
+    return stored(confirmed(close, texts, percent).distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept, n_links, text_hash.
 
+    percent: two sets are linked from this Jaccard similarity on; bands, size filter, floor of
+    the estimate and confirmation follow it.
     docs: doc_id, text; other columns are ignored. A null, empty or blank text has no
     shingles and is alone. Rows that share a doc_id are one document: their links
     add up. Rows without a doc_id join the component of an equal set but are not
     compared otherwise (component_id null if none, kept then). n_links counts links
     between class representatives. An empty table gives no rows.
     """
-    base = stored(sketches(docs), "sketches")
+    base = stored(sketches(docs, percent), "sketches")
     same = ["set_a", "set_b", "n"]
     groups = base.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = stored(groups.where("node is not null"), "nodes")
-    edges, labels = links(nodes, docs)
+    edges, labels = links(nodes, docs, percent)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = nodes.select(*same, "node").join(labels, "node", "left").join(degree, "node", "left").select(
         *same, F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
@@ -341,12 +356,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "text_hash")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """``docs`` with one row of each component: its smallest doc_id's, once if that row is repeated.
 
     Keys (doc_id, text hash) of the rows to remove are joined, not texts.
     """
-    found = stored(near_duplicates(docs).select("doc_id", "text_hash", "kept"), "kept")
+    found = stored(near_duplicates(docs, percent).select("doc_id", "text_hash", "kept"), "kept")
     keys = found.groupBy("doc_id", "text_hash").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
     odd = stored(keys.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept")), "removed")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash"))

@@ -102,3 +102,36 @@ def test_unrelated_sets_estimate_near_zero():
     left, right = (neardup.registers([np.unique(rng.integers(0, 1 << 64, 500, dtype=np.uint64)) for _ in range(200)]) for _ in range(2))
     found, _ = neardup.estimate(left, right)
     assert found.mean() < 0.002
+
+
+def brute_components(rows, percent):
+    sets = [(i, brute.shingles(t)) for i, t in rows]
+    label = {i: i for i, _ in rows}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if a & b and 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def test_the_threshold_is_a_parameter(spark):
+    rows = list(enumerate(texts(11)))
+    # more texts near the thresholds
+    base = [f"t{k}" for k in range(200)]
+    for size, new in ((166, 10), (166, 11)):
+        rows.append((len(rows), " ".join(base[:size + 4] + [f"n{new}x{k}" for k in range(new)])))
+    rows += [(len(rows), " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (60, 80, 85):
+        found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, percent).collect()}
+        assert found == brute_components(rows, percent), percent
+    assert len(set(brute_components(rows, 80).values())) < len(set(brute_components(rows, 85).values()))
+    assert neardup.keep_one(docs, 80).count() == len(set(brute_components(rows, 80).values()))
+
+
+def test_bands_follow_the_threshold():
+    assert neardup.bands_of(85) == (25, 5)
+    for percent in (50, 60, 70, 80, 85, 95):
+        bands, width = neardup.bands_of(percent)
+        assert (1 - (percent / 100) ** width) ** bands < 1e-6 and bands * width <= neardup.REGISTERS

@@ -49,3 +49,24 @@ def test_empty_and_odd_rows_pass_through(spark):
     for _, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert docs.where(F.col("doc_id") == 2).count() == 1
+
+
+def test_near_dedup_links_from_0_8(spark):
+    base = [f"w{k}" for k in range(204)]
+    copy = base[:185] + [f"x{k}" for k in range(19)]  # 181 of 219 shingles: 0.826
+    other = base[:176] + [f"y{k}" for k in range(28)]  # 172 of 228: 0.754
+    schema = table(spark, SF, "documents").schema
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate((base, copy, other))], schema)
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()) == [0, 2]
+
+
+def test_near_dedup_is_brute_force_at_0_8(spark):
+    docs = table(spark, SF, "documents")
+    sets = [(r.doc_id, brute.shingles(r.text)) for r in docs.collect()]
+    label = {i: i for i, _ in sets}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if a & b and 100 * len(a & b) >= 80 * len(a | b):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert {r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()} == {i for i, v in label.items() if i == v}
