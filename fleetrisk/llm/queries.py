@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetrisk.llm import (conversations, decontaminate, langid, neardup, packing, quality, secrets, spotsigs, substrings, token_counts,
-                           warc, whitening)
+                           token_files, warc, whitening)
 from fleetrisk.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
@@ -60,5 +64,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_neardup, op2_warc, op3_packing, op4_langid, op5_spotsigs, op6_secrets, op7_decontaminate, op8_substrings,
-                                   op9_quality, op10_token_counts, op12_conversations, op13_whitening)}
+                                   op9_quality, op10_token_counts, op11_token_files, op12_conversations, op13_whitening)}
 ORACLE = {"op1_neardup": neardup.ORACLE, "op2_warc": warc.ORACLE, "op8_substrings": substrings.ORACLE, "op6_secrets": secrets.ORACLE, "op7_decontaminate": decontaminate.ORACLE}

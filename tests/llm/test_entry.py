@@ -4,5 +4,5 @@ from fleetrisk.llm.queries import ORACLE, QUERIES
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(names)
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(names)
     assert set(ORACLE) <= set(QUERIES) and set(ORACLE) <= set(entry.oracle_sql())
