@@ -330,30 +330,27 @@ def confirmed_links(close: DataFrame, docs: DataFrame, percent: int = LINK_PERCE
 
 
 def near_duplicates(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, kept, n_links, text_hash.
+    """Per document row: doc_id, n_shingles, component_id, kept, text_hash.
 
     percent: two sets are linked from this Jaccard similarity on; bands, size filter, floor of
     the estimate and confirmation follow it.
     docs: doc_id, text; other columns are ignored. A null, empty or blank text has no
     shingles and is alone. Rows that share a doc_id are one document: their links
     add up. Rows without a doc_id join the component of an equal set but are not
-    compared otherwise (component_id null if none, kept then). n_links counts links
-    between class representatives. An empty table gives no rows.
+    compared otherwise (component_id null if none, kept then). An empty table gives no rows.
+    Very long texts are sketched whole; links are confirmed on their full sets.
     """
     base = stored(sketches(docs, percent), "sketches")
     same = ["set_a", "set_b", "n"]
     groups = base.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = stored(groups.where("node is not null"), "nodes")
-    edges, labels = links(nodes, docs, percent)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.select(*same, "node").join(labels, "node", "left").join(degree, "node", "left").select(
-        *same, F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    labels = links(nodes, docs, percent)[1]
+    named = nodes.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     # joined on more than the grouping keys, so a hot class can be split
     out = base.drop("sketch", "bands").join(named, same, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(False) | component.isNull()).alias("kept"),
-                      F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "text_hash")
+                      F.coalesce(F.col("doc_id") == component, F.lit(False) | component.isNull()).alias("kept"), "text_hash")
 
 
 def keep_one(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
@@ -363,13 +360,16 @@ def keep_one(docs: DataFrame, percent: int = LINK_PERCENT) -> DataFrame:
     """
     found = stored(near_duplicates(docs, percent).select("doc_id", "text_hash", "kept"), "kept")
     keys = found.groupBy("doc_id", "text_hash").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    clash = [c for c in docs.columns if c in ("__id", "__hash", "__kept")]
+    if clash:
+        docs = docs.withColumnsRenamed({c: f"__own{c}" for c in clash})
     odd = stored(keys.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept")), "removed")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash"))
     rest = docs.join(bounded(odd), same, "left_anti")
-    if odd.where("__kept").isEmpty():
-        return rest
-    repeated = docs.join(bounded(odd.where("__kept")), same).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
-    return rest.unionByName(repeated)
+    if not odd.where("__kept").isEmpty():
+        repeated = docs.join(bounded(odd.where("__kept")), same).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+        rest = rest.unionByName(repeated)
+    return rest.withColumnsRenamed({f"__own{c}": c for c in clash})
 
 
 #: links of all pairs of distinct sets that share a shingle, and what they reach
@@ -388,9 +388,8 @@ pairs AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n)
 links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (na + nb - shared)),
 edge AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(node, other) AS (SELECT DISTINCT a, a FROM edge UNION SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.other),
-comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
-deg AS (SELECT a AS node, count(*) AS n_links FROM edge GROUP BY a)
+comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 SELECT x.doc_id, CAST(len(x.s) AS BIGINT) AS n_shingles, coalesce(c.component, nd.node, x.doc_id) AS component_id,
-       x.doc_id = coalesce(c.component, nd.node, x.doc_id) AS kept, CAST(coalesce(g.n_links, 0) AS BIGINT) AS n_links
-FROM sets x LEFT JOIN nodes nd ON nd.s = x.s LEFT JOIN comp c ON c.node = nd.node LEFT JOIN deg g ON g.node = nd.node
+       x.doc_id = coalesce(c.component, nd.node, x.doc_id) AS kept
+FROM sets x LEFT JOIN nodes nd ON nd.s = x.s LEFT JOIN comp c ON c.node = nd.node
 """
