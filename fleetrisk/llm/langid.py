@@ -3,8 +3,12 @@
 Texts become hashed character-trigram TF-IDF vectors of unit length (trigrams of
 letters within words, word edges included). Each language has several centroids from
 spherical k-means over a bounded sample of its labelled texts. A text gets the language
-of the centroid with the largest cosine; texts farther from every centroid than any
-text of the sample, with a margin, are marked rejected.
+of the centroid with the largest cosine.
+
+Few trigrams are a noisy vector: a text of n trigrams that fits a centroid well has a cosine
+of about 1 / sqrt(1 + noise / n). Each centroid's noise is measured on sampled texts that it was not
+fitted on, and closeness is the cosine over that value. A text is rejected if its closeness to its
+centroid is below a share of a low quantile of those texts' own; the limit falls with few trigrams.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from fleetrisk.llm.common import GOLDEN, MIX_1, MIX_2, crc_mod, give_back, text_slices
+from fleetrisk.llm.common import GOLDEN, MIX_1, MIX_2, crc_mod, give_back, stored, text_slices
 
 #: hashed trigram features
 FEATURES = 4096
@@ -27,8 +31,14 @@ FEATURES = 4096
 SAMPLE_PER_LANGUAGE = 1000
 CENTROIDS = 4
 ROUNDS = 10
-#: a text is rejected below this share of the lowest own-language cosine in the sample
-REJECT_SHARE = 0.25
+#: the commonest labels are learned, so many at most
+LANGUAGES = 200
+#: a centroid holds this share of its language's sample at least, and as many texts far from the mean seed none
+LEAST_SHARE = 0.05
+#: every so many-th sampled text calibrates the centroids and is not fitted, in samples of CALIBRATED texts or more
+CALIBRATE_EACH, CALIBRATED = 4, 80
+#: a text is rejected below REJECT_SHARE of this quantile of closeness, times n / (n + FEW_TRIGRAMS)
+REJECT_QUANTILE, REJECT_SHARE, FEW_TRIGRAMS = 0.01, 0.8, 64.0
 UNDETERMINED = "und"
 ROWS_AT_ONCE = 256
 _SCALE = 1 << 40
@@ -38,7 +48,8 @@ class Model(NamedTuple):
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # centroids x features, unit rows
     idf: np.ndarray
-    floor: float  # cosines below it are rejected
+    noise: np.ndarray  # of each centroid
+    floor: np.ndarray  # closeness below it is rejected
 
 
 @lru_cache(maxsize=1)
@@ -70,51 +81,84 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size > 0, size, 1)
 
 
-def spherical_means(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Unit centroids of unit rows: farthest-first start, fixed number of rounds, no randomness."""
-    centroids = _unit(x.mean(axis=0, keepdims=True))
-    while len(centroids) < min(k, len(x)):
-        nearest = (x @ centroids.T).max(axis=1)
-        centroids = np.vstack([centroids, x[nearest.argmin()]])
+def spherical_means(x: np.ndarray, sizes: np.ndarray, k: int, rounds: int = ROUNDS, least: float = LEAST_SHARE) -> np.ndarray:
+    """Unit centroids of unit rows, at most ``k``, each nearest to ``least`` of the rows or more; no randomness.
+
+    sizes: trigrams of each row. Seeds are spread out among the longer half of the
+    rows, less the share ``least`` that is farthest from the mean: short or odd texts lie
+    far from everything, and would be clusters of their own.
+    """
+    mean = _unit(x.mean(axis=0, keepdims=True))
+    long = x[sizes >= np.median(sizes)]
+    near = (long @ mean.T)[:, 0]
+    long, near = long[near >= np.quantile(near, least)], near[near >= np.quantile(near, least)]
+    centroids = long[[near.argmin()]]
+    while len(centroids) < min(k, len(long)):
+        nearest = (long @ centroids.T).max(axis=1)
+        centroids = np.vstack([centroids, long[nearest.argmin()]])
     for _ in range(rounds):
+        held = _members(x, centroids)
         own = (x @ centroids.T).argmax(axis=1)
-        sums = np.vstack([x[own == c].sum(axis=0) if (own == c).any() else centroids[c] for c in range(len(centroids))])
-        centroids = _unit(sums)
+        centroids = _unit(np.vstack([x[own == c].sum(axis=0) for c in np.flatnonzero(held >= max(least * len(x), 1))]))
+    while len(centroids) > 1 and _members(x, centroids).min() < least * len(x):
+        centroids = np.delete(centroids, _members(x, centroids).argmin(), axis=0)
     return centroids
 
 
-def _texts_in_order(pdf):
-    """The group's texts in an order that doesn't depend on how it was shuffled."""
-    return pdf["text"].sort_values().tolist()
+def _members(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.bincount((x @ centroids.T).argmax(axis=1), minlength=len(centroids))
 
 
-def _blocks(texts):
-    return [trigram_counts(texts[i:i + ROWS_AT_ONCE]) for i in range(0, len(texts), ROWS_AT_ONCE)]
+def calibrated(x: np.ndarray, sizes: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(noise, floor of closeness) of each centroid from rows of its language; one with few rows takes all rows'."""
+    cosines = x @ centroids.T
+    own, best = cosines.argmax(axis=1), np.clip(cosines.max(axis=1), 1e-3, 1)
+    noise, floor = [], []
+    for c in range(len(centroids)):
+        rows = own == c if (own == c).sum() >= CALIBRATED // CALIBRATE_EACH else np.ones(len(x), bool)
+        noise.append(max(float(np.median((1 / best[rows] ** 2 - 1) * sizes[rows])), 0.0))
+        floor.append(REJECT_SHARE * float(np.quantile(closeness(best[rows], sizes[rows], noise[-1]), REJECT_QUANTILE)))
+    return np.array(noise), np.array(floor)
+
+
+def closeness(cosine: np.ndarray, size: np.ndarray, noise) -> np.ndarray:
+    return cosine * np.sqrt(1 + noise / np.maximum(size, 1))
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int = CENTROIDS) -> Model | None:
     """Learn from text and non-null lang of rows whose crc32(doc_id) mod 4 is not 2.
 
-    ``per_language`` bounds the sample: labels are counted over all rows, then rows are
-    taken by a hash of doc_id at the rate that gives so many of each language on
-    average (all of a rarer one). What reaches the driver is one vector per centroid.
+    ``per_language`` bounds the sample: labels are counted over all rows, then rows of the LANGUAGES
+    commonest are taken by a hash of doc_id at the rate that gives so many of each on
+    average (all of a rarer one). Sampled texts of any length become vectors of FEATURES counts
+    before they meet in a group; what reaches the driver is one vector per centroid.
     Returns None if no row has a label and a letter.
     """
+    spark = docs.sparkSession
     labelled = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
                 .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    common = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not common:
         return None
-    rate = F.lit(0).cast("long")
-    for lang, n in sorted(counts.items()):
-        rate = F.when(F.col("lang") == lang, min(_SCALE, -(-per_language * _SCALE // n))).otherwise(rate)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(_SCALE)) < rate).select("lang", "text").checkpoint()
+    counts = {r["lang"]: r["n"] for r in common}
+    rates = spark.createDataFrame([(lang, min(_SCALE, -(-per_language * _SCALE // n))) for lang, n in counts.items()], "lang string, rate long")
+    sample = (labelled.join(F.broadcast(rates), "lang")  # LANGUAGES rows at most
+              .where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(_SCALE)) < F.col("rate")).select("text", "lang"))
+
+    def vectors(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                rows, langs = part.column(0).to_pylist(), part.column(1)
+                for i in range(0, len(rows), ROWS_AT_ONCE):
+                    block = trigram_counts(rows[i:i + ROWS_AT_ONCE])
+                    yield pa.RecordBatch.from_arrays([langs.slice(i, len(block)), pa.array([v.tobytes() for v in block])], names=["lang", "counts"])
+
+    sample = stored(sample.mapInArrow(vectors, "lang string, counts binary"), "language-sample")
 
     def document_counts(pdf):
         import pandas as pd
 
-        seen = sum((b > 0).sum(axis=0) for b in _blocks(pdf["text"].tolist()))
-        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "n": len(pdf), "seen": [seen.astype("<f8").tobytes()]})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "n": len(pdf), "seen": [(_rows(pdf) > 0).sum(axis=0).astype("<f8").tobytes()]})
 
     found = sample.groupBy("lang").applyInPandas(document_counts, "lang string, n long, seen binary").collect()
     total = sum(r["n"] for r in found)
@@ -124,21 +168,27 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int
     def centroids(pdf):
         import pandas as pd
 
-        x = np.vstack([_unit(b * idf) for b in _blocks(_texts_in_order(pdf))])
+        x = _rows(pdf.sort_values("counts"))  # an order that doesn't depend on how the group was shuffled
         x = x[x.any(axis=1)]
         if not len(x):
-            return pd.DataFrame({"lang": [], "lowest": [], "centroid": []})
-        means = spherical_means(x, clusters)
+            return pd.DataFrame({"lang": [], "noise": [], "floor": [], "centroid": []})
+        sizes, x = x.sum(axis=1), _unit(x * idf)
+        held = np.arange(len(x)) % CALIBRATE_EACH == 0 if len(x) >= CALIBRATED else np.zeros(len(x), bool)
+        means = spherical_means(x[~held], sizes[~held], clusters)
+        noise, floor = calibrated(*((x[held], sizes[held]) if held.any() else (x, sizes)), means)
         give_back()
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "lowest": float((x @ means.T).max(axis=1).min()),
-                             "centroid": [c.astype("<f4").tobytes() for c in means]})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "noise": noise, "floor": floor, "centroid": [c.astype("<f4").tobytes() for c in means]})
 
-    rows = sample.groupBy("lang").applyInPandas(centroids, "lang string, lowest double, centroid binary").collect()
+    rows = sample.groupBy("lang").applyInPandas(centroids, "lang string, noise double, floor double, centroid binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (-counts[r["lang"]], r["lang"], r["centroid"]))
     return Model([r["lang"] for r in rows], np.vstack([np.frombuffer(r["centroid"], "<f4") for r in rows]), idf,
-                 REJECT_SHARE * min(r["lowest"] for r in rows))
+                 np.array([r["noise"] for r in rows]), np.array([r["floor"] for r in rows]))
+
+
+def _rows(pdf) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf["counts"]), np.float32).reshape(-1, FEATURES)
 
 
 def classify(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -159,7 +209,8 @@ def classify(texts: list[str | None], model: Model | None) -> tuple[list[str], n
         score = np.clip(cosines[np.arange(len(best)), best], 0, 1).astype(np.float64) * has_letters
         names += [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, has_letters, strict=True)]
         scores.append(score)
-        rejected.append(~has_letters | (score < model.floor))
+        n = counts.sum(axis=1, dtype=np.float64)
+        rejected.append(~has_letters | (closeness(score, n, model.noise[best]) < model.floor[best] * n / (n + FEW_TRIGRAMS)))
     return names, np.concatenate(scores) if scores else np.zeros(0), np.concatenate(rejected) if rejected else np.zeros(0, bool)
 
 
@@ -190,7 +241,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, held_out, lang_pred, score, and whether distance rejects the text.
 
     Repeated rows and null ids are predicted like any other row (a null id is not held
-    out, and never learned from); an empty table gives no rows.
+    out, and never learned from); an empty table gives no rows. Very long texts are
+    vectors of the same size as others.
     """
     found = predict(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fit(docs), ["doc_id"])
     return found.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred",

@@ -46,9 +46,64 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
     assert set(model.languages) == {"aa"}
 
 
-def test_several_centroids_per_language():
-    x = np.eye(4, dtype=np.float32)[[0, 0, 1, 1, 2, 3]]
-    assert len(langid.spherical_means(x, 4)) == 4 and len(langid.spherical_means(x[:1], 4)) == 1
+def sf_model(spark, without=None):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    return docs, langid.fit(docs.where(docs.lang != without) if without else docs)
+
+
+def test_centroids_hold_their_share():
+    rng = np.random.default_rng(0)
+    topics = np.repeat(np.eye(3, 40, dtype=np.float32), [100, 60, 20], axis=0) + 0.2 * rng.random((180, 40), dtype=np.float32)
+    odd = np.eye(40, dtype=np.float32)[[30, 35]]
+    x = langid._unit(np.vstack([topics, odd]))
+    means = langid.spherical_means(x, np.full(len(x), 100.0), 4)
+    assert len(means) >= 3 and langid._members(x, means).min() >= langid.LEAST_SHARE * len(x)
+    assert sorted(np.unique(means[:, :3].argmax(axis=1))) == [0, 1, 2]
+    assert len(langid.spherical_means(x[:1], np.ones(1), 4)) == 1
+
+
+def test_several_centroids_of_a_language(spark):
+    _, model = sf_model(spark)
+    assert all(model.languages.count(lang) >= 2 for lang in ("en", "de", "fr"))
+
+
+def test_prediction_is_the_nearest_centroid(spark):
+    docs, model = sf_model(spark)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.identify(docs).collect():
+        text = texts[r.doc_id] or ""
+        tf = langid.trigram_counts([text])[0].astype(float)
+        vector = tf * model.idf
+        cosines = [float(vector @ c) / np.linalg.norm(vector) if tf.any() else 0.0 for c in model.centroids.astype(float)]
+        best = int(np.argmax(cosines))
+        assert (r.lang_pred, tf.any()) == (model.languages[best] if tf.any() else "und", r.lang_pred != "und")
+        assert abs(r.score - max(cosines)) < 1e-4
+        close = cosines[best] * np.sqrt(1 + model.noise[best] / max(tf.sum(), 1))
+        limit = model.floor[best] * tf.sum() / (tf.sum() + langid.FEW_TRIGRAMS)
+        assert r.rejected == (not tf.any() or close < limit) or abs(close - limit) < 1e-4
+
+
+def test_unlearned_languages_are_rejected_and_learned_ones_stay(spark):
+    docs, model = sf_model(spark)
+    rows = [(r.lang, r.text) for r in docs.where("lang is not null").collect() if r.text and any(c.isalpha() for c in r.text)]
+    rejected = langid.classify([t for _, t in rows], model)[2]
+    assert 0 < rejected.sum() <= 0.01 * len(rows)
+    for without in ("es", "de"):
+        _, fewer = sf_model(spark, without)
+        own = [t for lang, t in rows if lang == without and len(t) > 300]
+        assert langid.classify(own, fewer)[2].mean() > 0.95
+    foreign = ["Tämä on suomenkielinen teksti, jossa kerrotaan säästä ja ihmisten elämästä pohjoisessa maassa talven aikana. Kun aurinko ei nouse, "
+               "monet kalastajat istuvat iltaisin tuvassa ja kutovat verkkoja, lapset tekevät läksyjä ja vanhukset muistelevat menneitä vuosia.",
+               "Dit is een Nederlandse tekst over het weer en het leven van mensen in het noorden van het land. Wanneer de zon niet schijnt, blijven veel "
+               "vissers thuis, maken kinderen hun huiswerk en vertellen ouderen verhalen over vroeger, toen alles nog langzamer ging dan tegenwoordig.",
+               "To jest polski tekst o pogodzie i życiu ludzi na północy kraju podczas zimy. Kiedy nie ma słońca, rybacy siedzą wieczorami w domu."]
+    assert langid.classify(foreign, model)[2].all()
+
+
+def test_a_very_long_text(spark):
+    docs, model = sf_model(spark)
+    text = " ".join(r.text for r in docs.where("lang = 'fr'").limit(60).collect()) * 20
+    assert len(text) > 1_000_000 and langid.classify([text], model)[0] == ["fr"] and not langid.classify([text], model)[2][0]
 
 
 def test_trigrams_stay_within_words_and_rows():
