@@ -17,7 +17,7 @@ def shingles(text):
     return frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def near_components(rows):
+def near_components(rows, percent=85):
     """doc_id -> smallest doc_id reachable over links of all pairs."""
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in rows}
@@ -30,7 +30,7 @@ def near_components(rows):
     for x, (i, a) in enumerate(sets):
         for j, b in sets[:x]:
             shared = len(a & b)
-            if shared and 100 * shared >= 85 * len(a | b):
+            if shared and 100 * shared >= percent * len(a | b):
                 low, high = sorted((root(i), root(j)))
                 parent[high] = low
     return {i: root(i) for i in parent}

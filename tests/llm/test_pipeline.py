@@ -13,7 +13,7 @@ def test_run_is_brute_force(spark):
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     known = {r.doc_id for r in langid.identify(docs).where("not rejected").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in known]
-    component = brute.near_components(rows)
+    component = brute.near_components(rows, pipeline.NEAR_PERCENT)
     rows = [(i, t) for i, t in rows if component[i] == i and not brute.contamination(t, items)[3]]
     found = {}
     for r in pipeline.run(spark, SF).collect():
@@ -62,11 +62,5 @@ def test_near_dedup_links_from_0_8(spark):
 
 def test_near_dedup_is_brute_force_at_0_8(spark):
     docs = table(spark, SF, "documents")
-    sets = [(r.doc_id, brute.shingles(r.text)) for r in docs.collect()]
-    label = {i: i for i, _ in sets}
-    for x, (i, a) in enumerate(sets):
-        for j, b in sets[:x]:
-            if a & b and 100 * len(a & b) >= 80 * len(a | b):
-                low, high = sorted((label[i], label[j]))
-                label = {k: low if v == high else v for k, v in label.items()}
-    assert {r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()} == {i for i, v in label.items() if i == v}
+    component = brute.near_components([(r.doc_id, r.text) for r in docs.collect()], 80)
+    assert {r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()} == {i for i, v in component.items() if i == v}
