@@ -1,28 +1,37 @@
-"""Transitive supersedence closure as an iterative frontier join.
-
-Spark's recursive CTE only takes UNION ALL and stops at a recursion limit on a
-cycle, so the fixpoint is a driver loop of DataFrame jobs. Edges are first extended to
-jumps of up to STRIDE edges, so the rounds number a STRIDE-th of the longest path. Each round joins the
-frontier to the jumps, drops pairs already reached (anti join) and keeps the new pairs.
-Jumps and reached pairs are laid out once, cached hash-partitioned on their join
-keys, so a round shuffles only its new pairs; every round's result is checkpointed to
-the reliable checkpoint folder, so a lost executor recomputes one round at most. The
-driver only sees one row count per round.
+"""Supersedence reachability: an index of distinct edge sets, presence without roots, roots on demand.
+
+Hosts that asked for the same product and months got the same KB entries, so their
+supersedence edges are equal. A scan's edge set has a fingerprint (its size and two 64-bit hashes
+of its edges, exclusive-or'ed), and each distinct set, a *graph*, is kept and closed once. Scans of one
+graph whose installed KBs that replace something are equal too share a *profile*.
+
+* Presence (``Reachability.present``) spreads (profile, KB): a KB is reached or not, whichever
+  installed KB it comes from. The work is linear in reached KBs and their edges.
+* Roots (``Reachability.roots_of``) spread (graph, root, KB) and cost that many pairs; only output
+  that prints the replacing KBs asks for them.
+
+Both are the fixpoint ``spread``. Spark's recursive CTE only takes UNION ALL and stops at a recursion
+limit on a cycle, so it is a driver loop of DataFrame jobs. One job makes HOPS hops, each deduplicated
+before the next, then drops what was reached before. Edges are broadcast if their measured bytes stay
+within the bound; beyond it they and the reached rows are cached, hash-partitioned on their join
+keys, so a job shuffles new rows only. Every job's result is checkpointed to the reliable checkpoint
+folder: a lost executor recomputes one job at most. The driver sees one row count per job.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.ids import normalise_id
+from fleetrisk.operators import joins
 
-MAX_ROUNDS = 10_000
+MAX_JOBS = 10_000
 MERGE_EVERY = 8
-STRIDE = 4
+HOPS = 8
 
 
 def edges_from_entries(kb_entry: DataFrame, scan_col: str = "scan_id") -> DataFrame:
@@ -44,73 +53,134 @@ def _co_partitioned(df: DataFrame, n: int, keys: list[str]) -> tuple[DataFrame,
     return out, out.count()
 
 
-def jumps(edges: DataFrame, stride: int, scan_col: str = "scan_id") -> DataFrame:
-    """(scan, kb_id, dst): pairs joined by 1 to ``stride`` edges (``stride`` a power of two)."""
-    out = edges.select(scan_col, F.col("src").alias("kb_id"), "dst").distinct().checkpoint(eager=True)
-    reach = 1
-    while reach < stride:
-        onward = out.select(scan_col, F.col("kb_id").alias("dst"), F.col("dst").alias("further"))
-        longer = out.join(onward, [scan_col, "dst"]).select(scan_col, "kb_id", F.col("further").alias("dst"))
-        out = out.unionByName(longer).distinct().checkpoint(eager=True)
-        reach *= 2
-    return out
+def fingerprint(*cols: str) -> Column:
+    """Aggregate: the same text for equal sets of (distinct) rows, whatever their order; 128 bits of hash."""
+    hashes = [F.hex(F.bit_xor(F.xxhash64(*cols, F.lit(seed)))) for seed in (1, 2)]
+    return F.concat_ws("-", F.count(F.lit(1)).cast("string"), *hashes)
 
 
-def closure(edges: DataFrame, roots: DataFrame, scan_col: str = "scan_id",
-            max_rounds: int = MAX_ROUNDS, merge_every: int = MERGE_EVERY, stride: int = STRIDE) -> DataFrame:
-    """All (scan, root_kb, kb_id) with kb reachable from an installed root by >= 1 edge.
-
-    Cycle-safe (a pair is expanded once); a root on a cycle reaches itself.
-    ``roots`` is (scan_id, kb_id). Rounds = longest shortest path / ``stride`` + 1.
+def spread(frontier: DataFrame, edges: DataFrame, carry: list[str], hops: int = HOPS, merge_every: int = MERGE_EVERY,
+           max_jobs: int = MAX_JOBS, broadcast_bytes: int | None = None) -> DataFrame:
+    """(graph, *carry, kb_id): every KB that one edge or more lead to from a row of ``frontier`` (of the same columns).
 
-    The reached pairs are kept as a few blocks (one per round, merged into one every
-    ``merge_every`` rounds) and the new pairs are anti-joined against each.
+    edges: graph, src, dst (distinct). Cycle-safe: a row is expanded once; a start on a cycle
+    reaches itself. Jobs = longest shortest path / ``hops`` + 1.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pair = [scan_col, "root_kb", "kb_id"]
-    steps = _co_partitioned(jumps(edges, stride, scan_col), n, [scan_col, "kb_id"])[0]
-    frontier = (roots.select(scan_col, normalise_id("kb_id").alias("root_kb"))
-                .where(F.col("root_kb") != "").distinct()
-                .withColumn("kb_id", F.col("root_kb")))
-    rounds: list[DataFrame] = []
-    blocks: list[DataFrame] = []
-    cached = [steps]
+    row = ["graph", *carry, "kb_id"]
+    steps = edges.select("graph", F.col("src").alias("kb_id"), "dst").checkpoint(eager=True)
+    bound = joins.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    small = joins.measured_bytes(steps) <= bound
+    steps = F.broadcast(steps) if small else _co_partitioned(steps, n, ["graph", "kb_id"])[0]
+    cached, blocks, found = [] if small else [steps], [], []
+    frontier = frontier.select(*row)
     try:
-        for _ in range(max_rounds):
-            step = (frontier.join(steps, [scan_col, "kb_id"])
-                    .select(scan_col, "root_kb", F.col("dst").alias("kb_id")).distinct())
+        for _ in range(max_jobs):
+            reached, at = [], frontier
+            for hop in range(1, hops + 1):
+                at = at.join(steps, ["graph", "kb_id"]).select("graph", *carry, F.col("dst").alias("kb_id")).distinct()
+                reached.append(at.withColumn("hop", F.lit(hop)))
+            new = reduce(DataFrame.unionByName, reached).groupBy(*row).agg(F.min("hop").alias("hop"))
             for block in blocks:
-                step = step.join(block, pair, "left_anti")
-            step = step.checkpoint(eager=True)
-            block, new_pairs = _co_partitioned(step, n, pair)  # the build job doubles as the emptiness test
-            cached.append(block)
-            if new_pairs == 0:
-                break
-            rounds.append(step)
-            blocks.append(block)
-            if len(blocks) >= merge_every:
-                # one block from the round checkpoints (one shuffle of the reached pairs)
+                new = new.join(block, row, "left_anti")
+            new = new.checkpoint(eager=True)
+            last = new.where(F.col("hop") == hops).select(*row)  # all others were expanded in this job
+            found.append(new.select(*row))
+            if last.isEmpty():
+                return reduce(DataFrame.unionByName, found)
+            blocks.append(_co_partitioned(found[-1], n, row)[0])
+            cached.append(blocks[-1])
+            if len(blocks) >= merge_every:  # one block from the jobs' checkpoints
                 for block in blocks:
                     block.unpersist()
-                blocks = [_co_partitioned(reduce(DataFrame.unionByName, rounds), n, pair)[0]]
+                blocks = [_co_partitioned(reduce(DataFrame.unionByName, found), n, row)[0]]
                 cached.append(blocks[0])
-            frontier = step
-        else:
-            raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
+            frontier = last
+        raise RuntimeError(f"closure did not converge in {max_jobs} jobs")
     finally:
         for c in cached:
             c.unpersist()
-    if not rounds:
-        return frontier.limit(0).select(scan_col, "root_kb", "kb_id")
-    return reduce(DataFrame.unionByName, rounds)
 
 
-def logical_present(installed: DataFrame, reached: DataFrame, scan_col: str = "scan_id") -> DataFrame:
-    """Installed KBs plus every KB an installed KB replaces, transitively."""
-    inst = installed.select(scan_col, normalise_id("kb_id").alias("kb_id"))
-    return inst.unionByName(reached.select(scan_col, "kb_id")).distinct()
+class Reachability:
+    """What installed KBs replace, transitively, in each scan; computed on first use.
+
+    edges: (scan, src, dst); installed: (scan, kb_id), both normalised. Options go to ``spread``.
+    """
 
+    def __init__(self, edges: DataFrame, installed: DataFrame, scan_col: str = "scan_id", **options):
+        self.scan_col, self.options = scan_col, options
+        self._edges, self.installed = edges, installed
+
+    @cached_property
+    def _scan_edges(self) -> DataFrame:
+        return self._edges.distinct().checkpoint(eager=True)
+
+    @cached_property
+    def graph_of(self) -> DataFrame:
+        """(scan, graph): equal edge sets have equal graphs; scans without edges have none."""
+        return self._scan_edges.groupBy(self.scan_col).agg(fingerprint("src", "dst").alias("graph")).checkpoint(eager=True)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """(graph, src, dst): each distinct edge set once, taken from its first scan."""
+        first = self.graph_of.groupBy("graph").agg(F.min(self.scan_col).alias(self.scan_col))
+        return self._scan_edges.join(first, self.scan_col).select("graph", "src", "dst").checkpoint(eager=True)
+
+    @cached_property
+    def _roots(self) -> DataFrame:
+        """(scan, graph, kb_id): installed KBs that replace something in their scan."""
+        sources = self._scan_edges.select(self.scan_col, F.col("src").alias("kb_id")).distinct()
+        own = self.installed.select(self.scan_col, "kb_id").distinct().join(sources, [self.scan_col, "kb_id"], "left_semi")
+        return own.join(self.graph_of, self.scan_col).checkpoint(eager=True)
+
+    @cached_property
+    def profile_of(self) -> DataFrame:
+        """(scan, graph, profile): scans of one profile have the same graph and the same roots."""
+        marks = self._roots.groupBy(self.scan_col, "graph").agg(fingerprint("kb_id").alias("roots"))
+        return marks.select(self.scan_col, "graph", F.concat_ws("/", "graph", "roots").alias("profile")).checkpoint(eager=True)
+
+    @cached_property
+    def profile_roots(self) -> DataFrame:
+        """(graph, profile, kb_id): the roots of each profile once, from its first scan."""
+        first = self.profile_of.groupBy("profile").agg(F.min(self.scan_col).alias(self.scan_col))
+        return self._roots.join(first, self.scan_col).select("graph", "profile", "kb_id").checkpoint(eager=True)
+
+    @cached_property
+    def _present(self) -> DataFrame:
+        """(graph, profile, kb_id): KBs reached in each profile."""
+        return spread(self.profile_roots, self.edges, ["profile"], **self.options)
+
+    @cached_property
+    def _pairs(self) -> DataFrame:
+        """(graph, root_kb, kb_id): what each root reaches, once per graph."""
+        starts = self._roots.select("graph", F.col("kb_id").alias("root_kb"), "kb_id").distinct()
+        return spread(starts, self.edges, ["root_kb"], **self.options)
+
+    def reached(self) -> DataFrame:
+        """(scan, kb_id): KBs that an installed KB replaces, without asking which."""
+        return self.profile_of.select(self.scan_col, "profile").join(self._present.select("profile", "kb_id"), "profile").select(self.scan_col, "kb_id")
+
+    def present(self) -> DataFrame:
+        """(scan, kb_id): installed KBs plus every KB an installed KB replaces, transitively."""
+        return self.installed.select(self.scan_col, "kb_id").unionByName(self.reached()).distinct()
+
+    def pairs(self) -> DataFrame:
+        """(scan, root_kb, kb_id): every installed root and every KB it replaces."""
+        roots = self._roots.withColumnRenamed("kb_id", "root_kb")
+        return roots.join(self._pairs, ["graph", "root_kb"]).select(self.scan_col, "root_kb", "kb_id")
+
+    def roots_of(self) -> DataFrame:
+        """(scan, kb_id, replaced_by): per reached KB the sorted roots, gathered once per profile."""
+        roots = self.profile_roots.withColumnRenamed("kb_id", "root_kb")
+        lists = roots.join(self._pairs, ["graph", "root_kb"]).groupBy("profile", "kb_id").agg(F.array_sort(F.collect_set("root_kb")).alias("replaced_by"))
+        return self.profile_of.select(self.scan_col, "profile").join(lists, "profile").select(self.scan_col, "kb_id", "replaced_by")
+
+
+def closure(edges: DataFrame, roots: DataFrame, scan_col: str = "scan_id", **options) -> DataFrame:
+    """All (scan, root_kb, kb_id) with kb reachable from an installed root by >= 1 edge.
 
-def superseded_by(reached: DataFrame, scan_col: str = "scan_id") -> DataFrame:
-    """Per reached KB, the sorted installed roots that replace it."""
-    return reached.groupBy(scan_col, "kb_id").agg(F.array_sort(F.collect_set("root_kb")).alias("replaced_by"))
+    ``roots`` is (scan_id, kb_id).
+    """
+    inst = roots.select(scan_col, normalise_id("kb_id").alias("kb_id")).where(F.col("kb_id") != "")
+    return Reachability(edges, inst, scan_col, **options).pairs()

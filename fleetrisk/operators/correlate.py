@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from fleetrisk.functions.display import join_list
 from fleetrisk.functions.ids import is_cve_id, kb_id_loose, normalise_id, normalise_id_array, update_type
-from fleetrisk.operators.closure import closure, edges_from_entries, logical_present, superseded_by
+from fleetrisk.operators.closure import Reachability, edges_from_entries
 
 # fixed values: status and type texts
 INSTALLED = "Installed"
@@ -71,41 +73,80 @@ def _texts(rows: DataFrame, name: str):
     return F.when(col.isNotNull(), F.array(col.cast("string"))).otherwise(F.array().cast("array<string>"))
 
 
-def correlate(kb_entry: DataFrame, installed: DataFrame, scan_col: str = "scan_id") -> dict[str, DataFrame]:
-    """Closure, logical presence, missing set and per-KB status in one place.
+class Correlation(Mapping):
+    """Expected against installed KBs of each scan. Frames are built when they are asked for:
 
-    Returns expected, installed, reached (scan, root_kb, kb_id), present,
-    superseded_by, missing and status frames.
+    entries, expected, installed; reached_kbs and present and missing (no roots are
+    followed for these); reached (scan, root_kb, kb_id), superseded_by and status.
     """
-    entries = kb_entry.withColumn("kb_id", normalise_id("kb_id")).where(F.coalesce(F.col("kb_id"), F.lit("")) != "")
-    inst = installed.select(scan_col, normalise_id("kb_id").alias("kb_id")).where(F.col("kb_id") != "").distinct()
-    reached = closure(edges_from_entries(entries, scan_col), inst, scan_col)
-    present = logical_present(inst, reached, scan_col)
-    sup = superseded_by(reached, scan_col)
-    expected = entries.select(scan_col, "kb_id").distinct()
-    missing = expected.join(present, [scan_col, "kb_id"], "left_anti")
-    status = (entries
-              .join(inst.withColumn("_inst", F.lit(True)), [scan_col, "kb_id"], "left")
-              .join(sup, [scan_col, "kb_id"], "left")
-              .withColumn("status", F.when(F.col("_inst"), INSTALLED)
-                          .when(F.size("replaced_by") > 0,
-                                F.concat(F.lit(SUPERSEDED + " by "), F.array_join("replaced_by", ", ")))
-                          .otherwise(MISSING))
-              .select(scan_col, "kb_id", F.coalesce("update_type", F.lit("Mapped")).alias("type"), "status",
-                      join_list("months").alias("months"),
-                      F.coalesce(F.size("cves"), F.lit(0)).alias("cve_count")))
-    return {"entries": entries, "expected": expected, "installed": inst, "reached": reached, "present": present,
-            "superseded_by": sup, "missing": missing, "status": status}
-
-
-def scan_summary(c: dict[str, DataFrame], scan_col: str = "scan_id") -> DataFrame:
+
+    NAMES = ("entries", "expected", "installed", "reached_kbs", "present", "missing", "reached", "superseded_by", "status")
+
+    def __init__(self, kb_entry: DataFrame, installed: DataFrame, scan_col: str = "scan_id", **options):
+        self.scan_col = scan_col
+        entries = kb_entry.withColumn("kb_id", normalise_id("kb_id")).where(F.coalesce(F.col("kb_id"), F.lit("")) != "")
+        inst = installed.select(scan_col, normalise_id("kb_id").alias("kb_id")).where(F.col("kb_id") != "").distinct()
+        self.reach = Reachability(edges_from_entries(entries, scan_col), inst, scan_col, **options)
+        self._frames = {"entries": entries, "installed": inst}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise KeyError(name)
+        if name not in self._frames:
+            self._frames[name] = getattr(self, f"_{name}")()
+        return self._frames[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.NAMES)
+
+    def __len__(self) -> int:
+        return len(self.NAMES)
+
+    def _expected(self) -> DataFrame:
+        return self["entries"].select(self.scan_col, "kb_id").distinct()
+
+    def _reached_kbs(self) -> DataFrame:
+        return self.reach.reached()
+
+    def _present(self) -> DataFrame:
+        return self.reach.present()
+
+    def _missing(self) -> DataFrame:
+        return self["expected"].join(self["present"], [self.scan_col, "kb_id"], "left_anti")
+
+    def _reached(self) -> DataFrame:
+        return self.reach.pairs()
+
+    def _superseded_by(self) -> DataFrame:
+        return self.reach.roots_of()
+
+    def _status(self) -> DataFrame:
+        key = [self.scan_col, "kb_id"]
+        return (self["entries"]
+                .join(self["installed"].withColumn("_inst", F.lit(True)), key, "left")
+                .join(self["superseded_by"], key, "left")
+                .withColumn("status", F.when(F.col("_inst"), INSTALLED)
+                            .when(F.size("replaced_by") > 0,
+                                  F.concat(F.lit(SUPERSEDED + " by "), F.array_join("replaced_by", ", ")))
+                            .otherwise(MISSING))
+                .select(self.scan_col, "kb_id", F.coalesce("update_type", F.lit("Mapped")).alias("type"), "status",
+                        join_list("months").alias("months"),
+                        F.coalesce(F.size("cves"), F.lit(0)).alias("cve_count")))
+
+
+def correlate(kb_entry: DataFrame, installed: DataFrame, scan_col: str = "scan_id", **options) -> Correlation:
+    """Reachability, logical presence, missing set and per-KB status in one place."""
+    return Correlation(kb_entry, installed, scan_col, **options)
+
+
+def scan_summary(c: Mapping[str, DataFrame], scan_col: str = "scan_id") -> DataFrame:
     """Per scan: raw entries returned (per month and KB), expected, installed, logically
     present, superseded mappings, present among expected, missing."""
     def per_scan(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(scan_col).agg(F.count(F.lit(1)).alias(name))
     expected = per_scan(c["expected"], "expected_kbs")
     parts = [per_scan(c["installed"], "installed_kbs"), per_scan(c["present"], "logical_present_kbs"),
-             per_scan(c["superseded_by"], "superseded_mappings"), per_scan(c["missing"], "missing_kbs")]
+             per_scan(c["reached_kbs"], "superseded_mappings"), per_scan(c["missing"], "missing_kbs")]
     raw = c["entries"].groupBy(scan_col).agg(F.sum(F.coalesce(F.size("months"), F.lit(0))).alias("raw_entries_returned"))
     out = expected.join(raw, scan_col, "left")
     for p in parts:
@@ -114,7 +155,7 @@ def scan_summary(c: dict[str, DataFrame], scan_col: str = "scan_id") -> DataFram
     return out.withColumn("present_among_expected", F.col("expected_kbs") - F.col("missing_kbs"))
 
 
-def missing_list(c: dict[str, DataFrame], kb_entry: DataFrame, scan_col: str = "scan_id") -> DataFrame:
+def missing_list(c: Mapping[str, DataFrame], kb_entry: DataFrame, scan_col: str = "scan_id") -> DataFrame:
     """Missing KBs with their update type (Unknown when the KB has no entry)."""
     types = kb_entry.select(scan_col, normalise_id("kb_id").alias("kb_id"), "update_type")
     return (c["missing"].join(types, [scan_col, "kb_id"], "left")

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df`` as text."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))).first()[0] or 0
+
+
 def sized(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``dim`` materialised, and marked for broadcast if its measured bytes stay within the bound.
 
@@ -16,8 +21,7 @@ def sized(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     compute it twice. Beyond the bound AQE plans the join, with its skew handling.
     """
     dim = dim.checkpoint(eager=True)
-    size = dim.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in dim.columns]))))).first()[0] or 0
-    return F.broadcast(dim) if size <= max_bytes else dim
+    return F.broadcast(dim) if measured_bytes(dim) <= max_bytes else dim
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left", measured: bool = False) -> DataFrame:

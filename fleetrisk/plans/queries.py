@@ -138,7 +138,7 @@ def kb_ranking(spark, d):
 from fleetrisk.operators import correlate as co  # noqa: E402
 
 
-def fleet_correlation(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+def fleet_correlation(spark: SparkSession, d: str) -> tuple[DataFrame, co.Correlation]:
     """KB entries and installed sets are read by the closure rounds, the status join
     and the flatten: both come from one (scan, part) aggregate over the three-way
     link join (one pass), materialised once (reliable checkpoint) instead of

@@ -106,9 +106,9 @@ def test_closure_matches_bfs_on_random_graphs(spark):
             roots.add((scan, n))
     want = bfs(edges, roots)
     assert reach(spark, sorted(edges), sorted(roots)) == want
-    # single edges as well as long jumps, and with block merges
-    assert reach(spark, sorted(edges), sorted(roots), stride=1, merge_every=2) == want
-    assert reach(spark, sorted(edges), sorted(roots), stride=8) == want
+    # one hop a job, with block merges, and without broadcast edges
+    assert reach(spark, sorted(edges), sorted(roots), hops=1, merge_every=2) == want
+    assert reach(spark, sorted(edges), sorted(roots), hops=3, broadcast_bytes=0) == want
     # present + missing covers expected, and they are disjoint
     data = [(s, k, [], ["CVE-2024-0001"], sorted({b for (s2, a, b) in edges if s2 == s and a == k}), None)
             for s in ("s1", "s2", "s3") for k in [f"K{i}" for i in range(30)]]
@@ -137,11 +137,41 @@ def test_merge_and_product_map(spark):
     assert kb[0].months == ["2026-Feb", "2026-Jan"] and kb[0].cves == ["CVE-2024-0001", "CVE-2024-0002"]
 
 
+def test_equal_edge_sets_are_closed_once(spark):
+    chain = [("KB5", "KB4"), ("KB4", "KB3"), ("KB3", "KB5"), ("KB2", "KB1")]
+    edges = [(s, a, b) for s in ("s1", "s2", "s3", "s4") for a, b in (chain if s != "s2" else reversed(chain))] + [("s5", "KB5", "KB4")]
+    roots = [("s1", "KB4"), ("s2", "KB4"), ("s3", "KB2"), ("s4", "KB4"), ("s4", "KB7"), ("s5", "KB9"), ("s6", "KB5")]
+    r = closure.Reachability(edges_df(spark, edges), roots_df(spark, roots))
+    graphs = {x.scan_id: x.graph for x in r.graph_of.collect()}
+    assert set(graphs) == {"s1", "s2", "s3", "s4", "s5"} and len(set(graphs.values())) == 2
+    assert r.edges.count() == 4 + 1
+    profiles = {x.scan_id: x.profile for x in r.profile_of.collect()}
+    # KB7 replaces nothing, so s4 is as s1; s5 and s6 have no root
+    assert set(profiles) == {"s1", "s2", "s3", "s4"} and len(set(profiles.values())) == 2 and profiles["s1"] == profiles["s2"] == profiles["s4"]
+    assert r._present.count() == 3 + 1 and r._pairs.count() == 3 + 1
+    want = bfs(edges, roots)
+    assert sorted(map(tuple, r.pairs().collect())) == want
+    assert sorted(map(tuple, r.reached().collect())) == sorted({(s, k) for s, _, k in want})
+    lists = {(x.scan_id, x.kb_id): x.replaced_by for x in r.roots_of().collect()}
+    assert lists == {(s, k): sorted(a for s2, a, b in want if (s2, b) == (s, k)) for s, _, k in want}
+
+
+def test_long_paths_and_dense_graphs(spark):
+    """A path of 100 edges takes 100 / hops jobs; a dense graph has 2 ** 40 paths but each hop is deduplicated."""
+    path = [("s", f"K{i}", f"K{i + 1}") for i in range(100)]
+    dense = [("t", f"K{i}", f"K{j}") for i in range(42) for j in range(i)]
+    r = closure.Reachability(edges_df(spark, path + dense), roots_df(spark, [("s", "K0"), ("t", "K41")]), hops=12, merge_every=3)
+    got = r.reached().groupBy("scan_id").count().collect()
+    assert {x.scan_id: x["count"] for x in got} == {"s": 100, "t": 41}
+    with pytest.raises(RuntimeError):
+        closure.Reachability(edges_df(spark, path), roots_df(spark, [("s", "K0")]), max_jobs=2).reached().collect()
+
+
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="test tables not present")
-def test_closure_strides_agree_on_tables(spark):
+def test_closure_hops_agree_on_tables(spark):
     from fleetrisk.sources import derived as dv
     groups = dv.entry_groups(dv.link(spark, SMOKE))
     edges = closure.edges_from_entries(dv.kb_entries(spark, SMOKE, groups=groups))
     roots = dv.installed(spark, SMOKE, groups=groups)
     plain = sorted(map(tuple, closure.closure(edges, roots).collect()))
-    assert plain and plain == sorted(map(tuple, closure.closure(edges, roots, stride=1, merge_every=3).collect()))
+    assert plain and plain == sorted(map(tuple, closure.closure(edges, roots, hops=2, merge_every=3).collect()))

@@ -71,9 +71,9 @@ def test_oracle_parity_small(spark, duck, name):
     assert norm(s) == norm(o)
 
 
-def test_closure_round_reads_cached_sides_in_place(spark):
-    """A co-partitioned closure round shuffles the frontier and the new pairs only:
-    the cached edge table and reached-pair blocks keep their hash partitioning."""
+def test_a_hop_reads_cached_edges_in_place(spark):
+    """Beyond the broadcast bound a hop shuffles its frontier and its new rows only: the
+    cached edges and reached rows keep their hash partitioning."""
     from pyspark.sql import functions as F
 
     from fleetrisk.operators import closure
@@ -83,18 +83,37 @@ def test_closure_round_reads_cached_sides_in_place(spark):
     spark.conf.set(key, "-1")  # large-table regime: no broadcasts
     try:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        pair = ["scan_id", "root_kb", "kb_id"]
-        edges = spark.createDataFrame([("s", f"K{i}", f"K{i - 1}") for i in range(1, 20)],
-                                      "scan_id string, kb_id string, dst string").checkpoint(eager=True)
-        ed, _ = closure._co_partitioned(edges, n, ["scan_id", "kb_id"])
-        frontier = spark.createDataFrame([("s", "K9", "K8")], "scan_id string, root_kb string, kb_id string")
-        blocks = [closure._co_partitioned(frontier.checkpoint(eager=True), n, pair)[0] for _ in range(2)]
-        step = (frontier.join(ed, ["scan_id", "kb_id"])
-                .select("scan_id", "root_kb", F.col("dst").alias("kb_id")).distinct())
+        row = ["graph", "profile", "kb_id"]
+        edges = spark.createDataFrame([("g", f"K{i}", f"K{i - 1}") for i in range(1, 20)], "graph string, kb_id string, dst string").checkpoint(eager=True)
+        steps, _ = closure._co_partitioned(edges, n, ["graph", "kb_id"])
+        frontier = spark.createDataFrame([("g", "p", "K9")], "graph string, profile string, kb_id string")
+        blocks = [closure._co_partitioned(frontier.checkpoint(eager=True), n, row)[0] for _ in range(2)]
+        step = frontier.join(steps, ["graph", "kb_id"]).select("graph", "profile", F.col("dst").alias("kb_id")).distinct()
         for b in blocks:
-            step = step.join(b, pair, "left_anti")
+            step = step.join(b, row, "left_anti")
         assert plan(step).count("ENSURE_REQUIREMENTS") == 2
-        for c in [ed] + blocks:
+        for c in [steps, *blocks]:
             c.unpersist()
     finally:
         spark.conf.set(key, before)
+
+
+PRESENCE_ONLY = ["missing_kbs", "logical_present", "scan_summary", "missing_breakdown", "source_summary", "runtime_flatten",
+                 "runtime_flatten_counters", "fleet_ranking", "scanner_summary"]
+
+
+@pytest.mark.parametrize("name", PRESENCE_ONLY)
+def test_presence_builds_no_root_pairs(spark, monkeypatch, name):
+    from fleetrisk.operators import closure
+
+    spreads, spread = [], closure.spread
+
+    def watched(frontier, edges, carry, **options):
+        spreads.append(carry)
+        return spread(frontier, edges, carry, **options)
+
+    monkeypatch.setattr(closure, "spread", watched)
+    df = QUERIES[name](spark, SF_SMALL)
+    assert "root_kb" not in df._jdf.queryExecution().optimizedPlan().toString()
+    df.collect()
+    assert spreads == [["profile"]]
