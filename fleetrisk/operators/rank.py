@@ -159,23 +159,30 @@ def ranking_summary(ranking: DataFrame, keys=("scan_id",)) -> DataFrame:
     return ranking.groupBy(*keys).agg(*aggs)
 
 
-def nested_ranking(ranking: DataFrame, scored: DataFrame, keys=("scan_id",)) -> DataFrame:
+#: CVE rows in one list of a nested ranking
+SEGMENT_ROWS = 20_000
+
+
+def nested_ranking(ranking: DataFrame, scored: DataFrame, keys=("scan_id",), segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Export shape: each ranked KB with its nested CVE list ordered by risk.
 
-    The nested list holds one KB's CVE rows, bounded by that KB's advisory
-    entries; the long table (``scored`` joined to ``ranking``) stays the primary
-    output for anything larger.
+    A list holds at most ``segment_rows`` rows: a KB with more has several rows, numbered by
+    ``segment`` from 0. A distributed rank deals the CVE rows out, so no task
+    gathers a whole KB, and lists are gathered from runs of ranks.
     """
     keys = list(keys)
     has_ml = "ml_risk" in scored.columns
     item = F.struct(
-        (-F.col("policy_risk")).alias("_k"), F.col("cve_id").alias("_c"), F.col("month").alias("_m"),
-        F.col("cve_id"), F.col("policy_risk"),
+        F.col("_at"), F.col("cve_id"), F.col("policy_risk"),
         (F.col("ml_risk") if has_ml else F.lit(None).cast("double")).alias("ml_risk"),
         F.col("policy_priority"),
         (F.col("ml_priority") if has_ml else F.lit(None).cast("string")).alias("ml_priority"),
         (F.col("cluster") if has_ml else F.lit(None).cast("int")).alias("cluster"),
         F.col("top_driver"), join_list("policy_drivers", ", ", "").alias("drivers"))
-    lists = scored.groupBy(*keys, "kb_id").agg(F.array_sort(F.collect_list(item)).alias("_cves"))
-    lists = lists.withColumn("cves", F.transform("_cves", lambda x: x.dropFields("_k", "_c", "_m"))).drop("_cves")
+    wanted = [*keys, "kb_id", "cve_id", "month", "policy_risk", "policy_priority", "top_driver", "policy_drivers",
+              *(("ml_risk", "ml_priority", "cluster") if has_ml else ())]
+    ranked = rank_within(scored.select(*wanted), [*keys, "kb_id"], [F.col("policy_risk").desc(), F.col("cve_id"), F.col("month")], "_at")
+    lists = (ranked.withColumn("segment", F.floor((F.col("_at") - 1) / segment_rows).cast("int"))
+             .groupBy(*keys, "kb_id", "segment").agg(F.array_sort(F.collect_list(item)).alias("_cves")))
+    lists = lists.withColumn("cves", F.transform("_cves", lambda x: x.dropFields("_at"))).drop("_cves")
     return ranking.join(lists, keys + ["kb_id"], "left")

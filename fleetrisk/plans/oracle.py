@@ -237,6 +237,8 @@ ORACLE["missing_kbs"] = CORRELATION + """
 SELECT m.scan_id, m.kb_id, coalesce(t.update_type, 'Unknown') AS update_type
 FROM missing m LEFT JOIN etype t ON t.scan_id = m.scan_id AND t.kb_id = m.kb_id"""
 ORACLE["kb_status"] = with_rec(LINK, RAW, CORR, STATUS) + "SELECT * FROM status"
+ORACLE["scan_documents"] = with_rec(LINK, RAW, CORR, STATUS) + """
+SELECT scan_id, kb_id, months, cve_count, status = 'Missing' AS missing FROM status"""
 ORACLE["kb_table_top10"] = with_rec(LINK, RAW, CORR, STATUS) + """
 SELECT * FROM (
   SELECT scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY kb_id) AS INTEGER) AS pos, kb_id, type,

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetrisk.operators import baseline as bl
 from fleetrisk.operators import enrich as en
 from fleetrisk.operators import flatten as fl
 from fleetrisk.operators import policy as po
@@ -212,6 +213,34 @@ def months_with_entries(spark, d):
     return out.withColumn("months_with_entries", F.array_join("months_with_entries", ", "))
 
 
+from fleetrisk.session import shared_folder  # noqa: E402
+from fleetrisk.sources import scan_files as sf  # noqa: E402
+from fleetrisk.sources import scans as sc  # noqa: E402
+
+
+def exported_scans(spark: SparkSession, d: str) -> str:
+    """A folder of scan documents: every host's correlation, and an older scan without its installed KBs."""
+    entries, c = fleet_correlation(spark, d)
+    b = dv.baselines(spark, d).checkpoint(eager=True)
+    months = bl.month_window(b)[0]
+    folder = shared_folder(spark, "scans")
+    old, new = (F.lit(t).cast("timestamp") for t in ("2001-08-01 00:00:00", dv.AS_OF))
+    sc.export_scans(entries, c["installed"].limit(0), c["missing"].limit(0), b, months, folder, old)
+    sc.export_scans(entries, c["installed"], c["missing"], b, months, folder, new, segment_rows=5_000)
+    return folder
+
+
+@query
+def scan_documents(spark, d):
+    """S4 + S1 + S2: correlations exported as nested documents, each host's newest scan read back from JSON."""
+    docs = sf.read(spark, exported_scans(spark, d), latest=True).where("valid")
+    missing = sc.stored_missing(docs).withColumn("missing", F.lit(True))
+    entries = sc.kb_entries(docs).where("kb_id <> ''")
+    return (entries.join(missing, ["scan_id", "kb_id"], "left")
+            .select(F.split("scan_id", "/")[0].cast("int").alias("scan_id"), "kb_id", F.array_join("months", ", ").alias("months"),
+                    F.size("cves").alias("cve_count"), F.coalesce("missing", F.lit(False)).alias("missing")))
+
+
 # ---------------------------------------------------------------- runtime (per scan)
 
 def runtime_validated(spark: SparkSession, d: str) -> DataFrame:
@@ -282,7 +311,6 @@ def cve_preview(spark, d):
 # ---------------------------------------------------------------- hosts, months, candidates, text
 
 from fleetrisk.functions import platform as pf  # noqa: E402
-from fleetrisk.operators import baseline as bl  # noqa: E402
 from fleetrisk.operators import match as mt  # noqa: E402
 from fleetrisk.operators import text as tx  # noqa: E402
 from fleetrisk.sources.tables import read_table  # noqa: E402

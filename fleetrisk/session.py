@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +66,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, for data sources that run in Python: a zip through Spark's own file server."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="fleetrisk-package-")  # only the driver reads it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/fleetrisk-package.zip", "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(f"{folder}/fleetrisk-package.zip")
+    _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared checkpoint folder, deleted when the JVM ends."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return fs.makeQualified(path).toString()

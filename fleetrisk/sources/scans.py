@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from fleetrisk import schemas
 from fleetrisk.functions.ids import normalise_id, update_type
+from fleetrisk.operators.rank import rank_within
+from fleetrisk.sources import scan_files
 
 SCAN_NAME_TS = r"scan_(\d{8}_\d{6})"
 
@@ -86,23 +88,54 @@ def baselines(scans: DataFrame) -> DataFrame:
     return scans.select("scan_id", "host", "Baseline.*")
 
 
-def export_scans(entries: DataFrame, installed_kbs: DataFrame, missing: DataFrame, baseline: DataFrame,
-                 months_requested: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write one nested scan document per scan (JSON lines, one folder per scan).
+#: list elements in one part of an exported scan
+SEGMENT_ROWS = 20_000
 
-    A document holds one host's KB entries, bounded by the advisories that apply
-    to that host; the fleet-scale tables stay the exploded ones.
+
+def scan_documents(entries: DataFrame, installed_kbs: DataFrame, missing: DataFrame, baseline: DataFrame,
+                   months_requested: DataFrame, scan_ts: Column, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """(host, file_name, document): nested scan documents, in parts of at most ``segment_rows`` list elements.
+
+    host is ``scan_id`` as text. All list elements of a scan form one order (section, key); a
+    distributed rank numbers them, and a part holds a run of numbers. So lists close in bounded
+    groups, and a large host spreads over many tasks. The first part carries the baseline.
     """
-    e = entries.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("kb_id").alias("KB"), F.col("months").alias("Months"), F.col("cves").alias("Cves"),
-        F.col("supersedes").alias("Supersedes"), F.col("update_type").alias("UpdateType")))).alias("KbEntries"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("months")))).alias("MonthsWithEntries"))
-    i = installed_kbs.groupBy("scan_id").agg(F.array_sort(F.collect_set("kb_id")).alias("InstalledKbs"))
-    m = missing.groupBy("scan_id").agg(F.array_sort(F.collect_set("kb_id")).alias("MissingKbs"))
-    r = months_requested.groupBy("scan_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "month_id"))), lambda x: x["month_id"]).alias("MonthsRequested"))
-    b = baseline.select("scan_id", F.struct(*[c for c in baseline.columns if c not in ("scan_id", "host")]).alias("Baseline"))
-    doc = (b.join(i, "scan_id", "left").join(r, "scan_id", "left").join(e, "scan_id", "left")
-           .join(m, "scan_id", "left"))
-    # one task writes a scan's folder, so there are not tasks x scans files
-    doc.repartition("scan_id").write.mode(mode).partitionBy("scan_id").json(path)
+    none, text = F.lit(None), "string"
+    entry = F.struct(F.col("kb_id").alias("KB"), F.col("months").alias("Months"), F.col("cves").alias("Cves"),
+                     F.col("supersedes").alias("Supersedes"), F.col("update_type").alias("UpdateType"))
+    blank = none.cast(entries.select(entry.alias("e")).schema["e"].dataType)
+
+    def section(rows: DataFrame, number: int, key: Column, item: Column = blank) -> DataFrame:
+        return rows.select("scan_id", F.lit(number).alias("section"), key.cast(text).alias("key"), item.alias("entry"))
+
+    months = entries.select("scan_id", F.explode("months").alias("month")).distinct()
+    tie = F.sha1(F.to_json(entry))  # entries of one KB in a fixed order
+    rows = (section(entries.withColumn("kb_id", normalise_id("kb_id")), 0, F.concat_ws("/", "kb_id", tie), entry)
+            .unionByName(section(installed_kbs.select("scan_id", "kb_id").distinct(), 1, F.col("kb_id")))
+            .unionByName(section(missing.select("scan_id", "kb_id").distinct(), 2, F.col("kb_id")))
+            .unionByName(section(months_requested, 3, F.concat_ws("/", F.format_string("%06d", F.col("pos").cast("long")), F.col("month_id"))))
+            .unionByName(section(months, 4, F.col("month")))
+            .unionByName(section(baseline, 5, F.lit(""))))  # a scan without any element has its one document, too
+    rows = rows.withColumn("spread", F.monotonically_increasing_id())
+    ranked = rank_within(rows, ["scan_id"], [F.col("section"), F.col("key").asc_nulls_first(), F.col("spread")], "at").withColumn("part", F.floor((F.col("at") - 1) / segment_rows).cast("long"))
+    element = F.struct("at", "key", "entry")
+    groups = ranked.groupBy("scan_id", "part").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("section") == k, element))).alias(f"_{k}") for k in range(5)])
+    counts = ranked.groupBy("scan_id").agg((F.max("part") + 1).alias("parts"))
+    facts = baseline.select("scan_id", F.struct(*[c for c in baseline.columns if c not in ("scan_id", "host")]).alias("Baseline"))
+    doc = groups.join(counts, "scan_id").join(facts, "scan_id", "left")
+    keys = lambda k: F.transform(f"_{k}", lambda x: x["key"])
+    body = F.to_json(F.struct(
+        F.when(F.col("part") == 0, F.col("Baseline")).alias("Baseline"), keys(1).alias("InstalledKbs"),
+        F.transform("_3", lambda x: F.substring_index(x["key"], "/", -1)).alias("MonthsRequested"),
+        keys(4).alias("MonthsWithEntries"), F.transform("_0", lambda x: x["entry"]).alias("KbEntries"), keys(2).alias("MissingKbs")))
+    stem = F.concat(F.lit("scan_"), F.date_format(scan_ts, "yyyyMMdd_HHmmss"))
+    suffix = F.when(F.col("parts") > 1, F.format_string(".%06d-of-%06d", F.col("part") + 1, F.col("parts"))).otherwise("")
+    return doc.select(F.col("scan_id").cast(text).alias("host"), F.concat(stem, suffix, F.lit(".json")).alias("file_name"), body.alias("document"))
+
+
+def export_scans(entries: DataFrame, installed_kbs: DataFrame, missing: DataFrame, baseline: DataFrame, months_requested: DataFrame,
+                 path: str, scan_ts: Column | None = None, segment_rows: int = SEGMENT_ROWS) -> None:
+    """Write one nested scan document per scan, or several parts of one: ``path/<scan_id>/scan_<time>[.<part>].json``."""
+    scan_ts = F.current_timestamp() if scan_ts is None else scan_ts
+    scan_files.write(scan_documents(entries, installed_kbs, missing, baseline, months_requested, scan_ts, segment_rows), path)

@@ -52,8 +52,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def write_ranking(ranking: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Ranking JSON sink; nested CVE arrays kept, one folder and one writing task per scan."""
-    ranking.repartition("scan_id").write.mode(mode).partitionBy("scan_id").json(path)
+    """Ranking JSON sink; nested CVE arrays kept, one folder per scan.
+
+    Ranges of (scan, rank) go to tasks, so a large scan spreads over several and small ones share one.
+    """
+    order = [c for c in ("scan_id", "rank", "segment") if c in ranking.columns]
+    ranking.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("scan_id").json(path)
 
 
 def read_ranking(spark: SparkSession, path: str) -> DataFrame:

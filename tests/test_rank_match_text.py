@@ -139,3 +139,25 @@ def test_title_keys_have_target_lengths_only(spark):
     df = spark.createDataFrame([("Update (KB5001234)",)], "title string")
     keys = df.select(match.title_kb_keys(F.col("title"), [7]).alias("k")).first().k
     assert keys == ["KB5001234"] and len(df.select(match.title_kb_keys(F.col("title")).alias("k")).first().k) == 7
+
+
+def test_nested_lists_close_in_segments(spark):
+    """One KB with a million CVE rows: its list is gathered in several tasks, in order, and nothing is lost."""
+    n, size = 1_000_000, 150_000
+    scored = spark.range(n, numPartitions=8).select(
+        F.lit("s").alias("scan_id"), F.lit("KB1").alias("kb_id"), F.format_string("CVE-2024-%07d", F.col("id")).alias("cve_id"),
+        F.lit("2024-Jan").alias("month"), (F.col("id") % 90 / 10).alias("policy_risk"), F.lit("Low").alias("policy_priority"),
+        F.lit("d").alias("top_driver"), F.array(F.lit("d")).alias("policy_drivers"))
+    ranking = spark.createDataFrame([("s", "KB1", 1), ("s", "KB2", 2)], "scan_id string, kb_id string, rank int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # at this size all would share a task
+    try:
+        out = rank.nested_ranking(ranking, scored, segment_rows=size).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = {r.segment: r.n for r in out.where("kb_id = 'KB1'").select("segment", F.size("cves").alias("n")).collect()}
+    assert sizes == {k: size for k in range(6)} | {6: n - 6 * size} and out.where("kb_id = 'KB2'").first().cves is None
+    parts = out.where("kb_id = 'KB1'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
+    edge = out.where("kb_id = 'KB1'").select("segment", F.col("cves")[0]["policy_risk"].alias("a"), F.element_at("cves", -1)["policy_risk"].alias("b")).orderBy("segment").collect()
+    assert all(x.a >= x.b for x in edge) and all(x.b >= y.a for x, y in zip(edge, edge[1:]))
+    assert out.select(F.explode_outer("cves").alias("c")).select(F.countDistinct("c.cve_id")).first()[0] == n

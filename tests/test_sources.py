@@ -1,12 +1,14 @@
 import json
 import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
 from fleetrisk import schemas
 from fleetrisk.operators import correlate, flatten
-from fleetrisk.sources import advisory, scans, tables
+from fleetrisk.sources import advisory, scan_files, scans, tables
 
 # invented documents: no KB, link, build or product of a real scan
 OLD = {  # older vintage: no MonthsWithEntries / MissingBreakdown / UpdateType
@@ -85,17 +87,104 @@ def test_missing_folder_raises(spark, tmp_path):
         scans.read_scans(spark, str(tmp_path / "empty"))
 
 
-def test_export_roundtrip(spark, scan_dir, tmp_path):
+def test_scan_source_equals_json_reader(spark, scan_dir):
+    want = {r.scan_id: r for r in scans.read_scans(spark, scan_dir).collect()}
+    got = {r.scan_id: r for r in scan_files.read(spark, scan_dir).collect()}
+    assert set(got) == set(want) and {k for k, r in got.items() if not r.valid} == {"h2/scan_broken"}
+    for k, r in got.items():
+        assert (r.host, r.file_name, r.valid) == (want[k].host, want[k].file_name, want[k].valid)
+        if r.valid:
+            assert all(r[c] == want[k][c] for c in schemas.SCAN.names) and r.scan_ts == want[k].scan_ts
+    assert got["h2/scan_broken"]._corrupt_record == "[1, 2, 3]"
+    with pytest.raises(FileNotFoundError):
+        scan_files.read(spark, scan_dir + "/h1/none") if os.makedirs(scan_dir + "/h1/none") is None else None
+
+
+def test_only_the_newest_wanted_files_are_opened(scan_dir, monkeypatch):
+    read, opened = [], scan_files.opened
+
+    def counted(filesystem, path):
+        read.append(os.path.relpath(path, scan_dir))
+        return opened(filesystem, path)
+
+    monkeypatch.setattr(scan_files, "opened", counted)
+
+    def scan(latest, filters=()):
+        read.clear()
+        reader = scan_files.ScanReader(schemas.SCAN, {"path": scan_dir, "latest": latest, "partitionBytes": "1"})
+        assert not list(reader.pushFilters(list(filters)))
+        reader.schema = scan_files.SCHEMA
+        rows = [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+        return sorted(read), rows
+
+    os.utime(scan_dir + "/h2/scan_broken.json", (0, 0))
+    files, rows = scan("true")
+    assert files == ["h1/scan_20310402_040506.json", "h2/scan_20310401_070809.json"] and [r["valid"] for r in rows] == [True, True]
+    assert scan("true", [EqualTo(("host",), "h1")])[0] == ["h1/scan_20310402_040506.json"]
+    late = datetime(2031, 4, 2)
+    assert scan("false", [GreaterThanOrEqual(("scan_ts",), late)])[0] == ["h1/scan_20310402_040506.json"]
+    # the newest scan first, then its time: h1's older scan does not step in
+    assert scan("true", [LessThan(("scan_ts",), late)])[0] == ["h2/scan_20310401_070809.json"]
+
+
+def test_predicates_reach_the_scan_source(spark, scan_dir):
+    df = scan_files.read(spark, scan_dir)
+    assert [r.scan_id for r in df.where("host = 'h1' and scan_ts >= timestamp'2031-04-02 00:00:00'").collect()] == ["h1/scan_20310402_040506"]
+    early = df.where("host in ('h2', 'h3') and scan_ts < timestamp'2031-04-01 07:08:09'").collect()
+    assert [r.scan_id for r in early] == ["h2/scan_broken"]  # its time is that of the file
+    assert df.where("scan_ts <= timestamp'2031-04-01 07:08:09' and valid").count() == 2
+
+
+def test_stream_and_batch_read_alike(spark, scan_dir, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("stream"))
+
+    def run():
+        q = (scan_files.stream(spark, scan_dir).writeStream.format("parquet").option("path", out + "/rows")
+             .option("checkpointLocation", out + "/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        return sorted(r.scan_id for r in spark.read.parquet(out + "/rows").select("scan_id").collect())
+
+    assert run() == sorted(r.scan_id for r in scan_files.read(spark, scan_dir).select("scan_id").collect())
+    os.makedirs(scan_dir + "/h9")
+    with open(scan_dir + "/h9/scan_20310501_000000.json", "w") as f:
+        json.dump(NEW, f)
+    assert len(run()) == 5  # each file once
+
+
+def exported(spark, scan_dir, out, rows):
     s = scans.read_scans(spark, scan_dir).where("valid")
     e, i = scans.kb_entries(s), scans.installed(s)
     m = correlate.correlate(e, i)["missing"]
     months = s.select("scan_id", F.posexplode("MonthsRequested").alias("pos", "month_id"))
+    named = [f.withColumn("scan_id", F.replace("scan_id", F.lit("/"), F.lit("-"))) for f in (e, i, m, scans.baselines(s), months)]
+    scans.export_scans(*named, out, F.lit("2031-06-01 00:00:00").cast("timestamp"), segment_rows=rows)
+    return named
+
+
+@pytest.mark.parametrize("rows", [2, 10_000])
+def test_export_roundtrip(spark, scan_dir, tmp_path, rows):
+    out = str(tmp_path / "export")
+    e, i, m, b, months = exported(spark, scan_dir, out, rows)
+    names = sorted(f for _, _, files in os.walk(out) for f in files if not f.startswith("."))
+    assert len(names) == (3 if rows > 100 else len(names)) and all(f.startswith("scan_20310601_000000.") for f in names)
+    assert rows > 100 or len(names) > 12
+    back = scan_files.read(spark, out, latest=True).withColumn("scan_id", F.col("host"))
+    listed = lambda df: sorted(map(str, df.collect()))
+    assert listed(scans.kb_entries(back)) == listed(e.select(scans.kb_entries(back).columns))
+    assert listed(scans.installed(back)) == listed(i) and listed(scans.stored_missing(back)) == listed(m)
+    got = back.where("Baseline is not null").select("scan_id", "Baseline.*")
+    assert listed(got) == listed(b.select(got.columns))
+    if rows > 100:
+        assert {r.scan_id: r.MonthsRequested for r in back.collect()}["h1-scan_20310401_010203"] == ["2031-Mar", "2031-Apr"]
+
+
+def test_a_scan_counts_when_all_its_parts_are_there(spark, scan_dir, tmp_path):
     out = str(tmp_path / "export")
-    scans.export_scans(e, i, m, scans.baselines(s), months, out)
-    back = spark.read.schema(schemas.SCAN).json(out)
-    assert back.count() == 3
-    assert sorted(r.kb_id for r in scans.kb_entries(back.withColumn("scan_id", F.lit("x"))).collect()) == sorted(
-        r.kb_id for r in e.collect())
+    exported(spark, scan_dir, out, 2)
+    folder = out + "/h1-scan_20310401_010203"
+    whole = scan_files.read(spark, out).select("host").distinct().count()
+    os.rename(f"{folder}/{sorted(os.listdir(folder))[-1]}", f"{folder}/.gone")
+    assert whole == 3 and scan_files.read(spark, out).select("host").distinct().count() == 2
 
 
 def test_ranking_and_csv_and_summary_sinks(spark, tmp_path):
