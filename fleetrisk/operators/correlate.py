@@ -18,6 +18,9 @@ SUPERSEDED = "Superseded"
 MISSING = "Missing"
 UNKNOWN_TYPE = "Unknown"
 UPDATE_TYPES = ("Superseding", "Standalone")
+REQUEST_MONTHS = 3
+REASON_NO_PRODUCT = "No product name resolved"
+REASON_NO_ENTRIES = "No KB data returned"
 
 
 def merge_entries(batches: DataFrame, scan_col: str = "scan_id") -> DataFrame:
@@ -43,22 +46,24 @@ def finalise_entries(entries: DataFrame) -> DataFrame:
     }).withColumn("update_type", update_type("supersedes"))
 
 
-def product_kb_map(product_rows: DataFrame, product: str | None = None, scan_col: str = "scan_id") -> DataFrame:
+def product_kb_map(product_rows: DataFrame, product: str | None = None, scan_col: str = "scan_id", request: str | None = None) -> DataFrame:
     """KB entries from affected-software rows (one row per product x CVE x month).
 
     Rows of the chosen product (case-insensitive) are exploded over their KB
     articles and grouped per KB: distinct months, valid CVEs and the first KB
-    number of each superseded value.
+    number of each superseded value. With ``request``, a column of the rows, entries are
+    those of each request on its own, for ``merge_entries``.
     """
+    keys = [scan_col, *([request] if request else [])]
     rows = product_rows
     if product is not None:
         rows = rows.where(F.lower("full_product_name") == F.lower(F.lit(product)))
     # ids as the feed has them: a single text or an array of them, tidied and filtered
     cves = F.filter(F.transform(_texts(rows, "cve"), lambda c: F.when(is_cve_id(c), normalise_id(c))), lambda c: c.isNotNull())
     sup = F.filter(F.transform(_texts(rows, "supercedence"), kb_id_loose), lambda k: k.isNotNull())
-    kb = rows.select(scan_col, "month", cves.alias("cves"), sup.alias("supersedes"),
+    kb = rows.select(*keys, "month", cves.alias("cves"), sup.alias("supersedes"),
                      F.explode(F.transform("kb_articles", kb_id_loose)).alias("kb_id")).where(F.col("kb_id").isNotNull())
-    out = kb.groupBy(scan_col, "kb_id").agg(
+    out = kb.groupBy(*keys, "kb_id").agg(
         F.collect_set("month").alias("months"),
         F.array_distinct(F.flatten(F.collect_set("cves"))).alias("cves"),
         F.array_distinct(F.flatten(F.collect_set("supersedes"))).alias("supersedes"))
@@ -139,19 +144,40 @@ def correlate(kb_entry: DataFrame, installed: DataFrame, scan_col: str = "scan_i
     return Correlation(kb_entry, installed, scan_col, **options)
 
 
-def scan_summary(c: Mapping[str, DataFrame], scan_col: str = "scan_id") -> DataFrame:
-    """Per scan: raw entries returned (per month and KB), expected, installed, logically
-    present, superseded mappings, present among expected, missing."""
+def requests(months: DataFrame, scan_col: str = "scan_id", size: int = REQUEST_MONTHS) -> DataFrame:
+    """(scan, request, month): each host's months in requests of ``size``, numbered from 0.
+
+    months: ``baseline.month_window``'s (scan, pos from 1, month_id).
+    """
+    return months.select(scan_col, F.floor((F.col("pos") - 1) / size).cast("int").alias("request"), F.col("month_id").alias("month"))
+
+
+def requested_entries(product_rows: DataFrame, asked: DataFrame, scan_col: str = "scan_id") -> DataFrame:
+    """KB entries of each request (scan, request, kb_id, ...): rows of each host's product in the months of its requests."""
+    return product_kb_map(product_rows.join(asked, [scan_col, "month"]), scan_col=scan_col, request="request")
+
+
+def scan_summary(c: Mapping[str, DataFrame], scan_col: str = "scan_id", hosts: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """Per scan: raw entries returned, expected, installed, logically present, superseded
+    mappings, present among expected, missing.
+
+    raw: rows that requests returned, one per (scan, request, KB); by default each month of a
+    KB counts, as if months had been asked for one by one. hosts: (scan, ...) gets a row for each
+    of its rows, zeros included, and keeps their columns; by default scans with expected KBs.
+    """
     def per_scan(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(scan_col).agg(F.count(F.lit(1)).alias(name))
-    expected = per_scan(c["expected"], "expected_kbs")
-    parts = [per_scan(c["installed"], "installed_kbs"), per_scan(c["present"], "logical_present_kbs"),
+    if raw is None:
+        raw = c["entries"].groupBy(scan_col).agg(F.sum(F.coalesce(F.size("months"), F.lit(0))).alias("raw_entries_returned"))
+    else:
+        raw = per_scan(raw, "raw_entries_returned")
+    parts = [raw, per_scan(c["installed"], "installed_kbs"), per_scan(c["present"], "logical_present_kbs"),
              per_scan(c["reached_kbs"], "superseded_mappings"), per_scan(c["missing"], "missing_kbs")]
-    raw = c["entries"].groupBy(scan_col).agg(F.sum(F.coalesce(F.size("months"), F.lit(0))).alias("raw_entries_returned"))
-    out = expected.join(raw, scan_col, "left")
+    expected = per_scan(c["expected"], "expected_kbs")
+    out = expected if hosts is None else hosts.join(expected, scan_col, "left")
     for p in parts:
         out = out.join(p, scan_col, "left")
-    out = out.fillna(0, subset=["installed_kbs", "logical_present_kbs", "superseded_mappings", "missing_kbs"])
+    out = out.fillna(0, subset=["raw_entries_returned", "expected_kbs", "installed_kbs", "logical_present_kbs", "superseded_mappings", "missing_kbs"])
     return out.withColumn("present_among_expected", F.col("expected_kbs") - F.col("missing_kbs"))
 
 
@@ -169,7 +195,7 @@ def missing_breakdown(missing_typed: DataFrame, scan_col: str = "scan_id") -> Da
 
 
 def months_with_entries(kb_entry: DataFrame, scan_col: str = "scan_id", grain: str = "month",
-                        requested: DataFrame | None = None, batch_size: int = 3) -> DataFrame:
+                        requested: DataFrame | None = None, batch_size: int = REQUEST_MONTHS) -> DataFrame:
     """Per scan, sorted distinct months that returned any KB entry (text order).
 
     ``grain="batch"``: months are requested ``batch_size`` at a time, in the order of

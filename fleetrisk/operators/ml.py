@@ -12,13 +12,17 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params
+from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +46,6 @@ NUMERIC = ("cvss_score", "patch_age_days", "exploited_flag")
 NOT_FEATURES = ("scan_id", "kb_id", "cve_id", "month", "published_date", "exploitation", "policy_risk",
                 "policy_priority", "policy_drivers", "top_driver", "risk_score", "priority_label")
 ROW_KEY = ("kb_id", "cve_id", "month")
-FIT_THREADS = 10
 
 
 def model_frame(df: DataFrame) -> DataFrame:
@@ -144,18 +147,38 @@ def hash_split(df: DataFrame, test_percent: int = TEST_PERCENT, key=ROW_KEY, see
     return df.where(h >= test_percent), df.where(h < test_percent)
 
 
+#: a row's hash falls into one of 2 ** SPLIT_BITS ranges of equal width
+SPLIT_BITS = 12
+
+
 def stratified_split(df: DataFrame, label: str, test_percent: int = TEST_PERCENT, key=ROW_KEY,
                      seed: int = SEED):
-    """Exact per-label split: within each label, rows ordered by hash; the last
-    ceil(test% * n_label) go to test. The per-label rank is the distributed
-    rank (a label can hold most rows), counts join from a #labels-row table."""
+    """Exact per-label split: within each label, rows ordered by hash and key (distinct within
+    a label); the last ceil(test% * n_label) go to test.
+
+    By selection, not by sorting: counts per (label, hash range) tell in which range the
+    boundary lies, only that range's rows, one of 2 ** SPLIT_BITS, are ranked, and the
+    row at the boundary cuts the table in two.
+    """
     hashed = df.withColumn("_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))
-    ranked = rank_within(hashed, [label], [F.col("_h").asc()] + [F.col(k).asc() for k in key], "_r")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(counts, label)  # as many rows as labels: AQE broadcasts it
-    n_train = F.col("_n") - F.ceil(F.col("_n") * test_percent / 100.0)
-    is_train = F.col("_r") <= n_train
-    return (ranked.where(is_train).drop("_h", "_r", "_n"), ranked.where(~is_train).drop("_h", "_r", "_n"))
+    hashed = hashed.withColumn("_range", F.shiftright("_h", 64 - SPLIT_BITS))
+    counts = hashed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_c"))  # labels x ranges rows at most
+    upto, whole = Window.partitionBy(label).orderBy("_range"), Window.partitionBy(label)
+    counts = counts.withColumns({"_upto": F.sum("_c").over(upto), "_n": F.sum("_c").over(whole)})
+    train_n = F.col("_n") - F.ceil(F.col("_n") * test_percent / 100.0)
+    edge = (counts.withColumn("_train", train_n).where((F.col("_upto") > F.col("_train")) & (F.col("_upto") - F.col("_c") <= F.col("_train")))
+            .select(F.col(label).alias("_label"), F.col("_range").alias("_edge"), (F.col("_train") - F.col("_upto") + F.col("_c")).alias("_keep")))
+    edge = edge.checkpoint(eager=True)  # a row for each label that has test rows
+    same = F.col(label).eqNullSafe(F.col("_label"))
+    row = F.struct("_h", *key)
+    inside = hashed.join(F.broadcast(edge), same).where(F.col("_range") == F.col("_edge"))
+    ranked = rank_within(inside.select(F.col("_label"), "_h", *key, "_keep"), ["_label"], [F.col("_h").asc()] + [F.col(k).asc() for k in key], "_r")
+    cut = ranked.where(F.col("_r") <= F.col("_keep")).groupBy("_label").agg(F.max(row).alias("_cut")).select(F.col("_label").alias("_cut_label"), "_cut")
+    edge = edge.join(cut, F.col("_label").eqNullSafe(F.col("_cut_label")), "left").drop("_cut_label").checkpoint(eager=True)
+    placed = hashed.join(F.broadcast(edge), same, "left")
+    is_train = (F.col("_edge").isNull() | (F.col("_range") < F.col("_edge"))
+                | ((F.col("_range") == F.col("_edge")) & F.coalesce(row <= F.col("_cut"), F.lit(False))))
+    return placed.where(is_train).select(df.columns), placed.where(~is_train).select(df.columns)
 
 
 # ---------------------------------------------------------------- models
@@ -200,26 +223,117 @@ def fit_classification(train: DataFrame, label: str = "priority_label", max_iter
     return PipelineModel(stages=model.stages + [to_text])
 
 
-def fit_clustering(train: DataFrame, k: int = CLUSTERS, restarts: int = CLUSTER_RESTARTS) -> PipelineModel:
-    """k-means on scaled features; ``restarts`` seeds, lowest training cost kept.
-    Features are prepared once and cached for the restarts."""
+#: profiles, by a hash, among which starting centres are chosen; a bound, whatever the data
+START_SAMPLE = 4096
+KMEANS_MAX_ITER, KMEANS_TOLERANCE = 100, 1e-4
+
+
+class NearestCentre(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Number of the nearest of ``centres`` (of equally near ones: the first), as column expressions."""
+
+    centres = Param(Params._dummy(), "centres", "cluster centres, a list of lists")
+
+    def __init__(self, centres: list[list[float]] | None = None, features: str = "features", prediction: str = "cluster"):
+        super().__init__()
+        self._set(featuresCol=features, predictionCol=prediction)
+        if centres is not None:
+            self._set(centres=[[float(v) for v in c] for c in centres])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        x = vector_to_array(F.col(self.getFeaturesCol()))
+        square = lambda c: F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        far = F.array(*[square(c) for c in self.getOrDefault(self.centres)])
+        return (dataset.withColumn("_far", far)
+                .withColumn(self.getPredictionCol(), (F.array_position("_far", F.array_min("_far")) - 1).cast("int")).drop("_far"))
+
+
+def starting_centres(x: np.ndarray, w: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ among weighted rows: each next centre with a chance in proportion to weight x squared distance."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(x), p=w / w.sum()))]
+    near = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        p = w * near
+        chosen.append(int(rng.choice(len(x), p=p / p.sum())) if p.sum() > 0 else chosen[0])
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def kmeans_runs(feats: DataFrame, starts: list[tuple[int, int]], max_iter: int = KMEANS_MAX_ITER,
+                tolerance: float = KMEANS_TOLERANCE) -> list[tuple[float, np.ndarray]]:
+    """(cost, centres) of a k-means run for each (k, seed), all in one pass over ``feats`` per iteration.
+
+    feats: x (array of doubles), w. A task assigns its rows to the centres of every run and sends one row
+    per run and cluster; sums of a cluster meet as many arrays as there are tasks. The driver
+    sees centres only. A run ends when no centre moves farther than ``tolerance``; a
+    cluster without rows keeps its centre. Jobs = iterations of the longest run + 2.
+    """
+    sample = feats.orderBy(F.xxhash64("x"), "x").limit(START_SAMPLE).collect()
+    if not sample:
+        return [(0.0, np.zeros((0, 0)))] * len(starts)
+    x, w = np.array([r["x"] for r in sample]), np.array([r["w"] for r in sample])
+    centres = [starting_centres(x, w, k, seed) for k, seed in starts]
+    moving = set(range(len(starts)))
+
+    def passed(runs: list[int]) -> dict[int, list]:
+        now = {r: centres[r] for r in runs}
+
+        def run(batches):
+            total = {r: [np.zeros(len(c)), np.zeros(c.shape), np.zeros(len(c))] for r, c in now.items()}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, w = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(1).to_numpy()
+                own = (x * x).sum(1)
+                for r, c in now.items():
+                    far = own[:, None] - 2 * (x @ c.T) + (c * c).sum(1)
+                    best = far.argmin(1)
+                    held = np.zeros((len(x), len(c)))
+                    held[np.arange(len(x)), best] = w
+                    total[r][0] += held.sum(0)
+                    total[r][1] += held.T @ x
+                    total[r][2] += np.bincount(best, w * ((x - c[best]) ** 2).sum(1), len(c))
+            rows = [(r, k, n[k], cost[k], sums[k].tolist()) for r, (n, sums, cost) in total.items() for k in range(len(n))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())])],
+                                             names=["run", "k", "n", "cost", "sums"])
+
+        partial = feats.select("x", "w").mapInArrow(run, "run int, k int, n double, cost double, sums array<double>")
+        added = lambda arrays: F.reduce(arrays, F.array_repeat(F.lit(0.0), x.shape[1]), lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
+        out = partial.groupBy("run", "k").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.collect_list("sums").alias("s")).select(
+            "run", "k", "n", "cost", added(F.col("s")).alias("sums")).collect()
+        found: dict[int, list] = {}
+        for r in out:
+            found.setdefault(r["run"], []).append(r)
+        return found
+
+    for _ in range(max_iter):
+        if not moving:
+            break
+        for r, rows in passed(sorted(moving)).items():
+            new = centres[r].copy()
+            for row in rows:
+                if row["n"] > 0:
+                    new[row["k"]] = np.array(row["sums"]) / row["n"]
+            if ((new - centres[r]) ** 2).sum(1).max() <= tolerance ** 2:
+                moving.discard(r)
+            centres[r] = new
+    costs = passed(list(range(len(starts))))
+    return [(sum(row["cost"] for row in costs[r]), centres[r]) for r in range(len(starts))]
+
+
+def _prepared(train: DataFrame) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """(fitted preprocessing, features, the same as x and w for ``kmeans_runs``)."""
     rows = compact(train)
     prep = Pipeline(stages=preprocessing(rows, scale=True)).fit(rows)
-    feats = prep.transform(rows).select("features", "row_weight").cache()
-    try:
-        fits = parallel_fits([KMeans(k=k, seed=SEED + i, featuresCol="features", predictionCol="cluster",
-                                     weightCol="row_weight") for i in range(restarts)], feats)
-        best = min(fits, key=lambda m: (m.summary.trainingCost, fits.index(m)))
-    finally:
-        feats.unpersist()
-    return PipelineModel(stages=[prep, best])
+    feats = prep.transform(rows).select("features", "row_weight")
+    return prep, feats, feats.select(vector_to_array("features").alias("x"), F.col("row_weight").cast("double").alias("w")).checkpoint(eager=True)
 
 
-def parallel_fits(estimators: list, data: DataFrame, threads: int = FIT_THREADS) -> list:
-    """Fit independent estimators as concurrent Spark jobs (driver threads submit,
-    executors do the work); results keep the estimators' order."""
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(estimators)))) as pool:
-        return list(pool.map(lambda est: est.fit(data), estimators))
+def fit_clustering(train: DataFrame, k: int = CLUSTERS, restarts: int = CLUSTER_RESTARTS) -> PipelineModel:
+    """k-means on scaled features; ``restarts`` seeds, lowest training cost kept."""
+    prep, _, arrays = _prepared(train)
+    runs = kmeans_runs(arrays, [(k, SEED + i) for i in range(restarts)])
+    return PipelineModel(stages=[prep, NearestCentre(min(runs, key=lambda r: r[0])[1].tolist())])
 
 
 def total_sum_of_squares(feats: DataFrame, weight: str = "row_weight") -> float:
@@ -235,22 +349,14 @@ def total_sum_of_squares(feats: DataFrame, weight: str = "row_weight") -> float:
 
 def elbow(train: DataFrame, max_k: int = ELBOW_MAX_K, restarts: int = CLUSTER_RESTARTS) -> DataFrame:
     """(k, wcss) for k = 1..max_k, the best of ``restarts`` starts each; k = 1 is the total
-    sum of squares from an aggregate."""
-    spark = train.sparkSession
-    compacted = compact(train)
-    prep = Pipeline(stages=preprocessing(compacted, scale=True)).fit(compacted)
-    feats = prep.transform(compacted).select("features", "row_weight").cache()
-    try:
-        total = total_sum_of_squares(feats)
-        rows = [(1, float(total))]
-        starts = [(k, SEED + i) for k in range(2, max_k + 1) for i in range(restarts)]
-        fits = parallel_fits([KMeans(k=k, seed=seed, featuresCol="features", weightCol="row_weight")
-                              for k, seed in starts], feats)
-        for k in range(2, max_k + 1):
-            rows.append((k, min(float(m.summary.trainingCost) for (own, _), m in zip(starts, fits) if own == k)))
-    finally:
-        feats.unpersist()
-    return spark.createDataFrame(rows, "k int, wcss double")
+    sum of squares from an aggregate. All starts of all k share their passes."""
+    _, feats, arrays = _prepared(train)
+    starts = [(k, SEED + i) for k in range(2, max_k + 1) for i in range(restarts)]
+    runs = kmeans_runs(arrays, starts)
+    rows = [(1, float(total_sum_of_squares(feats)))]
+    for k in range(2, max_k + 1):
+        rows.append((k, min(float(cost) for (own, _), (cost, _) in zip(starts, runs) if own == k)))
+    return train.sparkSession.createDataFrame(rows, "k int, wcss double")
 
 
 # ---------------------------------------------------------------- metrics
@@ -359,6 +465,34 @@ def train_models(labelled: DataFrame) -> Models:
     return fit_all(training_set(labelled))
 
 
+@dataclass
+class Evaluated:
+    """Models and their metrics on rows that they were not fitted on."""
+
+    models: Models
+    regression: DataFrame
+    classification: DataFrame
+    everything: DataFrame  # compacted, with row_weight
+
+
+def evaluated_models(frame: DataFrame) -> Evaluated:
+    """Regression fitted on the hash split, classification on the stratified one, clusters on all rows;
+    metrics are those of each split's other side.
+
+    frame: row key, model inputs and labels. Metrics of compacted rows (inputs + labels, with
+    counts) are those of the rows.
+    """
+    frame = frame.checkpoint(eager=True)
+    train, test = (compact(part, LABELS).checkpoint(eager=True) for part in hash_split(frame))
+    c_train, c_test = (compact(part, LABELS).checkpoint(eager=True) for part in stratified_split(frame, "priority_label"))
+    everything = compact(frame, LABELS).checkpoint(eager=True)
+    with ThreadPoolExecutor(max_workers=3) as pool:  # independent Spark jobs
+        fits = [pool.submit(fit, rows) for fit, rows in ((fit_regression, train), (fit_classification, c_train), (fit_clustering, everything))]
+        models = Models(*[f.result() for f in fits])
+    return Evaluated(models, regression_metrics(models.regression.transform(test), "risk_score", "ml_risk", "row_weight"),
+                     classification_metrics(models.classification.transform(c_test), "priority_label", "ml_priority", "row_weight"), everything)
+
+
 MODEL_INPUTS = CATEGORICAL + NUMERIC
 
 

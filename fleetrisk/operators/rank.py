@@ -185,4 +185,8 @@ def nested_ranking(ranking: DataFrame, scored: DataFrame, keys=("scan_id",), seg
     lists = (ranked.withColumn("segment", F.floor((F.col("_at") - 1) / segment_rows).cast("int"))
              .groupBy(*keys, "kb_id", "segment").agg(F.array_sort(F.collect_list(item)).alias("_cves")))
     lists = lists.withColumn("cves", F.transform("_cves", lambda x: x.dropFields("_at"))).drop("_cves")
-    return ranking.join(lists, keys + ["kb_id"], "left")
+    # one row a segment on both sides, so a KB's lists meet in as many tasks as there are segments
+    last = ranked.groupBy(*keys, "kb_id").agg(F.floor((F.max("_at") - 1) / segment_rows).cast("int").alias("_last"))
+    slots = ranking.join(last, keys + ["kb_id"], "left").withColumn(
+        "segment", F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0))))).drop("_last")
+    return slots.join(lists, keys + ["kb_id", "segment"], "left")

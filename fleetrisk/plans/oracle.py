@@ -486,29 +486,34 @@ ORACLE["scanner_summary"] = with_rec(LINK, HOSTS, PRODUCTS, HINTS) + """, win AS
   SELECT scan_id, CAST(date_trunc('month', least(lcu, latest)) AS DATE) AS s, CAST(date_trunc('month', latest) AS DATE) AS e
   FROM h WHERE scan_id % 7 <> 3 AND lcu IS NOT NULL),
 wm AS (SELECT scan_id, unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS mo FROM win),
-req AS (SELECT scan_id, strftime(mo, '%Y-%b') AS month FROM (
+req AS (SELECT scan_id, strftime(mo, '%Y-%b') AS month, (pos - 1) // 3 AS request FROM (
   SELECT scan_id, mo, row_number() OVER (PARTITION BY scan_id ORDER BY mo) AS pos FROM wm) t WHERE pos <= 48),
-own AS (SELECT p.scan_id, p.month, 'KB' || CAST(5000000 + p.article AS VARCHAR) AS kb_id, p.sup FROM prod p
+own AS (SELECT p.scan_id, p.month, r.request, 'KB' || CAST(5000000 + p.article AS VARCHAR) AS kb_id, p.sup FROM prod p
   JOIN hint i ON i.scan_id = p.scan_id AND lower(i.product_name_hint) = lower(p.product)
   JOIN req r ON r.scan_id = p.scan_id AND r.month = p.month),
 expected AS (SELECT DISTINCT scan_id, kb_id FROM own),
 edges AS (SELECT DISTINCT scan_id, kb_id AS src, sup AS dst FROM own WHERE sup IS NOT NULL),
 installed AS (SELECT DISTINCT scan_id, kb_id FROM link WHERE l_returnflag = 'N' AND l_linestatus = 'F'
-  AND (partkey % 2 = 0 OR scan_id % 7 <> 3) AND scan_id IN (SELECT scan_id FROM expected)),
+  AND (partkey % 2 = 0 OR scan_id % 7 <> 3)),
 reach(scan_id, root_kb, kb_id) AS (
   SELECT i.scan_id, i.kb_id, e.dst FROM installed i JOIN edges e ON e.scan_id = i.scan_id AND e.src = i.kb_id
   UNION
   SELECT r.scan_id, r.root_kb, e.dst FROM reach r JOIN edges e ON e.scan_id = r.scan_id AND e.src = r.kb_id),
 present AS (SELECT scan_id, kb_id FROM installed UNION SELECT scan_id, kb_id FROM reach),
 missing AS (SELECT scan_id, kb_id FROM expected EXCEPT SELECT scan_id, kb_id FROM present)
-SELECT e.scan_id, w.n AS raw_entries_returned, e.expected_kbs, coalesce(i.n, 0) AS installed_kbs, coalesce(p.n, 0) AS logical_present_kbs,
-       coalesce(s.n, 0) AS superseded_mappings, coalesce(m.n, 0) AS missing_kbs, e.expected_kbs - coalesce(m.n, 0) AS present_among_expected
-FROM (SELECT scan_id, count(*) AS expected_kbs FROM expected GROUP BY scan_id) e
-LEFT JOIN (SELECT scan_id, count(*) AS n FROM (SELECT DISTINCT scan_id, kb_id, month FROM own) x GROUP BY scan_id) w ON w.scan_id = e.scan_id
-LEFT JOIN (SELECT scan_id, count(*) AS n FROM installed GROUP BY scan_id) i ON i.scan_id = e.scan_id
-LEFT JOIN (SELECT scan_id, count(*) AS n FROM present GROUP BY scan_id) p ON p.scan_id = e.scan_id
-LEFT JOIN (SELECT scan_id, count(DISTINCT kb_id) AS n FROM reach GROUP BY scan_id) s ON s.scan_id = e.scan_id
-LEFT JOIN (SELECT scan_id, count(*) AS n FROM missing GROUP BY scan_id) m ON m.scan_id = e.scan_id"""
+SELECT h.scan_id,
+       CASE WHEN h.scan_id % 7 = 3 THEN 'Baseline collected without administrative privileges' WHEN h.lcu IS NULL THEN 'Baseline did not provide LcuMonthId'
+            WHEN t.product_name_hint IS NULL THEN 'No product name resolved' WHEN e.expected_kbs IS NULL THEN 'No KB data returned' END AS reason,
+       coalesce(w.n, 0) AS raw_entries_returned, coalesce(e.expected_kbs, 0) AS expected_kbs, coalesce(i.n, 0) AS installed_kbs,
+       coalesce(p.n, 0) AS logical_present_kbs, coalesce(s.n, 0) AS superseded_mappings, coalesce(m.n, 0) AS missing_kbs,
+       coalesce(e.expected_kbs, 0) - coalesce(m.n, 0) AS present_among_expected
+FROM h LEFT JOIN hint t ON t.scan_id = h.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS expected_kbs FROM expected GROUP BY scan_id) e ON e.scan_id = h.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM (SELECT DISTINCT scan_id, kb_id, request FROM own) x GROUP BY scan_id) w ON w.scan_id = h.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM installed GROUP BY scan_id) i ON i.scan_id = h.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM present GROUP BY scan_id) p ON p.scan_id = h.scan_id
+LEFT JOIN (SELECT scan_id, count(DISTINCT kb_id) AS n FROM reach GROUP BY scan_id) s ON s.scan_id = h.scan_id
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM missing GROUP BY scan_id) m ON m.scan_id = h.scan_id"""
 
 
 # ---------------------------------------------------------------- advisories
@@ -658,3 +663,27 @@ ORACLE["ml_total_sum_of_squares"] = TRAINING + ", cat AS (" + " UNION ALL ".join
 total AS (SELECT count(*) AS n, count(DISTINCT cvss_score) AS d1, count(DISTINCT patch_age_days) AS d2, count(DISTINCT exploitation) AS d3 FROM validated)
 SELECT round((SELECT sum(cat.n - CAST(cat.n AS DOUBLE) * cat.n / total.n) FROM cat, total)
              + (SELECT n * ((CASE WHEN d1 > 1 THEN 1 ELSE 0 END) + (CASE WHEN d2 > 1 THEN 1 ELSE 0 END) + (CASE WHEN d3 > 1 THEN 1 ELSE 0 END)) FROM total), 3) AS wcss"""
+
+
+# ---------------------------------------------------------------- advisory store, run log, sketches
+
+ORACLE["window_advisories"] = with_(LINK, HOSTS) + """, w AS (
+  SELECT scan_id, CAST(date_trunc('month', least(lcu, latest)) AS DATE) AS s, CAST(date_trunc('month', latest) AS DATE) AS e
+  FROM h WHERE scan_id % 7 <> 3 AND lcu IS NOT NULL),
+win AS (SELECT scan_id, s, least(e, CAST(s + INTERVAL 47 MONTH AS DATE)) AS e FROM w),
+o AS (SELECT o_orderkey, o_orderkey // 8 AS bucket, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, o_orderpriority,
+             CAST(floor(o_totalprice) AS BIGINT) % 101 AS tenths,
+             CASE WHEN date_trunc('month', o_orderdate) >= DATE '1994-01-01' AND o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS load FROM orders),
+best AS (SELECT win.scan_id, o.*, row_number() OVER (PARTITION BY win.scan_id, o.bucket ORDER BY o.m DESC, o.load DESC, o.o_orderkey DESC) AS r
+         FROM win JOIN o ON o.m BETWEEN win.s AND win.e)
+SELECT scan_id, count(*) AS cves, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS exploited, CAST(sum(tenths) AS BIGINT) AS score_tenths
+FROM best WHERE r = 1 GROUP BY scan_id"""
+
+ORACLE["run_status"] = ("SELECT 'flatten' AS stage, 'succeeded' AS status, 1 AS attempts, metric, CAST(value AS DOUBLE) AS value FROM (" + ORACLE["flatten_counters"]
+                        + ") a UNION ALL SELECT 'enrich', 'succeeded', 2, metric, CAST(value AS DOUBLE) FROM (" + ORACLE["enrich_counters"]
+                        + ") b UNION ALL SELECT 'report', 'missing', 0, NULL, NULL")
+
+ORACLE["scope_estimates"] = with_(LINK, RAW) + """, own AS (SELECT DISTINCT scan_id, kb_id, cve_id, month FROM raw)
+SELECT month, count(*) AS rows, count(DISTINCT kb_id) AS unique_kbs, count(DISTINCT cve_id) AS unique_cves, true AS kb_id_near, true AS cve_id_near
+FROM own GROUP BY month
+UNION ALL SELECT 'all', count(*), count(DISTINCT kb_id), count(DISTINCT cve_id), true, true FROM own"""

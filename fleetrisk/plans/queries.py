@@ -491,8 +491,8 @@ def ml_feature_importance(spark, d):
 
 @query
 def ml_fleet_ranking(spark, d):
-    """M11 + G7 + R1: per scan ranking with model risk, model priority and modal cluster."""
-    models = ml.train_models(training_validated(spark, d))
+    """M11 + G7 + R1: per scan ranking with model risk, model priority and modal cluster; models of the training side."""
+    models = ml.evaluated_models(_model_input(spark, d)).models
     scored = ml.predict(models, runtime_validated(spark, d))
     rolled = rk.kb_rollup(scored, keys=("scan_id",), with_ml=True)
     return rk.rank_kbs(rolled, keys=("scan_id",)).select(
@@ -530,15 +530,13 @@ def report_lines(spark, d):
 
 @query
 def fleet_report(spark, d):
-    """C7 with models: per-scan report lines with model risk, priority and cluster, and the fleet document."""
-    labelled = training_validated(spark, d)
-    frame = ml.training_set(labelled)
-    models = ml.fit_all(frame)
-    scored = ml.predict(models, runtime_validated(spark, d)).checkpoint(eager=True)
+    """C7 with models: per-scan report lines with model risk, priority and cluster, and the fleet document.
+
+    Models are fitted on one side of a split, and the evaluation is that of the other side."""
+    fitted = ml.evaluated_models(_model_input(spark, d))
+    scored = ml.predict(fitted.models, runtime_validated(spark, d)).checkpoint(eager=True)
     ranking = rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",), with_ml=True), keys=("scan_id",)).checkpoint(eager=True)
-    summary = ml.run_summary("run", {
-        "regression": ml.regression_metrics(models.regression.transform(frame), "risk_score", "ml_risk", "row_weight"),
-        "classification": ml.classification_metrics(models.classification.transform(frame), "priority_label", "ml_priority", "row_weight")})
+    summary = ml.run_summary("run", {"regression": fitted.regression, "classification": fitted.classification})
     return rp.scan_report(ranking, scored, rk.ranking_summary(ranking)).unionByName(rp.fleet_report(spark, summary))
 
 
@@ -598,20 +596,34 @@ def product_name_hint(spark, d):
     return hints.withColumn("match_rank", F.col("match_rank").cast("double"))
 
 
-@query
-def scanner_summary(spark, d):
-    """C1 end to end, each step on the step before: baseline and inventory, product resolution,
-    month window, the product's KB map over the requested months, closure, summary per scan."""
+def scanner_run(spark: SparkSession, d: str) -> tuple[co.Correlation, DataFrame, DataFrame]:
+    """C1, each step on the step before: baseline and inventory, product resolution, month window, requests of
+    three months, the entries of each request, merged entries, closure.
+
+    Returns the correlation, the entries of each request, and (scan_id, reason) of every host:
+    why it has no entries, or null.
+    """
     lnk = dv.link(spark, d)
     b = dv.baselines(spark, d, lnk).checkpoint(eager=True)
     inventory = bl.inventory(dv.hotfixes(spark, d, lnk), dv.packages(spark, d, lnk), b)
-    hints = _product_hints(spark, d, lnk, b).where("product_name_hint IS NOT NULL").select(
-        "scan_id", F.lower("product_name_hint").alias("_product"))
-    months = bl.month_window(b)[0].select("scan_id", F.col("month_id").alias("month"))
-    rows = (dv.product_rows(spark, d, lnk).withColumn("_product", F.lower("full_product_name"))
-            .join(hints, ["scan_id", "_product"], "left_semi").join(months, ["scan_id", "month"], "left_semi"))
-    entries = co.product_kb_map(rows).checkpoint(eager=True)
-    return co.scan_summary(co.correlate(entries, inventory.join(entries.select("scan_id").distinct(), "scan_id", "left_semi")))
+    hints = _product_hints(spark, d, lnk, b).checkpoint(eager=True)
+    months, rejects = bl.month_window(b)
+    product = hints.where("product_name_hint IS NOT NULL").select("scan_id", F.lower("product_name_hint").alias("_product"))
+    rows = (dv.product_rows(spark, d, lnk).withColumn("_product", F.lower("full_product_name")).join(product, ["scan_id", "_product"], "left_semi"))
+    returned = co.requested_entries(rows, co.requests(months)).checkpoint(eager=True)
+    entries = co.merge_entries(returned).checkpoint(eager=True)
+    have = entries.select("scan_id").distinct().withColumn("_have", F.lit(True))
+    hosts = (b.select("scan_id").join(rejects, "scan_id", "left").join(hints, "scan_id", "left").join(have, "scan_id", "left")
+             .select("scan_id", F.coalesce("reason", F.when(F.col("product_name_hint").isNull(), co.REASON_NO_PRODUCT),
+                                           F.when(F.col("_have").isNull(), co.REASON_NO_ENTRIES)).alias("reason")))
+    return co.correlate(entries, inventory), returned, hosts
+
+
+@query
+def scanner_summary(spark, d):
+    """C1 + A3 + G17: every host's scan summary over merged requests, or the reason why it has no entries."""
+    c, returned, hosts = scanner_run(spark, d)
+    return co.scan_summary(c, hosts=hosts, raw=returned)
 
 
 # ---------------------------------------------------------------- advisories
@@ -631,22 +643,69 @@ def advisory_metadata_text_order(spark, d):
     return adv.last_wins(adv.metadata_rows(dv.advisory_vulnerabilities(spark, d)), order="text")
 
 
+from fleetrisk.sources import advisory_store as av  # noqa: E402
+from fleetrisk.sources import run_log as rl  # noqa: E402
+
+#: the first load of the store lacks every third row of the later months, the second brings them
+LATE_MONTH = "1994-01-01"
+
+
+def advisory_store(spark: SparkSession, d: str) -> str:
+    """A store of the advisory rows, filled by two loads."""
+    rows = adv.metadata_rows(dv.advisory_vulnerabilities(spark, d))
+    late = (parse_month_id("month") >= F.lit(LATE_MONTH).cast("date")) & (F.col("pos") % 3 == 0)
+    path = f"{shared_folder(spark, 'advisories')}/store"
+    av.upsert(rows.where(~late), path, 1)
+    av.upsert(rows.where(late), path, 2)
+    return path
+
+
+@query
+def window_advisories(spark, d):
+    """S8 + G11 + A5: CVEs of each host's month window in the advisory store, last month wins."""
+    store = av.read(spark, advisory_store(spark, d))
+    found = av.for_windows(store, bl.month_window(dv.baselines(spark, d))[0])
+    return found.groupBy("scan_id").agg(F.count(F.lit(1)).alias("cves"), F.count_if(F.col("exploitation") == dv.EXPLOITED_TEXT).alias("exploited"),
+                                        F.sum(F.round(F.col("base_score") * 10).cast("long")).alias("score_tenths"))
+
+
+@query
+def run_status(spark, d):
+    """S7 + M15: stages of a run logged with a failed and a repeated attempt; status and metrics looked up."""
+    path = shared_folder(spark, "runs")
+    entries = dv.kb_entries(spark, d).checkpoint(eager=True)
+    flat = fl.dedupe(fl.flatten(entries)).checkpoint(eager=True)
+    counters = fl.flatten_counters(entries, flat).checkpoint(eager=True)
+    for _ in range(2):  # the second time adds nothing
+        rl.record(spark, path, "fleet", "flatten", counters, artefacts={"rows": "flat.parquet"})
+    rl.record(spark, path, "fleet", "enrich", status=rl.FAILED, message="no metadata")
+    rl.record(spark, path, "fleet", "enrich", en.enrich_counters(flat, cve_dim(spark, d)), attempt=2)
+    log = rl.read(spark, path).checkpoint(eager=True)
+    stages = rl.statuses(log, ["flatten", "enrich", "report"])
+    return stages.join(rl.metrics(log), ["run_id", "stage"], "left").select("stage", "status", "attempts", "metric", "value")
+
+
+from fleetrisk.operators import sketches as sk  # noqa: E402
+
+
+@query
+def scope_estimates(spark, d):
+    """G1 with sketches: distinct KBs and CVEs of each month and of the fleet, rolled up from (host, month), beside exact counts."""
+    flat = fl.dedupe(fl.flatten(dv.kb_entries(spark, d)), fl.RUNTIME_KEYS).checkpoint(eager=True)
+    parts = sk.sketch(flat).checkpoint(eager=True)
+    bound = sk.error_bound()
+    near = lambda c: (F.abs(F.col(f"{c}_estimate") - F.col(c)) <= bound * F.col(c)).alias(f"{c}_near")
+    exact = lambda *keys: flat.groupBy(*keys).agg(*[F.countDistinct(c).alias(c) for c in sk.COUNTED])
+    by_month = sk.estimates(sk.roll_up(parts, ["month"])).join(exact("month"), "month")
+    fleet = sk.estimates(sk.roll_up(parts)).withColumn("month", F.lit("all")).join(exact().withColumn("month", F.lit("all")), "month")
+    return by_month.unionByName(fleet).select("month", "rows", *[F.col(c).alias(f"unique_{c[:-3]}s") for c in sk.COUNTED], *[near(c) for c in sk.COUNTED])
+
+
 @query
 def ml_run_summary(spark, d):
     """C4 + M15: one model run, metrics of the three stages in a long table."""
-    frame = _model_input(spark, d).checkpoint(eager=True)
-    compacted = lambda rows: ml.compact(rows, ml.LABELS).checkpoint(eager=True)
-    # regression on the hash split, classification on the stratified one, clusters over all rows;
-    # metrics of compacted rows (inputs + labels, with counts) are those of the rows
-    train, test = (compacted(part) for part in ml.hash_split(frame))
-    c_train, c_test = (compacted(part) for part in ml.stratified_split(frame, "priority_label"))
-    everything = compacted(frame)
-    reg, cls, clu = ml.fit_regression(train), ml.fit_classification(c_train), ml.fit_clustering(everything)
-    sizes = ml.cluster_profile(clu.transform(everything), weight="row_weight").select(
+    fitted = ml.evaluated_models(_model_input(spark, d))
+    sizes = ml.cluster_profile(fitted.models.clustering.transform(fitted.everything), weight="row_weight").select(
         F.concat(F.lit("cluster_"), F.col("cluster").cast("string"), F.lit("_size")).alias("metric"),
         F.col("size").cast("double").alias("value"))
-    return ml.run_summary("run", {
-        "regression": ml.regression_metrics(reg.transform(test), "risk_score", "ml_risk", "row_weight"),
-        "classification": ml.classification_metrics(cls.transform(c_test), "priority_label", "ml_priority",
-                                                     "row_weight"),
-        "clustering": sizes})
+    return ml.run_summary("run", {"regression": fitted.regression, "classification": fitted.classification, "clustering": sizes})

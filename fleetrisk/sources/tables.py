@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetrisk import schemas
+from fleetrisk.sources import run_log
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,13 +81,11 @@ def read_ranking_list(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.inline(parsed))
 
 
-def write_summary(spark: SparkSession, run_id: str, stage: str, metrics: DataFrame, path: str) -> None:
-    """Append a stage summary (long table metric/value) keyed by run id."""
-    (metrics.select(F.lit(run_id).alias("run_id"), F.lit(stage).alias("stage"),
-                    F.col("metric"), F.col("value").cast("double").alias("value"))
-     .write.mode("append").json(path))
+def write_summary(spark: SparkSession, run_id: str, stage: str, metrics: DataFrame, path: str, attempt: int = 1) -> bool:
+    """Log a stage summary (long table metric/value) keyed by run, stage and attempt: written again, it stays one."""
+    return run_log.record(spark, path, run_id, stage, metrics, attempt=attempt)
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    schema = "run_id string, stage string, metric string, value double"
-    return spark.read.schema(schema).json(path)
+    """Long table (run_id, stage, metric, value) of the last attempts."""
+    return run_log.metrics(run_log.read(spark, path))

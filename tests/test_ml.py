@@ -48,6 +48,41 @@ def test_splits(spark, labelled):
     assert tr.count() + te.count() == 600
 
 
+def test_stratified_split_is_the_sorted_one(spark, labelled):
+    """The split by selection cuts where a sort of all rows would."""
+    frame = ml.model_frame(labelled).where("priority_label is not null").select(*ml.ROW_KEY, "priority_label")
+    h = F.xxhash64(*ml.ROW_KEY, F.lit(ml.SEED))
+    rows = frame.select("priority_label", F.struct(h, *ml.ROW_KEY).alias("k"), "cve_id").collect()
+    for percent in (0, 1, 20, 50, 100):
+        train, test = ml.stratified_split(frame, "priority_label", percent)
+        got = {r.cve_id for r in test.collect()}
+        want = set()
+        for label in {r.priority_label for r in rows}:
+            own = sorted((tuple(r.k), r.cve_id) for r in rows if r.priority_label == label)
+            n = -(-len(own) * percent // 100)
+            want |= {c for _, c in own[len(own) - n:]}
+        assert got == want and train.count() + test.count() == len(rows), percent
+
+
+def test_kmeans_runs_share_passes_and_reach_the_best_fit(spark, labelled, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    frame = ml.training_set(labelled)
+    _, feats, arrays = ml._prepared(frame)
+    best = min(KMeans(k=4, seed=s, weightCol="row_weight", maxIter=100, tol=1e-6).fit(feats).summary.trainingCost for s in range(6))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("kmeans", "")
+    runs = ml.kmeans_runs(arrays, [(4, s) for s in range(10)] + [(2, 0), (4, 0)])
+    jobs = len(tracker.getJobIdsForGroup("kmeans"))
+    spark.sparkContext.setJobGroup("", "")
+    assert min(cost for cost, _ in runs[:10]) <= best * 1.01 and runs[0][0] == runs[11][0] and len(runs[10][1]) == 2
+    assert jobs < 4 * (ml.KMEANS_MAX_ITER + 2)  # a few jobs a pass under adaptive execution, however many runs
+    cost, centres = runs[0]
+    got = ml.NearestCentre(centres.tolist()).transform(feats).select("features", "row_weight", "cluster").collect()
+    far = [[float(((r.features.toArray() - c) ** 2).sum()) for c in centres] for r in got]
+    assert all(d[r.cluster] == min(d) for d, r in zip(far, got)) and sum(min(d) * r.row_weight for d, r in zip(far, got)) == pytest.approx(cost)
+    assert ml.kmeans_runs(arrays.limit(0), [(2, 0)])[0][0] == 0.0
+
+
 def test_models_learn_the_policy(spark, labelled, tmp_path):
     frame = ml.training_set(labelled)
     models = ml.Models(ml.fit_regression(frame, trees=30), ml.fit_classification(frame, max_iter=200),
