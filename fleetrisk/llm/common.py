@@ -61,6 +61,13 @@ def prepare(spark: SparkSession) -> None:
     ship_code(spark)
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; the package is asked for only when a path is needed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetrisk.llm.common import stored
+from fleetrisk.operators.joins import measured_bytes
 
 WINDOW = 13
 #: a document is contaminated if at least one word in so many is hit
 SHARE = 20
-#: a side is broadcast only if counted to have at most so many narrow rows (about 50 MB); beyond, the join shuffles
-BROADCAST_ROWS = 500_000
+#: a side is broadcast only if it has at most so many rows and, measured as text, so many bytes; beyond, the join shuffles
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: words are the runs of these after lower-casing A-Z: digits, a-z and all that isn't ASCII
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -26,9 +27,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 END = "\x01"
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows stay within the bound."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows and measured bytes stay within the bounds."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS and measured_bytes(df) <= BROADCAST_BYTES else df
 
 
 def words(text):
@@ -109,23 +110,28 @@ def phrase_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
-    """rid, wid, first_pos, second_pos: a window's two rarest terms within ``slop`` words of where a phrase has them.
+    """rid, wid, start: places where every term of a window lies within ``slop`` words of where the phrase has it.
 
-    A start's bucket of slop + 1 positions and its neighbours meet in an equality join.
+    start: where the window's rarest term would put its first word. Offset-adjusted lists are
+    intersected from the rarest term on, one term more each time, so few places are left for common
+    ones. A start's bucket of slop + 1 positions and its neighbours meet in an equality join.
     """
     width = slop + 1
-    first = shifted(index, terms, 1).select("rid", "wid", F.col("start").alias("first_pos"), F.floor(F.col("start") / width).alias("bucket"))
-    second = (shifted(index, terms, 2).select("rid", "wid", F.col("start").alias("second_pos"))
-              .withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)),
-                                                          lambda k: F.floor(F.col("second_pos") / width) + k))))
-    return (first.join(second, ["rid", "wid", "bucket"]).where(F.abs(F.col("first_pos") - F.col("second_pos")) <= slop)
-            .select("rid", "wid", "first_pos", "second_pos"))
+    found = shifted(index, terms, 1).select("rid", "wid", "size", "start")
+    for rarity in range(2, (terms.agg(F.max("size")).first()[0] or 0) + 1):
+        later = (shifted(index, terms, rarity).select("rid", "wid", F.col("start").alias("other"))
+                 .withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("other") / width) + k))))
+        open_ones = found.where(F.col("size") >= rarity).withColumn("bucket", F.floor(F.col("start") / width))
+        left = open_ones.join(later, ["rid", "wid", "bucket"]).where(F.abs(F.col("start") - F.col("other")) <= slop).select("rid", "wid", "size", "start").distinct()
+        found = stored(left.unionByName(found.where(F.col("size") < rarity)), "near")
+    return found.select("rid", "wid", "start").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document row: doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A null or empty text has no words and is clean. With an empty benchmark nothing is hit.
+    A null or empty text has no words and is clean. With an empty benchmark nothing is hit. A very long
+    text is postings like any other, and only those of benchmark terms are kept.
     Other columns of either table are ignored, whatever their names.
     """
     windows, items = benchmark_windows(benchmark, size)
@@ -148,10 +154,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, with the columns it had."""
+    clash = [c for c in docs.columns if c in ("__bad_id", "__bad_text")]
+    if clash:
+        docs = docs.withColumnsRenamed({c: f"__own{c}" for c in clash})
     bad = stored(contamination(docs, benchmark).where("contaminated").select(
         F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_text")).distinct(), "contaminated")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__bad_text"))
-    return docs.join(bounded(bad), same, "left_anti")
+    return docs.join(bounded(bad), same, "left_anti").withColumnsRenamed({f"__own{c}": c for c in clash})
 
 
 ORACLE = r"""

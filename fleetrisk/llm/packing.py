@@ -14,11 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import give_back, text_slices, words_of
+from fleetrisk.llm.common import give_back, text_slices, tokenizer_path, words_of
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -138,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_length: int = MAX_
     """
     if max_length & (max_length - 1) or max_length < 1:
         raise ValueError("max_length must be a power of two")
-    path = tokenizer or public_tokenizers.path(TOKENIZER)
+    path = tokenizer or tokenizer_path(TOKENIZER)
     tail = np.array([end_id], dtype="<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                         ("doc_tokens", pa.int64()), ("ids", pa.binary())])

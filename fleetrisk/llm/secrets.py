@@ -109,7 +109,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per document row: rid, doc_id, text_hash and found, its reported spans (start, kind, end) in order (null: none).
 
     docs: doc_id, text; a null text is empty. Repeated rows and null ids are scanned
-    like any other; an empty table gives no rows.
+    like any other; an empty table gives no rows. Very long texts are scanned whole.
     """
     raw = parts(docs)
     spans = link(stored(placed(raw), "secret-spans"))
@@ -134,6 +134,9 @@ def redact(docs: DataFrame, length_column: str = "n_chars") -> DataFrame:
 
     ``length_column``, if there is one, is set to the new length of a changed text.
     """
+    clash = [c for c in docs.columns if c in ("__id", "__hash", "__found")]
+    if clash:
+        docs = docs.withColumnsRenamed({c: f"__own{c}" for c in clash})
     marked = scan(docs).where("found is not null").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("found").alias("__found")).dropDuplicates(["__id", "__hash"])
     marked = stored(marked, "secret-documents")
@@ -152,7 +155,7 @@ def redact(docs: DataFrame, length_column: str = "n_chars") -> DataFrame:
     if length_column in docs.columns:
         kind = docs.schema[length_column].dataType
         joined = joined.withColumn(length_column, F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col(length_column)))
-    return joined.select(*docs.columns)
+    return joined.select(*docs.columns).withColumnsRenamed({f"__own{c}": c for c in clash})
 
 
 def _oracle_spans(kind: str) -> str:

@@ -23,11 +23,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetrisk.llm.common import text_bytes, text_slices
+from fleetrisk.llm.common import text_bytes, text_slices, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 #: characters of a chunk, about
@@ -298,7 +297,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
     counted like any other row; an empty table gives no rows. A special token's string
     inside a text counts as that one token. No shuffle is needed.
     """
-    path = tokenizer or public_tokenizers.path(TOKENIZER)
+    path = tokenizer or tokenizer_path(TOKENIZER)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):

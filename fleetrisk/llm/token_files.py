@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In,
                                     InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage)
 
-from fleetrisk.llm.common import BYTE_CODES, _powers, give_back, mix64, prepare, shared_folder, ship_code, text_bytes, text_slices
+from fleetrisk.llm.common import BYTE_CODES, _powers, give_back, mix64, prepare, shared_folder, ship_code, text_bytes, text_slices, tokenizer_path
 from fleetrisk.llm.packing import FROM_BYTE_LEVEL, LATIN_END, MARKS
 from fleetrisk.llm.warc import _filesystem
 
@@ -442,12 +442,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenFileSource)
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
-
-
 def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID,
                  file_bytes: int = FILE_BYTES, frame_bytes: int = FRAME_BYTES) -> str:
     """Encode the documents and write their ids in ascending doc_id order; returns the folder (a new shared one by default).
@@ -462,7 +456,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     spark = docs.sparkSession
     prepare(spark)
     register(spark)
-    path, tokenizer = path or shared_folder(spark, "tokens"), tokenizer or tokenizer_path()
+    path, tokenizer = path or shared_folder(spark, "tokens"), tokenizer or tokenizer_path(TOKENIZER)
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id) <= 0xFFFF else 4
     order = [F.col("doc_id").asc_nulls_first(), "place"]
     rows = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("place", F.monotonically_increasing_id())

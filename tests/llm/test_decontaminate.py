@@ -50,12 +50,47 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
 
 
 def test_proximity(spark):
-    bench = spark.createDataFrame([(1, "red green blue"), (2, "one two")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "red big green blue"), (2, "red green and so on and on and on blue"), (3, "red green blue")], "doc_id long, text string")
+    """Against brute force: every term of a window within slop of its place, counted from the rarest term."""
+    import random
+
+    rng = random.Random(2)
+    letters = ["a", "b", "c", "d", "e", "f"]
+    texts = [(i, " ".join(rng.choice(letters) for _ in range(14))) for i in range(40)] + [(90, None), (91, "")]
+    items = [(i, " ".join(rng.choice(letters) for _ in range(n))) for i, n in enumerate((1, 2, 3, 4, 4, 5))]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     windows, _ = de.benchmark_windows(bench)
     index, vocabulary = de.build_index(docs, windows)
     terms = de.window_terms(index, vocabulary, windows)
     rid = {r.rid: r.doc_id for r in index.where("term = 0").collect()}
-    assert {rid[r.rid] for r in de.phrase_matches(index, terms).collect()} == {3}
-    assert {rid[r.rid] for r in de.proximity_matches(index, terms, 0).collect()} >= {3}
-    assert {rid[r.rid] for r in de.proximity_matches(index, terms, 10).collect()} == {1, 2, 3}
+    words = {r.wid: r.words for r in windows.collect()}
+    rarest = {r.wid: r.off for r in terms.where("rarity = 1").collect()}
+    phrases = {(rid[r.rid], r.wid, r.start) for r in de.phrase_matches(index, terms).collect()}
+    for slop in (0, 1, 3):
+        got = {(rid[r.rid], r.wid, r.start) for r in de.proximity_matches(index, terms, slop).collect()}
+        want = set()
+        for doc_id, text in texts:
+            w = (text or "").split()
+            for wid, window in words.items():
+                for p, word in enumerate(w):
+                    start = p - rarest[wid]
+                    if word == window[rarest[wid]] and all(any(x == t and abs(q - start - off) <= slop for q, x in enumerate(w)) for off, t in enumerate(window)):
+                        want.add((doc_id, wid, start))
+        assert got == want and (slop or got == phrases)
+
+
+def test_a_very_long_text_and_clashing_names(spark):
+    long = "filler words " * 400_000 + LONG
+    docs = spark.createDataFrame([(1, long, 5, "x"), (2, LONG, 6, "y")], "doc_id long, text string, __bad_id int, __bad_text string")
+    bench = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in de.contamination(docs, bench).collect()}
+    assert found == {1: (800_020, 20, False), 2: (20, 20, True)}
+    kept = de.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and [(r.doc_id, r["__bad_id"]) for r in kept.collect()] == [(1, 5)]
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "x" * 1000)], "a int, b string")
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(de.bounded(df))
+    monkeypatch.setattr(de, "BROADCAST_BYTES", 500)
+    assert "broadcast" not in plan(de.bounded(df))

@@ -58,3 +58,10 @@ def test_many_matches_in_one_text(spark):
     text = " ".join(f"token=abcdefghijkl{k:04d}" for k in range(3000))
     r = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert r.n_assign == 3000 and r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in brute.base_spans(text)).encode()).hexdigest()
+
+
+def test_redact_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefgh12345678", 3, "h", "f"), (2, "clean", 4, "h", "f")], "doc_id long, text string, __id int, __hash string, __found string")
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r["__id"], "abcdefgh12345678" in r.text) for r in out.collect()} == {(1, 3, False), (2, 4, False)}

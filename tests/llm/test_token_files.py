@@ -16,7 +16,7 @@ from fleetrisk.llm.common import table
 
 @pytest.fixture(scope="module")
 def encode():
-    return tf.encoder(tf.tokenizer_path())
+    return tf.encoder(tf.tokenizer_path(tf.TOKENIZER))
 
 
 def library(encode, text):
