@@ -687,3 +687,31 @@ ORACLE["scope_estimates"] = with_(LINK, RAW) + """, own AS (SELECT DISTINCT scan
 SELECT month, count(*) AS rows, count(DISTINCT kb_id) AS unique_kbs, count(DISTINCT cve_id) AS unique_cves, true AS kb_id_near, true AS cve_id_near
 FROM own GROUP BY month
 UNION ALL SELECT 'all', count(*), count(DISTINCT kb_id), count(DISTINCT cve_id), true, true FROM own"""
+
+
+# ---------------------------------------------------------------- fixed predictions, saved rankings, download dialogs
+
+_FIXED = """{name} AS (SELECT *, CAST(split_part(cve_id, '-', -1) AS BIGINT) % 5 AS cluster,
+  CASE CAST(split_part(cve_id, '-', -1) AS BIGINT) % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS mlp FROM {source})"""
+_FIXED_RANK = FLEET + ", " + _FIXED.format(name="fx", source="rt_valid") + """,
+modal AS (SELECT scan_id, kb_id, cluster FROM (SELECT scan_id, kb_id, cluster, row_number() OVER (PARTITION BY scan_id, kb_id ORDER BY count(*) DESC, cluster) AS r
+  FROM fx GROUP BY scan_id, kb_id, cluster) t WHERE r = 1),
+top_ml AS (SELECT scan_id, kb_id, max(cvss_score) AS ml_risk, max(mlp) AS p FROM fx GROUP BY scan_id, kb_id)
+"""
+_PRIORITY = "CASE {p} WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' WHEN 1 THEN 'Low' ELSE 'Unknown' END"
+ORACLE["fixed_model_ranking"] = _FIXED_RANK + f"""
+SELECT r.scan_id, r.rank, r.kb_id, r.policy_risk, t.ml_risk, {_PRIORITY.format(p='t.p')} AS ml_priority, CAST(m.cluster AS INTEGER) AS cluster
+FROM rt_ranked r JOIN top_ml t ON t.scan_id = r.scan_id AND t.kb_id = r.kb_id JOIN modal m ON m.scan_id = r.scan_id AND m.kb_id = r.kb_id"""
+ORACLE["fixed_model_summary"] = _FIXED_RANK + f"""
+SELECT scan_id, count(*) AS kb_count, max(ml_risk) AS highest_ml_risk, {_PRIORITY.format(p='max(p)')} AS highest_ml_priority FROM top_ml GROUP BY scan_id"""
+ORACLE["fixed_cluster_profile"] = TRAINING + ", " + _FIXED.format(name="fx", source="validated") + """
+SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS size, round(avg(risk_score), 2) AS mean_risk FROM fx GROUP BY cluster"""
+ORACLE["fixed_cluster_scatter"] = TRAINING + ", " + _FIXED.format(name="fx", source="validated") + """
+SELECT round(cvss_score) AS cvss_bin, round(risk_score) AS risk_bin, CAST(cluster AS INTEGER) AS cluster, count(*) AS rows FROM fx GROUP BY ALL"""
+ORACLE["saved_ranking"] = FLEET + """
+SELECT r.scan_id, r.rank, r.kb_id, r.policy_risk, r.cve_count, count(*) AS cve_rows, max(v.policy_risk) AS highest_cve_risk
+FROM rt_ranked r JOIN rt_valid v ON v.scan_id = r.scan_id AND v.kb_id = r.kb_id GROUP BY ALL"""
+ORACLE["download_urls"] = """
+SELECT p_partkey AS page_id, 0 AS pos, 'https://dl.example.org/d/kb' || (5000000 + p_partkey) || '-x64.msu?part=' || p_partkey AS url,
+       'kb' || (5000000 + p_partkey) || '-x64.msu' AS file_name FROM part
+UNION ALL SELECT p_partkey, 1, 'HTTP://dl.example.org/c/KB' || (5000000 + p_partkey) || '.CAB', 'KB' || (5000000 + p_partkey) || '.CAB' FROM part WHERE p_partkey % 3 = 0"""

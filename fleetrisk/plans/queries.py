@@ -313,7 +313,7 @@ def cve_preview(spark, d):
 from fleetrisk.functions import platform as pf  # noqa: E402
 from fleetrisk.operators import match as mt  # noqa: E402
 from fleetrisk.operators import text as tx  # noqa: E402
-from fleetrisk.sources.tables import read_table  # noqa: E402
+from fleetrisk.sources.tables import read_ranking, read_table, write_ranking  # noqa: E402
 
 
 @query
@@ -371,6 +371,12 @@ def package_urls(spark, d):
     return tx.extract_urls(read_table(spark, d, "pages"))
 
 
+@query
+def download_urls(spark, d):
+    """Package links of derived download dialogs, first-seen order, file names."""
+    return tx.extract_urls(dv.download_pages(spark, d))
+
+
 @query
 def page_links(spark, d):
     """T2 operator with an href pattern: distinct links per page in first-seen order."""
@@ -547,6 +553,54 @@ def cluster_scatter(spark, d):
     return ml.cluster_scatter(ml.fit_clustering(frame).transform(frame), weight="row_weight")
 
 
+def _fixed_predictions(scored: DataFrame) -> DataFrame:
+    """Columns of model predictions by a fixed rule of the CVE number, so that what is built on them can be compared."""
+    number = F.substring_index("cve_id", "-", -1).cast("long")
+    priority = F.when(number % 4 == 0, "High").when(number % 4 == 1, "Medium").when(number % 4 == 2, "Low")
+    return scored.withColumns({"ml_risk": F.col("cvss_score").cast("double"), "ml_priority": priority, "cluster": (number % 5).cast("int")})
+
+
+@query
+def fixed_model_ranking(spark, d):
+    """G7, G9, R7 with model columns: ranking over fixed predictions (highest risk and priority, modal cluster)."""
+    rolled = rk.kb_rollup(_fixed_predictions(runtime_validated(spark, d)), keys=("scan_id",), with_ml=True)
+    return rk.rank_kbs(rolled, keys=("scan_id",)).select("scan_id", "rank", "kb_id", "policy_risk", "ml_risk", "ml_priority", "cluster")
+
+
+@query
+def fixed_model_summary(spark, d):
+    """G15 with model columns: highest model risk and priority of each scan's ranking over fixed predictions."""
+    rolled = rk.kb_rollup(_fixed_predictions(runtime_validated(spark, d)), keys=("scan_id",), with_ml=True)
+    return rk.ranking_summary(rk.rank_kbs(rolled, keys=("scan_id",))).select("scan_id", "kb_count", "highest_ml_risk", "highest_ml_priority")
+
+
+@query
+def fixed_cluster_profile(spark, d):
+    """G14 on fixed clusters, over compacted rows: size and mean risk of each cluster."""
+    rows = _fixed_predictions(training_validated(spark, d)).withColumn("risk_score", F.col("risk_score").cast("double"))
+    compacted = rows.groupBy("cluster", "risk_score", "cvss_score").agg(F.count(F.lit(1)).cast("double").alias("row_weight"))
+    return ml.cluster_profile(compacted, weight="row_weight")
+
+
+@query
+def fixed_cluster_scatter(spark, d):
+    """M14 on fixed clusters: rows per rounded score, rounded risk and cluster."""
+    return ml.cluster_scatter(_fixed_predictions(training_validated(spark, d)))
+
+
+@query
+def saved_ranking(spark, d):
+    """C5 export + S5 + S6: nested rankings written as JSON, one folder per scan, and read back."""
+    scored = runtime_validated(spark, d).checkpoint(eager=True)
+    ranking = rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",)).checkpoint(eager=True)
+    path = f"{shared_folder(spark, 'rankings')}/ranking"
+    write_ranking(rk.nested_ranking(ranking, scored, segment_rows=500), path)
+    back = read_ranking(spark, path).where("_corrupt_record IS NULL OR kb_id IS NOT NULL")
+    return back.groupBy("scan_id", "rank", "kb_id", "policy_risk", "cve_count").agg(
+        F.sum(F.size("cves")).alias("cve_rows"), F.max(F.array_max(F.transform("cves", lambda x: x["policy_risk"]))).alias("highest_cve_risk")).select(
+        F.col("scan_id").cast("int").alias("scan_id"), "rank", "kb_id", "policy_risk", "cve_count", "cve_rows", "highest_cve_risk")
+
+
 # ---------------------------------------------------------------- feed products, inventory, product names
 
 from fleetrisk.functions.months import parse_month_id  # noqa: E402

@@ -257,6 +257,19 @@ def catalog_pages(spark: SparkSession, folder: str) -> DataFrame:
                                             F.array_join(F.transform("rs", lambda x: x["row"]), ""), F.lit("</table></body></html>")).alias("html"))
 
 
+def download_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Download dialogs (page_id, html), one per part: a package link given twice, for every third part a
+    cabinet in upper case, and a link that is no package."""
+    p = F.col("p_partkey")
+    name = F.concat(F.lit("kb"), (F.lit(KB_BASE) + p).cast("string"))
+    line = lambda number, url: F.concat(F.lit(f'downloadInformation[0].files[{number}].url = "'), url, F.lit('";\n'))
+    package = F.concat(F.lit("https://dl.example.org/d/"), name, F.lit("-x64.msu?part="), p.cast("string"))
+    cabinet = F.concat(F.lit("HTTP://dl.example.org/c/"), F.upper(name), F.lit(".CAB"))
+    return read_table(spark, folder, "part").select(p.cast("long").alias("page_id"), F.concat(
+        F.lit("<html><script>\n"), line(0, package), line(1, F.concat(F.lit("https://dl.example.org/"), name, F.lit(".txt"))),
+        F.when(p % 3 == 0, line(2, cabinet)).otherwise(""), line(3, package), F.lit("</script></html>")).alias("html"))
+
+
 def targets(spark: SparkSession, folder: str) -> DataFrame:
     """Per part the KB to find and the host constraints it must satisfy."""
     part = read_table(spark, folder, "part").select("p_partkey", "p_size")
