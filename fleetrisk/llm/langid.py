@@ -155,31 +155,33 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int
 
     sample = stored(sample.mapInArrow(vectors, "lang string, counts binary"), "language-sample")
 
-    def document_counts(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "n": len(pdf), "seen": [(_rows(pdf) > 0).sum(axis=0).astype("<f8").tobytes()]})
+    def document_counts(group):
+        n, seen = group.num_rows, (_rows(group) > 0).sum(axis=0).astype("<f8").tobytes()
+        give_back()
+        return pa.table({"lang": group.column("lang").slice(0, 1), "n": [n], "seen": pa.array([seen], pa.binary())})
 
-    found = sample.groupBy("lang").applyInPandas(document_counts, "lang string, n long, seen binary").collect()
+    found = sample.groupBy("lang").applyInArrow(document_counts, "lang string, n long, seen binary").collect()
     total = sum(r["n"] for r in found)
     seen = sum(np.frombuffer(r["seen"], "<f8") for r in found)
     idf = np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(1)
 
-    def centroids(pdf):
-        import pandas as pd
+    schema = pa.schema([("lang", pa.string()), ("noise", pa.float64()), ("floor", pa.float64()), ("centroid", pa.binary())])
 
-        x = _rows(pdf.sort_values("counts"))  # an order that doesn't depend on how the group was shuffled
+    def centroids(group):
+        lang = group.column("lang")[0].as_py()
+        x = _rows(group.sort_by("counts"))  # an order that doesn't depend on how the group was shuffled
         x = x[x.any(axis=1)]
         if not len(x):
-            return pd.DataFrame({"lang": [], "noise": [], "floor": [], "centroid": []})
+            return schema.empty_table()
         sizes, x = x.sum(axis=1), _unit(x * idf)
         held = np.arange(len(x)) % CALIBRATE_EACH == 0 if len(x) >= CALIBRATED else np.zeros(len(x), bool)
         means = spherical_means(x[~held], sizes[~held], clusters)
         noise, floor = calibrated(*((x[held], sizes[held]) if held.any() else (x, sizes)), means)
+        del x
         give_back()
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "noise": noise, "floor": floor, "centroid": [c.astype("<f4").tobytes() for c in means]})
+        return pa.table([[lang] * len(means), noise, floor, [c.astype("<f4").tobytes() for c in means]], schema=schema)
 
-    rows = sample.groupBy("lang").applyInPandas(centroids, "lang string, noise double, floor double, centroid binary").collect()
+    rows = sample.groupBy("lang").applyInArrow(centroids, "lang string, noise double, floor double, centroid binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (-counts[r["lang"]], r["lang"], r["centroid"]))
@@ -187,8 +189,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int
                  np.array([r["noise"] for r in rows]), np.array([r["floor"] for r in rows]))
 
 
-def _rows(pdf) -> np.ndarray:
-    return np.frombuffer(b"".join(pdf["counts"]), np.float32).reshape(-1, FEATURES)
+def _rows(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("counts").to_pylist()), np.float32).reshape(-1, FEATURES)
 
 
 def classify(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
