@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import __spark_entry__ as entry
 from fleetrisk.llm.queries import ORACLE, QUERIES
 
@@ -6,3 +10,9 @@ def test_every_operator_and_the_pipeline_are_registered():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(names)
     assert set(ORACLE) <= set(QUERIES) and set(ORACLE) <= set(entry.oracle_sql())
+
+
+def test_entry_survives_a_missing_tokenizer_package():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; assert 'kb_ranking' in e.queries() and 'op3_packing' in e.queries()"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
