@@ -23,6 +23,7 @@ HEADLINE = [
     "scan_summary", "fleet_ranking", "cve_preview", "candidate_scores", "best_candidate",
     "month_window", "page_links", "ml_cluster_profile", "ml_scaling", "ml_split_sizes", "ml_classification_eval",
     "report_lines", "nested_ranking", "missing_update_candidates", "result_rows",
+    "missing_kbs", "scanner_summary", "window_advisories", "scan_documents", "ml_elbow",
 ]
 
 
