@@ -715,3 +715,8 @@ ORACLE["download_urls"] = """
 SELECT p_partkey AS page_id, 0 AS pos, 'https://dl.example.org/d/kb' || (5000000 + p_partkey) || '-x64.msu?part=' || p_partkey AS url,
        'kb' || (5000000 + p_partkey) || '-x64.msu' AS file_name FROM part
 UNION ALL SELECT p_partkey, 1, 'HTTP://dl.example.org/c/KB' || (5000000 + p_partkey) || '.CAB', 'KB' || (5000000 + p_partkey) || '.CAB' FROM part WHERE p_partkey % 3 = 0"""
+
+ORACLE["saved_report"] = "SELECT scan_id, line FROM (" + ORACLE["report_lines"] + ") r"
+ORACLE["feature_profiles"] = TRAINING + """
+SELECT cvss_score, severity, patch_age_days, attack_vector, attack_complexity, privileges_required, user_interaction, scope,
+       confidentiality_impact, integrity_impact, availability_impact, count(*) AS rows FROM validated GROUP BY ALL"""

@@ -313,7 +313,7 @@ def cve_preview(spark, d):
 from fleetrisk.functions import platform as pf  # noqa: E402
 from fleetrisk.operators import match as mt  # noqa: E402
 from fleetrisk.operators import text as tx  # noqa: E402
-from fleetrisk.sources.tables import read_ranking, read_table, write_ranking  # noqa: E402
+from fleetrisk.sources.tables import read_ranking, read_table, write_ranking, write_stage  # noqa: E402
 
 
 @query
@@ -534,6 +534,21 @@ def report_lines(spark, d):
     return rp.scan_report(ranking, scored, rk.ranking_summary(ranking))
 
 
+@query
+def saved_report(spark, d):
+    """C7 + S10 sink: report documents written as text, one folder per scan, and their lines read back."""
+    path = f"{shared_folder(spark, 'reports')}/report"
+    rp.write_report(report_lines(spark, d), path)
+    return spark.read.schema("line string, scan_id string").text(path).select("scan_id", "line")
+
+
+@query
+def feature_profiles(spark, d):
+    """What is left of the labelled rows as features (no ids, dates, labels or policy outputs), and how often each profile occurs."""
+    features = ml.feature_columns(training_validated(spark, d))
+    return features.groupBy(*features.columns).agg(F.count(F.lit(1)).alias("rows")).withColumn("patch_age_days", F.col("patch_age_days").cast("double"))
+
+
 @query
 def fleet_report(spark, d):
     """C7 with models: per-scan report lines with model risk, priority and cluster, and the fleet document.
@@ -728,10 +743,12 @@ def run_status(spark, d):
     """S7 + M15: stages of a run logged with a failed and a repeated attempt; status and metrics looked up."""
     path = shared_folder(spark, "runs")
     entries = dv.kb_entries(spark, d).checkpoint(eager=True)
-    flat = fl.dedupe(fl.flatten(entries)).checkpoint(eager=True)
+    stage = f"{shared_folder(spark, 'stages')}/flat.parquet"
+    write_stage(fl.dedupe(fl.flatten(entries)), stage)
+    flat = spark.read.parquet(stage)
     counters = fl.flatten_counters(entries, flat).checkpoint(eager=True)
     for _ in range(2):  # the second time adds nothing
-        rl.record(spark, path, "fleet", "flatten", counters, artefacts={"rows": "flat.parquet"})
+        rl.record(spark, path, "fleet", "flatten", counters, artefacts={"rows": stage})
     rl.record(spark, path, "fleet", "enrich", status=rl.FAILED, message="no metadata")
     rl.record(spark, path, "fleet", "enrich", en.enrich_counters(flat, cve_dim(spark, d)), attempt=2)
     log = rl.read(spark, path).checkpoint(eager=True)

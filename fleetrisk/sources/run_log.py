@@ -50,7 +50,7 @@ def record(spark: SparkSession, path: str, run_id: str, stage: str, metrics: Dat
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All records: columns of RECORD."""
-    return spark.read.schema(RECORD).option("basePath", path).option("pathGlobFilter", "*.json").json(f"{path.rstrip('/')}/run_id=*")
+    return spark.read.schema(RECORD).option("pathGlobFilter", "*.json").json(path)  # folders that begin with _ are not read
 
 
 def latest(log: DataFrame) -> DataFrame:
