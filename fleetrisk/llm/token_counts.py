@@ -6,12 +6,13 @@ can depend on: where the pre-token pattern stands, and, for each place of the lo
 suffix that may still grow into a token, the last token and the count up to there.
 A transition's annotation is the change of the token count, as if the text ended there.
 
-A text is cut into chunks. At a synchronising place (a pre-token must end there,
-whatever stood before) the map of a chunk's states is constant: every state goes to the
-start state. So a chunk's map is a head up to its first such place and a tail from the
-start state, and composing neighbours joins a tail with the following heads; the counts of
-the composed maps add up in a prefix sum. All chunks of a slice run side by side,
-one vectorised transition a step.
+A text is cut into chunks, which run side by side, one vectorised transition a step. A
+chunk's map takes the state before it to the state behind it and the count between.
+At a synchronising place (a pre-token must end there, whatever stood before) the map is
+constant: every state goes to the start state, so chunks that begin there need one entry
+and their counts add up in a prefix sum. A stretch without such a place (a very long
+word, blanks, signs) is cut as well. Its chunks' maps are evaluated for the states that
+can come before them and composed by pointer doubling, a parallel prefix scan.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ from fleetrisk.llm.common import text_bytes, text_slices, tokenizer_path
 TOKENIZER = "byte_bpe_50k.json"
 #: characters of a chunk, about
 CHUNK = 256
+#: bytes read before a chunk to guess the state it begins in
+WARM = 32
+#: times the maps of a stretch's chunks get further entries; what is open then is read on from the last state known
+ROUNDS = 8
 #: bytes a worker spends on compiled transitions; beyond that it compiles anew, which changes no count
 TABLE_BYTES = 128 << 20
 LIMIT = 512
@@ -209,27 +214,40 @@ class Transducer:
             found = self.columns[codes]
         return found
 
+    def _known(self, state: tuple) -> int:
+        """The number of a state, a new one if need be; its row of the table exists."""
+        k = self.ids.setdefault(state, len(self.states))
+        if k == len(self.states):
+            self.states.append(state)
+            if (k + 1) * self.width > len(self.table):
+                self.table = np.append(self.table, np.full(len(self.table) // 2, -1, np.int32))
+        return k
+
     def _compile(self, entries: np.ndarray) -> None:
         for entry in np.unique(entries).tolist():
             state, (kind, byte) = self.states[entry // self.width], self.symbols[entry % self.width]
             after, added = self.step(state, kind, byte)
-            k = self.ids.setdefault(after, len(self.states))
-            if k == len(self.states):
-                self.states.append(after)
-                if k * self.width >= len(self.table):
-                    self.table = np.append(self.table, np.full(len(self.table) // 2, -1, np.int32))
-            self.table[entry] = k << 8 | (added + 128)
-
-    def run(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Counts of the stretches ``symbols[start:end]``, each from the start state, side by side."""
+            self.table[entry] = self._known(after) << 8 | (added + 128)
+
+    def run(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+            before: list[tuple] | None = None) -> np.ndarray | tuple[np.ndarray, list[tuple]]:
+        """Counts of the chunks ``symbols[start:end]``, side by side, each from the start state.
+
+        With ``before``, each from its own state; then the states behind the chunks are returned too.
+        """
         sizes = ends - starts
         order = np.argsort(-sizes, kind="stable")
         at, left = starts[order], np.sort(sizes)
         states, totals = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        behind: list[tuple | None] = [None] * len(order)
+        if before is not None:
+            states[:] = [self._known(before[k]) for k in order.tolist()]
         for k in range(int(sizes.max(initial=0))):
             n = len(order) - int(np.searchsorted(left, k, side="right"))
             if self.table.nbytes > self.table_bytes and len(self.states) > 4 * n + 1024:
                 live = [self.states[s] for s in states[:n].tolist()]
+                if before is not None:  # chunks that have ended keep their states, not the numbers
+                    behind[n:] = [self.states[s] if b is None else b for s, b in zip(states[n:].tolist(), behind[n:])]
                 self._begin(live)
                 states[:n] = [self.ids[s] for s in live]
             entries = states[:n] * self.width + symbols[at[:n] + k]
@@ -241,7 +259,63 @@ class Transducer:
             totals[:n] += (found & 255) - 128
         out = np.empty_like(totals)
         out[order] = totals
-        return out
+        if before is None:
+            return out
+        left_in = [self.states[s] if b is None else b for s, b in zip(states.tolist(), behind)]
+        return out, [left_in[k] for k in np.argsort(order).tolist()]
+
+    def composed(self, symbols: np.ndarray, leads: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Counts of long stretches ``symbols[start:end]``, their chunks side by side.
+
+        A chunk's map holds the entries that the chunk before can leave in; the first entry is a guess,
+        the state after the bytes just before. What the guesses miss is evaluated in rounds, for all
+        chunks at once. Composing the maps by pointer doubling leads from each stretch's
+        start to its last known place; a stretch still open after the last round is read on from there.
+        """
+        cuts = [leads[np.searchsorted(leads, np.arange(s + CHUNK, e - CHUNK // 2, CHUNK))] for s, e in zip(starts.tolist(), ends.tolist())]
+        begin = np.concatenate([np.concatenate([[s], c]) for s, c in zip(starts, cuts)])
+        end = np.concatenate([np.concatenate([c, [e]]) for c, e in zip(cuts, ends)])
+        sizes = np.array([len(c) + 1 for c in cuts])
+        first, n = np.cumsum(sizes) - sizes, len(begin)
+        last = np.zeros(n, bool)
+        last[first + sizes - 1] = True
+        warm = leads[np.searchsorted(leads, begin - WARM)]
+        warm[first] = begin[first]
+        guesses = self.run(symbols, warm, begin, [("start",)] * n)[1]
+        numbers: dict[tuple, int] = {}  # of states within this call; the table may be compiled anew
+        names: list[tuple] = []
+
+        def numbered(states: list[tuple]) -> np.ndarray:
+            found = [numbers.setdefault(state, len(numbers)) for state in states]
+            names.extend(list(numbers)[len(names):])
+            return np.array(found, np.int64)
+
+        # nodes: a chunk and a state before it; their counts, and the node that follows
+        nodes, counts, after = (np.zeros(0, np.int64) for _ in range(3))
+        wanted = np.arange(n) << 32 | numbered(guesses)
+        for left in range(ROUNDS, -1, -1):
+            chunk = wanted >> 32
+            added, behind = self.run(symbols, begin[chunk], end[chunk], [names[k] for k in (wanted & 0xFFFFFFFF).tolist()])
+            nodes, counts = np.concatenate([nodes, wanted]), np.concatenate([counts, added])
+            after = np.concatenate([after, np.where(last[chunk], -1, (chunk + 1) << 32 | numbered(behind))])
+            order = np.argsort(nodes)
+            nodes, counts, after = nodes[order], counts[order], after[order]
+            missing = ~np.isin(after, nodes) & (after >= 0)
+            wanted = np.unique(after[missing])
+            # pointer doubling: after round j a node spans up to 2^j chunks
+            ends_in, total = np.where(missing | (after < 0), len(nodes), np.searchsorted(nodes, after)), np.append(counts, 0)
+            stop, hop = np.append(after, -1), np.append(ends_in, len(nodes))
+            while (hop < len(nodes)).any():
+                total, stop, hop = total + np.where(hop < len(nodes), total[hop], 0), np.where(hop < len(nodes), stop[hop], stop), hop[hop]
+            at = np.searchsorted(nodes, first << 32)
+            open_ones = stop[at] >= 0
+            if not open_ones.any():
+                return total[at]
+            if not left:
+                rest = stop[at][open_ones]
+                out = total[at]
+                out[open_ones] += self.run(symbols, begin[rest >> 32], ends[open_ones], [names[k] for k in (rest & 0xFFFFFFFF).tolist()])[0]
+                return out
 
     def count(self, col: pa.Array) -> np.ndarray:
         """Token counts of the rows of a string array; a null row counts as empty."""
@@ -279,7 +353,11 @@ class Transducer:
         read = kinds[begin] != 255
         begin, end = begin[read], end[read]
         used = np.where(kinds == 255, MARK, kinds) if special.any() else kinds
-        counts = self.run(self.symbols_of(used, raw), begin, end)
+        symbols, long = self.symbols_of(used, raw), end - begin > 4 * CHUNK
+        counts = np.zeros(len(begin), np.int64)
+        counts[~long] = self.run(symbols, begin[~long], end[~long])
+        if long.any():
+            counts[long] = self.composed(symbols, leads, begin[long], end[long])
         summed = np.append(0, np.cumsum(counts))  # the prefix scan of the composed maps
         place = np.searchsorted(begin, np.stack([starts, ends]))
         return np.where(ends > starts, summed[place[1]] - summed[place[0]], 0) + special
