@@ -16,6 +16,8 @@ from fleetrisk.llm.common import stored
 from fleetrisk.operators.joins import measured_bytes
 
 WINDOW = 13
+#: words by which a term may lie off its place in a proximity match
+SLOP = 2
 #: a document is contaminated if at least one word in so many is hit
 SHARE = 20
 #: a side is broadcast only if it has at most so many rows and, measured as text, so many bytes; beyond, the join shuffles
@@ -112,24 +114,28 @@ def phrase_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
 def proximity_matches(index: DataFrame, terms: DataFrame, slop: int) -> DataFrame:
     """rid, wid, start: places where every term of a window lies within ``slop`` words of where the phrase has it.
 
-    start: where the window's rarest term would put its first word. Offset-adjusted lists are
-    intersected from the rarest term on, one term more each time, so few places are left for common
-    ones. A start's bucket of slop + 1 positions and its neighbours meet in an equality join.
+    start: where the window's rarest term puts its first word. The lists of the two rarest terms are
+    intersected first, the second one's postings sent to each start they allow; the places left are
+    confirmed term by term against the candidates' postings, as phrases are.
     """
-    width = slop + 1
-    found = shifted(index, terms, 1).select("rid", "wid", "size", "start")
-    for rarity in range(2, (terms.agg(F.max("size")).first()[0] or 0) + 1):
-        later = (shifted(index, terms, rarity).select("rid", "wid", F.col("start").alias("other"))
-                 .withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("other") / width) + k))))
-        open_ones = found.where(F.col("size") >= rarity).withColumn("bucket", F.floor(F.col("start") / width))
-        left = open_ones.join(later, ["rid", "wid", "bucket"]).where(F.abs(F.col("start") - F.col("other")) <= slop).select("rid", "wid", "size", "start").distinct()
-        found = stored(left.unionByName(found.where(F.col("size") < rarity)), "near")
-    return found.select("rid", "wid", "start").distinct()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    around = lambda at: F.explode(F.sequence(at - slop, at + slop))
+    first = shifted(index, terms, 1)
+    second = shifted(index, terms, 2).select("rid", "wid", around(F.col("start")).alias("start"))
+    starts = stored(first.where("size = 1").unionByName(first.where("size > 1").join(second, ["rid", "wid", "start"], "left_semi")
+                                                         .select(*first.columns)), "near-starts")
+    candidates = bounded(starts.select("rid").distinct())
+    postings = index.where("term > 0").join(candidates, "rid", "left_semi").select("rid", "term", "pos")
+    needed = starts.join(bounded(terms.select("wid", "off", "term")), "wid").select(
+        "rid", "wid", "size", "start", "off", "term", around(F.col("start") + F.col("off")).alias("pos"))
+    return (needed.join(postings, ["rid", "pos", "term"]).groupBy("rid", "wid", "size", "start").agg(F.collect_set("off").alias("offs"))
+            .where(F.size("offs") == F.col("size")).select("rid", "wid", "start"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int | None = None) -> DataFrame:
     """Per document row: doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated.
 
+    With ``slop`` also n_near, the proximity matches (window and start; phrases are among them), and
+    n_near_items, the items they belong to; they don't decide on contamination.
     A null or empty text has no words and is clean. With an empty benchmark nothing is hit. A very long
     text is postings like any other, and only those of benchmark terms are kept.
     Other columns of either table are ignored, whatever their names.
@@ -145,11 +151,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
              .agg(F.sort_array(F.collect_set("item_id")).alias("found")))
     base = index.where("term = 0").select("rid", "doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
     joined = base.join(hit.join(found, "rid"), "rid", "left")
+    reports = []
+    if slop is not None:
+        near = stored(proximity_matches(index, terms, slop), "near")
+        of_items = near.select("rid", "wid").distinct().join(bounded(items), "wid").select("rid", "item_id").distinct()
+        counted = near.groupBy("rid").agg(F.count("*").alias("n_near")).join(
+            of_items.groupBy("rid").agg(F.count("*").alias("n_near_items")), "rid")
+        joined = joined.join(counted, "rid", "left")
+        reports = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("n_near", "n_near_items")]
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
     return joined.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"),
                          F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_items"),
                          F.sha2(F.coalesce(F.array_join("found", ","), F.lit("")), 256).alias("items_sha256"),
-                         ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))
+                         ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"), *reports)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -185,9 +199,23 @@ occ AS (
   SELECT DISTINCT dw.rid, dw.s, dw.n, bw.item_id
   FROM dw JOIN bw ON bw.n = dw.n AND bw.win = array_to_string(list_slice(dw.w, dw.s + 1, dw.s + dw.n), ' ')),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM occ) GROUP BY rid),
-its AS (SELECT rid, list_sort(list(DISTINCT item_id)) AS ids FROM occ GROUP BY rid)
+its AS (SELECT rid, list_sort(list(DISTINCT item_id)) AS ids FROM occ GROUP BY rid),
+terms AS (SELECT win, n, unnest(string_split(win, ' ')) AS term, unnest(range(0, n)) AS off FROM (SELECT DISTINCT win, n FROM bw)),
+p AS (SELECT rid, term, pos FROM (SELECT rid, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d)
+      WHERE term IN (SELECT term FROM terms)),
+seen AS (SELECT term, count(*) AS c FROM p GROUP BY term),
+rarest AS (SELECT win, n, term, off FROM terms JOIN seen USING (term) QUALIFY row_number() OVER (PARTITION BY win ORDER BY c, off) = 1),
+near AS (
+  SELECT a.rid, a.win, a.start
+  FROM (SELECT p.rid, r.win, r.n, p.pos - r.off AS start FROM rarest r JOIN p USING (term)) a
+  JOIN terms t ON t.win = a.win
+  JOIN p ON p.rid = a.rid AND p.term = t.term AND p.pos BETWEEN a.start + t.off - 2 AND a.start + t.off + 2
+  GROUP BY a.rid, a.win, a.n, a.start HAVING count(DISTINCT t.off) = a.n),
+n1 AS (SELECT rid, count(*) AS n_near FROM near GROUP BY rid),
+n2 AS (SELECT rid, count(DISTINCT item_id) AS n_near_items FROM near JOIN bw USING (win) GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid) LEFT JOIN n1 USING (rid) LEFT JOIN n2 USING (rid)
 """

@@ -94,3 +94,17 @@ def test_wide_rows_are_not_broadcast(spark, monkeypatch):
     assert "broadcast" in plan(de.bounded(df))
     monkeypatch.setattr(de, "BROADCAST_BYTES", 500)
     assert "broadcast" not in plan(de.bounded(df))
+
+
+def test_query_reports_proximity(spark):
+    """Moved and inserted words leave proximity matches, counted beside the phrases; contamination is of phrases alone."""
+    w = LONG.split()[:13]
+    swapped, inserted, torn = w[:4] + [w[5], w[4]] + w[6:], w[:6] + ["new"] + w[6:], w[:6] + ["far"] * 9 + w[6:]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(swapped)), (3, " ".join(inserted)), (4, " ".join(torn)), (5, None), (6, ""),
+                                  (3, " ".join(inserted)), (7, " ".join(inserted + ["x"] * 50_000 + inserted))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(w), 0), (2, " ".join(w), 0), (3, None, 0)], "item_id long, text string, n_near int")
+    found = sorted((r.doc_id, r.n_hit, r.contaminated, r.n_near, r.n_near_items) for r in de.contamination(docs, bench, slop=de.SLOP).collect())
+    assert found == [(1, 13, True, 1, 2), (2, 0, False, 1, 2), (3, 0, False, 1, 2), (3, 0, False, 1, 2), (4, 0, False, 0, 0),
+                     (5, 0, False, 0, 0), (6, 0, False, 0, 0), (7, 0, False, 2, 2)]
+    assert "n_near" not in de.contamination(docs, bench).columns
+    assert {r.n_near for r in de.contamination(docs, bench.limit(0), slop=1).collect()} == {0}
