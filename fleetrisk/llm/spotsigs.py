@@ -23,9 +23,10 @@ au aux avec ce dans des du elle est et être il le les ne par pas pour qui sur u
 CHAIN = 2
 #: texts with fewer spots take the pairs of adjacent words as well
 FEW_SPOTS = 4
-#: of consecutive doc_ids that share a window partition, about; the number of bounds is bounded too
+#: of consecutive doc_ids that share a window partition, about
 ROWS_PER_RANGE = 512
-MAX_RANGES = 4096
+#: numbers that reach the driver at most, as bounds of ranges; a range of 100 TB of texts is then 1.6 GB, which its window may spill
+MAX_RANGES = 65_536
 _FIRST = -(1 << 63)
 
 
@@ -65,30 +66,44 @@ def written(signatures):
 def _ranges(docs: DataFrame, rows_per_range: int) -> list[int]:
     """Sorted doc_ids that cut the table into ranges of about as many rows; the first is the smallest.
 
-    At most MAX_RANGES numbers reach the driver.
+    At most MAX_RANGES numbers reach the driver; their ranks are exact to a sixteenth of a range or better.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
     found = docs.agg(F.min(key).alias("least"), F.count("*").alias("n")).first()
     if not found["n"]:
         return []
     ranges = max(1, min(MAX_RANGES, found["n"] // rows_per_range))
-    cuts = docs.agg(F.percentile_approx(key, [k / ranges for k in range(ranges)], 100_000).alias("cuts")).first()["cuts"]
+    cuts = docs.agg(F.percentile_approx(key, [k / ranges for k in range(ranges)], max(100_000, 16 * ranges)).alias("cuts")).first()["cuts"]
     return sorted({found["least"], *cuts})
 
 
+def _constant(numbers: list[int]):
+    """An array literal of any size, as one expression."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
+
+
+def _range_of(key, cuts: list[int]):
+    """How many of the sorted ``cuts`` are at most ``key``: counted among every so many of them, then in the stretch found."""
+    width = math.isqrt(len(cuts)) + 1
+    upto = lambda bounds: F.size(F.filter(bounds, lambda b: b <= key))
+    before = (F.greatest(upto(_constant(cuts[::width])), F.lit(1)) - 1) * width
+    return before + upto(F.slice(_constant(cuts), before + 1, width))
+
+
 def edited_pairs(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Each document row with its edited text's and its next document's signatures.
 
     docs: doc_id, text (null: empty); rows are in the order of doc_id, null first, and of
     the text's hash where ids tie; the last is followed by the first. Rows are dealt into
     ranges of doc_id; the first row of each range is also sent to the range before it.
+    Very long texts are taken whole, like any other.
     """
     cuts = _ranges(docs, rows_per_range)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key"))
-    bounds = F.lit(cuts) if cuts else F.array().cast("array<long>")
-    own = F.size(F.filter(bounds, lambda b: b <= F.col("key")))
-    first_of_range = F.element_at(bounds, own) == F.col("key")
+    cuts = cuts or [_FIRST]
+    own = _range_of(F.col("key"), cuts)
+    first_of_range = F.element_at(_constant(cuts), own) == F.col("key")
     place = lambda at, wraps, guard: F.struct(at.alias("at"), F.lit(wraps).alias("wraps"), F.lit(guard).alias("guard"))
     places = F.when(~first_of_range, F.array(place(own, False, False))).when(
         own > 1, F.array(place(own, False, False), place(own - 1, False, True))).otherwise(

@@ -1,6 +1,8 @@
 import hashlib
 
 from brute import SF
+from pyspark.sql import functions as F
+
 from fleetrisk.llm import spotsigs
 from fleetrisk.llm.common import table
 
@@ -41,6 +43,29 @@ def test_odd_texts_and_small_ranges(spark):
     assert {(r.doc_id, r.edited_sha256) for r in pairs.collect()} == {(r.doc_id, r.edited_sha256) for r in spotsigs.fingerprints(docs).collect()}
 
 
+def test_ranges_are_counted_as_by_bisection(spark):
+    from bisect import bisect_right
+
+    keys = [*range(-3, 400), spotsigs._FIRST, 1 << 40]
+    for n in (1, 2, 3, 17, 300):
+        cuts = sorted([spotsigs._FIRST] + [k * 5 // 4 for k in range(n - 1)])
+        rows = spark.createDataFrame([(k,) for k in keys], "key long").select("key", spotsigs._range_of(F.col("key"), cuts).alias("own")).collect()
+        assert {r.key: r.own for r in rows} == {k: bisect_right(cuts, k) for k in keys}
+
+
+def test_every_row_its_own_range(spark):
+    rows = [(3 * i, f"the text number {i} of the many " * (i % 4)) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    check(rows, [r for r in spotsigs.edited_pairs(docs, rows_per_range=1).select(
+        "doc_id", "n_chars", "edited_sha256", spotsigs.written(F.col("own")).alias("fingerprint"), spotsigs.written(F.col("changed")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("own"), F.col("changed")).alias("near_edited"), spotsigs.likeness(F.col("own"), F.col("next")).alias("near_next")).collect()])
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "the fox of the den is in a wood and " * 30_000), (2, "word " * 100_000), (3, "x" * 1_000_000)]
+    check(rows, spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_ties_nulls_one_row_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "c d"), (1, "c d"), (None, "e f")], "doc_id long, text string")
     assert spotsigs.fingerprints(docs).count() == 4
