@@ -16,11 +16,13 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import uuid
 import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
@@ -37,7 +39,7 @@ EPOCH = "1970-01-01T00:00:00Z"
 SCHEMA = ("record_type string, page_id long, target_uri string, record_date string, payload_digest string, "
           "payload_bytes long, refers_to long, payload binary")
 SINK_SCHEMA = ("record_type string, page_id long, target_uri string, payload_digest string, payload_bytes long, "
-               "refers_to long, payload binary")
+               "refers_to long, refers_to_uri string, payload binary")
 #: column: header
 HEADERS = {"record_type": "warc-type", "page_id": "x-page-id", "target_uri": "warc-target-uri", "record_date": "warc-date",
            "payload_digest": "warc-payload-digest", "payload_bytes": "x-payload-length", "refers_to": "x-refers-to-page"}
@@ -48,8 +50,8 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, digest: str | None) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}').urn}>"
+def record_id(name: str) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, name).urn}>"
 
 
 def _clean(value: str) -> str:
@@ -57,8 +59,9 @@ def _clean(value: str) -> str:
     return " ".join(value.split())
 
 
-def record_bytes(row: dict, date: str = EPOCH) -> bytes:
-    """One record. A response carries its payload gzip-coded; a revisit only refers."""
+def record_bytes(row: dict, date: str = EPOCH, name: str = "record") -> bytes:
+    """One record, its id made from ``name``. A response carries its payload gzip-coded; a revisit refers to
+    its response by payload digest, URI, date and page."""
     kind, digest = row["record_type"], row["payload_digest"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if kind == "response":
@@ -67,21 +70,23 @@ def record_bytes(row: dict, date: str = EPOCH) -> bytes:
         block = http + f"Content-Encoding: gzip\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
     else:
         block = http + b"\r\n"
-    lines = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(row['page_id'], digest)}", f"WARC-Date: {date}",
+    lines = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(name)}", f"WARC-Date: {date}",
              f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {row['payload_bytes']}"]
     if row["target_uri"] is not None:
         lines.append(f"WARC-Target-URI: {_clean(row['target_uri'])}")
     if row["page_id"] is not None:
         lines.append(f"X-Page-ID: {row['page_id']}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(row['refers_to'], digest)}", f"X-Refers-To-Page: {row['refers_to']}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {row['refers_to']}"]
+        if row["refers_to_uri"] is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {_clean(row['refers_to_uri'])}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def info_bytes(date: str = EPOCH) -> bytes:
+def info_bytes(date: str = EPOCH, name: str = "info") -> bytes:
     block = b"software: fleetrisk\r\nformat: WARC File Format 1.1\r\n"
-    head = f"WARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(None, 'info')}\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}"
+    head = f"WARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(name)}\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}"
     return VERSION + b"\r\n" + head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -227,6 +232,8 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator):
         filesystem, root = _filesystem(self.path)
         paths, out, size = [], None, 0
+        # ids differ between records, also of repeated rows: by write, task and place in the task
+        names = (f"{self.staging}:{TaskContext.get().partitionId()}:{k}" for k in itertools.count())
         filesystem.create_dir(f"{root}/{self.staging}", recursive=True)
         for batch in iterator:
             for row in batch.to_pylist():
@@ -235,8 +242,8 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                     paths.append(f"{uuid.uuid4().hex}.warc")
                     out = filesystem.open_output_stream(f"{root}/{self.staging}/{paths[-1]}", buffer_size=1 << 20)
-                    size = out.write(info_bytes(self.date))
-                size += out.write(record_bytes(row, self.date))
+                    size = out.write(info_bytes(self.date, next(names)))
+                size += out.write(record_bytes(row, self.date, next(names)))
         if out is not None:
             out.close()
         return Archives(paths)
@@ -297,21 +304,23 @@ def archive_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Of rows with equal payloads of at least ``least_bytes`` bytes, those with the
     smallest page_id are responses, the others revisit it. A null html is an empty
     payload. A null page_id never is the smallest; if a payload has only such rows, all
-    are responses. Only a digest, its length and a page_id per distinct payload
+    are responses. Only a digest, its length, a page_id and its url per distinct payload
     and task are aggregated; the copies of a payload meet their first by a join whose hot keys AQE can split.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = (pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload"))
             .withColumn("hex", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")))
     first = (rows.where(F.col("payload_bytes") >= least_bytes).groupBy("hex")
-             .agg(F.min("page_id").alias("first_id"), F.max("payload_bytes").alias("payload_bytes"), F.count("*").alias("copies"))
-             .where("copies > 1").drop("copies"))
+             .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "target_uri"))).alias("first"),
+                  F.max("payload_bytes").alias("payload_bytes"), F.count("*").alias("copies"))
+             .where("copies > 1").select("hex", "payload_bytes", F.col("first.page_id").alias("first_id"), F.col("first.target_uri").alias("first_uri")))
     # joined on more than the grouping key, so both sides are dealt anew and a hot payload can be split
     joined = rows.join(first, ["hex", "payload_bytes"], "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select(F.when(again, "revisit").otherwise("response").alias("record_type"), "page_id", "target_uri",
                          base32_of_hex(F.col("hex")).alias("payload_digest"), "payload_bytes",
-                         F.when(again, F.col("first_id")).alias("refers_to"), F.when(~again, F.col("payload")).alias("payload"))
+                         F.when(again, F.col("first_id")).alias("refers_to"),
+                         F.when(again, F.col("first_uri")).alias("refers_to_uri"), F.when(~again, F.col("payload")).alias("payload"))
 
 
 def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:

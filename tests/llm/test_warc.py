@@ -4,6 +4,7 @@ import hashlib
 import io
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from brute import SF
@@ -29,6 +30,22 @@ def test_round_trip_of_odd_pages(spark):
     assert found == sorted(expected)
 
 
+def test_record_ids_differ(spark):
+    """Also of repeated rows, of rows without page_id, of the archives' own records and of two writes to one folder."""
+    pages = spark.createDataFrame(PAGES * 2 + [(7, "http://z", "x" * 100)] * 40, SCHEMA).repartition(3)
+    path = warc.write_archives(pages, archive_bytes=500)
+    warc.write_archives(pages, path, archive_bytes=500)
+    ids, uris = [], set()
+    filesystem, root = warc._filesystem(path)
+    for found in filesystem.get_file_info(fs.FileSelector(root)):
+        with filesystem.open_input_stream(found.path) as f:
+            for headers, _ in warc.read_records(io.BytesIO(f.read()), lambda h: True, False):
+                ids.append(headers["warc-record-id"])
+                uris.add((headers.get("x-refers-to-page"), headers.get("warc-refers-to-target-uri")))
+    assert len(ids) > 2 * len(PAGES * 2) + 80 and len(set(ids)) == len(ids)
+    assert {("1", "http://b"), ("4", None)} <= uris
+
+
 def test_small_payloads_are_responses(spark):
     records = warc.archive_records(spark.createDataFrame(PAGES, SCHEMA), least_bytes=5)
     assert {(r.page_id, r.record_type) for r in records.collect() if r.page_id in (1, 3, 4, 5)} == {(k, "response") for k in (1, 3, 4, 5)}
