@@ -183,13 +183,27 @@ def stratified_split(df: DataFrame, label: str, test_percent: int = TEST_PERCENT
 
 # ---------------------------------------------------------------- models
 
+def drawn_apart(rows: DataFrame, pieces: int, weight: str = "row_weight") -> DataFrame:
+    """Each compacted row as up to ``pieces`` rows of equal weight, whose weights add up to its own.
+
+    The forest draws each row a Poisson number of times. A profile of at most ``pieces`` rows is drawn as its
+    rows would be; of a larger one of weight w the drawn weight has mean w too, and a deviation of
+    w / sqrt(pieces) where rows have sqrt(w).
+    """
+    n = F.greatest(F.lit(1), F.least(F.lit(pieces), F.col(weight).cast("int")))
+    kept = [c for c in rows.columns if c != weight]
+    return rows.select(*kept, F.explode(F.array_repeat(F.col(weight) / n, n)).alias(weight))
+
+
 def fit_regression(train: DataFrame, label: str = "risk_score", trees: int = FOREST_TREES,
-                   max_depth: int = FOREST_MAX_DEPTH) -> PipelineModel:
+                   max_depth: int = FOREST_MAX_DEPTH, pieces: int = 1) -> PipelineModel:
+    """Forest on compacted rows; with ``pieces`` (at most so many draws of a profile, see ``drawn_apart``) its
+    bootstrap comes to that of the rows, for as many times the rows to fit on."""
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="ml_risk",
                                weightCol="row_weight", numTrees=trees, maxDepth=max_depth,
                                featureSubsetStrategy="all", seed=SEED)
     rows = compact(train, label)
-    return Pipeline(stages=preprocessing(rows, scale=False) + [rf]).fit(rows)
+    return Pipeline(stages=preprocessing(rows, scale=False) + [rf]).fit(drawn_apart(rows, pieces))
 
 
 def balanced_weights(df: DataFrame, label: str, count_col: str | None = None) -> DataFrame:

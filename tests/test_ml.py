@@ -154,3 +154,27 @@ def test_classification_metrics_with_absent_label(spark):
     r = {x.metric: x.value for x in ml.regression_metrics(
         spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.0, 3.0)], "y double, p double"), "y", "p").collect()}
     assert r["mae"] == pytest.approx(1 / 3, abs=1e-6) and r["r2"] == pytest.approx(0.5, abs=1e-6)
+
+
+def test_profiles_are_drawn_as_their_rows(spark):
+    """Rows of equal weight that add up to the profile's; up to the bound they are its rows."""
+    rows = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 16.0), ("d", 1000.0), ("e", 0.5)], "k string, row_weight double")
+    found = {r.k: (r.n, r.w, r.least) for r in ml.drawn_apart(rows, 16).groupBy("k").agg(
+        F.count("*").alias("n"), F.sum("row_weight").alias("w"), F.min("row_weight").alias("least")).collect()}
+    assert found == {"a": (1, 1.0, 1.0), "b": (5, 5.0, 1.0), "c": (16, 16.0, 1.0), "d": (16, 1000.0, 62.5), "e": (1, 0.5, 0.5)}
+
+
+def test_forest_on_profiles_predicts_like_one_on_rows(spark, labelled, monkeypatch):
+    """Predictions differ by little more than those of two forests on rows with different seeds."""
+    rows = ml.model_frame(labelled)
+    for least in (3, 5, 7, 8):  # profiles of one to five rows
+        rows = rows.unionByName(ml.model_frame(labelled.where(F.col("cvss_score") > least)))
+    inputs, each = list(ml.MODEL_INPUTS), rows.withColumn("row_weight", F.lit(1.0))
+    found = []
+    for train, seed in ((each, ml.SEED), (each, ml.SEED + 1), (ml.compact(rows, ml.LABELS), ml.SEED)):
+        monkeypatch.setattr(ml, "SEED", seed)
+        model = ml.fit_regression(train, trees=40, pieces=16)
+        found.append({tuple(r[c] for c in inputs): r.ml_risk for r in model.transform(ml.model_frame(labelled)).collect()})
+    first, again, profiles = found
+    gap = lambda other: sum(abs(first[k] - other[k]) for k in first) / len(first)
+    assert gap(profiles) < 2 * gap(again)
