@@ -84,7 +84,8 @@ def score_candidates(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     # a handful of numbers: how many digits target ids have
     lengths = [r["n"] for r in targets.select((F.length("kb_id") - 2).alias("n")).where("n > 0").distinct().orderBy("n").collect()]
     keyed = candidates.withColumn("kb_id", F.explode(title_kb_keys(F.col("title"), lengths)))
-    pairs = targets.join(keyed, "kb_id")
+    # both sides grow with the catalog, and Spark's estimate of a derived title is far below its bytes: no broadcast
+    pairs = targets.join(keyed.hint("merge"), "kb_id")
     return pairs.withColumn("score", score_expr(F.col("title"), F.col("windows_gen"), F.col("display_version"),
                                                 F.col("build_major"), F.col("catalog_arch")))
 
@@ -107,7 +108,7 @@ def best_candidates(targets: DataFrame, scored: DataFrame, keys=("kb_id",)) -> D
                           F.col("update_id").alias("u"))).alias("_b"),
         F.count(F.lit(1)).alias("candidates_matching"))
     best = best.select(*keys, "_b.*", "candidates_matching")
-    out = targets.select(*keys).join(best, keys, "left")
+    out = targets.select(*keys).join(best.hint("merge"), keys, "left")  # a row per target: not to be broadcast by estimate
     confident = F.col("score") >= MIN_CONFIDENCE_SCORE
     return out.select(
         *keys,

@@ -406,7 +406,7 @@ def missing_update_candidates(spark, d):
     distinct = targets.select(*keys).distinct()
     scored = mt.score_candidates(distinct, tx.result_rows(dv.catalog_pages(spark, d)))
     best = mt.best_candidates(distinct, scored, keys)
-    return targets.join(best, keys).select("scan_id", "kb_id", "update_id", "best_score", "candidates_matching", "reason")
+    return targets.join(best.hint("merge"), keys).select("scan_id", "kb_id", "update_id", "best_score", "candidates_matching", "reason")
 
 
 @query

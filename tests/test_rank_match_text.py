@@ -161,3 +161,17 @@ def test_nested_lists_close_in_segments(spark):
     edge = out.where("kb_id = 'KB1'").select("segment", F.col("cves")[0]["policy_risk"].alias("a"), F.element_at("cves", -1)["policy_risk"].alias("b")).orderBy("segment").collect()
     assert all(x.a >= x.b for x in edge) and all(x.b >= y.a for x, y in zip(edge, edge[1:]))
     assert out.select(F.explode_outer("cves").alias("c")).select(F.countDistinct("c.cve_id")).first()[0] == n
+
+
+def test_pairs_are_never_broadcast_by_estimate(spark, tmp_path):
+    """Derived titles look small to Spark's estimate; neither the pairs nor the best of each target may go to the driver."""
+    spark.range(2000).select(F.col("id").alias("p")).write.parquet(str(tmp_path / "p"))
+    part = spark.read.parquet(str(tmp_path / "p"))
+    kb = F.concat(F.lit("KB"), (F.lit(5000000) + F.col("p")).cast("string"))
+    targets = part.select(kb.alias("kb_id"), *[F.lit(v).alias(c) for c, v in (
+        ("windows_gen", "windows 11"), ("display_version", "22h2"), ("build_major", "19000"), ("catalog_arch", "x64"))])
+    candidates = part.select(F.col("p").cast("string").alias("update_id"), F.concat(F.lit("Windows 11 ("), kb, F.lit(")")).alias("title"), F.lit(0).alias("candidate_pos"))
+    scored = match.score_candidates(targets, candidates)
+    for df in (scored, match.top_candidates(scored), match.best_candidates(targets, scored)):
+        assert df.count() == 2000
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
