@@ -16,6 +16,10 @@ HREF_PATTERN = r"""href="([^"]*)\""""
 RESULT_TABLE_ID = "ctl00_catalogBody_updateMatches"
 UPDATE_ID_PATTERN = r"^[0-9a-fA-F-]{36}$"
 CANDIDATE_FIELDS = ("title", "products", "classification", "last_updated", "version", "size")
+#: pages go to Python workers in batches of so many rows and bytes; a page that is larger goes alone
+PAGE_BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: result rows that a task holds before it sends them
+ROWS_HELD = 4_000
 
 
 def extract_urls(pages: DataFrame, html: str = "html", pattern: str = PACKAGE_URL_PATTERN,
@@ -86,8 +90,12 @@ def result_rows(pages: DataFrame, html: str = "html", table_id: str = RESULT_TAB
     """Rows of the catalog result table: id '<36-char id>_R<n>', >= 8 cells, 6 text fields.
 
     Markup is nested and quoted in ways a pattern can't follow, so each page goes through
-    an HTML parser, in Arrow batches; a page's rows depend on that page alone.
+    an HTML parser, in Arrow batches; a page's rows depend on that page alone. Batches are bounded in
+    bytes (PAGE_BATCH_CONF), pages are opened one by one and rows sent in runs of about ROWS_HELD, so a
+    worker's memory is that of one batch and one page, however many pages there are.
     """
+    for name, value in PAGE_BATCH_CONF.items():
+        pages.sparkSession.conf.set(name, value)
     fields = [StructField("candidate_pos", IntegerType())] + [StructField(c, StringType()) for c in ("update_id", *CANDIDATE_FIELDS)]
     source = pages.select(F.col(html).cast("string").alias("__html"), *keys)
     schema = StructType([*source.schema.fields[1:], *fields])
@@ -95,15 +103,24 @@ def result_rows(pages: DataFrame, html: str = "html", table_id: str = RESULT_TAB
 
     def run(batches):
         for batch in batches:
-            rows, parents = [], []
-            for at, page in enumerate(batch.column(0).to_pylist()):
+            column, rows, parents = batch.column(0), [], []
+            keys_of = batch.select(list(range(1, batch.num_columns)))
+
+            def sent():
+                kept = keys_of.take(pa.array(parents, pa.int64()))
+                own = [pa.array(c, pa.int32() if k == 0 else pa.string()) for k, c in enumerate(zip(*rows))]
+                return pa.RecordBatch.from_arrays([*kept.columns, *own], names=names)
+
+            for at in range(batch.num_rows):
+                page = column[at].as_py()
                 if page and table_id in page:
                     found = parse_result_rows(page, table_id)
                     rows += found
                     parents += [at] * len(found)
+                    if len(rows) >= ROWS_HELD:
+                        yield sent()
+                        rows, parents = [], []
             if rows:
-                kept = batch.take(pa.array(parents, pa.int64()))
-                own = [pa.array(c, pa.int32() if k == 0 else pa.string()) for k, c in enumerate(zip(*rows))]
-                yield pa.RecordBatch.from_arrays([*kept.columns[1:], *own], names=names)
+                yield sent()
 
     return source.mapInArrow(run, schema)

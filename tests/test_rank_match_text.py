@@ -175,3 +175,32 @@ def test_pairs_are_never_broadcast_by_estimate(spark, tmp_path):
     for df in (scored, match.top_candidates(scored), match.best_candidates(targets, scored)):
         assert df.count() == 2000
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_result_rows_come_in_bounded_batches(spark, monkeypatch):
+    """Many pages in one task: no batch holds them all."""
+    row = "<tr id='{0:08d}-0000-4000-8000-{1:012d}_R1'>" + "<td>x</td>" * 8 + "</tr>"
+    pages = spark.createDataFrame([(p, f'<table id="{text.RESULT_TABLE_ID}">' + "".join(row.format(p, k) for k in range(40)) + "</table>") for p in range(5000)],
+                                  "page_id long, html string").coalesce(1)
+    sizes = text.result_rows(pages).mapInArrow(lambda bs: bs, "page_id long, candidate_pos int, update_id string, " + ", ".join(f"{c} string" for c in text.CANDIDATE_FIELDS))
+    assert sizes.select("update_id").distinct().count() == 200_000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+    held = []
+
+    class Frame:
+        sparkSession = spark
+
+        def select(self, *cols):
+            return self
+
+        schema = pages.select("html", "page_id").schema
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+            html = [r.html for r in pages.select("html").limit(500).collect()]
+            batch = pa.RecordBatch.from_arrays([pa.array(html), pa.array(range(500))], names=["__html", "page_id"])
+            held.extend(b.num_rows for b in run([batch]))
+
+    text.result_rows(Frame())
+    assert sum(held) == 20_000 and max(held) < text.ROWS_HELD + 41
