@@ -42,8 +42,12 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"))
 
 
+#: op9_quality draws this share of the kept texts; with all of them the draw would decide nothing
+DRAWN_SHARE = 0.5
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DRAWN_SHARE)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
