@@ -20,22 +20,24 @@ from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, Str
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params
 from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.cvss import exploited
-from fleetrisk.operators.joins import join_dimension
+from fleetrisk.operators.joins import join_dimension, saved
 from fleetrisk.operators.rank import rank_within
 from fleetrisk.schemas import CVSS_METRICS
+from fleetrisk.session import shared_folder
 
 # fixed values: model settings
 SEED = 2137
 TEST_PERCENT = 20
 FOREST_TREES = 200
 FOREST_MAX_DEPTH = 30  # the deepest Spark grows; on compacted rows leaves are pure well before
+FOREST_NODES = 500_000  # nodes of trees that the driver holds at once; a larger forest is grown in parts
 LOGISTIC_MAX_ITER = 2000
 LOGISTIC_C = 1.0
 CLUSTERS = 5
@@ -134,7 +136,7 @@ LABELS = ("risk_score", "priority_label")
 
 def training_set(labelled: DataFrame) -> DataFrame:
     """Compacted, checkpointed model input shared by all fits (reads the lineage once)."""
-    return compact(model_frame(labelled), LABELS).checkpoint(eager=True)
+    return saved(compact(model_frame(labelled), LABELS))
 
 
 def row_hash(key=ROW_KEY, seed: int = SEED):
@@ -160,6 +162,7 @@ def stratified_split(df: DataFrame, label: str, test_percent: int = TEST_PERCENT
     boundary lies, only that range's rows, one of 2 ** SPLIT_BITS, are ranked, and the
     row at the boundary cuts the table in two.
     """
+    df = saved(df)  # read three times below
     hashed = df.withColumn("_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))
     hashed = hashed.withColumn("_range", F.shiftright("_h", 64 - SPLIT_BITS))
     counts = hashed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_c"))  # labels x ranges rows at most
@@ -195,15 +198,90 @@ def drawn_apart(rows: DataFrame, pieces: int, weight: str = "row_weight") -> Dat
     return rows.select(*kept, F.explode(F.array_repeat(F.col(weight) / n, n)).alias(weight))
 
 
+class ForestWriter(DefaultParamsWriter):
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        for k, part in enumerate(self.instance.getOrDefault("parts")):
+            RandomForestRegressionModel.load(part).write().overwrite().save(f"{path}/part-{k:05d}")
+
+
+class ForestReader(DefaultParamsReader):
+    def load(self, path: str) -> "Forest":
+        forest = super().load(path)
+        return forest._set(parts=[f"{path}/part-{k:05d}" for k in range(len(forest.getOrDefault("parts")))])
+
+
+class Forest(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """A forest in ``parts``, folders of forests of ``trees`` trees each; the prediction is the mean over all trees.
+
+    The driver and a task hold one part at a time: rows take each part's sum in a pass of their own,
+    and are saved between passes. So ``transform`` runs jobs.
+    """
+
+    parts = Param(Params._dummy(), "parts", "folders of the parts")
+    trees = Param(Params._dummy(), "trees", "number of trees of each part")
+
+    def __init__(self, parts: list[str] | None = None, trees: list[int] | None = None, features: str = "features", prediction: str = "ml_risk"):
+        super().__init__()
+        self._set(featuresCol=features, predictionCol=prediction)
+        if parts is not None:
+            self._set(parts=list(parts), trees=[int(n) for n in trees])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out, columns, total = dataset.withColumn("_trees_sum", F.lit(0.0)), dataset.columns, sum(self.getOrDefault(self.trees))
+        for part, n in zip(self.getOrDefault(self.parts), self.getOrDefault(self.trees)):
+            model = RandomForestRegressionModel.load(part).setFeaturesCol(self.getFeaturesCol()).setPredictionCol("_part")
+            out = saved(model.transform(out).select(*columns, (F.col("_trees_sum") + n * F.col("_part")).alias("_trees_sum")))
+        return out.select(*columns, (F.col("_trees_sum") / total).alias(self.getPredictionCol()))
+
+    @property
+    def featureImportances(self) -> np.ndarray:
+        """Mean over the trees of each tree's importances, which add up to 1."""
+        weighted = zip(self.getOrDefault(self.parts), self.getOrDefault(self.trees))
+        total = sum(n * RandomForestRegressionModel.load(part).featureImportances.toArray() for part, n in weighted)
+        return total / (total.sum() or 1.0)
+
+    def write(self) -> ForestWriter:
+        return ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> ForestReader:
+        return ForestReader(cls)
+
+
 def fit_regression(train: DataFrame, label: str = "risk_score", trees: int = FOREST_TREES,
-                   max_depth: int = FOREST_MAX_DEPTH, pieces: int = 1) -> PipelineModel:
+                   max_depth: int = FOREST_MAX_DEPTH, pieces: int = 1, nodes: int = FOREST_NODES) -> PipelineModel:
     """Forest on compacted rows; with ``pieces`` (at most so many draws of a profile, see ``drawn_apart``) its
-    bootstrap comes to that of the rows, for as many times the rows to fit on."""
-    rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="ml_risk",
-                               weightCol="row_weight", numTrees=trees, maxDepth=max_depth,
-                               featureSubsetStrategy="all", seed=SEED)
+    bootstrap comes to that of the rows, for as many times the rows to fit on.
+
+    Spark's trainer keeps all trees in the driver, and trees grow with the profiles. If they may have more than
+    ``nodes`` nodes in all, the trees are grown in parts, each with a seed of its own, of as many as the nodes
+    of the trees before allow, and kept in the shared folder (``Forest``). Trees, depth and draws are the same.
+    """
     rows = compact(train, label)
-    return Pipeline(stages=preprocessing(rows, scale=False) + [rf]).fit(drawn_apart(rows, pieces))
+    stages = preprocessing(rows, scale=False)
+    drawn = drawn_apart(rows, pieces)
+
+    def grower(number: int, seed: int) -> RandomForestRegressor:
+        return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="ml_risk",
+                                     weightCol="row_weight", numTrees=number, maxDepth=max_depth,
+                                     featureSubsetStrategy="all", seed=seed)
+
+    per_tree = 2 * drawn.count()  # a leaf holds a row at least
+    if per_tree * trees <= nodes:
+        return Pipeline(stages=stages + [grower(trees, SEED)]).fit(drawn)
+    prepared = Pipeline(stages=stages).fit(drawn)
+    feats = saved(prepared.transform(drawn).select("features", label, "row_weight"))
+    folder, parts, sizes = shared_folder(rows.sparkSession, "forest"), [], []
+    while sum(sizes) < trees:
+        number = min(trees - sum(sizes), max(1, nodes // per_tree))
+        part = grower(number, SEED + len(parts)).fit(feats)
+        per_tree = max(1, -(-part.totalNumNodes // number))
+        parts.append(f"{folder}/part-{len(parts):05d}")
+        sizes.append(number)
+        part.write().overwrite().save(parts[-1])
+        del part
+    return PipelineModel(stages=prepared.stages + [Forest(parts, sizes)])
 
 
 def balanced_weights(df: DataFrame, label: str, count_col: str | None = None) -> DataFrame:
@@ -430,7 +508,7 @@ def cluster_scatter(pred: DataFrame, score: str = "risk_score", weight: str | No
 def feature_importance(model: PipelineModel, frame: DataFrame, top: int = 10) -> DataFrame:
     """Top forest feature importances with names from the assembled vector's metadata.
     Model-sized data (one row per feature), not data-sized."""
-    feats = model.transform(frame.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
+    feats = PipelineModel(stages=model.stages[:-1]).transform(frame.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in feats.values() for a in group}
     imp = model.stages[-1].featureImportances
     rows = [(names.get(i, str(i)), float(imp[i])) for i in range(len(imp))]
@@ -496,10 +574,10 @@ def evaluated_models(frame: DataFrame) -> Evaluated:
     frame: row key, model inputs and labels. Metrics of compacted rows (inputs + labels, with
     counts) are those of the rows.
     """
-    frame = frame.checkpoint(eager=True)
-    train, test = (compact(part, LABELS).checkpoint(eager=True) for part in hash_split(frame))
-    c_train, c_test = (compact(part, LABELS).checkpoint(eager=True) for part in stratified_split(frame, "priority_label"))
-    everything = compact(frame, LABELS).checkpoint(eager=True)
+    frame = saved(frame)
+    train, test = (saved(compact(part, LABELS)) for part in hash_split(frame))
+    c_train, c_test = (saved(compact(part, LABELS)) for part in stratified_split(frame, "priority_label"))
+    everything = saved(compact(frame, LABELS))
     with ThreadPoolExecutor(max_workers=3) as pool:  # independent Spark jobs
         fits = [pool.submit(fit, rows) for fit, rows in ((fit_regression, train), (fit_classification, c_train), (fit_clustering, everything))]
         models = Models(*[f.result() for f in fits])

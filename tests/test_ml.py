@@ -178,3 +178,38 @@ def test_forest_on_profiles_predicts_like_one_on_rows(spark, labelled, monkeypat
     first, again, profiles = found
     gap = lambda other: sum(abs(first[k] - other[k]) for k in first) / len(first)
     assert gap(profiles) < 2 * gap(again)
+
+
+def test_a_forest_in_parts_is_one_forest(spark, tmp_path):
+    """All trees are grown whatever the driver may hold; mean prediction, importances and a saved copy agree with the parts."""
+    import random
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["Low", "High"]), *["N"] * len(ml.CVSS_METRICS), float(rnd.randint(0, 100)) / 10, float(rnd.randint(0, 900)), float(rnd.randint(0, 1)))
+            for _ in range(300)]
+    schema = ", ".join(f"{c} string" for c in ml.CATEGORICAL) + ", " + ", ".join(f"{c} double" for c in ml.NUMERIC) + ", risk_score double, row_weight double"
+    frame = spark.createDataFrame([(*r, r[-3] + r[-1], 1.0) for r in rows], schema)
+    model = ml.fit_regression(frame, trees=12, nodes=1500)
+    forest = model.stages[-1]
+    parts = [ml.RandomForestRegressionModel.load(p) for p in forest.getOrDefault("parts")]
+    assert isinstance(forest, ml.Forest) and len(parts) > 1 and sum(p.getNumTrees for p in parts) == 12
+    assert all(p.totalNumNodes <= 1500 * 1.5 for p in parts)
+    assert len({p.trees[0].toDebugString for p in parts}) == len(parts)  # each part draws anew
+    out = model.transform(frame)
+    feats = ml.PipelineModel(stages=model.stages[:-1]).transform(frame).select("features", *frame.columns)
+    own = {}
+    for p in parts:
+        for r in p.transform(feats).collect():
+            key = (r.cvss_score, r.patch_age_days, r.exploited_flag, r.severity)
+            own[key, id(p)] = r.ml_risk * p.getNumTrees / 12
+    for r in out.collect():
+        key = (r.cvss_score, r.patch_age_days, r.exploited_flag, r.severity)
+        assert abs(r.ml_risk - sum(own[key, id(p)] for p in parts)) < 1e-9
+    assert out.columns == [*ml.PipelineModel(stages=model.stages[:-1]).transform(frame).columns, "ml_risk"]
+    assert ml.regression_metrics(out, "risk_score", "ml_risk").where("metric = 'r2'").first().value > 0.9
+    assert {r.feature for r in ml.feature_importance(model, frame, top=2).collect()} == {"cvss_score__imp", "exploited_flag__imp"}
+    model.write().overwrite().save(str(tmp_path / "m"))
+    copy = ml.PipelineModel.load(str(tmp_path / "m"))
+    assert all(str(tmp_path) in p for p in copy.stages[-1].getOrDefault("parts"))
+    assert sorted(r.ml_risk for r in copy.transform(frame).collect()) == sorted(r.ml_risk for r in out.collect())
+    small = ml.fit_regression(frame.limit(20), trees=3)
+    assert isinstance(small.stages[-1], ml.RandomForestRegressionModel)
