@@ -12,7 +12,8 @@ graph whose installed KBs that replace something are equal too share a *profile*
 
 Both are the fixpoint ``spread``. Spark's recursive CTE only takes UNION ALL and stops at a recursion
 limit on a cycle, so it is a driver loop of DataFrame jobs. One job makes HOPS hops, each deduplicated
-before the next, then drops what was reached before. Edges are broadcast if their measured bytes stay
+before the next and kept (a hop is read by the next one and by the union, and would be run again for each),
+then drops what was reached before. Edges are broadcast if their measured bytes stay
 within the bound; beyond it they and the reached rows are cached, hash-partitioned on their join
 keys, so a job shuffles new rows only. Every job's result is checkpointed to the reliable checkpoint
 folder: a lost executor recomputes one job at most. The driver sees one row count per job.
@@ -76,14 +77,19 @@ def spread(frontier: DataFrame, edges: DataFrame, carry: list[str], hops: int =
     frontier = frontier.select(*row)
     try:
         for _ in range(max_jobs):
-            reached, at = [], frontier
+            reached, at, kept = [], frontier, []
             for hop in range(1, hops + 1):
                 at = at.join(steps, ["graph", "kb_id"]).select("graph", *carry, F.col("dst").alias("kb_id")).distinct()
+                at = at.persist(StorageLevel.MEMORY_AND_DISK)
+                kept.append(at)
                 reached.append(at.withColumn("hop", F.lit(hop)))
+            cached += kept
             new = reduce(DataFrame.unionByName, reached).groupBy(*row).agg(F.min("hop").alias("hop"))
             for block in blocks:
                 new = new.join(block, row, "left_anti")
             new = new.checkpoint(eager=True)
+            for frame in kept:
+                frame.unpersist()
             last = new.where(F.col("hop") == hops).select(*row)  # all others were expanded in this job
             found.append(new.select(*row))
             if last.isEmpty():
@@ -118,13 +124,15 @@ class Reachability:
 
     @cached_property
     def graph_of(self) -> DataFrame:
-        """(scan, graph): equal edge sets have equal graphs; scans without edges have none."""
-        return self._scan_edges.groupBy(self.scan_col).agg(fingerprint("src", "dst").alias("graph")).checkpoint(eager=True)
+        """(scan, graph): equal edge sets have equal graphs, named by their first scan; scans without edges have none."""
+        marks = self._scan_edges.groupBy(self.scan_col).agg(fingerprint("src", "dst").alias("_print")).checkpoint(eager=True)
+        first = marks.groupBy("_print").agg(F.min(self.scan_col).alias("graph"))
+        return marks.join(first, "_print").select(self.scan_col, "graph").checkpoint(eager=True)
 
     @cached_property
     def edges(self) -> DataFrame:
         """(graph, src, dst): each distinct edge set once, taken from its first scan."""
-        first = self.graph_of.groupBy("graph").agg(F.min(self.scan_col).alias(self.scan_col))
+        first = self.graph_of.select(F.col("graph").alias(self.scan_col), "graph").distinct()
         return self._scan_edges.join(first, self.scan_col).select("graph", "src", "dst").checkpoint(eager=True)
 
     @cached_property
@@ -136,14 +144,15 @@ class Reachability:
 
     @cached_property
     def profile_of(self) -> DataFrame:
-        """(scan, graph, profile): scans of one profile have the same graph and the same roots."""
-        marks = self._roots.groupBy(self.scan_col, "graph").agg(fingerprint("kb_id").alias("roots"))
-        return marks.select(self.scan_col, "graph", F.concat_ws("/", "graph", "roots").alias("profile")).checkpoint(eager=True)
+        """(scan, graph, profile): scans of one profile, named by its first, have the same graph and the same roots."""
+        marks = self._roots.groupBy(self.scan_col, "graph").agg(fingerprint("kb_id").alias("_print")).checkpoint(eager=True)
+        first = marks.groupBy("graph", "_print").agg(F.min(self.scan_col).alias("profile"))
+        return marks.join(first, ["graph", "_print"]).select(self.scan_col, "graph", "profile").checkpoint(eager=True)
 
     @cached_property
     def profile_roots(self) -> DataFrame:
         """(graph, profile, kb_id): the roots of each profile once, from its first scan."""
-        first = self.profile_of.groupBy("profile").agg(F.min(self.scan_col).alias(self.scan_col))
+        first = self.profile_of.select(F.col("profile").alias(self.scan_col), "profile").distinct()
         return self._roots.join(first, self.scan_col).select("graph", "profile", "kb_id").checkpoint(eager=True)
 
     @cached_property

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetrisk.session import shared_folder
+
 # largest side (bytes of its rows as text) we are willing to ship to every executor
 BROADCAST_BYTES = 64 << 20
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage, survives executor loss.
+
+    For large frames: Parquet is a fraction of a checkpoint's bytes, and readers open the columns that they need.
+    """
+    path = f"{shared_folder(df.sparkSession, 'saved')}/rows.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of the rows of ``df`` as text."""
     return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))).first()[0] or 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.display import join_list
-from fleetrisk.operators.joins import sized
+from fleetrisk.operators.joins import saved, sized
 from fleetrisk.operators.policy import DEFAULT_DRIVER
 
 # fixed values: priority order and preview sizes
@@ -72,7 +72,7 @@ def rank_within(df: DataFrame, partition_cols, order_cols, rank_col: str = "rank
     its range partition comes from ``monotonically_increasing_id`` after the
     sort; per (partition, group) counts give offsets through a running sum over
     a table of at most (#range partitions + #groups) rows. The sorted layout is
-    checkpointed to the reliable checkpoint folder so both uses see the same
+    saved to the shared folder so both uses see the same
     partitions even if executors are lost. ``order_cols`` must make the order
     total within a group (end with a unique key).
     """
@@ -80,11 +80,10 @@ def rank_within(df: DataFrame, partition_cols, order_cols, rank_col: str = "rank
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(c).asc_nulls_first() for c in partition_cols] + list(order_cols)
-    laid = (df.repartitionByRange(n, *sort_cols)
-            .sortWithinPartitions(*sort_cols)
-            .withColumn("_part", F.spark_partition_id())
-            .withColumn("_pos", F.monotonically_increasing_id())
-            .checkpoint(eager=True))
+    laid = saved(df.repartitionByRange(n, *sort_cols)
+                 .sortWithinPartitions(*sort_cols)
+                 .withColumn("_part", F.spark_partition_id())
+                 .withColumn("_pos", F.monotonically_increasing_id()))
     stats = laid.groupBy("_part", *partition_cols).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     running = Window.partitionBy(*partition_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -69,8 +69,9 @@ def link(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_shipdate", "l_returnflag", "l_linestatus")
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     cust = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    j = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-         .join(cust, orders.o_custkey == cust.c_custkey))
+    # orders meet customers first, so line items, the largest table, are shuffled once
+    placed = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    j = li.join(placed, li.l_orderkey == placed.o_orderkey)
     return j.select(
         F.col("c_nationkey").alias("scan_id"),
         F.col("l_partkey").alias("partkey"),
