@@ -8,6 +8,7 @@ plain aggregates; splits are hash-based so they do not depend on partitioning.
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -267,7 +268,7 @@ def fit_regression(train: DataFrame, label: str = "risk_score", trees: int = FOR
                                      weightCol="row_weight", numTrees=number, maxDepth=max_depth,
                                      featureSubsetStrategy="all", seed=seed)
 
-    per_tree = 2 * drawn.count()  # a leaf holds a row at least
+    per_tree = math.ceil(2 * (1 - math.exp(-1)) * drawn.count())  # a bootstrap draws 63 % of the rows, and a leaf holds one at least
     if per_tree * trees <= nodes:
         return Pipeline(stages=stages + [grower(trees, SEED)]).fit(drawn)
     prepared = Pipeline(stages=stages).fit(drawn)
