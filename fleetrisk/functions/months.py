@@ -15,6 +15,16 @@ def month_id(ts) -> Column:
     return F.date_format(_col(ts), MONTH_FORMAT)
 
 
+MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def month_id_of_date(date) -> Column:
+    """``month_id`` of a date, put together from year and month; other than four-digit years go through the formatter."""
+    d = _col(date)
+    name = F.get(F.array(*[F.lit(n) for n in MONTH_NAMES]), F.month(d) - 1)
+    return F.when(F.year(d).between(1000, 9999), F.concat(F.year(d).cast("string"), F.lit("-"), name)).otherwise(month_id(d))
+
+
 def parse_month_id(c) -> Column:
     """Month id (any letter case) -> first-of-month date; invalid -> null."""
     return F.to_date(F.try_to_timestamp(F.initcap(strip_ws(c)), F.lit(MONTH_FORMAT)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.ids import CVE_PATTERN, is_cve_id, normalise_id, strip_ws
+from fleetrisk.operators.joins import saved
 from fleetrisk.operators.policy import long_metrics
 
 TRAINING_KEYS = ("kb_id", "cve_id", "month")
@@ -82,7 +83,10 @@ def flatten_counters(kb_entry: DataFrame, deduped: DataFrame, missing: DataFrame
 
 
 def scope_counts(flat: DataFrame) -> DataFrame:
-    """Distinct KBs, CVEs, months and row count (one row): three narrow distincts side by side."""
+    """Distinct KBs, CVEs, months and row count (one row): three narrow distincts side by side.
+
+    The rows are saved first, or each of the four counts would build them again."""
+    flat = saved(flat.select("kb_id", "cve_id", "month"))
     parts = [flat.select(c).distinct().agg(F.count(c).alias("n")).select(F.lit(name).alias("name"), "n")
              for c, name in (("kb_id", "unique_kbs"), ("cve_id", "unique_cves"), ("month", "unique_months"))]
     parts.append(flat.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("name"), "n"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.ids import update_type
-from fleetrisk.functions.months import month_id
+from fleetrisk.functions.months import month_id, month_id_of_date
 from fleetrisk.sources.tables import read_table
 
 # fixed values: derivation constants (FIXTURES.md section 3)
@@ -52,7 +52,9 @@ def _is(value, rule: tuple[int, int]) -> Column:
 
 def cve_of_bucket(bucket, entries: bool = True) -> Column:
     """CVE id of a CVE number; in ``entries`` some numbers are advisories that aren't CVEs."""
-    number = F.format_string("%05d", bucket)
+    text = bucket.cast("string")
+    # the formatter parses its pattern for every value: only numbers below 0 and nulls go through it
+    number = F.when(bucket >= 100_000, text).when(bucket >= 0, F.lpad(text, 5, "0")).otherwise(F.format_string("%05d", bucket))
     prefix = F.when(_is(bucket, BAD_CVE), BAD_CVE_PREFIX).otherwise(CVE_PREFIX) if entries else F.lit(CVE_PREFIX)
     return F.concat(prefix, number)
 
@@ -101,10 +103,14 @@ def installed_line() -> Column:
 def entry_groups(lnk: DataFrame) -> DataFrame:
     """One row per (scan_id, partkey): the CVE buckets, month starts and whether any
     line item marks the KB installed. Both kb_entries and installed derive from it,
-    so the link join is read once for both."""
-    return lnk.groupBy("scan_id", "partkey").agg(
-        F.collect_set("bucket").alias("_buckets"), F.collect_set("month_start").alias("_months"),
-        F.max(installed_line()).alias("_installed"))
+    so the link join is read once for both.
+
+    Buckets and months are gathered as one set of pairs: most of the time of this aggregate goes into
+    the sets of its groups, which it keeps as objects and writes out one by one."""
+    pairs = lnk.groupBy("scan_id", "partkey").agg(
+        F.collect_set(F.struct("bucket", "month_start")).alias("_pairs"), F.max(installed_line()).alias("_installed"))
+    return pairs.select("scan_id", "partkey", F.array_distinct("_pairs.bucket").alias("_buckets"),
+                        F.array_compact(F.array_distinct("_pairs.month_start")).alias("_months"), "_installed")
 
 
 def kb_entries(spark: SparkSession, folder: str, lnk: DataFrame | None = None,
@@ -114,8 +120,8 @@ def kb_entries(spark: SparkSession, folder: str, lnk: DataFrame | None = None,
         groups = entry_groups(lnk if lnk is not None else link(spark, folder))
     grouped = groups.select(
         "scan_id", "partkey",
-        F.array_sort(F.transform("_buckets", lambda b: cve_of_bucket(b))).alias("cves"),
-        F.array_sort(F.transform("_months", lambda m: month_id(m))).alias("months"))
+        F.sort_array(F.transform("_buckets", lambda b: cve_of_bucket(b))).alias("cves"),
+        F.sort_array(F.transform("_months", lambda m: month_id_of_date(m))).alias("months"))
     part = read_table(spark, folder, "part").select("p_partkey", "p_size")
     j = grouped.join(part, grouped.partkey == part.p_partkey)
     sup = supersedes_of(F.col("p_partkey"), F.col("p_size"))

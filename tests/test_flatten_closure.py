@@ -175,3 +175,11 @@ def test_closure_hops_agree_on_tables(spark):
     roots = dv.installed(spark, SMOKE, groups=groups)
     plain = sorted(map(tuple, closure.closure(edges, roots).collect()))
     assert plain and plain == sorted(map(tuple, closure.closure(edges, roots, hops=2, merge_every=3).collect()))
+
+
+def test_scope_counts_builds_the_rows_once(spark):
+    entries = spark.createDataFrame([(1, "KB1", ["2024-Jan", "2024-Feb"], ["CVE-2024-0001", "CVE-2024-0002"]), (2, "KB1", ["2024-Jan"], ["CVE-2024-0001"])],
+                                    "scan_id int, kb_id string, months array<string>, cves array<string>")
+    out = flatten.scope_counts(flatten.dedupe(flatten.flatten(entries)))
+    assert tuple(out.first()) == (1, 2, 2, 4)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()

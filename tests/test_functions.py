@@ -144,3 +144,9 @@ def test_hosts_keep_their_rows(spark):
     products = spark.createDataFrame([("2024-01-01", "Windows 11 Version 24H2 for x64-based Systems")], "month string, product_name string")
     found = {r.scan_id: (r.product_name_hint, r.match_rank) for r in baseline.resolve_product(hosts, products.withColumn("month", F.to_date("month"))).collect()}
     assert found == {"a": (None, None), "b": ("Windows 11 Version 24H2 for x64-based Systems", 1)}
+
+
+def test_month_id_of_a_date_is_that_of_the_formatter(spark):
+    dates = spark.sql("SELECT d FROM VALUES (DATE'1998-01-31'), (DATE'2024-12-01'), (DATE'0999-05-02'), (DATE'9999-07-01'), (NULL) AS t(d)")
+    for got, expected in rows(dates.select(months.month_id_of_date("d").alias("a"), months.month_id("d").alias("b")), "a", "b"):
+        assert got == expected

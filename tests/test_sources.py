@@ -233,3 +233,18 @@ def test_advisory_last_wins(spark, tmp_path):
     assert [(r.cve_id, r.base_score, r.severity) for r in by_time] == [("CVE-2026-1000", 5.0, "Important")]
     assert [(r.cve_id, r.base_score, r.exploitation) for r in by_text] == [("CVE-2026-1000", 9.0, "Exploited:Yes")]
     assert advisory.read_advisories(spark, str(tmp_path), ["2026-Jan"]).count() == 1
+
+
+def test_entry_groups_gather_one_set(spark):
+    from fleetrisk.sources import derived
+
+    lnk = spark.sql("""SELECT * FROM VALUES (1, 7L, 100L, DATE'1994-01-01', 'N', 'F'), (1, 7L, 100L, DATE'1994-01-01', 'R', 'F'),
+        (1, 7L, 200000L, DATE'1994-01-01', 'R', 'F'), (1, 7L, -1L, DATE'1994-03-01', 'R', 'F'), (2, 7L, 5L, NULL, 'R', 'F')
+        AS t(scan_id, partkey, bucket, month_start, l_returnflag, l_linestatus)""")
+    groups = derived.entry_groups(lnk)
+    found = {r["scan_id"]: (sorted(r["_buckets"]), sorted(map(str, r["_months"])), r["_installed"]) for r in groups.collect()}
+    assert found == {1: ([-1, 100, 200000], ["1994-01-01", "1994-03-01"], True), 2: ([5], [], False)}
+    assert groups._jdf.queryExecution().optimizedPlan().toString().count("collect_set") == 1
+    number = lambda b: spark.sql(f"SELECT {b} AS b").select(derived.cve_of_bucket(F.col("b"), entries=False).alias("c")).first()["c"]
+    for b in (0, 7, 99_999, 100_000, 1_234_567, -1, -12):
+        assert number(f"{b}L") == "CVE-2024-%05d" % b
