@@ -43,14 +43,15 @@ def edges_from_entries(kb_entry: DataFrame, scan_col: str = "scan_id") -> DataFr
 
 
 def _co_partitioned(df: DataFrame, n: int, keys: list[str]) -> tuple[DataFrame, int]:
-    """Hash-partition on ``keys`` into ``n`` parts, cache (memory, spilling to disk),
+    """Hash-partition on ``keys`` into ``n`` parts, sorted on them, cache (memory, spilling to disk),
     build the cache and return it with its row count.
 
-    A cached scan keeps its hash partitioning once built, so a later join on
-    ``keys`` reads it without a shuffle (a checkpointed frame does not keep it).
+    A cached scan keeps its hash partitioning and its order once built, so a later merge join on
+    ``keys`` reads it without a shuffle and without a sort (a checkpointed frame does not keep them):
+    a hop sorts its own rows only, not all edges again.
     ``df`` is always a reliable checkpoint, so lost blocks are recomputed from it.
     """
-    out = df.repartition(n, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.repartition(n, *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
     return out, out.count()
 
 

@@ -183,3 +183,21 @@ def test_scope_counts_builds_the_rows_once(spark):
     out = flatten.scope_counts(flatten.dedupe(flatten.flatten(entries)))
     assert tuple(out.first()) == (1, 2, 2, 4)
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cached_edges_keep_their_order(spark):
+    """A merge join on the keys of a cached side neither shuffles nor sorts that side."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        edges = spark.range(200).selectExpr("id % 3 AS graph", "concat('KB', id) AS kb_id", "concat('KB', id + 1) AS dst")
+        steps, n = closure._co_partitioned(edges, 4, ["graph", "kb_id"])
+        assert n == 200
+        joined = edges.select("graph", "kb_id").hint("merge").join(steps, ["graph", "kb_id"])
+        assert joined.count() == 200
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("(1) Final")[0]
+        assert plan.split("InMemoryTableScan")[0].count("Sort ") == 1, plan
+        steps.unpersist()
+    finally:
+        spark.conf.set(key, before)
