@@ -38,9 +38,10 @@ def fixed(c, decimals: int = 2) -> Column:
 
 
 def md_escape(c) -> Column:
-    """Markdown table cell: pipes escaped, newlines flattened."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), r"\|", r"\\|"),
-                            r"[\r\n]+", " ")
+    """Markdown table cell: pipes escaped, newlines flattened (only texts that have some go through the pattern)."""
+    text = F.replace(F.coalesce(_col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    broken = text.contains("\n") | text.contains("\r")
+    return F.when(broken, F.regexp_replace(text, r"[\r\n]+", " ")).otherwise(text)
 
 
 def plural(n, singular: str, plural_form: str | None = None) -> Column:

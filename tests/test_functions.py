@@ -150,3 +150,11 @@ def test_month_id_of_a_date_is_that_of_the_formatter(spark):
     dates = spark.sql("SELECT d FROM VALUES (DATE'1998-01-31'), (DATE'2024-12-01'), (DATE'0999-05-02'), (DATE'9999-07-01'), (NULL) AS t(d)")
     for got, expected in rows(dates.select(months.month_id_of_date("d").alias("a"), months.month_id("d").alias("b")), "a", "b"):
         assert got == expected
+
+
+def test_md_escape_uses_the_pattern_only_for_broken_lines(spark):
+    cases = {"a|b||": r"a\|b\|\|", "a\r\n\nb|": r"a b\|", "a\rb": "a b", "": "", None: "", r"a\1$": r"a\1$"}
+    for value, expected in cases.items():
+        assert one(spark, value, display.md_escape) == expected, value
+    plan = spark.range(1).select(display.md_escape(F.col("id")).alias("o"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1 and "CASE WHEN" in plan

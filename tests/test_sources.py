@@ -248,3 +248,19 @@ def test_entry_groups_gather_one_set(spark):
     number = lambda b: spark.sql(f"SELECT {b} AS b").select(derived.cve_of_bucket(F.col("b"), entries=False).alias("c")).first()["c"]
     for b in (0, 7, 99_999, 100_000, 1_234_567, -1, -12):
         assert number(f"{b}L") == "CVE-2024-%05d" % b
+
+
+def test_report_lines_are_put_together_once(spark, tmp_path):
+    from fleetrisk.plans import report
+
+    made = spark.sparkContext.accumulator(0)
+
+    def line(k):
+        made.add(1)
+        return f"line {k}"
+
+    lines = spark.range(50).select(F.lit("1").alias("scan_id"), F.lit(0).alias("section"), F.col("id").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
+                                   F.udf(line, "string")("id").alias("line"))
+    report.write_report(lines, str(tmp_path / "report"), 2)
+    assert spark.read.text(str(tmp_path / "report")).count() == 50
+    assert made.value == 50
