@@ -127,16 +127,17 @@ class Correlation(Mapping):
 
     def _status(self) -> DataFrame:
         key = [self.scan_col, "kb_id"]
-        return (self["entries"]
+        # the texts are made first: the joins move them, not the arrays of months, CVEs and superseded KBs
+        entries = self["entries"].select(*key, F.coalesce("update_type", F.lit("Mapped")).alias("type"), join_list("months").alias("months"),
+                                         F.coalesce(F.size("cves"), F.lit(0)).alias("cve_count"))
+        return (entries
                 .join(self["installed"].withColumn("_inst", F.lit(True)), key, "left")
                 .join(self["superseded_by"], key, "left")
                 .withColumn("status", F.when(F.col("_inst"), INSTALLED)
                             .when(F.size("replaced_by") > 0,
                                   F.concat(F.lit(SUPERSEDED + " by "), F.array_join("replaced_by", ", ")))
                             .otherwise(MISSING))
-                .select(self.scan_col, "kb_id", F.coalesce("update_type", F.lit("Mapped")).alias("type"), "status",
-                        join_list("months").alias("months"),
-                        F.coalesce(F.size("cves"), F.lit(0)).alias("cve_count")))
+                .select(self.scan_col, "kb_id", "type", "status", "months", "cve_count"))
 
 
 def correlate(kb_entry: DataFrame, installed: DataFrame, scan_col: str = "scan_id", **options) -> Correlation:

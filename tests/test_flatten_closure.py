@@ -201,3 +201,13 @@ def test_cached_edges_keep_their_order(spark):
         steps.unpersist()
     finally:
         spark.conf.set(key, before)
+
+
+def test_status_joins_move_no_arrays(spark):
+    from fleetrisk.operators import correlate
+    entries = spark.createDataFrame([(1, "KB1", ["2024-Jan"], ["CVE-2024-0001"], ["KB2"], None), (1, "KB2", None, None, None, "Standalone")],
+                                    "scan_id int, kb_id string, months array<string>, cves array<string>, supersedes array<string>, update_type string")
+    status = correlate.correlate(entries, spark.createDataFrame([(1, "KB1")], "scan_id int, kb_id string"))["status"]
+    assert sorted(map(tuple, status.collect())) == [(1, "KB1", "Mapped", "Installed", "2024-Jan", 1), (1, "KB2", "Standalone", "Superseded by KB1", "-", 0)]
+    plan = status._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("size(cves") > plan.index("Join"), plan
