@@ -21,7 +21,7 @@ MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "O
 def month_id_of_date(date) -> Column:
     """``month_id`` of a date, put together from year and month; other than four-digit years go through the formatter."""
     d = _col(date)
-    name = F.get(F.array(*[F.lit(n) for n in MONTH_NAMES]), F.month(d) - 1)
+    name = F.substring(F.lit("".join(MONTH_NAMES)), F.month(d) * 3 - 2, F.lit(3))
     return F.when(F.year(d).between(1000, 9999), F.concat(F.year(d).cast("string"), F.lit("-"), name)).otherwise(month_id(d))
 
 

@@ -54,7 +54,9 @@ def kb_rollup(scored: DataFrame, keys=("scan_id",), with_ml: bool = False) -> Da
         aggs += [F.max("ml_risk").alias("ml_risk"),
                  highest_priority("ml_priority").alias("ml_priority"),
                  F.coalesce(F.mode("cluster", True), F.lit(0)).alias("cluster")]
-    out = scored.groupBy(*keys, "kb_id").agg(*aggs)
+    # the rows are sorted by these keys: the KB first, few rows share it, while a scan has a large part of all
+    out = scored.groupBy("kb_id", *keys).agg(*aggs)
+    out = out.select(*keys, *[c for c in out.columns if c not in keys])
     return out.withColumns({
         "top_driver": F.coalesce(F.col("_top.top_driver"), F.lit(DEFAULT_DRIVER)),
         "review_reason": F.coalesce(F.col("_top.review_reason"), F.lit("")),
@@ -116,7 +118,8 @@ def top_per_group(df: DataFrame, group_cols, order_cols, k: int, rank_col: str =
 def cve_preview(scored: DataFrame, keys=("scan_id",), k: int = TOP_CVE_PREVIEW_LIMIT) -> DataFrame:
     """Top-k CVE rows per KB by policy risk (ties by cve_id, month) plus the hidden count."""
     keys = list(keys)
-    top = top_per_group(scored, keys + ["kb_id"],
+    scored = saved(scored)  # read twice below
+    top = top_per_group(scored, ["kb_id"] + keys,
                         [F.col("policy_risk").desc(), F.col("cve_id"), F.col("month")], k, "cve_rank")
     counts = scored.groupBy(*keys, "kb_id").agg(F.count(F.lit(1)).alias("cve_total"))
     return (top.join(counts, keys + ["kb_id"])

@@ -143,12 +143,11 @@ from fleetrisk.operators import correlate as co  # noqa: E402
 def fleet_correlation(spark: SparkSession, d: str) -> tuple[DataFrame, co.Correlation]:
     """KB entries and installed sets are read by the closure rounds, the status join
     and the flatten: both come from one (scan, part) aggregate over the three-way
-    link join (one pass), saved once instead of
+    link join (one pass), saved once with the columns of the part instead of
     recomputing the join for every use."""
-    groups = saved(dv.entry_groups(dv.link(spark, d)))
-    entries = saved(dv.kb_entries(spark, d, groups=groups))
-    installed = dv.installed(spark, d, groups=groups)
-    return entries, co.correlate(entries, installed)
+    both = saved(dv.described(spark, d, dv.text_groups(dv.link(spark, d))))
+    entries = both.select(*dv.ENTRY_COLUMNS)
+    return entries, co.correlate(entries, dv.installed(spark, d, groups=both))
 
 
 @query
@@ -304,9 +303,9 @@ def ranking_summary(spark, d):
 @query
 def cve_preview(spark, d):
     """Top 10 CVE rows per missing KB and the hidden count."""
-    out = rk.cve_preview(runtime_validated(spark, d), keys=("scan_id",))
-    return out.select("scan_id", "kb_id", "cve_rank", "cve_id", "month", "policy_risk", "policy_priority",
-                      "top_driver", "cve_total", "hidden_count")
+    shown = ["cve_id", "month", "policy_risk", "policy_priority", "top_driver"]
+    out = rk.cve_preview(runtime_validated(spark, d).select("scan_id", "kb_id", *shown), keys=("scan_id",))
+    return out.select("scan_id", "kb_id", "cve_rank", *shown, "cve_total", "hidden_count")
 
 
 # ---------------------------------------------------------------- hosts, months, candidates, text
@@ -673,7 +672,7 @@ def scanner_run(spark: SparkSession, d: str) -> tuple[co.Correlation, DataFrame,
     Returns the correlation, the entries of each request, and (scan_id, reason) of every host:
     why it has no entries, or null.
     """
-    lnk = dv.link(spark, d)
+    lnk = dv.saved_link(spark, d)  # read five times below
     b = dv.baselines(spark, d, lnk).checkpoint(eager=True)
     inventory = bl.inventory(dv.hotfixes(spark, d, lnk), dv.packages(spark, d, lnk), b)
     hints = _product_hints(spark, d, lnk, b).checkpoint(eager=True)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetrisk.functions.ids import update_type
 from fleetrisk.functions.months import month_id, month_id_of_date
+from fleetrisk.operators.joins import saved
 from fleetrisk.sources.tables import read_table
 
 # fixed values: derivation constants (FIXTURES.md section 3)
@@ -74,25 +75,35 @@ def link(spark: SparkSession, folder: str) -> DataFrame:
     # orders meet customers first, so line items, the largest table, are shuffled once
     placed = orders.join(cust, orders.o_custkey == cust.c_custkey)
     j = li.join(placed, li.l_orderkey == placed.o_orderkey)
-    return j.select(
+    return _with_ids(j.select(
         F.col("c_nationkey").alias("scan_id"),
         F.col("l_partkey").alias("partkey"),
         bucket_of(F.col("o_orderkey")).alias("bucket"),
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month_start"),
-        kb_of(F.col("l_partkey")).alias("kb_id"),
-        cve_of(F.col("o_orderkey")).alias("cve_id"),
-        month_id("l_shipdate").alias("month"),
         "l_returnflag", "l_linestatus", "l_shipdate",
-    )
+    ))
+
+
+def _with_ids(numbers: DataFrame) -> DataFrame:
+    return numbers.select("scan_id", "partkey", "bucket", "month_start", kb_of(F.col("partkey")).alias("kb_id"),
+                          cve_of_bucket(F.col("bucket")).alias("cve_id"), month_id_of_date(F.col("month_start")).alias("month"),
+                          "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def saved_link(spark: SparkSession, folder: str) -> DataFrame:
+    """``link`` for several readers: its numbers are saved once, so they don't each join the tables again."""
+    return _with_ids(saved(link(spark, folder).drop("kb_id", "cve_id", "month")))
 
 
 def supersedes_of(partkey, size) -> Column:
     """Edge part -> part-(1+size%5) for parts not divisible by 3 with a non-negative target,
     and a cycle between the parts of remainder 1 and 2 modulo CYCLE."""
     target = partkey - (F.lit(1) + size % 5)
-    back = F.when(partkey % CYCLE == 1, partkey + 1).when(partkey % CYCLE == 2, partkey - 1)
-    return F.array_distinct(F.array_compact(F.array(
-        F.when((partkey % 3 != 0) & (target >= 0), kb_of(target)), F.when(back.isNotNull(), kb_of(back)))))
+    forward = F.when((partkey % 3 != 0) & (target >= 0), kb_of(target))
+    back = kb_of(F.when(partkey % CYCLE == 1, partkey + 1).when(partkey % CYCLE == 2, partkey - 1))
+    # by cases: dropping nulls from an array is interpreted
+    return (F.when(forward.isNull() & back.isNull(), F.array().cast("array<string>")).when(back.isNull() | (forward == back), F.array(forward))
+            .when(forward.isNull(), F.array(back)).otherwise(F.array(forward, back)))
 
 
 def installed_line() -> Column:
@@ -102,8 +113,7 @@ def installed_line() -> Column:
 
 def entry_groups(lnk: DataFrame) -> DataFrame:
     """One row per (scan_id, partkey): the CVE buckets, month starts and whether any
-    line item marks the KB installed. Both kb_entries and installed derive from it,
-    so the link join is read once for both.
+    line item marks the KB installed, in numbers (``text_groups``: in texts).
 
     Buckets and months are gathered as one set of pairs: most of the time of this aggregate goes into
     the sets of its groups, which it keeps as objects and writes out one by one."""
@@ -113,22 +123,44 @@ def entry_groups(lnk: DataFrame) -> DataFrame:
                         F.array_compact(F.array_distinct("_pairs.month_start")).alias("_months"), "_installed")
 
 
+def text_groups(lnk: DataFrame) -> DataFrame:
+    """One row per (scan_id, partkey): sorted CVE ids and months as an entry has them, and ``_installed``.
+    Both kb_entries and installed derive from it, so the link join is read once for both.
+
+    Ids are formatted line item by line item, in generated code: a function over the elements of a gathered
+    array is interpreted. Line items are dealt out by part as narrow rows, so they are grouped and meet
+    their part where they are, and no gathered arrays are shuffled. The part leads the grouping keys: the
+    aggregate sorts by them, and only the first one is compared as a number."""
+    rows = lnk.select("scan_id", "partkey", cve_of_bucket(F.col("bucket")).alias("cve_id"),
+                      month_id_of_date(F.col("month_start")).alias("month"), installed_line().alias("_installed"))
+    return rows.repartition("partkey").groupBy("partkey", "scan_id").agg(
+        F.sort_array(F.collect_set("cve_id")).alias("cves"), F.sort_array(F.collect_set("month")).alias("months"),
+        F.max("_installed").alias("_installed"))
+
+
 def kb_entries(spark: SparkSession, folder: str, lnk: DataFrame | None = None,
                groups: DataFrame | None = None) -> DataFrame:
     """kb_entry(scan_id, kb_id, months, cves, supersedes, update_type): the expected KBs per host."""
     if groups is None:
-        groups = entry_groups(lnk if lnk is not None else link(spark, folder))
-    grouped = groups.select(
-        "scan_id", "partkey",
-        F.sort_array(F.transform("_buckets", lambda b: cve_of_bucket(b))).alias("cves"),
-        F.sort_array(F.transform("_months", lambda m: month_id_of_date(m))).alias("months"))
+        groups = text_groups(lnk if lnk is not None else link(spark, folder))
+    return described(spark, folder, groups).select(*ENTRY_COLUMNS)
+
+
+ENTRY_COLUMNS = ("scan_id", "kb_id", "months", "cves", "supersedes", "update_type")
+
+
+def described(spark: SparkSession, folder: str, groups: DataFrame) -> DataFrame:
+    """Entry groups with the entry columns of their part, beside ``partkey`` and ``_installed``."""
+    if "cves" not in groups.columns:
+        groups = groups.select("scan_id", "partkey", F.sort_array(F.transform("_buckets", lambda b: cve_of_bucket(b))).alias("cves"),
+                               F.sort_array(F.transform("_months", lambda m: month_id_of_date(m))).alias("months"), "_installed")
     part = read_table(spark, folder, "part").select("p_partkey", "p_size")
-    j = grouped.join(part, grouped.partkey == part.p_partkey)
+    j = groups.join(part, groups.partkey == part.p_partkey)
     sup = supersedes_of(F.col("p_partkey"), F.col("p_size"))
     return j.select(
         "scan_id", F.when(_is(F.col("partkey"), BLANK_KB), F.lit("  ")).otherwise(kb_of(F.col("partkey"))).alias("kb_id"),
         "months", "cves", sup.alias("supersedes"),
-        F.when(~_is(F.col("partkey"), MAPPED_KB), update_type(sup)).alias("update_type"))
+        F.when(~_is(F.col("partkey"), MAPPED_KB), update_type(sup)).alias("update_type"), "partkey", "_installed")
 
 
 def installed(spark: SparkSession, folder: str, lnk: DataFrame | None = None,

@@ -204,3 +204,38 @@ def test_result_rows_come_in_bounded_batches(spark, monkeypatch):
 
     text.result_rows(Frame())
     assert sum(held) == 20_000 and max(held) < text.ROWS_HELD + 41
+
+
+def test_preview_reads_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def risk(k):
+        made.add(1)
+        return float(k)
+
+    rows = spark.range(12).select(F.lit(1).alias("scan_id"), F.lit("KB1").alias("kb_id"), F.col("id").cast("string").alias("cve_id"), F.lit("m").alias("month"),
+                                  F.udf(risk, "double")("id").alias("policy_risk"))
+    out = rank.cve_preview(rows).collect()
+    assert sorted(r.cve_id for r in out) == sorted(str(k) for k in range(2, 12)) and {r.hidden_count for r in out} == {2}
+    assert made.value == 12
+
+
+def test_rollup_sorts_by_kb_first(spark):
+    df = spark.createDataFrame([("s", "KB1", "CVE-2024-0001", "m", 1.0, "Low", "d", ["d"]), ("t", "KB1", "CVE-2024-0001", "m", 2.0, "Low", "d", ["d"])], SCORED)
+    out = rank.kb_rollup(df)
+    assert out.columns[:3] == ["scan_id", "kb_id", "policy_risk"] and sorted((r.scan_id, r.policy_risk) for r in out.collect()) == [("s", 1.0), ("t", 2.0)]
+    assert "Sort [kb_id" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dimension_beyond_the_bound_is_hashed_by_partition(spark):
+    from fleetrisk.operators import joins
+
+    fact = spark.range(50).selectExpr("id % 7 AS k", "id")
+    dim = spark.range(5).selectExpr("id AS k", "id * 2 AS v")
+    size = joins.measured_bytes(dim)
+    plan = lambda side: fact.join(side, "k", "left")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan(joins.sized(dim, size))
+    assert "ShuffledHashJoin" in plan(joins.sized(dim, size - 1))
+    assert "ShuffledHashJoin" not in plan(joins.sized(dim, 1))
+    assert sorted(map(tuple, fact.join(joins.sized(dim, size - 1), "k", "left").collect()), key=str) == sorted(
+        ((i % 7, i, 2 * (i % 7) if i % 7 < 5 else None) for i in range(50)), key=str)

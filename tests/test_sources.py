@@ -264,3 +264,56 @@ def test_report_lines_are_put_together_once(spark, tmp_path):
     report.write_report(lines, str(tmp_path / "report"), 2)
     assert spark.read.text(str(tmp_path / "report")).count() == 50
     assert made.value == 50
+
+
+def test_text_groups_are_dealt_by_part_once(spark):
+    from fleetrisk.sources import derived
+
+    lnk = spark.sql("""SELECT * FROM VALUES (1, 7L, 100L, DATE'1994-01-01', 'N', 'F'), (1, 7L, 100L, DATE'1994-01-01', 'R', 'F'),
+        (1, 7L, 3L, DATE'1994-03-01', 'R', 'F'), (2, 7L, 5L, NULL, 'R', 'F'), (NULL, 8L, 5L, DATE'1994-01-01', NULL, 'F')
+        AS t(scan_id, partkey, bucket, month_start, l_returnflag, l_linestatus)""")
+    groups = derived.text_groups(lnk)
+    found = {r["scan_id"]: (r["cves"], r["months"], r["_installed"]) for r in groups.collect()}
+    assert found == {1: (["CVE-2024-00003", "CVE-2024-00100"], ["1994-Jan", "1994-Mar"], True), 2: (["CVE-2024-00005"], [], False),
+                     None: (["CVE-2024-00005"], ["1994-Jan"], None)}
+    plan = groups._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "lambdafunction" not in plan, plan
+
+
+def test_superseded_ids_by_cases(spark):
+    from fleetrisk.sources import derived
+
+    rows = spark.sql("SELECT * FROM VALUES (1L, 0), (2L, 0), (3L, 0), (4L, 9), (61L, 0), (62L, 1), (182L, 0), (NULL, 1), (5L, NULL) AS t(p, size)")
+    sup = derived.supersedes_of(F.col("p"), F.col("size"))
+    found = {(r["p"], r["size"]): r["s"] for r in rows.select("p", "size", sup.alias("s")).collect()}
+    kb = lambda *parts: [f"KB{5_000_000 + p}" for p in parts]
+    assert found == {(1, 0): kb(0, 2), (2, 0): kb(1), (3, 0): [], (4, 9): [], (61, 0): kb(60, 62), (62, 1): kb(60, 61), (182, 0): kb(181),
+                     (None, 1): [], (5, None): []}
+
+
+def test_link_is_saved_for_several_readers(spark, tmp_path):
+    from fleetrisk.sources import derived
+
+    spark.sql("SELECT 8L AS l_orderkey, 3L AS l_partkey, TIMESTAMP'1994-02-03 04:05:06' AS l_shipdate, 'N' AS l_returnflag, 'F' AS l_linestatus").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT 8L AS o_orderkey, 1L AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS c_custkey, 9 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    plain, once = derived.link(spark, str(tmp_path)), derived.saved_link(spark, str(tmp_path))
+    assert once.columns == plain.columns and once.collect() == plain.collect()
+    assert (once.first()["kb_id"], once.first()["cve_id"], once.first()["month"]) == ("KB5000003", "CVE-2024-00001", "1994-Feb")
+    assert "Join" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entries_are_ranked_as_text(spark, monkeypatch):
+    entries = spark.createDataFrame([(1, "KB1", ["2031-Jan"], ["CVE-2031-0001"], [], None), (1, "KB2", [], [], ["KB1"], 'a "b"')],
+                                    "scan_id int, kb_id string, months array<string>, cves array<string>, supersedes array<string>, update_type string")
+    none = spark.createDataFrame([], "scan_id int, kb_id string")
+    asked = spark.createDataFrame([(1, 1, "2031-Jan")], "scan_id int, pos int, month_id string")
+    base = spark.createDataFrame([(1, "h", "x")], "scan_id int, host string, OsName string")
+    seen, rank_within = [], scans.rank_within
+    monkeypatch.setattr(scans, "rank_within", lambda rows, *rest: seen.append(rows.schema["entry"].dataType.simpleString()) or rank_within(rows, *rest))
+    doc = json.loads(scans.scan_documents(entries, none, none, base, asked, F.lit("2031-06-01").cast("timestamp")).first()["document"])
+    assert seen == ["string"]
+    assert doc == {"Baseline": {"OsName": "x"}, "InstalledKbs": [], "MonthsRequested": ["2031-Jan"], "MonthsWithEntries": ["2031-Jan"], "MissingKbs": [],
+                   "KbEntries": [{"KB": "KB1", "Months": ["2031-Jan"], "Cves": ["CVE-2031-0001"], "Supersedes": []},
+                                 {"KB": "KB2", "Months": [], "Cves": [], "Supersedes": ["KB1"], "UpdateType": 'a "b"'}]}
