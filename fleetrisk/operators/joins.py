@@ -30,10 +30,14 @@ def sized(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``dim`` materialised, and marked for broadcast if its measured bytes stay within the bound.
 
     It is saved to the reliable checkpoint folder once, so measuring it doesn't
-    compute it twice. Beyond the bound AQE plans the join, with its skew handling.
+    compute it twice. Beyond the bound both sides are shuffled; while a shuffle partition of ``dim`` stays within the
+    bound on average, it is hashed there, so the large side is not sorted. Else Spark sorts and merges, with spilling.
     """
     dim = dim.checkpoint(eager=True)
-    return F.broadcast(dim) if measured_bytes(dim) <= max_bytes else dim
+    size, parts = measured_bytes(dim), int(dim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size <= max_bytes:
+        return F.broadcast(dim)
+    return dim.hint("shuffle_hash") if size <= max_bytes * parts else dim
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left", measured: bool = False) -> DataFrame:
