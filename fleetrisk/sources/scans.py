@@ -103,14 +103,15 @@ def scan_documents(entries: DataFrame, installed_kbs: DataFrame, missing: DataFr
     none, text = F.lit(None), "string"
     entry = F.struct(F.col("kb_id").alias("KB"), F.col("months").alias("Months"), F.col("cves").alias("Cves"),
                      F.col("supersedes").alias("Supersedes"), F.col("update_type").alias("UpdateType"))
-    blank = none.cast(entries.select(entry.alias("e")).schema["e"].dataType)
 
-    def section(rows: DataFrame, number: int, key: Column, item: Column = blank) -> DataFrame:
+    def section(rows: DataFrame, number: int, key: Column, item: Column = none.cast(text)) -> DataFrame:
         return rows.select("scan_id", F.lit(number).alias("section"), key.cast(text).alias("key"), item.alias("entry"))
 
     months = entries.select("scan_id", F.explode("months").alias("month")).distinct()
-    tie = F.sha1(F.to_json(entry))  # entries of one KB in a fixed order
-    rows = (section(entries.withColumn("kb_id", normalise_id("kb_id")), 0, F.concat_ws("/", "kb_id", tie), entry)
+    # an entry is ranked and gathered as its JSON text, a fraction of the bytes of its arrays, which the document holds as it is
+    written = F.to_json(entry)
+    tie = F.sha1(written)  # entries of one KB in a fixed order
+    rows = (section(entries.withColumn("kb_id", normalise_id("kb_id")), 0, F.concat_ws("/", "kb_id", tie), written)
             .unionByName(section(installed_kbs.select("scan_id", "kb_id").distinct(), 1, F.col("kb_id")))
             .unionByName(section(missing.select("scan_id", "kb_id").distinct(), 2, F.col("kb_id")))
             .unionByName(section(months_requested, 3, F.concat_ws("/", F.format_string("%06d", F.col("pos").cast("long")), F.col("month_id"))))
@@ -125,10 +126,11 @@ def scan_documents(entries: DataFrame, installed_kbs: DataFrame, missing: DataFr
     facts = baseline.select("scan_id", F.struct(*[c for c in baseline.columns if c not in ("scan_id", "host")]).alias("Baseline"))
     doc = groups.join(counts, "scan_id").join(facts, "scan_id", "left")
     keys = lambda k: F.transform(f"_{k}", lambda x: x["key"])
-    body = F.to_json(F.struct(
+    others = F.to_json(F.struct(
         F.when(F.col("part") == 0, F.col("Baseline")).alias("Baseline"), keys(1).alias("InstalledKbs"),
         F.transform("_3", lambda x: F.substring_index(x["key"], "/", -1)).alias("MonthsRequested"),
-        keys(4).alias("MonthsWithEntries"), F.transform("_0", lambda x: x["entry"]).alias("KbEntries"), keys(2).alias("MissingKbs")))
+        keys(4).alias("MonthsWithEntries"), keys(2).alias("MissingKbs")))  # never an empty object: it has the lists
+    body = F.concat(F.lit('{"KbEntries":['), F.array_join("_0.entry", ","), F.lit("],"), F.substring(others, F.lit(2), F.length(others)))
     stem = F.concat(F.lit("scan_"), F.date_format(scan_ts, "yyyyMMdd_HHmmss"))
     suffix = F.when(F.col("parts") > 1, F.format_string(".%06d-of-%06d", F.col("part") + 1, F.col("parts"))).otherwise("")
     return doc.select(F.col("scan_id").cast(text).alias("host"), F.concat(stem, suffix, F.lit(".json")).alias("file_name"), body.alias("document"))
