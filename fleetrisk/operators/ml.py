@@ -368,7 +368,7 @@ def kmeans_runs(feats: DataFrame, starts: list[tuple[int, int]], max_iter: int =
     centres = [starting_centres(x, w, k, seed) for k, seed in starts]
     moving = set(range(len(starts)))
 
-    def passed(runs: list[int]) -> dict[int, list]:
+    def passed(runs: list[int], costs: bool = False) -> dict[int, list]:
         now = {r: centres[r] for r in runs}
 
         def run(batches):
@@ -385,7 +385,8 @@ def kmeans_runs(feats: DataFrame, starts: list[tuple[int, int]], max_iter: int =
                     held[np.arange(len(x)), best] = w
                     total[r][0] += held.sum(0)
                     total[r][1] += held.T @ x
-                    total[r][2] += np.bincount(best, w * ((x - c[best]) ** 2).sum(1), len(c))
+                    if costs:  # of no use to an iteration, and the most of its time
+                        total[r][2] += np.bincount(best, w * ((x - c[best]) ** 2).sum(1), len(c))
             rows = [(r, k, n[k], cost[k], sums[k].tolist()) for r, (n, sums, cost) in total.items() for k in range(len(n))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())])],
                                              names=["run", "k", "n", "cost", "sums"])
@@ -410,7 +411,7 @@ def kmeans_runs(feats: DataFrame, starts: list[tuple[int, int]], max_iter: int =
             if ((new - centres[r]) ** 2).sum(1).max() <= tolerance ** 2:
                 moving.discard(r)
             centres[r] = new
-    costs = passed(list(range(len(starts))))
+    costs = passed(list(range(len(starts))), costs=True)
     return [(sum(row["cost"] for row in costs[r]), centres[r]) for r in range(len(starts))]
 
 
