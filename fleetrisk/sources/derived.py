@@ -142,7 +142,7 @@ def kb_entries(spark: SparkSession, folder: str, lnk: DataFrame | None = None,
                groups: DataFrame | None = None) -> DataFrame:
     """kb_entry(scan_id, kb_id, months, cves, supersedes, update_type): the expected KBs per host."""
     if groups is None:
-        groups = text_groups(lnk if lnk is not None else link(spark, folder))
+        groups = entry_groups(lnk if lnk is not None else link(spark, folder))  # model inputs are summed in the order of these rows
     return described(spark, folder, groups).select(*ENTRY_COLUMNS)
 
 
