@@ -24,10 +24,11 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.cvss import exploited
+from fleetrisk.operators import forest
 from fleetrisk.operators.joins import join_dimension, saved
 from fleetrisk.operators.rank import rank_within
 from fleetrisk.schemas import CVSS_METRICS
@@ -208,15 +209,15 @@ class ForestWriter(DefaultParamsWriter):
 
 class ForestReader(DefaultParamsReader):
     def load(self, path: str) -> "Forest":
-        forest = super().load(path)
-        return forest._set(parts=[f"{path}/part-{k:05d}" for k in range(len(forest.getOrDefault("parts")))])
+        own = super().load(path)
+        return own._set(parts=[f"{path}/part-{k:05d}" for k in range(len(own.getOrDefault("parts")))])
 
 
 class Forest(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     """A forest in ``parts``, folders of forests of ``trees`` trees each; the prediction is the mean over all trees.
 
-    The driver and a task hold one part at a time: rows take each part's sum in a pass of their own,
-    and are saved between passes. So ``transform`` runs jobs.
+    The driver and a task hold as many parts as may be broadcast: rows take the sum of these in a pass of
+    their own, and are saved between passes. So ``transform`` runs jobs.
     """
 
     parts = Param(Params._dummy(), "parts", "folders of the parts")
@@ -229,18 +230,19 @@ class Forest(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, Def
             self._set(parts=list(parts), trees=[int(n) for n in trees])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out, columns, total = dataset.withColumn("_trees_sum", F.lit(0.0)), dataset.columns, sum(self.getOrDefault(self.trees))
-        for part, n in zip(self.getOrDefault(self.parts), self.getOrDefault(self.trees)):
-            model = RandomForestRegressionModel.load(part).setFeaturesCol(self.getFeaturesCol()).setPredictionCol("_part")
-            out = saved(model.transform(out).select(*columns, (F.col("_trees_sum") + n * F.col("_part")).alias("_trees_sum")))
+        spark, columns, total = dataset.sparkSession, dataset.columns, sum(self.getOrDefault(self.trees))
+        out, passes = dataset.withColumn("_trees_sum", F.lit(0.0)), forest.batches_of(spark, self.getOrDefault(self.parts))
+        for k, parts in enumerate(passes):
+            added = F.col("_trees_sum") + forest.sum_of_trees(spark, parts, self.getFeaturesCol())
+            out = out.select(*columns, added.alias("_trees_sum"))
+            if k + 1 < len(passes):
+                out = saved(out)
         return out.select(*columns, (F.col("_trees_sum") / total).alias(self.getPredictionCol()))
 
     @property
     def featureImportances(self) -> np.ndarray:
         """Mean over the trees of each tree's importances, which add up to 1."""
-        weighted = zip(self.getOrDefault(self.parts), self.getOrDefault(self.trees))
-        total = sum(n * RandomForestRegressionModel.load(part).featureImportances.toArray() for part, n in weighted)
-        return total / (total.sum() or 1.0)
+        return forest.importances(SparkSession.active(), self.getOrDefault(self.parts))
 
     def write(self) -> ForestWriter:
         return ForestWriter(self)
@@ -256,8 +258,9 @@ def fit_regression(train: DataFrame, label: str = "risk_score", trees: int = FOR
     bootstrap comes to that of the rows, for as many times the rows to fit on.
 
     Spark's trainer keeps all trees in the driver, and trees grow with the profiles. If they may have more than
-    ``nodes`` nodes in all, the trees are grown in parts, each with a seed of its own, of as many as the nodes
-    of the trees before allow, and kept in the shared folder (``Forest``). Trees, depth and draws are the same.
+    ``nodes`` nodes in all, the trees are grown one by one in tasks (``operators.forest``) and kept in the shared folder
+    in parts of about so many nodes (``Forest``). Trees, depth and draws are the same. If the binned profiles are too large to be
+    broadcast, Spark's trainer grows the parts, each with a seed of its own, of as many trees as the nodes of the trees before allow.
     """
     rows = compact(train, label)
     stages = preprocessing(rows, scale=False)
@@ -272,7 +275,13 @@ def fit_regression(train: DataFrame, label: str = "risk_score", trees: int = FOR
     if per_tree * trees <= nodes:
         return Pipeline(stages=stages + [grower(trees, SEED)]).fit(drawn)
     prepared = Pipeline(stages=stages).fit(drawn)
-    feats = saved(prepared.transform(drawn).select("features", label, "row_weight"))
+    feats = prepared.transform(drawn).select("features", label, "row_weight")
+    groups, bounds = forest.binned(feats, label)
+    arrays = forest.grouped(groups, len(bounds))
+    if arrays is not None:
+        columns = {"featuresCol": "features", "labelCol": label, "predictionCol": "ml_risk", "weightCol": "row_weight"}
+        return PipelineModel(stages=prepared.stages + [Forest(*forest.grown(rows.sparkSession, arrays, bounds, trees, max_depth, SEED, nodes, columns))])
+    feats = saved(feats)
     folder, parts, sizes = shared_folder(rows.sparkSession, "forest"), [], []
     while sum(sizes) < trees:
         number = min(trees - sum(sizes), max(1, nodes // per_tree))

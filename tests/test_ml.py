@@ -213,3 +213,61 @@ def test_a_forest_in_parts_is_one_forest(spark, tmp_path):
     assert sorted(r.ml_risk for r in copy.transform(frame).collect()) == sorted(r.ml_risk for r in out.collect())
     small = ml.fit_regression(frame.limit(20), trees=3)
     assert isinstance(small.stages[-1], ml.RandomForestRegressionModel)
+
+
+def _many_profiles(spark, rows: int = 300, seed: int = 5):
+    rnd = random.Random(seed)
+    data = [(rnd.choice(["Low", "High", None]), *[rnd.choice("NLA") for _ in ml.CVSS_METRICS], float(rnd.randint(0, 100)) / 10, float(rnd.randint(0, 900)),
+             float(rnd.randint(0, 1)), rnd.uniform(0, 16), float(rnd.randint(1, 9))) for _ in range(rows)]
+    schema = ", ".join(f"{c} string" for c in ml.CATEGORICAL) + ", " + ", ".join(f"{c} double" for c in ml.NUMERIC) + ", risk_score double, row_weight double"
+    return spark.createDataFrame(data, schema)
+
+
+def test_a_tree_grown_by_a_task_is_that_of_sparks_trainer(spark):
+    """Same bins, splits and means as Spark's tree on the same rows, whole and of bounded depth."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    frame = _many_profiles(spark)
+    frame = frame.unionByName(frame.limit(40))  # rows may come twice
+    feats = Pipeline(stages=ml.preprocessing(frame, scale=False)).fit(frame).transform(frame).cache()
+    groups, bounds = ml.forest.binned(feats.repartition(3), "risk_score")
+    *arrays, n = ml.forest.grouped(groups, len(bounds))
+    assert n.sum() == 340 and len(n) == 300 and max(len(b) for b in bounds if b is not None) == ml.forest.BINS - 1
+    x = [r.features.toArray() for r in feats.select("features").collect()]
+    for depth in (0, 1, 3, 30):
+        tree = ml.forest.grow(*arrays, n, [0 if b is None else len(b) + 1 for b in bounds], depth)
+        nodes = spark.createDataFrame(ml.forest.node_rows(tree, 0, 0, bounds).to_pandas())
+        path = f"{ml.shared_folder(spark, 'tree')}/data"
+        nodes.select("treeID", F.from_json(F.to_json("nodeData"), ml.forest.NODES.split("nodeData ", 1)[1]).alias("nodeData")).write.parquet(path)
+        got = ml.forest.predicted(ml.np.array(x), ml.forest.loaded(spark, [path.removesuffix("/data")]))
+        model = DecisionTreeRegressor(labelCol="risk_score", weightCol="row_weight", maxDepth=depth).fit(feats)
+        want = [r.prediction for r in model.transform(feats).select("prediction").collect()]
+        assert len(tree["feature"]) == model.numNodes and max(abs(got - want)) < 1e-9, depth
+
+
+def test_large_forests_are_not_grown_on_the_driver(spark, monkeypatch):
+    """Beyond the bound of nodes tasks grow all trees, the same ones however the rows lie; beyond the bound of broadcasts Spark's trainer does, in parts."""
+    from fleetrisk.operators import joins
+
+    frame = _many_profiles(spark)
+    fits = ml.RandomForestRegressor
+
+    def refused(*_, **__):
+        raise AssertionError("Spark's trainer was asked")
+
+    monkeypatch.setattr(ml, "RandomForestRegressor", refused)
+    out = []
+    for rows in (frame, frame.repartition(7).orderBy("patch_age_days")):
+        model = ml.fit_regression(rows, trees=12, nodes=1500)
+        assert sum(model.stages[-1].getOrDefault("trees")) == 12
+        out.append([r.ml_risk for r in model.transform(frame).orderBy("cvss_score", "patch_age_days", "risk_score").collect()])
+    assert out[0] == out[1]
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(ml, "RandomForestRegressor", fits)
+    model = ml.fit_regression(frame, trees=4, nodes=500)
+    parts = [ml.RandomForestRegressionModel.load(p) for p in model.stages[-1].getOrDefault("parts")]
+    assert len(parts) > 1 and sum(p.getNumTrees for p in parts) == 4
+    want = ml.np.mean([p.transform(ml.PipelineModel(stages=model.stages[:-1]).transform(frame)).orderBy("cvss_score", "patch_age_days", "risk_score").toPandas()["ml_risk"]
+                       * p.getNumTrees for p in parts], axis=0) * len(parts) / 4
+    got = [r.ml_risk for r in model.transform(frame).orderBy("cvss_score", "patch_age_days", "risk_score").collect()]  # several passes
+    assert max(abs(want - got)) < 1e-9
