@@ -15,8 +15,8 @@ limit on a cycle, so it is a driver loop of DataFrame jobs. One job makes HOPS h
 before the next and kept (a hop is read by the next one and by the union, and would be run again for each),
 then drops what was reached before. Edges are broadcast if their measured bytes stay
 within the bound; beyond it they and the reached rows are cached, hash-partitioned on their join
-keys, so a job shuffles new rows only. Every job's result is checkpointed to the reliable checkpoint
-folder: a lost executor recomputes one job at most. The driver sees one row count per job.
+keys, so a job shuffles new rows only. Every job's result is saved as Parquet to the shared
+folder (a checkpoint would run the job twice and hold several times the bytes): a lost executor recomputes one job at most. The driver sees one row count per job.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def _co_partitioned(df: DataFrame, n: int, keys: list[str]) -> tuple[DataFrame,
     A cached scan keeps its hash partitioning and its order once built, so a later merge join on
     ``keys`` reads it without a shuffle and without a sort (a checkpointed frame does not keep them):
     a hop sorts its own rows only, not all edges again.
-    ``df`` is always a reliable checkpoint, so lost blocks are recomputed from it.
+    ``df`` is always saved to the shared folder, so lost blocks are recomputed from it.
     """
     out = df.repartition(n, *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
     return out, out.count()
@@ -70,7 +70,7 @@ def spread(frontier: DataFrame, edges: DataFrame, carry: list[str], hops: int =
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = ["graph", *carry, "kb_id"]
-    steps = edges.select("graph", F.col("src").alias("kb_id"), "dst").checkpoint(eager=True)
+    steps = joins.saved(edges.select("graph", F.col("src").alias("kb_id"), "dst"))
     bound = joins.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     small = joins.measured_bytes(steps) <= bound
     steps = F.broadcast(steps) if small else _co_partitioned(steps, n, ["graph", "kb_id"])[0]
@@ -88,7 +88,7 @@ def spread(frontier: DataFrame, edges: DataFrame, carry: list[str], hops: int =
             new = reduce(DataFrame.unionByName, reached).groupBy(*row).agg(F.min("hop").alias("hop"))
             for block in blocks:
                 new = new.join(block, row, "left_anti")
-            new = new.checkpoint(eager=True)
+            new = joins.saved(new)
             for frame in kept:
                 frame.unpersist()
             last = new.where(F.col("hop") == hops).select(*row)  # all others were expanded in this job
@@ -97,7 +97,7 @@ def spread(frontier: DataFrame, edges: DataFrame, carry: list[str], hops: int =
                 return reduce(DataFrame.unionByName, found)
             blocks.append(_co_partitioned(found[-1], n, row)[0])
             cached.append(blocks[-1])
-            if len(blocks) >= merge_every:  # one block from the jobs' checkpoints
+            if len(blocks) >= merge_every:  # one block from the jobs' saved rows
                 for block in blocks:
                     block.unpersist()
                 blocks = [_co_partitioned(reduce(DataFrame.unionByName, found), n, row)[0]]
@@ -121,40 +121,40 @@ class Reachability:
 
     @cached_property
     def _scan_edges(self) -> DataFrame:
-        return self._edges.distinct().checkpoint(eager=True)
+        return joins.saved(self._edges.distinct())
 
     @cached_property
     def graph_of(self) -> DataFrame:
         """(scan, graph): equal edge sets have equal graphs, named by their first scan; scans without edges have none."""
-        marks = self._scan_edges.groupBy(self.scan_col).agg(fingerprint("src", "dst").alias("_print")).checkpoint(eager=True)
+        marks = joins.saved(self._scan_edges.groupBy(self.scan_col).agg(fingerprint("src", "dst").alias("_print")))
         first = marks.groupBy("_print").agg(F.min(self.scan_col).alias("graph"))
-        return marks.join(first, "_print").select(self.scan_col, "graph").checkpoint(eager=True)
+        return joins.saved(marks.join(first, "_print").select(self.scan_col, "graph"))
 
     @cached_property
     def edges(self) -> DataFrame:
         """(graph, src, dst): each distinct edge set once, taken from its first scan."""
         first = self.graph_of.select(F.col("graph").alias(self.scan_col), "graph").distinct()
-        return self._scan_edges.join(first, self.scan_col).select("graph", "src", "dst").checkpoint(eager=True)
+        return joins.saved(self._scan_edges.join(first, self.scan_col).select("graph", "src", "dst"))
 
     @cached_property
     def _roots(self) -> DataFrame:
         """(scan, graph, kb_id): installed KBs that replace something in their scan."""
         sources = self._scan_edges.select(self.scan_col, F.col("src").alias("kb_id")).distinct()
         own = self.installed.select(self.scan_col, "kb_id").distinct().join(sources, [self.scan_col, "kb_id"], "left_semi")
-        return own.join(self.graph_of, self.scan_col).checkpoint(eager=True)
+        return joins.saved(own.join(self.graph_of, self.scan_col))
 
     @cached_property
     def profile_of(self) -> DataFrame:
         """(scan, graph, profile): scans of one profile, named by its first, have the same graph and the same roots."""
-        marks = self._roots.groupBy(self.scan_col, "graph").agg(fingerprint("kb_id").alias("_print")).checkpoint(eager=True)
+        marks = joins.saved(self._roots.groupBy(self.scan_col, "graph").agg(fingerprint("kb_id").alias("_print")))
         first = marks.groupBy("graph", "_print").agg(F.min(self.scan_col).alias("profile"))
-        return marks.join(first, ["graph", "_print"]).select(self.scan_col, "graph", "profile").checkpoint(eager=True)
+        return joins.saved(marks.join(first, ["graph", "_print"]).select(self.scan_col, "graph", "profile"))
 
     @cached_property
     def profile_roots(self) -> DataFrame:
         """(graph, profile, kb_id): the roots of each profile once, from its first scan."""
         first = self.profile_of.select(F.col("profile").alias(self.scan_col), "profile").distinct()
-        return self._roots.join(first, self.scan_col).select("graph", "profile", "kb_id").checkpoint(eager=True)
+        return joins.saved(self._roots.join(first, self.scan_col).select("graph", "profile", "kb_id"))
 
     @cached_property
     def _present(self) -> DataFrame:

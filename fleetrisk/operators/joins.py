@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetrisk.session import shared_folder
@@ -16,11 +19,42 @@ def saved(df: DataFrame) -> DataFrame:
 
     For large frames: Parquet is a fraction of a checkpoint's bytes, and readers open the columns that they need.
     """
-    path = f"{shared_folder(df.sparkSession, 'saved')}/rows.parquet"
-    df.write.parquet(path)
+    folder = shared_folder(df.sparkSession, "saved")
+    if _steps:
+        _steps[-1].append(folder)
+    path = f"{folder}/rows.parquet"
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: folders of ``saved`` in each ``saved_until_done`` that is open, the innermost last
+_steps: list[list[str]] = []
+
+
+@contextmanager
+def saved_until_done(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside goes at the end: no frame that reads it may be used afterwards."""
+    made: list[str] = []
+    _steps.append(made)
+    try:
+        yield
+    finally:
+        _steps.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for folder in made:
+            path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
+
+
+def saved_alone(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``build`` returns, saved; what was saved to build it goes, so only one step's hand-overs are on disk."""
+    with saved_until_done(spark):
+        out = saved(build())
+        folder = _steps[-1].pop()
+    if _steps:  # of a step around this one
+        _steps[-1].append(folder)
+    return out
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes of the rows of ``df`` as text."""
     return df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))).first()[0] or 0

@@ -163,14 +163,35 @@ def ranking_summary(ranking: DataFrame, keys=("scan_id",)) -> DataFrame:
 
 #: CVE rows in one list of a nested ranking
 SEGMENT_ROWS = 20_000
+#: CVE rows of a KB that one task may number
+GROUP_ROWS = 100_000
+
+
+def small_groups(ranking: DataFrame, scored: DataFrame, keys=("scan_id",), most: int | None = None) -> bool:
+    """No KB has more than ``most`` CVE rows, as the ranking counts them, else the scored rows."""
+    if "cve_count" in ranking.columns:
+        largest = ranking.agg(F.max("cve_count"))
+    else:
+        largest = scored.groupBy(*keys, "kb_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
+    return (largest.first()[0] or 0) <= (GROUP_ROWS if most is None else most)
+
+
+def rank_cves(scored: DataFrame, rank_col: str, small: bool, keys=("scan_id",)) -> DataFrame:
+    """Place of each CVE row in its KB. ``small``, see ``small_groups``: a KB is numbered where its rows meet, so
+    they are shuffled once; else by ``rank_within``, which moves and saves all rows, but deals a large KB out."""
+    group, order = [*keys, "kb_id"], [F.col("policy_risk").desc(), F.col("cve_id"), F.col("month")]
+    if not small:
+        return rank_within(scored, group, order, rank_col)
+    return scored.withColumn(rank_col, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
 def nested_ranking(ranking: DataFrame, scored: DataFrame, keys=("scan_id",), segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Export shape: each ranked KB with its nested CVE list ordered by risk.
 
     A list holds at most ``segment_rows`` rows: a KB with more has several rows, numbered by
-    ``segment`` from 0. A distributed rank deals the CVE rows out, so no task
-    gathers a whole KB, and lists are gathered from runs of ranks.
+    ``segment`` from 0. If a KB has more rows than a task may number, a distributed rank deals the CVE rows out, so no task
+    gathers a whole KB, and lists are gathered from runs of ranks. Else KBs are numbered, gathered and joined to the
+    ranking after one shuffle of the rows.
     """
     keys = list(keys)
     has_ml = "ml_risk" in scored.columns
@@ -183,10 +204,14 @@ def nested_ranking(ranking: DataFrame, scored: DataFrame, keys=("scan_id",), seg
         F.col("top_driver"), join_list("policy_drivers", ", ", "").alias("drivers"))
     wanted = [*keys, "kb_id", "cve_id", "month", "policy_risk", "policy_priority", "top_driver", "policy_drivers",
               *(("ml_risk", "ml_priority", "cluster") if has_ml else ())]
-    ranked = rank_within(scored.select(*wanted), [*keys, "kb_id"], [F.col("policy_risk").desc(), F.col("cve_id"), F.col("month")], "_at")
+    small = small_groups(ranking, scored, keys)
+    ranked = rank_cves(scored.select(*wanted), "_at", small, keys)
     lists = (ranked.withColumn("segment", F.floor((F.col("_at") - 1) / segment_rows).cast("int"))
              .groupBy(*keys, "kb_id", "segment").agg(F.array_sort(F.collect_list(item)).alias("_cves")))
     lists = lists.withColumn("cves", F.transform("_cves", lambda x: x.dropFields("_at"))).drop("_cves")
+    if small:
+        others = [c for c in ranking.columns if c not in (*keys, "kb_id")]
+        return ranking.join(lists, keys + ["kb_id"], "left").select(*keys, "kb_id", F.coalesce("segment", F.lit(0)).alias("segment"), *others, "cves")
     # one row a segment on both sides, so a KB's lists meet in as many tasks as there are segments
     last = ranked.groupBy(*keys, "kb_id").agg(F.floor((F.max("_at") - 1) / segment_rows).cast("int").alias("_last"))
     slots = ranking.join(last, keys + ["kb_id"], "left").withColumn(

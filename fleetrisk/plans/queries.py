@@ -7,6 +7,7 @@ The domain tables are derived from the given tables by Spark jobs
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from fleetrisk.operators import enrich as en
 from fleetrisk.operators import flatten as fl
 from fleetrisk.operators import policy as po
 from fleetrisk.operators import rank as rk
-from fleetrisk.operators.joins import saved
+from fleetrisk.operators.joins import saved, saved_alone
+from fleetrisk.session import free_shuffles
 from fleetrisk.sources import derived as dv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +26,11 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    @wraps(fn)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        free_shuffles(spark)
+        return fn(spark, d)
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -250,6 +256,15 @@ def runtime_validated(spark: SparkSession, d: str) -> DataFrame:
     return po.validate(enriched_rows, keys=fl.RUNTIME_KEYS, assume_unique=True, ids_checked=True)
 
 
+#: columns of the scored rows that rankings and reports show
+SHOWN = ("scan_id", "kb_id", "cve_id", "month", "policy_risk", "policy_priority", "top_driver", "policy_drivers")
+
+
+def runtime_shown(spark: SparkSession, d: str) -> DataFrame:
+    """The scored rows with what rankings and reports show, saved: they are read more than once."""
+    return saved_alone(spark, lambda: runtime_validated(spark, d).select(*SHOWN))
+
+
 def runtime_ranking(spark: SparkSession, d: str) -> DataFrame:
     rolled = rk.kb_rollup(runtime_validated(spark, d), keys=("scan_id",))
     return rk.rank_kbs(rolled, keys=("scan_id",)).select(
@@ -278,8 +293,8 @@ def cve_counts(spark, d):
 @query
 def nested_ranking(spark, d):
     """R2: each ranked KB with its CVE list by risk, written as text for comparison."""
-    scored = runtime_validated(spark, d)
-    ranking = rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",))
+    scored = runtime_shown(spark, d)
+    ranking = saved_alone(spark, lambda: rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",)))
     nested = rk.nested_ranking(ranking, scored)
     cves = F.array_join(F.transform("cves", lambda x: F.concat_ws("|", x["cve_id"], F.format_string("%.2f", x["policy_risk"]),
                                                                   x["policy_priority"], x["drivers"])), "; ")
@@ -529,8 +544,8 @@ from fleetrisk.plans import report as rp  # noqa: E402
 @query
 def report_lines(spark, d):
     """S10 + C7: per-scan Markdown report lines (summary, ranked table, drivers, CVE review)."""
-    scored = saved(runtime_validated(spark, d))
-    ranking = saved(rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",)))
+    scored = runtime_shown(spark, d)
+    ranking = saved_alone(spark, lambda: rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",)))
     return rp.scan_report(ranking, scored, rk.ranking_summary(ranking))
 
 
@@ -555,8 +570,8 @@ def fleet_report(spark, d):
 
     Models are fitted on one side of a split, and the evaluation is that of the other side."""
     fitted = ml.evaluated_models(_model_input(spark, d))
-    scored = saved(ml.predict(fitted.models, runtime_validated(spark, d)))
-    ranking = saved(rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",), with_ml=True), keys=("scan_id",)))
+    scored = saved_alone(spark, lambda: ml.predict(fitted.models, runtime_validated(spark, d)).select(*SHOWN, "ml_risk", "ml_priority", "cluster"))
+    ranking = saved_alone(spark, lambda: rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",), with_ml=True), keys=("scan_id",)))
     summary = ml.run_summary("run", {"regression": fitted.regression, "classification": fitted.classification})
     return rp.scan_report(ranking, scored, rk.ranking_summary(ranking)).unionByName(rp.fleet_report(spark, summary))
 
@@ -606,8 +621,8 @@ def fixed_cluster_scatter(spark, d):
 @query
 def saved_ranking(spark, d):
     """C5 export + S5 + S6: nested rankings written as JSON, one folder per scan, and read back."""
-    scored = saved(runtime_validated(spark, d))
-    ranking = saved(rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",)))
+    scored = runtime_shown(spark, d)
+    ranking = saved_alone(spark, lambda: rk.rank_kbs(rk.kb_rollup(scored, keys=("scan_id",)), keys=("scan_id",)))
     path = f"{shared_folder(spark, 'rankings')}/ranking"
     write_ranking(rk.nested_ranking(ranking, scored, segment_rows=500), path)
     back = read_ranking(spark, path).where("_corrupt_record IS NULL OR kb_id IS NOT NULL")

@@ -86,6 +86,13 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """From now on shuffle files go when the job that wrote them has ended, not when the driver happens to collect its garbage.
+
+    Nothing reads them again: what is used twice is saved, checkpointed or cached, and Spark makes lost ones anew."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder below the shared checkpoint folder, deleted when the JVM ends."""
     jvm = spark._jvm

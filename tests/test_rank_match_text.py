@@ -239,3 +239,43 @@ def test_dimension_beyond_the_bound_is_hashed_by_partition(spark):
     assert "ShuffledHashJoin" not in plan(joins.sized(dim, 1))
     assert sorted(map(tuple, fact.join(joins.sized(dim, size - 1), "k", "left").collect()), key=str) == sorted(
         ((i % 7, i, 2 * (i % 7) if i % 7 < 5 else None) for i in range(50)), key=str)
+
+
+def test_kbs_that_fit_a_task_are_nested_after_one_shuffle(spark, monkeypatch):
+    """Same rows as by the distributed rank, and no shuffle but that by KB."""
+    scored = spark.range(60).select(
+        F.when(F.col("id") % 2 == 0, "s").otherwise("t").alias("scan_id"), F.concat(F.lit("KB"), (F.col("id") % 7).cast("string")).alias("kb_id"),
+        F.format_string("CVE-2024-%05d", F.col("id")).alias("cve_id"), F.lit("2024-Jan").alias("month"), (F.col("id") % 5 / 2).alias("policy_risk"),
+        F.lit("Low").alias("policy_priority"), F.lit("d").alias("top_driver"), F.array(F.lit("d"), F.lit("e")).alias("policy_drivers"))
+    ranking = rank.saved(scored.groupBy("scan_id", "kb_id").agg(F.count("*").alias("cve_count")).withColumn("rank", F.lit(1)).unionByName(
+        spark.sql("SELECT 's' AS scan_id, 'KB99' AS kb_id, 0L AS cve_count, 9 AS rank")))
+    scored, threshold = rank.saved(scored), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = rank.nested_ranking(ranking, scored, segment_rows=2)
+        plan = small._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 2, plan  # the rows and the ranking, by KB
+        monkeypatch.setattr(rank, "GROUP_ROWS", 3)
+        large = rank.nested_ranking(ranking.drop("cve_count"), scored, segment_rows=2)
+        found = [sorted((r.scan_id, r.kb_id, r.segment, r["rank"], str(r.cves)) for r in df.collect()) for df in (small, large)]
+        assert found[0] == found[1] and len(found[0]) > 2 * 14 and ("s", "KB99", 0, 9, "None") in found[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_report_lines_of_small_and_large_kbs_are_the_same(spark, monkeypatch):
+    from fleetrisk.plans import report
+
+    scored = spark.range(40).select(
+        F.lit(1).alias("scan_id"), F.concat(F.lit("KB"), (F.col("id") % 3).cast("string")).alias("kb_id"), F.format_string("CVE-2024-%05d", F.col("id")).alias("cve_id"),
+        F.lit("2024-Jan").alias("month"), (F.col("id") % 5 / 2).alias("policy_risk"), F.lit("Low").alias("policy_priority"), F.lit("d").alias("top_driver"),
+        F.array(F.lit("d")).alias("policy_drivers"), F.lit("never shown").alias("vendor"))
+    ranking = rank.saved(rank.rank_kbs(rank.kb_rollup(scored)))
+    seen, within = [], rank.rank_within
+    monkeypatch.setattr(rank, "rank_within", lambda rows, *rest: seen.append(rows.columns) or within(rows, *rest))
+    lines = []
+    for most in (100, 3):
+        monkeypatch.setattr(rank, "GROUP_ROWS", most)
+        lines.append(sorted(map(tuple, report.scan_report(ranking, scored, rank.ranking_summary(ranking)).collect())))
+    assert lines[0] == lines[1] and sum("| CVE-2024" in line[-1] for line in lines[0]) == 40
+    assert len(seen) == 1 and "vendor" not in seen[0]  # only the second time, and without columns that no line shows

@@ -1,5 +1,8 @@
 import datetime
+import gzip
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +115,58 @@ def test_requests_are_merged(spark):
     got = {r.scan_id: r for r in correlate.scan_summary(correlate.correlate(entries, installed), hosts=hosts, raw=returned).collect()}
     assert (got["s"].raw_entries_returned, got["s"].expected_kbs, got["s"].logical_present_kbs, got["s"].missing_kbs) == (2, 1, 2, 0)
     assert (got["u"].reason, got["u"].installed_kbs, got["u"].expected_kbs) == ("why", 1, 0) and got["t"].missing_kbs == 0
+
+
+def test_hand_overs_go_with_their_step(spark):
+    """A step leaves what it returns and nothing else, also inside another one and if it fails."""
+    from fleetrisk.operators import joins
+    from fleetrisk.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    there = lambda: {x for _, names, _ in os.walk(folder) for x in names if x.startswith("saved-")}
+    before = there()
+    out = joins.saved_alone(spark, lambda: joins.saved(joins.saved_alone(spark, lambda: joins.saved(spark.range(5))).where("id > 0")))
+    assert len(there() - before) == 1 and sorted(r.id for r in out.collect()) == [1, 2, 3, 4]
+
+    def fails():
+        joins.saved(spark.range(3))
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        joins.saved_alone(spark, fails)
+    assert len(there() - before) == 1 and joins._steps == []
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    from fleetrisk.operators import joins
+    from fleetrisk.plans.queries import QUERIES
+
+    QUERIES["host_constraints"](spark, "/root/testdata/sf0.001")
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    rows = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    assert joins.saved(rows).count() == 7 and rows.count() == 7 and len(rows.collect()) == len(rows.collect()) == 7
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+
+
+def test_rankings_and_reports_are_written_compressed(spark, tmp_path):
+    from fleetrisk.plans import report
+    from fleetrisk.sources import tables
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(k):
+        made.add(1)
+        return k
+
+    ranking = spark.range(40).select(F.lit("s").alias("scan_id"), F.udf(count, "int")(F.col("id").cast("int")).alias("rank"), F.concat(F.lit("KB"), F.col("id").cast("string")).alias("kb_id"))
+    tables.write_ranking(ranking, str(tmp_path / "ranking"))
+    assert sorted(r["rank"] for r in tables.read_ranking(spark, str(tmp_path / "ranking")).collect()) == list(range(40)) and made.value == 40
+    lines = spark.range(40).select(F.lit("s").alias("scan_id"), F.lit(0).alias("section"), F.col("id").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"), F.col("id").cast("string").alias("line"))
+    report.write_report(lines, str(tmp_path / "report"), 3)
+    files = sorted(str(p) for p in (tmp_path / "report" / "scan_id=s").glob("part-*"))
+    assert [line for p in files for line in gzip.open(p, "rt").read().split()] == [str(k) for k in range(40)]
+    assert all(p.name.endswith(".json.gz") for p in (tmp_path / "ranking").rglob("part-*"))
