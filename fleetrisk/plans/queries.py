@@ -231,8 +231,8 @@ def exported_scans(spark: SparkSession, d: str) -> str:
     months = bl.month_window(b)[0]
     folder = shared_folder(spark, "scans")
     old, new = (F.lit(t).cast("timestamp") for t in ("2001-08-01 00:00:00", dv.AS_OF))
-    sc.export_scans(entries, c["installed"].limit(0), c["missing"].limit(0), b, months, folder, old)
-    sc.export_scans(entries, c["installed"], c["missing"], b, months, folder, new, segment_rows=5_000)
+    sc.export_scans(entries, c["installed"].limit(0), c["missing"].limit(0), b, months, folder, old, packed=True)
+    sc.export_scans(entries, c["installed"], c["missing"], b, months, folder, new, segment_rows=5_000, packed=True)
     return folder
 
 

@@ -7,14 +7,16 @@ any file is opened. Batch and stream read files by the same code.
 A scan too large for one document is written as parts ``scan_<time>.<number>-of-<count>.json``, each a
 document with a slice of the lists. Each part is written under another name and then renamed, so a
 repeated task writes the same file again; a scan counts only when all its parts are listed, so
-readers never see half of one, whatever tasks or jobs fail.
+readers never see half of one, whatever tasks or jobs fail. Files whose names end in ``.json.gz`` are compressed.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import re
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +34,10 @@ from fleetrisk.session import ship_package
 
 #: bytes of files that one partition reads, and of rows in one batch
 PARTITION_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+#: bytes of a document for a byte of its compressed file, about
+PACKED = 10
 #: fixed values: names of scan files
-SCAN_FILE = re.compile(r"(?P<scan>.+?)(?:\.(?P<part>\d+)-of-(?P<parts>\d+))?\.json$")
+SCAN_FILE = re.compile(r"(?P<scan>.+?)(?:\.(?P<part>\d+)-of-(?P<parts>\d+))?\.json(?P<packed>\.gz)?$")
 SCAN_TIME = re.compile(r"scan_(\d{8}_\d{6})")
 
 SCHEMA = T.StructType([*schemas.SCAN.fields, T.StructField("scan_id", T.StringType()), T.StructField("host", T.StringType()),
@@ -78,7 +82,7 @@ def listed(path: str) -> list[ScanFile]:
         except ValueError:
             time = None
         time = time or datetime.fromtimestamp(info.mtime_ns / 1e9, UTC)
-        file = ScanFile(info.path, host, match["scan"], name, time, info.size, info.mtime_ns, int(match["parts"] or 1))
+        file = ScanFile(info.path, host, match["scan"], name, time, info.size * (PACKED if match["packed"] else 1), info.mtime_ns, int(match["parts"] or 1))
         parts[host, file.scan, file.parts].add(match["part"])
         found.append(file)
     return sorted((f for f in found if len(parts[f.host, f.scan, f.parts]) >= f.parts), key=lambda f: f.path)
@@ -109,7 +113,8 @@ def fitted(value, kind: T.DataType):
 
 def opened(filesystem, path: str) -> bytes:
     with filesystem.open_input_file(path) as source:
-        return source.read()
+        data = source.read()
+    return gzip.decompress(data) if path.endswith(".gz") else data
 
 
 def read_files(path: str, files: list[ScanFile], schema: T.StructType) -> Iterator[pa.RecordBatch]:
@@ -119,7 +124,10 @@ def read_files(path: str, files: list[ScanFile], schema: T.StructType) -> Iterat
     filesystem, _ = filesystem_of(path)
     arrow, rows, size = to_arrow_schema(schema), [], 0
     for f in files:
-        text = opened(filesystem, f.path).decode("utf-8", "replace")
+        try:
+            text = opened(filesystem, f.path).decode("utf-8", "replace")
+        except (EOFError, gzip.BadGzipFile, zlib.error) as bad:
+            text = f"{f.name}: {bad}"
         try:
             document = json.loads(text)
         except ValueError:
@@ -128,7 +136,7 @@ def read_files(path: str, files: list[ScanFile], schema: T.StructType) -> Iterat
         row = fitted(document if valid else {}, schemas.SCAN)
         row |= {"_corrupt_record": None if valid else text, "scan_id": f"{f.host}/{f.scan}", "host": f.host, "scan_ts": f.time, "file_name": f.name, "valid": valid}
         rows.append(row)
-        size += f.size
+        size += len(text)
         if size > BATCH_BYTES:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
             rows, size = [], 0
@@ -217,7 +225,7 @@ class ScanStream(DataSourceStreamReader):
 
 
 class ScanWriter(DataSourceArrowWriter):
-    """Rows of SINK_SCHEMA: one file each, ``host/file_name``, renamed into place."""
+    """Rows of SINK_SCHEMA: one file each, ``host/file_name``, renamed into place; compressed if the name ends in ``.gz``."""
 
     def __init__(self, options):
         self.path = options["path"]
@@ -232,7 +240,7 @@ class ScanWriter(DataSourceArrowWriter):
                     made.add(host)
                 hidden = f"{root}/{host}/.{uuid.uuid4().hex}"
                 with filesystem.open_output_stream(hidden, compression=None) as out:
-                    out.write(document.encode())
+                    out.write(gzip.compress(document.encode(), 1, mtime=0) if name.endswith(".gz") else document.encode())
                 filesystem.move(hidden, f"{root}/{host}/{name}")
         return WriterCommitMessage()
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetrisk import schemas
 from fleetrisk.functions.ids import normalise_id, update_type
+from fleetrisk.operators.joins import saved_until_done
 from fleetrisk.operators.rank import rank_within
 from fleetrisk.sources import scan_files
 
@@ -28,7 +29,7 @@ def scan_host() -> Column:
 
 def scan_identity() -> Column:
     """``host/file``: what identifies a scan in batch reads and streams."""
-    return F.concat(scan_host(), F.lit("/"), F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
+    return F.concat(scan_host(), F.lit("/"), F.regexp_replace(F.col("_metadata.file_name"), r"\.json(\.gz)?$", ""))
 
 
 def read_scans(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
@@ -41,7 +42,7 @@ def read_scans(spark: SparkSession, path: str, required: bool = True) -> DataFra
     Raises when there are no scan files at all.
     """
     df = (spark.read.schema(schemas.SCAN).option("multiLine", True).option("mode", "PERMISSIVE")
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path))
+          .option("recursiveFileLookup", True).option("pathGlobFilter", "{*.json,*.json.gz}").json(path))
     name = F.col("_metadata.file_name")
     stamp = F.regexp_extract(name, SCAN_NAME_TS, 1)
     out = df.select(
@@ -93,7 +94,7 @@ SEGMENT_ROWS = 20_000
 
 
 def scan_documents(entries: DataFrame, installed_kbs: DataFrame, missing: DataFrame, baseline: DataFrame,
-                   months_requested: DataFrame, scan_ts: Column, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+                   months_requested: DataFrame, scan_ts: Column, segment_rows: int = SEGMENT_ROWS, packed: bool = False) -> DataFrame:
     """(host, file_name, document): nested scan documents, in parts of at most ``segment_rows`` list elements.
 
     host is ``scan_id`` as text. All list elements of a scan form one order (section, key); a
@@ -110,18 +111,18 @@ def scan_documents(entries: DataFrame, installed_kbs: DataFrame, missing: DataFr
     months = entries.select("scan_id", F.explode("months").alias("month")).distinct()
     # an entry is ranked and gathered as its JSON text, a fraction of the bytes of its arrays, which the document holds as it is
     written = F.to_json(entry)
-    tie = F.sha1(written)  # entries of one KB in a fixed order
-    rows = (section(entries.withColumn("kb_id", normalise_id("kb_id")), 0, F.concat_ws("/", "kb_id", tie), written)
+    rows = (section(entries.withColumn("kb_id", normalise_id("kb_id")), 0, F.coalesce(F.col("kb_id"), F.lit("")), written)
             .unionByName(section(installed_kbs.select("scan_id", "kb_id").distinct(), 1, F.col("kb_id")))
             .unionByName(section(missing.select("scan_id", "kb_id").distinct(), 2, F.col("kb_id")))
             .unionByName(section(months_requested, 3, F.concat_ws("/", F.format_string("%06d", F.col("pos").cast("long")), F.col("month_id"))))
             .unionByName(section(months, 4, F.col("month")))
             .unionByName(section(baseline, 5, F.lit(""))))  # a scan without any element has its one document, too
     rows = rows.withColumn("spread", F.monotonically_increasing_id())
-    ranked = rank_within(rows, ["scan_id"], [F.col("section"), F.col("key").asc_nulls_first(), F.col("spread")], "at").withColumn("part", F.floor((F.col("at") - 1) / segment_rows).cast("long"))
-    element = F.struct("at", "key", "entry")
+    # entries of one KB are in the order of their texts
+    ranked = rank_within(rows, ["scan_id"], [F.col("section"), F.col("key").asc_nulls_first(), F.col("entry").asc_nulls_first(), F.col("spread")], "at").withColumn("part", F.floor((F.col("at") - 1) / segment_rows).cast("long"))
+    # an entry's document holds its text, the other lists their keys
     groups = ranked.groupBy("scan_id", "part").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("section") == k, element))).alias(f"_{k}") for k in range(5)])
+        F.array_sort(F.collect_list(F.when(F.col("section") == k, F.struct("at", "key" if k else "entry")))).alias(f"_{k}") for k in range(5)])
     counts = ranked.groupBy("scan_id").agg((F.max("part") + 1).alias("parts"))
     facts = baseline.select("scan_id", F.struct(*[c for c in baseline.columns if c not in ("scan_id", "host")]).alias("Baseline"))
     doc = groups.join(counts, "scan_id").join(facts, "scan_id", "left")
@@ -133,11 +134,13 @@ def scan_documents(entries: DataFrame, installed_kbs: DataFrame, missing: DataFr
     body = F.concat(F.lit('{"KbEntries":['), F.array_join("_0.entry", ","), F.lit("],"), F.substring(others, F.lit(2), F.length(others)))
     stem = F.concat(F.lit("scan_"), F.date_format(scan_ts, "yyyyMMdd_HHmmss"))
     suffix = F.when(F.col("parts") > 1, F.format_string(".%06d-of-%06d", F.col("part") + 1, F.col("parts"))).otherwise("")
-    return doc.select(F.col("scan_id").cast(text).alias("host"), F.concat(stem, suffix, F.lit(".json")).alias("file_name"), body.alias("document"))
+    return doc.select(F.col("scan_id").cast(text).alias("host"), F.concat(stem, suffix, F.lit(".json.gz" if packed else ".json")).alias("file_name"), body.alias("document"))
 
 
 def export_scans(entries: DataFrame, installed_kbs: DataFrame, missing: DataFrame, baseline: DataFrame, months_requested: DataFrame,
-                 path: str, scan_ts: Column | None = None, segment_rows: int = SEGMENT_ROWS) -> None:
-    """Write one nested scan document per scan, or several parts of one: ``path/<scan_id>/scan_<time>[.<part>].json``."""
+                 path: str, scan_ts: Column | None = None, segment_rows: int = SEGMENT_ROWS, packed: bool = False) -> None:
+    """Write one nested scan document per scan, or several parts of one: ``path/<scan_id>/scan_<time>[.<part>].json``, compressed
+    and with ``.gz`` behind if ``packed``."""
     scan_ts = F.current_timestamp() if scan_ts is None else scan_ts
-    scan_files.write(scan_documents(entries, installed_kbs, missing, baseline, months_requested, scan_ts, segment_rows), path)
+    with saved_until_done(entries.sparkSession):
+        scan_files.write(scan_documents(entries, installed_kbs, missing, baseline, months_requested, scan_ts, segment_rows, packed), path)
