@@ -156,15 +156,15 @@ SPLIT_BITS = 12
 
 
 def stratified_split(df: DataFrame, label: str, test_percent: int = TEST_PERCENT, key=ROW_KEY,
-                     seed: int = SEED):
+                     seed: int = SEED, stored: bool = False):
     """Exact per-label split: within each label, rows ordered by hash and key (distinct within
     a label); the last ceil(test% * n_label) go to test.
 
     By selection, not by sorting: counts per (label, hash range) tell in which range the
     boundary lies, only that range's rows, one of 2 ** SPLIT_BITS, are ranked, and the
-    row at the boundary cuts the table in two.
+    row at the boundary cuts the table in two. ``stored``: the rows are saved already.
     """
-    df = saved(df)  # read three times below
+    df = df if stored else saved(df)  # read three times below
     hashed = df.withColumn("_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed)))
     hashed = hashed.withColumn("_range", F.shiftright("_h", 64 - SPLIT_BITS))
     counts = hashed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_c"))  # labels x ranges rows at most
@@ -587,7 +587,7 @@ def evaluated_models(frame: DataFrame) -> Evaluated:
     """
     frame = saved(frame)
     train, test = (saved(compact(part, LABELS)) for part in hash_split(frame))
-    c_train, c_test = (saved(compact(part, LABELS)) for part in stratified_split(frame, "priority_label"))
+    c_train, c_test = (saved(compact(part, LABELS)) for part in stratified_split(frame, "priority_label", stored=True))
     everything = saved(compact(frame, LABELS))
     with ThreadPoolExecutor(max_workers=3) as pool:  # independent Spark jobs
         fits = [pool.submit(fit, rows) for fit, rows in ((fit_regression, train), (fit_classification, c_train), (fit_clustering, everything))]

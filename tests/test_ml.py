@@ -271,3 +271,10 @@ def test_large_forests_are_not_grown_on_the_driver(spark, monkeypatch):
                        * p.getNumTrees for p in parts], axis=0) * len(parts) / 4
     got = [r.ml_risk for r in model.transform(frame).orderBy("cvss_score", "patch_age_days", "risk_score").collect()]  # several passes
     assert max(abs(want - got)) < 1e-9
+
+
+def test_saved_rows_are_not_saved_again_to_be_split(spark, labelled, monkeypatch):
+    rows = ml.saved(ml.model_frame(labelled).select(*ml.ROW_KEY, "priority_label"))
+    want = [sorted(r.cve_id for r in part.collect()) for part in ml.stratified_split(rows, "priority_label")]
+    monkeypatch.setattr(ml, "saved", lambda df: pytest.fail("saved again"))
+    assert [sorted(r.cve_id for r in part.collect()) for part in ml.stratified_split(rows, "priority_label", stored=True)] == want
